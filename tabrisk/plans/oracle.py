@@ -62,6 +62,127 @@ FROM sp, s
 GROUP BY split, label
 """
 
+from tabrisk.plans.datasets import predictions_folds_sql, predictions_sql  # noqa: E402
+
+PRED = f"pred AS ({predictions_sql()})"
+COUNTS = f"""{PRED},
+counts AS (SELECT model,
+  CAST(sum(CASE WHEN actual = 0 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+  CAST(sum(CASE WHEN actual = 0 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+  CAST(sum(CASE WHEN actual = 1 AND prediction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+  CAST(sum(CASE WHEN actual = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp
+  FROM pred GROUP BY model)"""
+
+CONFUSION_LONG = f"""WITH {COUNTS},
+long AS (SELECT model, 0 AS predicted, 0 AS actual, tn AS n FROM counts
+   UNION ALL SELECT model, 1, 0, fp FROM counts
+   UNION ALL SELECT model, 0, 1, fn FROM counts
+   UNION ALL SELECT model, 1, 1, tp FROM counts)"""
+
+CONFUSION_MATRIX = CONFUSION_LONG + "\nSELECT * FROM long"
+
+CONFUSION_PERCENT = CONFUSION_LONG + """,
+pc AS (SELECT *, CASE WHEN sum(n) OVER (PARTITION BY model, actual) > 0
+          THEN n * 100.0 / sum(n) OVER (PARTITION BY model, actual) END AS percent FROM long)
+SELECT model, predicted, actual, n, round(percent, 9) AS percent,
+       CASE WHEN percent IS NOT NULL THEN printf('%.1f%%\n%d', percent, n) END AS cell_text
+FROM pc"""
+
+
+def _r(num: str, den: str, zero: str = "0.0") -> str:
+    return f"CASE WHEN ({den}) = 0 THEN {zero} ELSE CAST({num} AS DOUBLE) / ({den}) END"
+
+
+CLASSIFICATION_METRICS = f"""WITH {COUNTS}
+SELECT model, tn + fp + fn + tp AS support,
+  round({_r('tp + tn', 'tn + fp + fn + tp', 'NULL')}, 9) AS accuracy,
+  round({_r('tp', 'tp + fp')}, 9) AS precision,
+  round({_r('tp', 'tp + fn')}, 9) AS recall,
+  round({_r('2 * tp', '2 * tp + fp + fn')}, 9) AS f1
+FROM counts"""
+
+CLASSIFICATION_REPORT = f"""WITH {COUNTS},
+per AS (SELECT model, tn + fp + fn + tp AS n,
+  {_r('tn', 'tn + fn')} AS p0, {_r('tn', 'tn + fp')} AS r0, {_r('2 * tn', '2 * tn + fn + fp')} AS f0,
+  tn + fp AS s0,
+  {_r('tp', 'tp + fp')} AS p1, {_r('tp', 'tp + fn')} AS r1, {_r('2 * tp', '2 * tp + fp + fn')} AS f1,
+  tp + fn AS s1, {_r('tp + tn', 'tn + fp + fn + tp', 'NULL')} AS acc FROM counts),
+rows AS (
+  SELECT model, '0' AS label, p0 AS precision, r0 AS recall, f0 AS f1, s0 AS support FROM per
+  UNION ALL SELECT model, '1', p1, r1, f1, s1 FROM per
+  UNION ALL SELECT model, 'accuracy', NULL, NULL, acc, n FROM per
+  UNION ALL SELECT model, 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n FROM per
+  UNION ALL SELECT model, 'weighted avg', {_r('p0 * s0 + p1 * s1', 'n', 'NULL')},
+     {_r('r0 * s0 + r1 * s1', 'n', 'NULL')}, {_r('f0 * s0 + f1 * s1', 'n', 'NULL')}, n FROM per)
+SELECT model, label, round(precision, 9) AS precision, round(recall, 9) AS recall,
+       round(f1, 9) AS f1, support FROM rows"""
+
+SCORES = f"""{PRED},
+d AS (SELECT model, probability, CAST(sum(actual) AS BIGINT) AS pos, CAST(sum(1 - actual) AS BIGINT) AS neg
+      FROM pred WHERE probability IS NOT NULL GROUP BY model, probability),
+st AS (SELECT *, sum(pos) OVER w AS pos_cum, sum(neg) OVER w AS neg_cum,
+              sum(pos) OVER (PARTITION BY model) AS P, sum(neg) OVER (PARTITION BY model) AS N
+       FROM d WINDOW w AS (PARTITION BY model ORDER BY probability DESC
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+ROC_POINTS = f"""WITH {SCORES}
+SELECT model, probability AS threshold,
+       round(CASE WHEN N > 0 THEN neg_cum / N END, 9) AS fpr,
+       round(CASE WHEN P > 0 THEN pos_cum / P END, 9) AS tpr FROM st
+UNION ALL
+SELECT DISTINCT model, CAST('inf' AS DOUBLE), 0.0, 0.0 FROM st"""
+
+AUC_BAND_SQL = """CASE WHEN auc IS NULL THEN NULL WHEN auc >= 0.9 THEN 'Excellent'
+  WHEN auc >= 0.8 THEN 'Good' WHEN auc >= 0.7 THEN 'Fair' ELSE 'Poor' END"""
+
+ROC_AUC_CORE = f"""{SCORES},
+a AS (SELECT model,
+   CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(pos * ((N - neg_cum) + neg / 2.0)) / (max(P) * max(N)) END AS auc,
+   CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(neg * (2 * pos_cum - pos)) / (2.0 * max(P) * max(N)) END AS auc_trapezoid
+   FROM st GROUP BY model)"""
+
+ROC_AUC = f"""WITH {ROC_AUC_CORE}
+SELECT model, round(auc, 9) AS auc, round(auc_trapezoid, 9) AS auc_trapezoid, {AUC_BAND_SQL} AS band FROM a"""
+
+MODEL_COMPARISON = f"""WITH {ROC_AUC_CORE},
+{COUNTS.replace(PRED + ",", "")}
+SELECT c.model,
+  round({_r('tp + tn', 'tn + fp + fn + tp', 'NULL')}, 9) AS accuracy,
+  round({_r('tp', 'tp + fp')}, 9) AS precision,
+  round({_r('tp', 'tp + fn')}, 9) AS recall,
+  round({_r('2 * tp', '2 * tp + fp + fn')}, 9) AS f1,
+  round(a.auc, 9) AS roc_auc, tn, fp, fn, tp, tn + fp + fn + tp AS test_rows
+FROM counts c LEFT JOIN a USING (model)"""
+
+THRESHOLD_TUNING = f"""WITH p AS ({predictions_folds_sql()}),
+d AS (SELECT * FROM p WHERE probability IS NOT NULL AND fold IS NOT NULL),
+rng AS (SELECT model, min(probability) AS lo, max(probability) AS hi FROM d GROUP BY model),
+c AS (SELECT d.model, fold,
+        CASE WHEN hi > lo THEN least(99, greatest(0, CAST(floor((probability - lo) / ((hi - lo) / 99)) AS INTEGER)))
+             ELSE 99 END AS j,
+        CAST(sum(actual) AS BIGINT) AS pos, CAST(sum(1 - actual) AS BIGINT) AS neg
+      FROM d JOIN rng USING (model) GROUP BY ALL),
+grid AS (SELECT DISTINCT model, fold, unnest(range(0, 100)) AS j FROM c),
+dense AS (SELECT g.model, g.fold, g.j, coalesce(c.pos, 0) AS pos, coalesce(c.neg, 0) AS neg
+          FROM grid g LEFT JOIN c USING (model, fold, j)),
+acc AS (SELECT model, fold, j,
+   (sum(pos) OVER (PARTITION BY model, fold) - coalesce(sum(pos) OVER w, 0) + coalesce(sum(neg) OVER w, 0))
+     / sum(pos + neg) OVER (PARTITION BY model, fold) AS acc
+   FROM dense WINDOW w AS (PARTITION BY model, fold ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+per_j AS (SELECT model, j, round(avg(acc), 12) AS m, round(stddev_pop(acc), 12) AS s FROM acc GROUP BY model, j),
+best AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY m DESC, j) AS r FROM per_j)
+SELECT b.model, b.j AS best_index, round(lo + b.j * ((hi - lo) / 99), 9) AS best_threshold,
+       round(m, 9) AS cv_accuracy_mean, round(s, 9) AS cv_accuracy_std
+FROM best b JOIN rng USING (model) WHERE r = 1"""
+
 ORACLE = {
     "prep_scaled_by_split": PREP_SCALED_BY_SPLIT,
+    "confusion_matrix": CONFUSION_MATRIX,
+    "confusion_percent": CONFUSION_PERCENT,
+    "classification_metrics": CLASSIFICATION_METRICS,
+    "classification_report": CLASSIFICATION_REPORT,
+    "roc_points": ROC_POINTS,
+    "roc_auc": ROC_AUC,
+    "model_comparison": MODEL_COMPARISON,
+    "threshold_tuning": THRESHOLD_TUNING,
 }

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabrisk.contract import LINEITEM
+from tabrisk.operators import metrics as M
+from tabrisk.operators.threshold import best_threshold, threshold_curve
+from tabrisk.plans.datasets import event_predictions, event_predictions_folds
 from tabrisk.operators.prep import RiskPreprocessor
 from tabrisk.operators.split import stratified_split
 from tabrisk.sources.tables import LINEITEM_KEYS, LINEITEM_TIEBREAK, lineitem_patients
@@ -31,6 +34,60 @@ def prep_scaled_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
                        *[F.round(F.avg(c), R).alias(f"avg_{c}") for c in feats]))
 
 
+def confusion_matrix(spark, sf_dir):
+    """A3 long form over the stored predictions."""
+    return M.confusion_long(M.confusion_counts(event_predictions(spark, sf_dir)))
+
+
+def confusion_percent(spark, sf_dir):
+    """A8 W9 F4 F5 F16 F17."""
+    return M.confusion_percent(M.confusion_counts(event_predictions(spark, sf_dir)))
+
+
+def classification_metrics(spark, sf_dir):
+    """A4 A5."""
+    m = M.classification_metrics(M.confusion_counts(event_predictions(spark, sf_dir)))
+    return m.select("model", "support", *[F.round(c, 9).alias(c)
+                                          for c in ("accuracy", "precision", "recall", "f1")])
+
+
+def classification_report(spark, sf_dir):
+    """A9."""
+    return M.classification_report(M.confusion_counts(event_predictions(spark, sf_dir)))
+
+
+def roc_points(spark, sf_dir):
+    """A7 W2."""
+    return M.roc_points(event_predictions(spark, sf_dir))
+
+
+def roc_auc(spark, sf_dir):
+    """A6 A20 W7 F11."""
+    return M.roc_auc(event_predictions(spark, sf_dir))
+
+
+def model_comparison(spark, sf_dir):
+    """A21 over every model of the predictions table."""
+    return M.model_comparison(event_predictions(spark, sf_dir))
+
+
+def threshold_tuning(spark, sf_dir):
+    """Best of 100 thresholds by 5-fold mean accuracy, per model."""
+    curve = threshold_curve(event_predictions_folds(spark, sf_dir))
+    return best_threshold(curve).select("model", F.col("j").alias("best_index"),
+                                        F.round("threshold", 9).alias("best_threshold"),
+                                        F.round("cv_accuracy_mean", 9).alias("cv_accuracy_mean"),
+                                        F.round("cv_accuracy_std", 9).alias("cv_accuracy_std"))
+
+
 QUERIES = {
     "prep_scaled_by_split": prep_scaled_by_split,
+    "confusion_matrix": confusion_matrix,
+    "confusion_percent": confusion_percent,
+    "classification_metrics": classification_metrics,
+    "classification_report": classification_report,
+    "roc_points": roc_points,
+    "roc_auc": roc_auc,
+    "model_comparison": model_comparison,
+    "threshold_tuning": threshold_tuning,
 }
