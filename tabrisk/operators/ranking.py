@@ -104,3 +104,16 @@ def bottom_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
     return (first.drop("_r1", "_salt")
                  .withColumn(out, F.row_number().over(w2))
                  .where(F.col(out) <= k))
+
+
+def position_by_key(df: DataFrame, key: str, out: str = "position",
+                    target_buckets: int = 16384) -> DataFrame:
+    """1-based position of each row in ``key`` order over the whole table
+    (W1 for keyed tables).  Buckets are equal key ranges sized from the key's
+    min / max so their number stays near ``target_buckets`` at any scale."""
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    if lo is None:
+        return df.withColumn(out, F.lit(None).cast("long"))
+    width = max(1, -(-(int(hi) - int(lo) + 1) // target_buckets))
+    b = df.withColumn("_pb", F.floor((F.col(key) - F.lit(int(lo))) / F.lit(width)).cast("long"))
+    return bucketed_row_number(b, [], "_pb", [key], out=out).drop("_pb")

@@ -75,3 +75,32 @@ def predictions_folds_sql(n_folds: int = 5) -> str:
              CAST((row_number() OVER (PARTITION BY {ACTUAL_SQL}
                   ORDER BY md5(concat_ws('-', '42', event_id))) - 1) % {n_folds} AS INTEGER) AS fold
       FROM events) f USING (row_id)"""
+
+
+def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction history (FIXTURES 1.7 shape) made from events: one row per
+    (event, model with a probability): formatted time (F6), model, percent
+    probability rounded to 2 places (F3), risk label (P15), the inputs."""
+    from tabrisk.contract import HISTORY_TIME_FORMAT
+    from tabrisk.functions.expressions import risk_label
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    structs = [F.struct(F.lit(name).alias("model"), F.expr(pred).cast("int").alias("pred"),
+                        F.expr(prob).cast("double").alias("prob"))
+               for name, (prob, pred) in RULE_MODELS.items() if prob]
+    long = ev.select("event_id", "ts", "user_id", "value", F.inline(F.array(*structs)))
+    return long.select(F.col("event_id").alias("row_id"),
+                       F.date_format("ts", HISTORY_TIME_FORMAT).alias("timestamp"),
+                       "model", F.round(F.col("prob") * 100, 2).alias("probability"),
+                       risk_label("pred").alias("prediction"), "user_id", "value")
+
+
+def history_sql() -> str:
+    parts = []
+    for name, (prob, pred) in RULE_MODELS.items():
+        if prob:
+            parts.append(
+                f"SELECT event_id AS row_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, "
+                f"'{name}' AS model, round(CAST({prob} AS DOUBLE) * 100, 2) AS probability, "
+                f"CASE WHEN {pred} = 1 THEN 'High Risk' ELSE 'Low Risk' END AS prediction, "
+                f"user_id, value FROM events")
+    return "\n UNION ALL ".join(parts)

@@ -171,10 +171,148 @@ acc AS (SELECT model, fold, j,
    FROM dense WINDOW w AS (PARTITION BY model, fold ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 per_j AS (SELECT model, j, round(avg(acc), 12) AS m, round(stddev_pop(acc), 12) AS s FROM acc GROUP BY model, j),
 best AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY m DESC, j) AS r FROM per_j)
-SELECT b.model, b.j AS best_index, round(lo + b.j * ((hi - lo) / 99), 9) AS best_threshold,
+SELECT b.model, CAST(b.j AS INTEGER) AS best_index, round(lo + b.j * ((hi - lo) / 99), 9) AS best_threshold,
        round(m, 9) AS cv_accuracy_mean, round(s, 9) AS cv_accuracy_std
 FROM best b JOIN rng USING (model) WHERE r = 1"""
 
+from tabrisk.contract import CUSTOMER, PART  # noqa: E402
+from tabrisk.functions.expressions import NUMERIC_TEXT  # noqa: E402
+from tabrisk.plans.datasets import history_sql  # noqa: E402
+
+
+def _viol_sql(tbl: str, rid: str, contract) -> str:
+    parts = []
+    for r in contract.features:
+        x = f"(CASE WHEN isnan(CAST({r.name} AS DOUBLE)) THEN NULL ELSE CAST({r.name} AS DOUBLE) END)"
+        if r.low is not None or r.high is not None:
+            conds = []
+            if r.low is not None:
+                conds.append(f"{x} < {float(r.low)}")
+            if r.high is not None:
+                conds.append(f"{x} > {float(r.high)}")
+            parts.append(f"SELECT '{tbl}' AS table_name, '{r.name}' AS column_name, 'range' AS rule, "
+                         f"{rid} AS row_id FROM {tbl} WHERE {x} IS NOT NULL AND ({' OR '.join(conds)})")
+        if r.whole_number:
+            parts.append(f"SELECT '{tbl}', '{r.name}', 'whole_number', {rid} FROM {tbl} "
+                         f"WHERE {x} IS NOT NULL AND {x} % 1 <> 0")
+    return "\n UNION ALL ".join(parts)
+
+
+VIOL = f"""v AS ({_viol_sql('customer', 'c_custkey', CUSTOMER)}
+  UNION ALL {_viol_sql('part', 'p_partkey', PART)})"""
+
+CONTRACT_VIOLATIONS = f"""WITH {VIOL},
+r AS (SELECT *, row_number() OVER (PARTITION BY table_name, column_name, rule ORDER BY row_id) AS rn FROM v)
+SELECT table_name, column_name, rule, count(*) AS n_bad,
+       string_agg(CASE WHEN rn <= 10 THEN CAST(row_id AS VARCHAR) END, ',' ORDER BY row_id) AS first_rows
+FROM r GROUP BY table_name, column_name, rule"""
+
+CLEAN_ROWS = f"""WITH {VIOL}
+SELECT 'customer' AS table_name,
+       CASE WHEN c_custkey IN (SELECT row_id FROM v WHERE table_name = 'customer') THEN 0 ELSE 1 END AS valid,
+       count(*) AS n_rows FROM customer GROUP BY ALL
+UNION ALL
+SELECT 'part', CASE WHEN p_partkey IN (SELECT row_id FROM v WHERE table_name = 'part') THEN 0 ELSE 1 END,
+       count(*) FROM part GROUP BY ALL"""
+
+_TEXT_COLS = {
+    "size_text": "CAST(p_size AS VARCHAR)",
+    "brand_number": "split_part(p_brand, '#', 2)",
+    "brand": "p_brand",
+    "type_word": "p_type",
+    "retail_text": "CAST(p_retailprice AS VARCHAR)",
+}
+_NUM = f"(CASE WHEN regexp_matches(txt, '{NUMERIC_TEXT}') THEN TRY_CAST(txt AS DOUBLE) END)"
+NUMERIC_COERCION = f"""WITH t AS ({" UNION ALL ".join(
+    f"SELECT '{n}' AS column_name, p_partkey AS row_id, {e} AS txt FROM part" for n, e in _TEXT_COLS.items())}),
+c AS (SELECT *, CASE WHEN isnan({_NUM}) THEN NULL ELSE {_NUM} END AS num,
+             txt IS NOT NULL AND NOT regexp_matches(txt, '{NUMERIC_TEXT}') AS bad FROM t),
+r AS (SELECT *, CASE WHEN bad THEN row_number() OVER (PARTITION BY column_name, bad ORDER BY row_id) END AS rn FROM c)
+SELECT column_name, count(txt) AS n_values, count(num) AS n_numeric,
+       CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS n_bad,
+       round(sum(num), 6) AS sum_numeric,
+       string_agg(CASE WHEN bad AND rn <= 10 THEN CAST(row_id AS VARCHAR) END, ',' ORDER BY row_id) AS first_rows
+FROM r GROUP BY column_name"""
+
+LABEL_DOMAIN_AND_EMPTY = """WITH a AS (SELECT count(*) AS n, count(DISTINCT doc_id) AS n_keys,
+   count(quality) AS nn_quality, CAST(sum(CASE WHEN quality IS NULL OR quality NOT IN (0, 1) THEN 1 ELSE 0 END) AS BIGINT) AS bad_quality,
+   count(toxic) AS nn_toxic, CAST(sum(CASE WHEN toxic IS NULL OR toxic NOT IN (0, 1) THEN 1 ELSE 0 END) AS BIGINT) AS bad_toxic
+   FROM labels),
+r AS (SELECT 'row_count' AS rule, 'doc_id' AS column_name, n AS n_checked, abs(n - n_keys) AS n_bad FROM a
+  UNION ALL SELECT 'not_empty', 'quality', n, CASE WHEN nn_quality = 0 THEN n ELSE 0 END FROM a
+  UNION ALL SELECT 'label_domain', 'quality', n, bad_quality FROM a
+  UNION ALL SELECT 'not_empty', 'toxic', n, CASE WHEN nn_toxic = 0 THEN n ELSE 0 END FROM a
+  UNION ALL SELECT 'label_domain', 'toxic', n, bad_toxic FROM a)
+SELECT rule, column_name, n_checked, CAST(n_bad AS BIGINT) AS n_bad, CAST(n_bad = 0 AS INTEGER) AS passed FROM r"""
+
+PROVENANCE_AUDIT = """WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus,
+        row_number() OVER (ORDER BY o_orderkey) AS position, count(*) OVER () AS n FROM orders),
+b AS (SELECT *, n * 768 // 10000 AS e1, n * 1000 // 10000 AS e2 FROM o),
+orig AS (SELECT o_custkey, o_orderstatus FROM b WHERE position <= e1),
+dup AS (SELECT o_custkey, o_orderstatus FROM b WHERE position > e1 AND position <= e2),
+r AS (
+  SELECT 'row_count' AS rule, count(*) AS value, count(DISTINCT o_orderkey) AS expected FROM orders
+  UNION ALL SELECT 'original_unique', coalesce(sum(c - 1), 0), 0 FROM (SELECT count(*) AS c FROM orig GROUP BY o_custkey, o_orderstatus)
+  UNION ALL SELECT 'duplicate_block_in_original', count(*), 0 FROM dup d WHERE NOT EXISTS (
+      SELECT 1 FROM orig o WHERE o.o_custkey = d.o_custkey AND o.o_orderstatus = d.o_orderstatus))
+SELECT rule, CAST(value AS BIGINT) AS value, CAST(expected AS BIGINT) AS expected,
+       CAST(value = expected AS INTEGER) AS passed FROM r"""
+
+
+def _dup_stats(tbl: str, cols: str) -> str:
+    return f"""SELECT '{tbl}' AS table_name, CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS n_distinct,
+      CAST(sum(c - 1) AS BIGINT) AS n_repeats, CAST(sum(CASE WHEN c > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_groups_with_copies,
+      CAST(max(c) AS BIGINT) AS max_copies FROM (SELECT count(*) AS c FROM {tbl} GROUP BY {cols})"""
+
+
+DUPLICATE_ROWS = (_dup_stats("lineitem", "l_orderkey, l_linenumber") + "\nUNION ALL\n"
+                  + _dup_stats("orders", "o_custkey, o_orderstatus"))
+
+DEDUPE_KEEP_FIRST = """SELECT o_custkey, o_orderstatus, min(o_orderkey) AS o_orderkey,
+  arg_min(o_totalprice, o_orderkey) AS o_totalprice, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority,
+  count(*) AS copies FROM orders GROUP BY o_custkey, o_orderstatus"""
+
+ORDERS_RANKED = f"""base AS (SELECT o_orderkey, o_orderstatus, md5(concat_ws('-', '42', o_orderkey)) AS h FROM orders),
+q AS {_quotas('base', 'o_orderstatus')},
+r AS (SELECT b.*, row_number() OVER (PARTITION BY o_orderstatus ORDER BY h) AS rk FROM base b)"""
+
+STRATIFIED_SPLIT_COUNTS = f"""WITH {ORDERS_RANKED}
+SELECT CASE WHEN rk <= quota THEN 'test' ELSE 'train' END AS split, o_orderstatus, count(*) AS n_rows
+FROM r JOIN q USING (o_orderstatus) GROUP BY ALL"""
+
+STRATIFIED_FOLDS = f"""WITH {ORDERS_RANKED}
+SELECT o_orderkey, o_orderstatus, CASE WHEN rk <= quota THEN 'test' ELSE 'train' END AS split,
+       CASE WHEN rk > quota THEN CAST((rk - quota - 1) % 5 AS INTEGER) END AS fold
+FROM r JOIN q USING (o_orderstatus)"""
+
+CLASS_WEIGHTS_GAMMA = f"""WITH sp AS ({LINEITEM_SPLIT}),
+s AS {_stats(LI_FEATS, 'sp', "split = 'train'")},
+x AS (SELECT label, {', '.join(f'{_scaled(c, z)} AS {c}' for c, z in LI_FEATS)} FROM sp, s WHERE split = 'train'),
+v AS (SELECT var_pop(v) AS var FROM (SELECT unnest([{', '.join(c for c, _ in LI_FEATS)}]) AS v FROM x)),
+c AS (SELECT label, count(*) AS n_class FROM x GROUP BY label)
+SELECT label, n_class, round(sum(n_class) OVER () / (2.0 * n_class), 9) AS class_weight,
+       round(1.0 / ({len(LI_FEATS)} * var), 9) AS gamma_scale, CAST(1 AS DOUBLE) / {len(LI_FEATS)} AS gamma_auto
+FROM c, v"""
+
+HISTORY_REPORT = f"""WITH h AS ({history_sql()})
+SELECT model, prediction, count(*) AS n, round(avg(probability), 6) AS avg_probability,
+       min(timestamp) AS first_seen, max(timestamp) AS last_seen
+FROM h WHERE model IN ('ANN', 'SVM') GROUP BY model, prediction"""
+
+HISTORY_LATEST = f"""WITH h AS ({history_sql()}),
+r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY timestamp DESC, row_id DESC) AS recency FROM h)
+SELECT model, CAST(recency AS INTEGER) AS recency, row_id, timestamp, probability, prediction FROM r WHERE recency <= 10"""
+
+RESCORE_PENDING = """WITH docs AS (SELECT doc_id, sha256(text) AS content_hash FROM documents),
+scored AS (SELECT DISTINCT d.content_hash, m.model, 'v1' AS version
+           FROM docs d JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id),
+                (VALUES ('ANN'), ('KNN'), ('SVM')) m(model)),
+wanted AS (SELECT d.doc_id, d.content_hash, r.model, r.version
+           FROM docs d, (VALUES ('ANN', 'v1'), ('KNN', 'v1'), ('SVM', 'v2')) r(model, version))
+SELECT doc_id, model, version, content_hash FROM wanted w
+WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.content_hash = w.content_hash
+                  AND s.model = w.model AND s.version = w.version)"""
+
 ORACLE = {
     "prep_scaled_by_split": PREP_SCALED_BY_SPLIT,
     "confusion_matrix": CONFUSION_MATRIX,
@@ -185,4 +323,17 @@ ORACLE = {
     "roc_auc": ROC_AUC,
     "model_comparison": MODEL_COMPARISON,
     "threshold_tuning": THRESHOLD_TUNING,
+    "contract_violations": CONTRACT_VIOLATIONS,
+    "clean_rows": CLEAN_ROWS,
+    "numeric_coercion": NUMERIC_COERCION,
+    "label_domain_and_empty": LABEL_DOMAIN_AND_EMPTY,
+    "provenance_audit": PROVENANCE_AUDIT,
+    "duplicate_rows": DUPLICATE_ROWS,
+    "dedupe_keep_first": DEDUPE_KEEP_FIRST,
+    "stratified_split_counts": STRATIFIED_SPLIT_COUNTS,
+    "stratified_folds": STRATIFIED_FOLDS,
+    "class_weights_gamma": CLASS_WEIGHTS_GAMMA,
+    "history_report": HISTORY_REPORT,
+    "history_latest": HISTORY_LATEST,
+    "rescore_pending": RESCORE_PENDING,
 }

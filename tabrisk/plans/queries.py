@@ -6,10 +6,17 @@ columns are aliased to the names used by the matching SQL in ``oracle.py``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabrisk.contract import LINEITEM
+from tabrisk.contract import CUSTOMER, LINEITEM, PART, ColumnRule, TableContract
+from tabrisk.functions.expressions import to_number
+from tabrisk.operators import audit as AU
+from tabrisk.operators import validate as V
+from tabrisk.operators.ranking import bottom_k, position_by_key
+from tabrisk.operators.split import split_and_folds
+from tabrisk.plans.datasets import event_history
+from tabrisk.sources.tables import table
 from tabrisk.operators import metrics as M
 from tabrisk.operators.threshold import best_threshold, threshold_curve
 from tabrisk.plans.datasets import event_predictions, event_predictions_folds
@@ -80,6 +87,194 @@ def threshold_tuning(spark, sf_dir):
                                         F.round("cv_accuracy_std", 9).alias("cv_accuracy_std"))
 
 
+# --- validation ---------------------------------------------------------------
+
+def contract_violations(spark, sf_dir):
+    """Per table, column and rule the bad-row count and the
+    first 10 row numbers (customer: negative balances; part: sizes, prices)."""
+    cu = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    pa = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    parts = []
+    for name, df, contract, rid in (("customer", cu, CUSTOMER, "c_custkey"),
+                                    ("part", pa, PART, "p_partkey")):
+        rep = V.violation_report(V.violations(df, contract, rid))
+        parts.append(rep.select(F.lit(name).alias("table_name"), F.col("column").alias("column_name"),
+                                "rule", "n_bad", "first_rows"))
+    return parts[0].unionByName(parts[1])
+
+
+def clean_rows(spark, sf_dir):
+    """Rows with and without a violation, per table (anti / semi join)."""
+    out = []
+    for name, contract, rid, cols in (("customer", CUSTOMER, "c_custkey", ["c_acctbal", "c_nationkey"]),
+                                      ("part", PART, "p_partkey", ["p_size", "p_retailprice"])):
+        df = table(spark, sf_dir, name).select(rid, *cols)
+        good, bad = V.split_valid(df, V.violations(df, contract, rid), rid)
+        out.append(good.select(F.lit(name).alias("table_name"), F.lit(1).alias("valid"))
+                   .unionByName(bad.select(F.lit(name).alias("table_name"), F.lit(0).alias("valid")))
+                   .groupBy("table_name", "valid").agg(F.count(F.lit(1)).alias("n_rows")))
+    return out[0].unionByName(out[1])
+
+
+NUMERIC_TEXT_COLS = {
+    "size_text": "CAST(p_size AS STRING)",
+    "brand_number": "split_part(p_brand, '#', 2)",
+    "brand": "p_brand",
+    "type_word": "p_type",
+    "retail_text": "CAST(p_retailprice AS STRING)",
+}
+
+
+def numeric_coercion(spark, sf_dir):
+    """Text columns made numeric; per column the values that
+    parse, the bad ones (with first row numbers) and the parsed sum."""
+    pa = table(spark, sf_dir, "part").select(
+        "p_partkey", *[F.expr(e).alias(n) for n, e in NUMERIC_TEXT_COLS.items()])
+    contract = TableContract(tuple(ColumnRule(n) for n in NUMERIC_TEXT_COLS), row_id="p_partkey")
+    rep = V.violation_report(V.violations(pa, contract, "p_partkey", text=True))
+    stats = pa.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("column_name"), F.col(n).alias("txt"), to_number(n).alias("num"))
+        for n in NUMERIC_TEXT_COLS]))).groupBy("column_name").agg(
+        F.count("txt").alias("n_values"), F.count("num").alias("n_numeric"),
+        F.round(F.sum("num"), 6).alias("sum_numeric"))
+    return (stats.join(rep.select(F.col("column").alias("column_name"), "n_bad", "first_rows"),
+                       "column_name", "left")
+                 .select("column_name", "n_values", "n_numeric",
+                         F.coalesce("n_bad", F.lit(0)).cast("long").alias("n_bad"),
+                         "sum_numeric", "first_rows"))
+
+
+def label_domain_and_empty(spark, sf_dir):
+    """P7 P8 P11 P18 on labels: empty columns, label domain, row count =
+    distinct keys; one row per rule and column with passed 0/1."""
+    lb = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    aggs = [F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_keys")]
+    for c in ("quality", "toxic"):
+        aggs += [F.count(c).alias(f"nn_{c}"),
+                 F.sum(F.when(F.coalesce(~F.col(c).isin(0, 1), F.lit(True)), 1).otherwise(0))
+                  .cast("long").alias(f"bad_{c}")]
+    a = lb.agg(*aggs)
+    def rule(name, col, bad):
+        return F.struct(F.lit(name).alias("rule"), F.lit(col).alias("column_name"),
+                        F.col("n").cast("long").alias("n_checked"), bad.cast("long").alias("n_bad"))
+
+    rows = [rule("row_count", "doc_id", F.abs(F.col("n") - F.col("n_keys")))]
+    for c in ("quality", "toxic"):
+        rows.append(rule("not_empty", c, F.when(F.col(f"nn_{c}") == 0, F.col("n")).otherwise(F.lit(0))))
+        rows.append(rule("label_domain", c, F.col(f"bad_{c}")))
+    return (a.select(F.inline(F.array(*rows)))
+             .withColumn("passed", (F.col("n_bad") == 0).cast("int")))
+
+
+# --- provenance and duplicates -----------------------------------------------------
+
+AUDIT_COLS = ("o_custkey", "o_orderstatus")
+
+
+def provenance_audit(spark, sf_dir):
+    """E17 P10 J2 U3 A13 on orders in key order: original block = first
+    7.68 % of rows, copy block = up to 10 % (the reference's 768 / 1000 of
+    10000); expected rows = distinct keys."""
+    od = table(spark, sf_dir, "orders").select("o_orderkey", *AUDIT_COLS)
+    n, n_keys = od.agg(F.count(F.lit(1)), F.countDistinct("o_orderkey")).first()
+    pos = position_by_key(od, "o_orderkey")
+    return AU.provenance_audit(pos, "position", list(AUDIT_COLS),
+                               n * 768 // 10000, n * 1000 // 10000, n_keys)
+
+
+def duplicate_rows(spark, sf_dir):
+    """Repeats on a column subset, per table."""
+    li = AU.duplicate_stats(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+    od = AU.duplicate_stats(table(spark, sf_dir, "orders"), list(AUDIT_COLS))
+    return (li.select(F.lit("lineitem").alias("table_name"), "*")
+              .unionByName(od.select(F.lit("orders").alias("table_name"), "*")))
+
+
+def dedupe_keep_first(spark, sf_dir):
+    """U4: first order (smallest key) of every (customer, status)."""
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", *AUDIT_COLS)
+    return AU.keep_first(od, list(AUDIT_COLS), "o_orderkey")
+
+
+# --- split and folds ----------------------------------------------------------------
+
+def stratified_split_counts(spark, sf_dir):
+    """Test / train rows per order status."""
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    sp = stratified_split(od, "o_orderstatus", ["o_orderkey"])
+    return sp.groupBy("split", "o_orderstatus").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def stratified_folds(spark, sf_dir):
+    """Split and 5 folds for every order."""
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return split_and_folds(od, "o_orderstatus", ["o_orderkey"])
+
+
+def class_weights_gamma(spark, sf_dir):
+    """A23 A24 on the scaled lineitem training rows: balanced class weights
+    n / (2 n_c); gamma 'scale' = 1 / (p var(X)) and 'auto' = 1 / p."""
+    pts = lineitem_patients(spark, sf_dir)
+    split = stratified_split(pts, "label", LINEITEM_KEYS, tiebreak=LINEITEM_TIEBREAK)
+    train = split.where(F.col("split") == "train")
+    feats = LINEITEM.feature_names
+    model = RiskPreprocessor(inputCols=feats, zeroMissingCols=LINEITEM.zero_missing).fit(train)
+    x = model.transform(train).select("label", *feats)
+    p = len(feats)
+    # one number: the variance of every scaled value (partial + final aggregate)
+    var = x.select(F.explode(F.array(*feats)).alias("v")).agg(F.var_pop("v")).first()[0]
+    cls = x.groupBy("label").agg(F.count(F.lit(1)).alias("n_class"))
+    tot = F.sum("n_class").over(Window.partitionBy())     # over one row per class
+    return (cls.withColumn("class_weight", F.round(tot / (2.0 * F.col("n_class")), 9))
+               .select("label", "n_class", "class_weight",
+                       F.round(F.lit(1.0) / (F.lit(float(p)) * F.lit(var)), 9).alias("gamma_scale"),
+                       F.lit(1.0 / p).alias("gamma_auto")))
+
+
+# --- history --------------------------------------------------------------------------
+
+HISTORY_MODELS = ("ANN", "SVM")
+
+
+def history_report(spark, sf_dir):
+    """History of the selected models, counts by model and
+    risk label with mean percent and first / last time."""
+    h = event_history(spark, sf_dir).where(F.col("model").isin(*HISTORY_MODELS))
+    return h.groupBy("model", "prediction").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("probability"), 6).alias("avg_probability"),
+        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+
+
+def history_latest(spark, sf_dir):
+    """The 10 newest predictions of each model (newest first,
+    ties by row id) -- a top-k report, salted so a hot model is split."""
+    h = event_history(spark, sf_dir)
+    top = bottom_k(h, ["model"], [F.col("timestamp").desc(), F.col("row_id").desc()], 10,
+                   salt_by=["row_id"], out="recency")
+    return top.select("model", "recency", "row_id", "timestamp", "probability", "prediction")
+
+
+def rescore_pending(spark, sf_dir):
+    """(document, model) pairs whose content hash was not scored
+    by the model's current version.  Labeled documents were scored by every
+    model at v1; SVM is now v2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    labeled = table(spark, sf_dir, "labels").select("doc_id")
+    reg = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(v).alias("version"))
+                    for m, v in MODEL_VERSIONS.items()])
+    scored = (docs.join(labeled, "doc_id", "left_semi")
+                  .select("content_hash", F.inline(F.array(*[
+                      F.struct(F.lit(m).alias("model"), F.lit("v1").alias("version"))
+                      for m in MODEL_VERSIONS])))
+                  .distinct())
+    wanted = docs.select("doc_id", "content_hash", F.inline(reg))
+    return wanted.join(scored, ["content_hash", "model", "version"], "left_anti") \
+                 .select("doc_id", "model", "version", "content_hash")
+
+
+MODEL_VERSIONS = {"ANN": "v1", "KNN": "v1", "SVM": "v2"}
+
+
 QUERIES = {
     "prep_scaled_by_split": prep_scaled_by_split,
     "confusion_matrix": confusion_matrix,
@@ -90,4 +285,17 @@ QUERIES = {
     "roc_auc": roc_auc,
     "model_comparison": model_comparison,
     "threshold_tuning": threshold_tuning,
+    "contract_violations": contract_violations,
+    "clean_rows": clean_rows,
+    "numeric_coercion": numeric_coercion,
+    "label_domain_and_empty": label_domain_and_empty,
+    "provenance_audit": provenance_audit,
+    "duplicate_rows": duplicate_rows,
+    "dedupe_keep_first": dedupe_keep_first,
+    "stratified_split_counts": stratified_split_counts,
+    "stratified_folds": stratified_folds,
+    "class_weights_gamma": class_weights_gamma,
+    "history_report": history_report,
+    "history_latest": history_latest,
+    "rescore_pending": rescore_pending,
 }
