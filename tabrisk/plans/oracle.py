@@ -337,3 +337,7 @@ ORACLE = {
     "history_latest": HISTORY_LATEST,
     "rescore_pending": RESCORE_PENDING,
 }
+
+from tabrisk.plans.knn_oracle import KNN_ORACLE  # noqa: E402
+
+ORACLE.update(KNN_ORACLE)

@@ -299,3 +299,7 @@ QUERIES = {
     "history_latest": history_latest,
     "rescore_pending": rescore_pending,
 }
+
+from tabrisk.plans.knn_queries import KNN_QUERIES  # noqa: E402
+
+QUERIES.update(KNN_QUERIES)
