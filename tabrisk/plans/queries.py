@@ -303,3 +303,7 @@ QUERIES = {
 from tabrisk.plans.knn_queries import KNN_QUERIES  # noqa: E402
 
 QUERIES.update(KNN_QUERIES)
+
+from tabrisk.plans.model_queries import MODEL_QUERIES  # noqa: E402
+
+QUERIES.update(MODEL_QUERIES)

@@ -68,3 +68,26 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def right_size(df, n_rows: int, rows_per_partition: int = 200_000):
+    """Coalesce a (cached) training frame to about ``rows_per_partition`` rows
+    per partition.  Iterative fits run one job per iteration; with a few
+    hundred rows spread over many partitions the task overhead dominates.
+    At cluster scale the row count keeps every partition in use."""
+    import math
+    target = max(1, math.ceil(n_rows / rows_per_partition))
+    if target < df.rdd.getNumPartitions():
+        return df.coalesce(target)
+    return df
+
+
+def run_parallel(fn, items, parallelism: int = 5):
+    """Submit independent Spark jobs from a few driver threads (what
+    CrossValidator(parallelism=n) does), e.g. one fit per fold."""
+    from concurrent.futures import ThreadPoolExecutor
+    items = list(items)
+    if len(items) <= 1 or parallelism <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(items))) as ex:
+        return list(ex.map(fn, items))
