@@ -45,12 +45,9 @@ def typed(df: DataFrame, contract: TableContract, text: bool) -> DataFrame:
     return df.select(*keep, *conv)
 
 
-def violations(df: DataFrame, contract: TableContract, row_id: str,
-               text: bool = False, ranges: bool = True) -> DataFrame:
-    """(row_id, column, rule, value) for every bad cell, in one pass.
-
-    rules: ``non_numeric`` (text that does not parse, P4), ``range`` (outside
-    the closed range, nulls pass, P5), ``whole_number`` (P6)."""
+def violation_array(contract: TableContract, text: bool = False, ranges: bool = True):
+    """Array of (column, rule, value) structs for the bad cells of a row:
+    a pure column expression (works on streaming frames)."""
     checks = []
     for r in contract.features:
         raw = F.col(r.name)
@@ -72,7 +69,21 @@ def violations(df: DataFrame, contract: TableContract, row_id: str,
             checks.append(item(num.isNotNull() & out, "range"))
         if r.whole_number:
             checks.append(item(num.isNotNull() & (num % 1 != 0), "whole_number"))
-    arr = F.filter(F.array(*checks), lambda x: x.isNotNull())
+    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+
+
+def is_valid_row(contract: TableContract, text: bool = False, ranges: bool = True):
+    """True when a row breaks no value rule (no join needed)."""
+    return F.size(violation_array(contract, text, ranges)) == 0
+
+
+def violations(df: DataFrame, contract: TableContract, row_id: str,
+               text: bool = False, ranges: bool = True) -> DataFrame:
+    """(row_id, column, rule, value) for every bad cell, in one pass.
+
+    rules: ``non_numeric`` (text that does not parse, P4), ``range`` (outside
+    the closed range, nulls pass, P5), ``whole_number`` (P6)."""
+    arr = violation_array(contract, text, ranges)
     return df.select(F.col(row_id).alias("row_id"), F.explode(arr).alias("v")).select("row_id", "v.*")
 
 

@@ -313,6 +313,20 @@ SELECT doc_id, model, version, content_hash FROM wanted w
 WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.content_hash = w.content_hash
                   AND s.model = w.model AND s.version = w.version)"""
 
+from tabrisk.plans.datasets import RULE_MODELS  # noqa: E402
+
+SCORE_BATCH_LONG = f"""WITH p AS ({predictions_sql()}),
+pos AS (SELECT event_id AS row_id, row_number() OVER (ORDER BY event_id) AS row_number FROM events)
+SELECT row_number, row_id, model, prediction,
+       CASE WHEN prediction = 1 THEN 'High Risk' ELSE 'Low Risk' END AS risk,
+       round(probability, 9) AS probability, round(probability * 100, 2) AS percent
+FROM p JOIN pos USING (row_id)"""
+
+SCORE_BATCH_WIDE = "SELECT row_number() OVER (ORDER BY event_id) AS row_number, event_id, user_id, value, " + ", ".join(
+    f"CASE WHEN {pred} = 1 THEN 'High Risk' ELSE 'Low Risk' END AS {name.lower()}_risk, "
+    + (f"round(CAST({prob} AS DOUBLE) * 100, 2)" if prob else "CAST(NULL AS DOUBLE)") + f" AS {name.lower()}_percent"
+    for name, (prob, pred) in RULE_MODELS.items()) + " FROM events"
+
 ORACLE = {
     "prep_scaled_by_split": PREP_SCALED_BY_SPLIT,
     "confusion_matrix": CONFUSION_MATRIX,
@@ -336,6 +350,8 @@ ORACLE = {
     "history_report": HISTORY_REPORT,
     "history_latest": HISTORY_LATEST,
     "rescore_pending": RESCORE_PENDING,
+    "score_batch_long": SCORE_BATCH_LONG,
+    "score_batch_wide": SCORE_BATCH_WIDE,
 }
 
 from tabrisk.plans.knn_oracle import KNN_ORACLE  # noqa: E402

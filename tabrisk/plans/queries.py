@@ -275,6 +275,36 @@ def rescore_pending(spark, sf_dir):
 MODEL_VERSIONS = {"ANN": "v1", "KNN": "v1", "SVM": "v2"}
 
 
+def score_batch_long(spark, sf_dir):
+    """Every event scored by every model, long form:
+    display number in upload (key) order, class, risk label, probability
+    (null for a model without one) and percent."""
+    from tabrisk.functions.expressions import risk_label
+    p = event_predictions(spark, sf_dir)
+    pos = position_by_key(table(spark, sf_dir, "events").select("event_id"), "event_id", out="row_number")
+    return (p.join(pos.withColumnRenamed("event_id", "row_id"), "row_id")
+             .select("row_number", "row_id", "model", "prediction", risk_label("prediction").alias("risk"),
+                     F.round("probability", 9).alias("probability"),
+                     F.round(F.col("probability") * 100, 2).alias("percent")))
+
+
+def score_batch_wide(spark, sf_dir):
+    """E13 wide form: one row per event with its inputs and, per model, the
+    risk label and percent (columns, no pivot shuffle: the models are
+    column expressions on the same scan)."""
+    from tabrisk.functions.expressions import risk_label
+    from tabrisk.plans.datasets import RULE_MODELS
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    cols = []
+    for name, (prob, pred) in RULE_MODELS.items():
+        n = name.lower()
+        cols.append(risk_label(F.expr(pred)).alias(f"{n}_risk"))
+        pe = F.round(F.expr(prob).cast("double") * 100, 2) if prob else F.lit(None).cast("double")
+        cols.append(pe.alias(f"{n}_percent"))
+    pos = position_by_key(ev, "event_id", out="row_number")
+    return pos.select("row_number", "event_id", "user_id", "value", *cols)
+
+
 QUERIES = {
     "prep_scaled_by_split": prep_scaled_by_split,
     "confusion_matrix": confusion_matrix,
@@ -298,6 +328,8 @@ QUERIES = {
     "history_report": history_report,
     "history_latest": history_latest,
     "rescore_pending": rescore_pending,
+    "score_batch_long": score_batch_long,
+    "score_batch_wide": score_batch_wide,
 }
 
 from tabrisk.plans.knn_queries import KNN_QUERIES  # noqa: E402
