@@ -211,8 +211,9 @@ def saved_model_check(spark, sf_dir):
     m.pipeline.write().overwrite().save(f"{root}/svm")
     prep2 = RiskPreprocessorModel.load(f"{root}/preprocessor")
     m2 = type(m)(m.name, PipelineModel.load(f"{root}/svm"), m.kind, m.platt)
-    raw_test = test.select("vec_id", "label", *[F.col(c) for c in FEATS])
-    a = m.score(raw_test).select("vec_id", F.col("svm_prediction").alias("a"))
+    raw_test = (split_and_folds(embed8(spark, sf_dir), "label", ["vec_id"])
+                .where(F.col("split") == "test").select("vec_id", "label", *FEATS))
+    a = m.score(prep.transform(raw_test)).select("vec_id", F.col("svm_prediction").alias("a"))
     b = m2.score(prep2.transform(raw_test)).select("vec_id", F.col("svm_prediction").alias("b"))
     j = a.join(b, "vec_id")
     return j.agg(F.count(F.lit(1)).alias("rows_scored"),
