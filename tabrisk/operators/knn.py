@@ -28,6 +28,7 @@ probability = weight share of class 1.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +97,10 @@ def neighbours(train: DataFrame, query: DataFrame, k: int, metric: str = "euclid
 
     tr = train.select(F.col(tid).alias("_tid"), *tv, F.col(label).cast("int").alias("t_label"), *same_on,
                       *([F.col(differ_on).alias("_tf")] if differ_on else []))
+    # the projected sides feed the count, pivot, ring bounds and both
+    # phases: keep them (spilling to disk if needed) until the neighbour
+    # table, k rows per query, is built; then release them
+    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
     n_train = tr.count()
     if not n_train:
         return spark.createDataFrame([], "tid long, dist double, t_label int, rank int")
@@ -114,11 +119,11 @@ def neighbours(train: DataFrame, query: DataFrame, k: int, metric: str = "euclid
         bounds = sorted(set(float(b) for b in bounds))
     else:
         bounds = []
-    tr = tr.withColumn("_ring", _ring_of(F.col("_tr"), bounds))
+    tr = tr.withColumn("_ring", _ring_of(F.col("_tr"), bounds)).persist(StorageLevel.MEMORY_AND_DISK)
     qr = query.select(*qkeys, *qv, *[c for c in same_on if c not in qkeys],
                       *([F.col(differ_on).alias("_qf")] if differ_on else []))
     qr = qr.withColumn("_qr", dist("q", pivot))
-    qr = qr.withColumn("_ring", _ring_of(F.col("_qr"), bounds))
+    qr = qr.withColumn("_ring", _ring_of(F.col("_qr"), bounds)).persist(StorageLevel.MEMORY_AND_DISK)
     keys = qkeys + [c for c in same_on if c not in qkeys]
 
     def pairs(q: DataFrame) -> DataFrame:
@@ -140,7 +145,12 @@ def neighbours(train: DataFrame, query: DataFrame, k: int, metric: str = "euclid
     cand = pairs(q2).where(F.col("dist") <= F.col("_R"))
     best = bottom_k(cand.select(*keys, "_tid", "dist", "t_label"), keys, ["dist", "_tid"], k,
                     salt_by=["_tid"], out="rank")
-    return best.select(*keys, F.col("_tid").alias(tid), "dist", "t_label", "rank")
+    out = best.select(*keys, F.col("_tid").alias(tid), "dist", "t_label", "rank") \
+              .persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    tr.unpersist()
+    qr.unpersist()
+    return out
 
 
 def vote(nb: DataFrame, k: int, weights: str = "uniform", keys: tuple[str, ...] = ("qid",)) -> DataFrame:

@@ -12,7 +12,7 @@ transform = zero -> null, fill with the median (F1), scale to 0-1 and clip
 
 from __future__ import annotations
 
-from pyspark import keyword_only
+from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -56,14 +56,20 @@ class RiskPreprocessor(Estimator, _PrepParams, DefaultParamsReadable, DefaultPar
     def _fit(self, df: DataFrame) -> "RiskPreprocessorModel":
         cols = self.getInputCols()
         zero = set(self.getZeroMissingCols())
+        # The fit makes 2-3 passes (count/min/max, median bins, final pick);
+        # only the narrow feature projection is kept between them, spilling
+        # to executor disk when it does not fit, and released afterwards.
         clean = df.select(*[(zero_to_null(c) if c in zero else F.col(c).cast("double")).alias(c)
-                            for c in cols])
-        stats = column_stats(clean, cols)
-        empty = [c for c in cols if not stats[c][0]]
-        if empty:
-            # checked after zero replacement: an all-zero flagged column is empty too
-            raise ValueError("completely empty features: " + ", ".join(empty))
-        med = exact_medians(clean, cols, stats)
+                            for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            stats = column_stats(clean, cols)
+            empty = [c for c in cols if not stats[c][0]]
+            if empty:
+                # checked after zero replacement: an all-zero flagged column is empty too
+                raise ValueError("completely empty features: " + ", ".join(empty))
+            med = exact_medians(clean, cols, stats)
+        finally:
+            clean.unpersist()
         model = RiskPreprocessorModel(
             inputCols=cols, zeroMissingCols=sorted(zero), outputSuffix=self.getOutputSuffix(),
             medians=[med[c] for c in cols], mins=[stats[c][1] for c in cols],

@@ -45,11 +45,15 @@ def knn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """15 nearest training vectors (64 dims, Euclidean) of every
     test vector; class by uniform vote, probability = share of class 1."""
     em = embed_full(spark, sf_dir)
+    dims = em.select(F.max(F.size("vec"))).first()[0]
+    cols = [f"d{i}" for i in range(dims)]
+    em = em.select("vec_id", "label", *[F.col("vec")[i].alias(c) for i, c in enumerate(cols)])
     sp = stratified_split(em, "label", ["vec_id"])
-    train = sp.where(F.col("split") == "train").select(F.col("vec_id").alias("tid"), "vec", "label")
+    train = sp.where(F.col("split") == "train").select(F.col("vec_id").alias("tid"), "label", *cols)
     test = sp.where(F.col("split") == "test").select(F.col("vec_id").alias("qid"),
-                                                     F.col("label").alias("actual"), "vec")
-    nb = neighbours(train, test, DEFAULT_K, "euclidean", qkeys=("qid", "actual"))
+                                                     F.col("label").alias("actual"), *cols)
+    # the vector as columns: the distance is plain arithmetic that codegen compiles
+    nb = neighbours(train, test, DEFAULT_K, "euclidean", qkeys=("qid", "actual"), vec=cols)
     v = vote(nb, DEFAULT_K, "uniform", keys=("qid", "actual"))
     return v.select(F.col("qid").alias("vec_id"), "actual", "prediction",
                     F.round("probability", 9).alias("probability"))
