@@ -45,6 +45,20 @@ def class_quotas(class_counts: DataFrame, label: str, n_col: str = "n_class",
     return q.select(label, n_col, "quota")
 
 
+def quota_table(counts: dict, test_percent: int = TEST_PERCENT) -> dict:
+    """The same largest-remainder rule on the driver for a {class: count}
+    dict (one entry per class, so bounded): exact Python integers."""
+    n = sum(counts.values())
+    n_test = (n * test_percent + 99) // 100
+    if n == 0:
+        return {c: 0 for c in counts}
+    base = {c: (n_test * k) // n for c, k in counts.items()}
+    rem = {c: (n_test * k) % n for c, k in counts.items()}
+    left = n_test - sum(base.values())
+    order = sorted(counts, key=lambda c: (-rem[c], c))
+    return {c: base[c] + (1 if i < left else 0) for i, c in enumerate(order)}
+
+
 def _hashed(df: DataFrame, key_cols: Sequence[str], seed: int) -> DataFrame:
     h = hash_key(seed, *key_cols)
     return df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
@@ -59,13 +73,17 @@ def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str],
     where its quota ends (a table with one row per class) -> rows before that
     bucket are test, after it train; only rows of that bucket are ranked."""
     base = _hashed(df, key_cols, seed)
+    spark = df.sparkSession
+    # class sizes: one small aggregate, one row per class on the driver
+    counts = {r[0]: r[1] for r in base.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    quotas = quota_table(counts, test_percent)
+    qdf = spark.createDataFrame([(c, q) for c, q in quotas.items()],
+                                base.select(label).schema.add("quota", "long"))
     per_bucket = base.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    quotas = class_quotas(per_bucket.groupBy(label).agg(F.sum("_cnt").alias("n_class")),
-                          label, test_percent=test_percent)
     w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cut = (per_bucket
            .withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-           .join(quotas, label)
+           .join(F.broadcast(qdf), label)
            .where((F.col("_before") < F.col("quota"))
                   & (F.col("quota") <= F.col("_before") + F.col("_cnt")))
            .select(label, F.col("_b").alias("_cut_b"),
@@ -73,7 +91,6 @@ def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str],
     # One row per class, fetched once so later passes over the split (fit,
     # transform) do not re-run the bucket aggregate; the broadcast is the
     # number of classes.
-    spark = df.sparkSession
     cut = spark.createDataFrame(cut.collect(), cut.schema)
     j = base.join(F.broadcast(cut), label, "left")
     decided = (j.where(F.col("_cut_b").isNull() | (F.col("_b") != F.col("_cut_b")))
