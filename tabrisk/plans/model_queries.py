@@ -222,6 +222,61 @@ def saved_model_check(spark, sf_dir):
         (F.col("rows_scored") == F.col("same_predictions")).cast("int").alias("passed"))
 
 
+# --- Fixed values: the search grids of the SVM (linear block) and the MLP ---
+SVM_LINEAR_GRID = [{"kernel": ["linear"],
+                    "C": [0.001, 0.003, 0.01, 0.03, 0.05, 0.1, 0.3, 0.5, 1, 3, 10],
+                    "class_weight": [None, "balanced"]}]
+SVM_RBF_GRID = [{"kernel": ["rbf"],
+                 "C": [0.05, 0.1, 0.3, 0.5, 1, 2, 3, 5, 10, 30, 100],
+                 "gamma": ["scale", "auto", 0.001, 0.003, 0.005, 0.01, 0.03, 0.05, 0.1, 0.3],
+                 "class_weight": [None, "balanced"]}]
+MLP_LAYER_SHAPES = [(16,), (32,), (16, 8), (32, 16), (64, 32)]
+# ---------------------------------------------------------------------------
+
+
+def _accuracy(scored: DataFrame, name: str) -> float:
+    c = name.lower()
+    return scored.agg(F.avg((F.col(f"{c}_prediction") == F.col("label")).cast("double"))).first()[0]
+
+
+def _svm_fit_score(fit_rows: DataFrame, held: DataFrame, p: dict) -> float:
+    gamma = None
+    if p["kernel"] == "rbf":
+        g = p["gamma"]
+        gamma = gamma_scale(fit_rows, FEATS) if g == "scale" else (1.0 / len(FEATS) if g == "auto" else g)
+    m = fit_svm(fit_rows, FEATS, "SVM", C=float(p["C"]), kernel=p["kernel"], gamma=gamma,
+                balanced=p.get("class_weight") == "balanced", calibrate=False)
+    return _accuracy(m.score(held), "SVM")
+
+
+def svm_grid(spark, sf_dir, grid=SVM_LINEAR_GRID):
+    """E4 A10 A19 for the SVM: 5-fold CV accuracy of every parameter set of
+    the linear block (C x class weight), preprocessing refit per fold.  The
+    rbf block (``SVM_RBF_GRID``, 220 sets) runs through the same call."""
+    from tabrisk.operators.tune import cv_grid, expand_grid, fold_tables
+    from tabrisk.plans.knn_queries import FEATS as F8
+    em = embed8(spark, sf_dir)
+    train = split_and_folds(em, "label", ["vec_id"]).where(F.col("split") == "train")
+    folds = fold_tables(train, F8)
+    return cv_grid(folds, expand_grid(grid), _svm_fit_score).withColumn("model", F.lit("SVM"))
+
+
+def mlp_grid(spark, sf_dir):
+    """E4 for the MLP over the hidden-layer shapes of the reference grid.
+    The built-in MLP has no activation / L2 / Adam-rate options, so those
+    grid axes have no counterpart here."""
+    from tabrisk.operators.tune import cv_grid, fold_tables
+    em = embed8(spark, sf_dir)
+    train = split_and_folds(em, "label", ["vec_id"]).where(F.col("split") == "train")
+    folds = fold_tables(train, FEATS)
+    grid = [{"hidden_layer_sizes": list(h)} for h in MLP_LAYER_SHAPES]
+
+    def fit_score(fit_rows, held, p):
+        return _accuracy(fit_mlp(fit_rows, FEATS, "ANN", hidden=tuple(p["hidden_layer_sizes"])).score(held), "ANN")
+
+    return cv_grid(folds, grid, fit_score).withColumn("model", F.lit("ANN"))
+
+
 MODEL_QUERIES = {
     "svm_linear_predict": svm_linear_predict,
     "svm_rbf_predict": svm_rbf_predict,
@@ -232,4 +287,6 @@ MODEL_QUERIES = {
     "importance_ranked": importance_ranked,
     "ablation_all_models": ablation_all_models,
     "saved_model_check": saved_model_check,
+    "svm_grid": svm_grid,
+    "mlp_grid": mlp_grid,
 }
