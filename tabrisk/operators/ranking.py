@@ -22,6 +22,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rows a (key, bucket) window may hold at most at scale: a sort of this size
+# fits one task's memory budget; more rows mean more buckets.
+ROWS_PER_BUCKET = 1 << 20
+MIN_BUCKETS = 256
+
 
 def _cols(cs):
     return [F.col(c) if isinstance(c, str) else c for c in cs]
@@ -107,13 +112,16 @@ def bottom_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
 
 
 def position_by_key(df: DataFrame, key: str, out: str = "position",
-                    target_buckets: int = 16384) -> DataFrame:
+                    target_buckets: int | None = None) -> DataFrame:
     """1-based position of each row in ``key`` order over the whole table
     (W1 for keyed tables).  Buckets are equal key ranges sized from the key's
-    min / max so their number stays near ``target_buckets`` at any scale."""
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    min / max; their number grows with the row count (about
+    ``ROWS_PER_BUCKET`` rows each, at least ``MIN_BUCKETS``)."""
+    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
     if lo is None:
         return df.withColumn(out, F.lit(None).cast("long"))
+    if target_buckets is None:
+        target_buckets = max(MIN_BUCKETS, -(-n // ROWS_PER_BUCKET))
     width = max(1, -(-(int(hi) - int(lo) + 1) // target_buckets))
     b = df.withColumn("_pb", F.floor((F.col(key) - F.lit(int(lo))) / F.lit(width)).cast("long"))
     return bucketed_row_number(b, [], "_pb", [key], out=out).drop("_pb")

@@ -6,7 +6,8 @@ a class in hash order are the test rows.  The same rule is one window in SQL,
 so every split here can be checked against DuckDB.
 
 Scale: a class may hold a third of all rows, so no step ranks a whole class in
-one task.  The split ranks only the rows of the one hash bucket (out of 16^4)
+one task.  The split ranks only the rows of the one hash bucket (a hash prefix sized by
+bucket_digits)
 where a class's quota ends; the folds use bucket offsets (ranking.py).
 """
 
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 
 from tabrisk.contract import N_FOLDS, RANDOM_STATE, TEST_PERCENT
 from tabrisk.functions.expressions import hash_key
-from tabrisk.operators.ranking import bucketed_row_number
+from tabrisk.operators.ranking import ROWS_PER_BUCKET, bucketed_row_number
 
-BUCKET_DIGITS = 4
+MIN_DIGITS, MAX_DIGITS = 2, 8
 
 
 def class_quotas(class_counts: DataFrame, label: str, n_col: str = "n_class",
@@ -59,9 +60,29 @@ def quota_table(counts: dict, test_percent: int = TEST_PERCENT) -> dict:
     return {c: base[c] + (1 if i < left else 0) for i, c in enumerate(order)}
 
 
+def bucket_digits(largest_class: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Hex digits of the hash prefix used as the bucket: enough that a bucket
+    of the largest class holds about ``rows_per_bucket`` rows (16^d buckets),
+    at least 256 buckets per class for parallelism.  Any prefix length keeps
+    the md5 order, so the result does not depend on it."""
+    d = MIN_DIGITS
+    while d < MAX_DIGITS and largest_class > rows_per_bucket * 16 ** d:
+        d += 1
+    return d
+
+
 def _hashed(df: DataFrame, key_cols: Sequence[str], seed: int) -> DataFrame:
-    h = hash_key(seed, *key_cols)
-    return df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
+    return df.withColumn("_h", hash_key(seed, *key_cols))
+
+
+def _class_counts(base: DataFrame, label: str) -> dict:
+    """Rows per class: one partial+final aggregate, one row per class."""
+    return {r[0]: r[1] for r in base.groupBy(label).agg(F.count(F.lit(1))).collect()}
+
+
+def _with_bucket(base: DataFrame, counts: dict) -> DataFrame:
+    digits = bucket_digits(max(counts.values(), default=0))
+    return base.withColumn("_b", F.substring("_h", 1, digits))
 
 
 def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str],
@@ -75,7 +96,8 @@ def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str],
     base = _hashed(df, key_cols, seed)
     spark = df.sparkSession
     # class sizes: one small aggregate, one row per class on the driver
-    counts = {r[0]: r[1] for r in base.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    counts = _class_counts(base, label)
+    base = _with_bucket(base, counts)
     quotas = quota_table(counts, test_percent)
     qdf = spark.createDataFrame([(c, q) for c, q in quotas.items()],
                                 base.select(label).schema.add("quota", "long"))
@@ -113,10 +135,14 @@ def split_and_folds(df: DataFrame, label: str, key_cols: Sequence[str],
     folds in that order, so each fold keeps the class shares.  Test rows get
     fold null.  One shuffle on (class, hash bucket)."""
     base = _hashed(df, key_cols, seed)
-    quotas = class_quotas(base.groupBy(label).agg(F.count(F.lit(1)).alias("n_class")),
-                          label, test_percent=test_percent)
+    counts = _class_counts(base, label)
+    base = _with_bucket(base, counts)
+    # exact integer quotas on the driver, one row per class
+    quotas = df.sparkSession.createDataFrame(
+        [(c, q) for c, q in quota_table(counts, test_percent).items()],
+        base.select(label).schema.add("quota", "long"))
     ranked = bucketed_row_number(base, [label], "_b", ["_h", *tiebreak], out="_rank")
-    return (ranked.join(F.broadcast(quotas.select(label, "quota")), label)
+    return (ranked.join(F.broadcast(quotas), label)
                   .withColumn("split", F.when(F.col("_rank") <= F.col("quota"), F.lit("test"))
                               .otherwise(F.lit("train")))
                   .withColumn("fold", F.when(F.col("split") == "train",
