@@ -339,3 +339,7 @@ QUERIES.update(KNN_QUERIES)
 from tabrisk.plans.model_queries import MODEL_QUERIES  # noqa: E402
 
 QUERIES.update(MODEL_QUERIES)
+
+from tabrisk.plans.mlp_queries import MLP_QUERIES  # noqa: E402
+
+QUERIES.update(MLP_QUERIES)
