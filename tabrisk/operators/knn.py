@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from tabrisk.operators.ranking import bottom_k
 
 MAX_RINGS = 1024
+FLAT_RING_BOUNDS = 64
 
 
 def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
@@ -62,9 +63,28 @@ def distance_cols(a: list[Column], b: list[Column], metric: str = "euclidean") -
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def _ring_of(x: Column, bounds: list[float]) -> Column:
-    arr = F.array(*[F.lit(float(v)) for v in bounds]) if bounds else F.array().cast("array<double>")
-    return F.size(F.filter(arr, lambda b: b < x))
+def _with_ring(df: DataFrame, x: str, bounds: list[float], out: str = "_ring") -> DataFrame:
+    """``out`` = number of ring bounds below ``x`` (the ring id).  Up to
+    ``FLAT_RING_BOUNDS`` bounds: a sum of comparisons; beyond: binary search
+    over the sorted bounds, about log2(rings) compare steps.  Both are plain
+    expressions inside whole-stage codegen (a ``filter`` lambda over all
+    bounds would be evaluated interpreted, once per bound and row)."""
+    m = len(bounds)
+    if m <= FLAT_RING_BOUNDS:
+        # few rings: one sum of comparisons, a single codegen'd expression
+        cnt = F.lit(0)
+        for b in bounds:
+            cnt = cnt + (F.col(x) > F.lit(float(b))).cast("int")
+        return df.withColumn(out, cnt)
+    df = df.withColumn(out, F.lit(0))
+    arr = F.array(*[F.lit(float(v)) for v in bounds])
+    step = 1 << (m.bit_length() - 1)
+    while step:
+        nxt = F.col(out) + F.lit(step)
+        df = df.withColumn(out, F.when((nxt <= m) & (F.element_at(arr, nxt) < F.col(x)), nxt)
+                                 .otherwise(F.col(out)))
+        step //= 2
+    return df
 
 
 def neighbours(train: DataFrame, query: DataFrame, k: int, metric: str = "euclidean",
@@ -119,11 +139,11 @@ def neighbours(train: DataFrame, query: DataFrame, k: int, metric: str = "euclid
         bounds = sorted(set(float(b) for b in bounds))
     else:
         bounds = []
-    tr = tr.withColumn("_ring", _ring_of(F.col("_tr"), bounds)).persist(StorageLevel.MEMORY_AND_DISK)
+    tr = _with_ring(tr, "_tr", bounds).persist(StorageLevel.MEMORY_AND_DISK)
     qr = query.select(*qkeys, *qv, *[c for c in same_on if c not in qkeys],
                       *([F.col(differ_on).alias("_qf")] if differ_on else []))
     qr = qr.withColumn("_qr", dist("q", pivot))
-    qr = qr.withColumn("_ring", _ring_of(F.col("_qr"), bounds)).persist(StorageLevel.MEMORY_AND_DISK)
+    qr = _with_ring(qr, "_qr", bounds).persist(StorageLevel.MEMORY_AND_DISK)
     keys = qkeys + [c for c in same_on if c not in qkeys]
 
     def pairs(q: DataFrame) -> DataFrame:
@@ -138,9 +158,9 @@ def neighbours(train: DataFrame, query: DataFrame, k: int, metric: str = "euclid
     radius = first.groupBy(*keys).agg(
         F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("_R"))
     q2 = qr.drop("_ring").join(radius, keys, "left").fillna(float("inf"), ["_R"])
-    lo = _ring_of(F.col("_qr") - F.col("_R"), bounds)
-    hi = _ring_of(F.col("_qr") + F.col("_R"), bounds)
-    q2 = q2.withColumn("_ring", F.explode(F.sequence(lo, hi)))
+    q2 = q2.withColumn("_qlo", F.col("_qr") - F.col("_R")).withColumn("_qhi", F.col("_qr") + F.col("_R"))
+    q2 = _with_ring(_with_ring(q2, "_qlo", bounds, "_lo"), "_qhi", bounds, "_hi")
+    q2 = q2.withColumn("_ring", F.explode(F.sequence("_lo", "_hi"))).drop("_qlo", "_qhi", "_lo", "_hi")
     # phase 2: every ring the radius reaches
     cand = pairs(q2).where(F.col("dist") <= F.col("_R"))
     best = bottom_k(cand.select(*keys, "_tid", "dist", "t_label"), keys, ["dist", "_tid"], k,
