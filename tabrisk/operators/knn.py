@@ -18,7 +18,7 @@ phase 2  each query is exploded to the rings that overlap [r_q - R_q,
 The result is exact (no cap on candidates: a query whose ring is too small
 falls back to every ring), and all pair work is an equi-join on ring ids, so
 it spreads over rings instead of pairing everything with everything.  The
-pivot (one vector) and ring bounds (<= 1024 numbers) are the only things
+pivot (one vector) and ring bounds (< MAX_RINGS numbers) are the only things
 sent to the executors, both of fixed size.
 
 Votes (E6): uniform or 1/distance weights; when a query has neighbours at
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tabrisk.operators.ranking import bottom_k
 
-MAX_RINGS = 1024
+MAX_RINGS = 16384
 FLAT_RING_BOUNDS = 64
 
 
@@ -135,7 +135,8 @@ def neighbours(train: DataFrame, query: DataFrame, k: int, metric: str = "euclid
     tr = tr.withColumn("_tr", dist("t", pivot))
     if n_rings > 1:
         probs = [i / n_rings for i in range(1, n_rings)]
-        bounds = tr.agg(F.percentile_approx("_tr", probs, 10000)).first()[0]    # < 1024 numbers
+        accuracy = max(10000, 4 * n_rings)
+        bounds = tr.agg(F.percentile_approx("_tr", probs, accuracy)).first()[0]  # < MAX_RINGS numbers
         bounds = sorted(set(float(b) for b in bounds))
     else:
         bounds = []

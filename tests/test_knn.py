@@ -64,3 +64,17 @@ def test_zero_distance_takes_all_weight_and_ties_go_to_zero(spark):
     assert u[2] == (0, 0.5)                       # vote tie -> class 0
     g = {(r["qid"], r["k"], r["weights"]): r["prediction"] for r in grid_votes(nb, [1, 3]).collect()}
     assert g[(1, 1, "uniform")] == 1 and g[(1, 3, "uniform")] == 0 and g[(1, 3, "distance")] == 1
+
+
+@pytest.mark.parametrize("n_bounds", [0, 1, 7, 64, 65, 100, 1023])
+def test_ring_ids_count_bounds_below(spark, n_bounds):
+    """Both ring-id forms (sum of comparisons, binary search) equal the
+    number of bounds strictly below the value, ties and infinities included."""
+    from tabrisk.operators.knn import _with_ring
+    rnd = np.random.default_rng(n_bounds)
+    bounds = sorted(set(np.round(rnd.uniform(0, 10, n_bounds), 2).tolist()))
+    xs = np.round(rnd.uniform(-1, 11, 300), 2).tolist() + bounds[:5] + [float("inf"), float("-inf")]
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(xs)], "i int, x double")
+    got = {r["i"]: r["_ring"] for r in _with_ring(df, "x", bounds).collect()}
+    want = np.searchsorted(np.array(bounds), np.array(xs), side="left")
+    assert [got[i] for i in range(len(xs))] == want.tolist()
