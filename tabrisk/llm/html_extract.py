@@ -51,8 +51,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 
-MIN_CHARS = 25
-LEVELS = 5
+#: Characters of a block that passes points; levels that it reaches; points of a sibling that is kept.
+MIN_CHARS, LEVELS, LEAST = 25, 5, 2.0
 
 
 class Page:
@@ -203,7 +203,7 @@ class Page:
             self.linked[own] += linked
             if len(text) < MIN_CHARS or self.name[own] in HEADINGS:
                 continue
-            points = 1 + text.count(",") + min(len(text) / 100, 3.0)
+            points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked / len(text))
             up = self.parent[own] if self.name[own] in LEAVES else own
             for level in range(LEVELS):
                 if up < 0:
@@ -232,7 +232,7 @@ class Page:
                 break
             up = self.parent[up]
         kept = {best}
-        enough = max(10.0, 0.2 * scores[best])
+        enough = max(LEAST, 0.2 * scores[best])
         for n in range(1, len(self.name)):
             if self.parent[n] == self.parent[best] and n != best and self.chars[n]:
                 density = self.linked[n] / self.chars[n]

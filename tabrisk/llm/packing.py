@@ -8,11 +8,13 @@
    column generation: the duals of the restricted program price the lengths, a
    knapsack dynamic program finds the pattern of most value, and it enters the
    basis until none is worth more than its sequence.
-3. Patterns are used floor(x) times each; what rounding leaves is filled
-   greedily from the largest lengths.
+3. Patterns are used floor(x) times each.  What rounding leaves, and the pieces
+   of patterns that would leave much room, are laid end to end in strips and
+   cut where a sequence is full (at a multiple of ``CUT`` tokens).
 4. Pieces are ranked inside their length (count per hash bucket, running
    totals, rank inside the bucket), and rank r of a length takes the r-th slot
-   that the patterns have for it.  Offsets are running sums in a sequence.
+   that the patterns, then the strips, have for it.  Offsets are running sums
+   in a sequence.  A cut piece's CRC is put together from its blocks' CRCs.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEQUENCE = 4096
 STEP = 16
+#: Tokens of a block; a rest may be cut between blocks.
+CUT = 64
+#: Pieces of a strip that the driver lays out (a strip is used many times).
+STRIP = 8192
 END_ID = 2
 #: Words whose ids a Python worker remembers at most.
 CACHE_WORDS = 1 << 21
@@ -138,8 +144,9 @@ def word_ids(path: str) -> WordIds:
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
            sequence: int = SEQUENCE) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens) of each piece: whole
-    sequences from the document's start, then the rest.  No shuffle."""
+    """(id, start, length, ids_crc32, doc_tokens, blocks) of each piece: whole
+    sequences from the document's start, then the rest, with the CRCs of its
+    blocks of ``CUT`` tokens (4 bytes each).  No shuffle."""
     def run(batches):
         made = word_ids(vocabulary)
         for batch in batches:
@@ -152,15 +159,59 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 length = np.minimum(sequence, size[doc] - start)
                 raw = memoryview(ids.astype("<u4")).cast("B")
                 begin = (at[doc] + start) * 4
-                crc = [zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), (begin + length * 4).tolist())]
+                crc, blocks = [], []
+                for a, b in zip(begin.tolist(), (begin + length * 4).tolist()):
+                    crc.append(zlib.crc32(raw[a:b]))
+                    blocks.append(b"" if b - a == 4 * sequence else np.array(
+                        [zlib.crc32(raw[c: min(c + 4 * CUT, b)]) for c in range(a, b, 4 * CUT)], "<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first).take(pa.array(doc)), pa.array(start), pa.array(length),
-                     pa.array(crc, pa.int64()), pa.array(size[doc])],
-                    names=["id", "start", "length", "ids_crc32", "doc_tokens"])
+                     pa.array(crc, pa.int64()), pa.array(size[doc]), pa.array(blocks, pa.binary())],
+                    names=["id", "start", "length", "ids_crc32", "doc_tokens", "blocks"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+        run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, blocks binary")
+
+
+def zeros_operator(size: int) -> list[int]:
+    """What ``size`` zero bytes do to a CRC-32 register, bit by bit (a linear
+    map), by repeated squaring."""
+    def apply(m, v):
+        out, i = 0, 0
+        while v:
+            if v & 1:
+                out ^= m[i]
+            v, i = v >> 1, i + 1
+        return out
+
+    one_bit = [0xEDB88320] + [1 << i for i in range(31)]
+    power = one_bit
+    for _ in range(3):
+        power = [apply(power, x) for x in power]  # one byte
+    total = [1 << i for i in range(32)]
+    while size:
+        if size & 1:
+            total = [apply(power, x) for x in total]
+        power = [apply(power, x) for x in power]
+        size >>= 1
+    return total
+
+
+def joined_crc(parts: np.ndarray, last: int, operators: dict[int, list[int]]) -> int:
+    """CRC-32 of blocks in a row from theirs; all have ``CUT`` tokens but the
+    last, which has ``last``."""
+    total = 0
+    for i, crc in enumerate(parts.tolist()):
+        size = 4 * (last if i == len(parts) - 1 else CUT)
+        if size not in operators:
+            operators[size] = zeros_operator(size)
+        shifted = 0
+        for bit, image in enumerate(operators[size]):
+            if total >> bit & 1:
+                shifted ^= image
+        total = shifted ^ crc
+    return total
 
 
 def best_pattern(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -186,14 +237,15 @@ def best_pattern(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), counts
 
 
-def solve(demand: np.ndarray, room: int, slack: float = 5e-4, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
-    """Patterns and how often each is used, to hold ``demand[i]`` pieces of
-    i + 1 units in sequences of ``room`` units; every piece has one slot.  The
-    linear program ends within ``slack`` of its best value (by the pieces'
-    total size, or by the best pattern's price)."""
+def solve(demand: np.ndarray, room: int, spare: int, slack: float = 5e-4, rounds: int = 4000):
+    """Patterns and how often each is used, for ``demand[i]`` pieces of i + 1
+    units in sequences of ``room`` units, and the pieces left over.  The linear
+    program ends within ``slack`` of its best value (by the pieces' total size,
+    or by the best pattern's price); patterns that leave over ``spare`` units
+    empty are not used."""
     sizes = np.flatnonzero(demand)
     if not len(sizes):
-        return []
+        return [], np.zeros(len(demand), np.int64)
     d = demand[sizes].astype(float)
     n = len(sizes)
     columns = np.diag((room // (sizes + 1)).astype(float))
@@ -229,39 +281,105 @@ def solve(demand: np.ndarray, room: int, slack: float = 5e-4, rounds: int = 4000
     for j in np.argsort(-x, kind="stable"):
         a = np.rint(columns[:, j]).astype(np.int64)
         own = np.flatnonzero(a)
+        if room - (a * (sizes + 1)).sum() > spare:
+            continue
         times = int(min(np.floor(x[j] + 1e-7), (left[sizes[own]] // a[own]).min()))
         if times > 0:
             left[sizes] -= a * times
             full = np.zeros(len(demand), np.int64)
             full[sizes] = a
             used.append((full, times))
-    while left.any():
-        counts, free = np.zeros(len(demand), np.int64), room
-        for i in np.flatnonzero(left)[::-1]:
-            counts[i] = min(left[i], free // (i + 1))
-            free -= counts[i] * (i + 1)
-        own = np.flatnonzero(counts)
-        times = int((left[own] // counts[own]).min())
-        left -= counts * times
-        used.append((counts, times))
-    return used
+    return used, left
 
 
-def slots(patterns: list[tuple[np.ndarray, int]], bins: int):
-    """For each length bin its slots in order, as runs: position of the run's
-    first slot (over all bins), its first sequence, slots per sequence; and the
-    position of each bin's first slot."""
-    runs: list[list[tuple[int, int, int]]] = [[] for _ in range(bins)]
+def lay_strip(counts: np.ndarray, room: int, unit: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Lay ``counts[i]`` pieces of i + 1 units into sequences of ``room`` units,
+    cutting a piece at a multiple of ``unit`` units where the next does not
+    fit.  Returns (length bin, number of the piece in its bin, first unit, end
+    unit or -1 for the piece's end, sequence) and the number of sequences."""
+    left, out = counts.copy(), []
+    rest = None  # the piece that the last sequence cut: bin, number, first unit
     sequence = 0
-    for counts, times in patterns:
-        for i in np.flatnonzero(counts):
-            runs[i].append((int(counts[i]) * times, sequence, int(counts[i])))
-        sequence += times
-    total = [sum(x[0] for x in r) for r in runs]
-    base = np.cumsum([0, *total])[:-1]
-    flat = [x for r in runs for x in r]
-    size = np.array([x[0] for x in flat], np.int64)
-    return np.cumsum(size) - size, np.array([x[1] for x in flat], np.int64), np.array([x[2] for x in flat], np.int64), base
+    while rest or left.any():
+        free = room
+        if rest:
+            i, k, begin = rest
+            out.append((i, k, begin, -1, sequence))
+            free -= i + 1 - begin
+            rest = None
+        for i in np.flatnonzero(left[:free])[::-1] if free else ():
+            for _ in range(min(int(left[i]), free // (int(i) + 1))):
+                left[i] -= 1
+                free -= int(i) + 1
+                out.append((int(i), int(left[i]), 0, -1, sequence))
+        cut = free // unit * unit
+        larger = np.flatnonzero(left[cut:]) + cut
+        if cut and len(larger):
+            i = int(larger[0])
+            left[i] -= 1
+            out.append((i, int(left[i]), 0, cut, sequence))
+            rest = (i, int(left[i]), cut)
+        sequence += 1
+    return out, sequence
+
+
+def strips(left: np.ndarray, room: int, unit: int, size: int = STRIP):
+    """Strips that use up ``left``: (pieces of each bin in a strip, its layout,
+    its sequences, how often it is used).  The first are used many times, so
+    that the layout is bounded whatever the number of pieces."""
+    left, out = left.copy(), []
+    while left.any():
+        times = max(1, int(left.sum()) // size)
+        counts = left // times
+        layout, sequences = lay_strip(counts, room, unit)
+        out.append((counts, layout, sequences, times))
+        left -= counts * times
+    return out
+
+
+class Plan:
+    """Where the r-th piece of each length bin goes."""
+
+    def __init__(self, demand: np.ndarray, room: int, unit: int):
+        used, left = solve(demand, room, spare=unit)
+        bins = len(demand)
+        runs: list[list[tuple]] = [[] for _ in range(bins)]  # slots, first sequence, slots per sequence, strip or -1
+        sequence = 0
+        for counts, times in used:
+            for i in np.flatnonzero(counts):
+                runs[i].append((int(counts[i]) * times, sequence, int(counts[i]), -1))
+            sequence += times
+        self.fragments, self.step, self.cuts = {}, [], {}
+        for s, (counts, layout, sequences, times) in enumerate(strips(left, room, unit)):
+            for i in np.flatnonzero(counts):
+                runs[i].append((int(counts[i]) * times, sequence, int(counts[i]), s))
+            for i, k, begin, end, at in layout:
+                self.fragments.setdefault((s, i, k), []).append((begin, end, at))
+            self.step.append(sequences)
+            sequence += sequences * times
+        self.base = np.cumsum([0] + [sum(x[0] for x in r) for r in runs])[:-1]
+        flat = [x for r in runs for x in r] or [(0, 0, 1, -1)]
+        size = np.array([x[0] for x in flat], np.int64)
+        self.first = np.cumsum(size) - size
+        self.begin, self.per, self.strip = (np.array([x[j] for x in flat], np.int64) for j in (1, 2, 3))
+
+    def place(self, bins: np.ndarray, rank: np.ndarray):
+        """(row, first unit, end unit or -1, sequence) of each fragment."""
+        at = self.base[bins] + rank
+        run = np.searchsorted(self.first, at, "right") - 1
+        number = at - self.first[run]
+        strip = self.strip[run]
+        whole = np.flatnonzero(strip < 0)
+        row, begin, end = whole.tolist(), [0] * len(whole), [-1] * len(whole)
+        sequence = (self.begin[run] + number // self.per[run])[whole].tolist()
+        for r in np.flatnonzero(strip >= 0).tolist():
+            s, turn, k = int(strip[r]), *divmod(int(number[r]), int(self.per[run[r]]))
+            for b, e, own in self.fragments[(s, int(bins[r]), k)]:
+                row.append(r)
+                begin.append(b)
+                end.append(e)
+                sequence.append(int(self.begin[run[r]]) + turn * self.step[s] + own)
+        return np.array(row, np.int64), np.array(begin, np.int64), np.array(end, np.int64), np.array(sequence, np.int64)
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
@@ -279,7 +397,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     demand = np.zeros(bins, np.int64)
     for row in made.groupBy("bin").count().collect():  # at most ``bins`` rows
         demand[row["bin"]] = row["count"]
-    first, begins, per, base = slots(solve(demand, bins), bins)
+    plan = Plan(demand, bins, max(1, CUT // step))
     n = int(demand.sum())
     buckets = -(-n // max(1024, int(n ** 0.5))) if n else 1
     bucketed = made.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(buckets)))
@@ -293,16 +411,24 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     columns = ["id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def place(batches):
+        operators: dict[int, list[int]] = {}
         for batch in batches:
-            if batch.num_rows:
-                at = base[batch.column(5).to_numpy()] + batch.column(6).to_numpy()
-                run = np.searchsorted(first, at, "right") - 1
-                own = begins[run] + (at - first[run]) // per[run]
-                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], pa.array(own)],
-                                                 names=[*columns, "sequence_id"])
+            if not batch.num_rows:
+                continue
+            row, begin, end, sequence_id = plan.place(batch.column(6).to_numpy(), batch.column(7).to_numpy())
+            start, length, crc = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            begin, end = begin * step, np.where(end < 0, length[row], end * step)
+            new = crc[row].copy()
+            for f in np.flatnonzero(end - begin < length[row]).tolist():
+                parts = np.frombuffer(batch.column(5)[row[f]].as_py(), "<u4")[begin[f] // CUT: -(-end[f] // CUT)]
+                new[f] = joined_crc(parts, int(end[f] - begin[f]) - CUT * (len(parts) - 1), operators)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), pa.array(start[row] + begin), pa.array(end - begin), pa.array(new),
+                 batch.column(4).take(take), pa.array(sequence_id)], names=[*columns, "sequence_id"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    placed = ranked.select(*columns, "bin", "rank").mapInArrow(
+    placed = ranked.select(*columns, "blocks", "bin", "rank").mapInArrow(
         place, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long")
     within = (Window.partitionBy("sequence_id").orderBy(F.desc("length"), "id", "start", "ids_crc32", "doc_tokens")
                     .rowsBetween(Window.unboundedPreceding, -1))
