@@ -23,15 +23,21 @@ class Rows:
     def of(lists) -> "Rows":
         size = np.array([len(x) for x in lists], np.int64)
         flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
-        hashes, features = np.unique(flat, return_inverse=True)
-        return Rows(np.concatenate([[0], np.cumsum(size)]), features.astype(np.int32), hashes)
+        hashes, features, times = np.unique(flat, return_inverse=True, return_counts=True)
+        # a feature of one row alone tells nothing of others
+        often = times > 1
+        number = np.cumsum(often, dtype=np.int32) - 1
+        keep = often[features]
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)[keep]
+        offsets = np.searchsorted(owner, np.arange(len(size) + 1))
+        return Rows(offsets, number[features[keep]], hashes[often])
 
     def __len__(self):
         return len(self.offsets) - 1
 
     @property
     def owner(self):
-        return np.repeat(np.arange(len(self)), np.diff(self.offsets))
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.offsets))
 
 
 @dataclass

@@ -62,12 +62,6 @@ def describe(column) -> tuple[np.ndarray, np.ndarray]:
     return tokens, topic
 
 
-@F.pandas_udf(T.StructType([T.StructField("tokens", T.LongType()), T.StructField("topic", T.StringType())]))
-def described(texts: pd.Series) -> pd.DataFrame:
-    tokens, topic = describe(pa.array(texts, pa.large_string(), from_pandas=True))
-    return pd.DataFrame({"tokens": tokens, "topic": topic})
-
-
 def level(c):
     """A dimension's value as text; null is a value of its own."""
     return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
@@ -127,12 +121,20 @@ def probabilities(cells: pd.DataFrame, targets: dict | None = None, budget: floa
     return cells.assign(weight=weight, p=calibrate(tokens, weight, budget))
 
 
-def with_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def with_cells(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with its cell: columns _source, _lang, _topic, _tokens."""
-    out = docs.withColumn("_described", described(F.col(text_col)))
-    return (out.withColumn("_source", level("source")).withColumn("_lang", level("lang"))
-               .withColumn("_topic", F.col("_described.topic")).withColumn("_tokens", F.col("_described.tokens"))
-               .drop("_described"))
+    keyed = docs.withColumn("_source", level("source")).withColumn("_lang", level("lang"))
+    at = docs.columns.index(text_col)
+    kept = [i for i, c in enumerate(keyed.columns) if keep_text or c != text_col]
+    schema = T.StructType([keyed.schema[i] for i in kept] + [T.StructField("_topic", T.StringType()), T.StructField("_tokens", T.LongType())])
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            tokens, topic = describe(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(topic, pa.string()), pa.array(tokens)], names=names)
+
+    return keyed.mapInArrow(run, schema)
 
 
 def cell_probabilities(celled: DataFrame, targets: dict | None = None, budget: float = BUDGET,
@@ -166,7 +168,7 @@ def mix(docs: DataFrame, targets: dict | None = None, id_col: str = "doc_id", te
     decision.  Extra columns are ignored; an empty table gives no row.
     """
     from tabrisk.llm.spark_util import written
-    celled = written(with_cells(docs.select(id_col, text_col, "source", "lang"), text_col).drop(text_col), "cells")
+    celled = written(with_cells(docs.select(id_col, text_col, "source", "lang"), text_col, False), "cells")
     p = cell_probabilities(celled, targets, budget, power)
     return (celled.join(p, [f"_{d}" for d in DIMS])
                   .select(id_col, "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"),
@@ -178,6 +180,6 @@ def sample(docs: DataFrame, targets: dict | None = None, id_col: str = "doc_id",
     """The rows of ``docs`` that the mix keeps, with all columns.  Cells are
     summed in a first pass; the second joins the cell table to the rows, which
     moves no text as long as the planner can broadcast that table."""
-    p = cell_probabilities(with_cells(docs.select(id_col, text_col, "source", "lang"), text_col), targets, budget, power)
+    p = cell_probabilities(with_cells(docs.select(text_col, "source", "lang"), text_col, False), targets, budget, power)
     return (with_cells(docs, text_col).join(p.withColumnRenamed("p", "_p").drop("weight"), [f"_{d}" for d in DIMS])
             .where(uniform(id_col) < F.col("_p")).select(*docs.columns))

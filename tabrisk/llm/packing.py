@@ -43,7 +43,7 @@ CUT = 64
 STRIP = 8192
 END_ID = 2
 #: Words whose ids a Python worker remembers at most.
-CACHE_WORDS = 1 << 21
+CACHE_WORDS = 1 << 20
 #: 1: ASCII letters and digits, 2: ASCII symbols but the apostrophe, 4: other bytes.
 KIND = np.full(256, 4, np.uint8)
 KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
@@ -67,8 +67,8 @@ class WordIds:
 
     def clear(self):
         self.keys = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.first = np.zeros(0, np.int32)
+        self.count = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint16)
 
     def encode(self, text: str):
@@ -92,12 +92,12 @@ class WordIds:
             self.clear()
         flat, count = self.encode_words(words)
         first = len(self.flat) + np.cumsum(count) - count
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.first = np.concatenate([self.first, first])[order]
-        self.count = np.concatenate([self.count, count])[order]
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.first = np.insert(self.first, at, first[order])
+        self.count = np.insert(self.count, at, count[order])
         self.flat = np.concatenate([self.flat, flat])
-        self.keys = keys[order]
+        self.keys = np.insert(self.keys, at, keys[order])
 
     def where(self, keys):
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
@@ -125,8 +125,8 @@ class WordIds:
                 new = np.arange(len(keys))  # the memory starts anew
             self.learn(keys[new], [raw[s:e].decode() for s, e in zip(starts[seen[new]], ends[seen[new]])])
             at, _ = self.where(keys)
-        count = self.count[at][code]
-        place, word = pairing.ranges(self.first[at][code], count)
+        count = self.count[at][code].astype(np.int64)
+        place, word = pairing.ranges(self.first[at][code].astype(np.int64), count)
         size = np.bincount(doc, count, n).astype(np.int64) + 1
         out_offsets = np.concatenate([[0], np.cumsum(size)])
         out = np.full(out_offsets[-1], END_ID, np.uint32)

@@ -18,8 +18,8 @@ import re
 import sys
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,26 +141,33 @@ def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_co
     marked = findings.where("spans != ''").select(F.col(id_col).alias("_id"), F.col("blob_id").alias("_blob"),
                                                   F.col("spans").alias("_spans")).distinct()
     blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    keyed = docs.withColumn("_docs_blob", blob)
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_docs_blob") == F.col("_blob"))
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, s in zip(texts, spans):
-            if s:
-                parts, at = [], 0
-                for a, b in sorted(tuple(map(int, x.split(":")[1:])) for x in s.split(",")):
-                    if a >= at:
-                        parts += [t[at:a], mark]
-                    at = max(at, b)
-                t = "".join([*parts, t[at:]])
-            out.append(t)
-        return pd.Series(out)
-
-    out = keyed.join(marked, same, "left")
-    out = out.withColumn(text_col, F.when(F.col("_spans").isNotNull(), cut(F.col(text_col), F.col("_spans")))
-                                    .otherwise(F.col(text_col)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length(text_col).cast(docs.schema["n_chars"].dataType))
-                                         .otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    joined = docs.withColumn("_docs_blob", blob).join(marked, same, "left").select(*docs.columns, "_spans")
+    names = docs.columns
+    at = names.index(text_col)
+    count = names.index("n_chars") if "n_chars" in names else -1
+
+    def redact_rows(batches):
+        for batch in batches:
+            spans = batch.column(len(batch.columns) - 1)
+            found = spans.is_valid()
+            columns = list(batch.columns[:-1])
+            if pc.any(found).as_py():
+                texts = [cut(t, s, mark) for t, s in zip(columns[at].filter(found).to_pylist(), spans.filter(found).to_pylist())]
+                columns[at] = pc.replace_with_mask(columns[at], found, pa.array(texts, columns[at].type))
+                if count >= 0:
+                    sizes = pa.array([len(t) for t in texts], columns[count].type)
+                    columns[count] = pc.replace_with_mask(columns[count], found, sizes)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(redact_rows, docs.schema)
+
+
+def cut(text: str, spans: str, mark: str) -> str:
+    """``text`` with each run of overlapping spans replaced by ``mark``."""
+    parts, at = [], 0
+    for a, b in sorted(tuple(map(int, x.split(":")[1:])) for x in spans.split(",")):
+        if a >= at:
+            parts += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*parts, text[at:]])

@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of text handled at a time inside a task (a longer text is one slice).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bytes whose prefix sums are held at a time (a longer word is one block).
 BLOCK_BYTES = 1 << 20
 
