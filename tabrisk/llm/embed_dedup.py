@@ -35,9 +35,9 @@ from tabrisk.llm.spark_util import components, pair_cells, written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COSINE = 0.93
-TABLES, PROBES = 5, 4
+TABLES, PROBES = 4, 2
 #: Lattice scale against projections of unit variance.
-SCALE = 2.1
+SCALE = 2.4
 #: Rows of a label that one more group of 8 numbers spreads.
 SPREAD = 4096
 SEED = 20240

@@ -43,6 +43,8 @@ def pair_cells(df: DataFrame, keys: list[str], spread: str, limit: int) -> DataF
     hot = (df.groupBy(*keys).count().where(F.col("count") > limit)
              .select(*[F.col(k).alias(f"_hot_{k}") for k in keys],
                      F.ceil(F.col("count") / limit).cast("int").alias("_chunks")))
+    # written first, so that the planner knows its size and moves no row of df for a small one
+    hot = written(hot, "hot-groups")
     same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
     chunks = F.coalesce("_chunks", F.lit(1))
     return (df.join(hot, same, "left")
