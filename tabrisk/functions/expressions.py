@@ -43,9 +43,9 @@ def is_bad_number(c) -> Column:
 
 
 def zero_to_null(c) -> Column:
-    """A physiologically impossible zero is a missing value."""
-    c = col_(c)
-    return F.when(c == 0, F.lit(None).cast("double")).otherwise(c.cast("double"))
+    """A physiologically impossible zero is a missing value; so is NaN."""
+    c = nan_to_null(col_(c).cast("double"))
+    return F.when(c == 0, F.lit(None).cast("double")).otherwise(c)
 
 
 def impute(c, median: float) -> Column:

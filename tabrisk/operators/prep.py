@@ -12,6 +12,8 @@ transform = zero -> null, fill with the median (F1), scale to 0-1 and clip
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -19,7 +21,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabrisk.functions.expressions import impute, scale_clip, zero_to_null
+from tabrisk.functions.expressions import impute, nan_to_null, scale_clip, zero_to_null
 from tabrisk.operators.quantiles import column_stats, exact_medians
 
 
@@ -59,7 +61,7 @@ class RiskPreprocessor(Estimator, _PrepParams, DefaultParamsReadable, DefaultPar
         # The fit makes 2-3 passes (count/min/max, median bins, final pick);
         # only the narrow feature projection is kept between them, spilling
         # to executor disk when it does not fit, and released afterwards.
-        clean = df.select(*[(zero_to_null(c) if c in zero else F.col(c).cast("double")).alias(c)
+        clean = df.select(*[(zero_to_null(c) if c in zero else nan_to_null(F.col(c).cast("double"))).alias(c)
                             for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             stats = column_stats(clean, cols)
@@ -67,6 +69,9 @@ class RiskPreprocessor(Estimator, _PrepParams, DefaultParamsReadable, DefaultPar
             if empty:
                 # checked after zero replacement: an all-zero flagged column is empty too
                 raise ValueError("completely empty features: " + ", ".join(empty))
+            endless = [c for c in cols if math.isinf(stats[c][1]) or math.isinf(stats[c][2])]
+            if endless:
+                raise ValueError("infinite values in: " + ", ".join(endless))
             med = exact_medians(clean, cols, stats)
         finally:
             clean.unpersist()
@@ -99,7 +104,7 @@ class RiskPreprocessorModel(Model, _PrepParams, DefaultParamsReadable, DefaultPa
         for c, (m, lo, hi) in self.stats().items():
             if keep is not None and c not in keep:
                 continue
-            x = zero_to_null(c) if c in zero else F.col(c).cast("double")
+            x = zero_to_null(c) if c in zero else nan_to_null(F.col(c).cast("double"))
             out[c] = scale_clip(impute(x, m), lo, hi)
         return out
 

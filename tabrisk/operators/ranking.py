@@ -117,7 +117,9 @@ def position_by_key(df: DataFrame, key: str, out: str = "position",
     (W1 for keyed tables).  Buckets are equal key ranges sized from the key's
     min / max; their number grows with the row count (about
     ``ROWS_PER_BUCKET`` rows each, at least ``MIN_BUCKETS``)."""
-    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    lo, hi, n, empty = df.agg(F.min(key), F.max(key), F.count(F.lit(1)), F.count_if(F.col(key).isNull())).first()
+    if empty:
+        raise ValueError(f"{key}: {empty} rows have no key, so no position")
     if lo is None:
         return df.withColumn(out, F.lit(None).cast("long"))
     if target_buckets is None:

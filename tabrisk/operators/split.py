@@ -77,7 +77,10 @@ def _hashed(df: DataFrame, key_cols: Sequence[str], seed: int) -> DataFrame:
 
 def _class_counts(base: DataFrame, label: str) -> dict:
     """Rows per class: one partial+final aggregate, one row per class."""
-    return {r[0]: r[1] for r in base.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    counts = {r[0]: r[1] for r in base.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    if None in counts:
+        raise ValueError(f"{label}: {counts[None]} rows have no label; a split by class needs one for each row")
+    return counts
 
 
 def _with_bucket(base: DataFrame, counts: dict) -> DataFrame:

@@ -303,6 +303,9 @@ HISTORY_LATEST = f"""WITH h AS ({history_sql()}),
 r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY timestamp DESC, row_id DESC) AS recency FROM h)
 SELECT model, CAST(recency AS INTEGER) AS recency, row_id, timestamp, probability, prediction FROM r WHERE recency <= 10"""
 
+HISTORY_FULL = f"""WITH h AS ({history_sql()})
+SELECT model, row_id, timestamp, probability, prediction FROM h ORDER BY timestamp DESC, row_id DESC, model"""
+
 RESCORE_PENDING = """WITH docs AS (SELECT doc_id, sha256(text) AS content_hash FROM documents),
 scored AS (SELECT DISTINCT d.content_hash, m.model, 'v1' AS version
            FROM docs d JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id),
@@ -349,6 +352,7 @@ ORACLE = {
     "class_weights_gamma": CLASS_WEIGHTS_GAMMA,
     "history_report": HISTORY_REPORT,
     "history_latest": HISTORY_LATEST,
+    "history_full": HISTORY_FULL,
     "rescore_pending": RESCORE_PENDING,
     "score_batch_long": SCORE_BATCH_LONG,
     "score_batch_wide": SCORE_BATCH_WIDE,

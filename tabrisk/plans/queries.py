@@ -211,6 +211,15 @@ def stratified_folds(spark, sf_dir):
     return split_and_folds(od, "o_orderstatus", ["o_orderkey"])
 
 
+def pooled_variance(df: DataFrame, cols) -> float:
+    """Population variance of all non-null values of ``cols`` together."""
+    row = df.agg(*[f(c) for c in cols for f in (F.count, F.avg, F.var_pop)]).first()
+    parts = [row[i:i + 3] for i in range(0, len(row), 3) if row[i]]
+    n = sum(k for k, _, _ in parts)
+    mean = sum(k * m for k, m, _ in parts) / n
+    return sum(k * (v + (m - mean) ** 2) for k, m, v in parts) / n
+
+
 def class_weights_gamma(spark, sf_dir):
     """A23 A24 on the scaled lineitem training rows: balanced class weights
     n / (2 n_c); gamma 'scale' = 1 / (p var(X)) and 'auto' = 1 / p."""
@@ -221,8 +230,8 @@ def class_weights_gamma(spark, sf_dir):
     model = RiskPreprocessor(inputCols=feats, zeroMissingCols=LINEITEM.zero_missing).fit(train)
     x = model.transform(train).select("label", *feats)
     p = len(feats)
-    # one number: the variance of every scaled value (partial + final aggregate)
-    var = x.select(F.explode(F.array(*feats)).alias("v")).agg(F.var_pop("v")).first()[0]
+    # the variance of every scaled value: p means and variances of one aggregate
+    var = pooled_variance(x, feats)
     cls = x.groupBy("label").agg(F.count(F.lit(1)).alias("n_class"))
     tot = F.sum("n_class").over(Window.partitionBy())     # over one row per class
     return (cls.withColumn("class_weight", F.round(tot / (2.0 * F.col("n_class")), 9))
@@ -254,6 +263,12 @@ def history_latest(spark, sf_dir):
     return top.select("model", "recency", "row_id", "timestamp", "probability", "prediction")
 
 
+def history_full(spark, sf_dir):
+    """The whole history, newest first (ties by row id)."""
+    h = event_history(spark, sf_dir).select("model", "row_id", "timestamp", "probability", "prediction")
+    return h.orderBy(F.col("timestamp").desc(), F.col("row_id").desc(), "model")
+
+
 def rescore_pending(spark, sf_dir):
     """(document, model) pairs whose content hash was not scored
     by the model's current version.  Labeled documents were scored by every
@@ -327,6 +342,7 @@ QUERIES = {
     "class_weights_gamma": class_weights_gamma,
     "history_report": history_report,
     "history_latest": history_latest,
+    "history_full": history_full,
     "rescore_pending": rescore_pending,
     "score_batch_long": score_batch_long,
     "score_batch_wide": score_batch_wide,

@@ -61,8 +61,8 @@ def load_history(spark: SparkSession, path: str,
 def clear_history(spark: SparkSession, path: str,
                   features: Sequence[str] = tuple(PATIENT.feature_names)) -> None:
     """Replace the history by an empty table of the same schema."""
-    spark.createDataFrame([], history_schema(features)).write.mode("overwrite") \
-        .partitionBy("model").parquet(path)
+    (spark.createDataFrame([], history_schema(features)).write.mode("overwrite")
+        .option("partitionOverwriteMode", "static").partitionBy("model").parquet(path))
 
 
 def models_in_history(history: DataFrame) -> DataFrame:
@@ -78,9 +78,10 @@ def history_counts(history: DataFrame, models: Sequence[str] | None = None) -> D
 
 def newest_first(history: DataFrame, n: int | None = None) -> DataFrame:
     """T1 (+ T5): newest first, missing times last; with ``n`` the n newest
-    per model (salted top-k), otherwise a full sort."""
+    per model (salted top-k), otherwise a full sort.  Rows of equal time are
+    ordered by their other columns, so only equal rows can change places."""
+    rest = [c for c in history.columns if c != "timestamp"]
+    order = [F.col("timestamp").desc_nulls_last(), *[F.col(c) for c in rest]]
     if n is None:
-        return history.orderBy(F.col("timestamp").desc_nulls_last())
-    keyed = history.withColumn("_rid", F.monotonically_increasing_id())
-    return bottom_k(keyed, ["model"], [F.col("timestamp").desc_nulls_last(), F.col("_rid")], n,
-                    salt_by=["_rid"], out="recency").drop("_rid")
+        return history.orderBy(*order)
+    return bottom_k(history, ["model"], order, n, salt_by=history.columns, out="recency")

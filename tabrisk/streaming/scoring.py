@@ -3,7 +3,7 @@
 New CSV batches dropped in a folder are read as text, checked against the
 contract, preprocessed with the fitted statistics and scored by every
 column-only model; good rows are appended to the history (exactly once,
-through the file sink's commit log), bad cells go to a violations sink.
+through the file sink's commit log), bad rows go to a violations sink.
 
 Everything here is stateless (column expressions and the per-row contract
 check), so there is no watermark or state store; the query survives restarts
@@ -13,21 +13,26 @@ from its checkpoint folder, which must be on shared storage.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tabrisk.contract import HISTORY_TIME_FORMAT, TableContract
-from tabrisk.functions.expressions import risk_label, to_number
+from tabrisk.functions.expressions import na_to_null, risk_label, to_number
 from tabrisk.operators.validate import is_valid_row, violation_array
+from tabrisk.sources.files import csv_reader
 
 
 def text_stream(spark: SparkSession, folder: str, columns: Sequence[str],
                 max_files_per_trigger: int = 100) -> DataFrame:
+    """New CSV files as text; a file whose header names other columns, or the
+    same in another order, stops the query instead of shifting values."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return (spark.readStream.schema(schema).option("header", True)
-            .option("maxFilesPerTrigger", max_files_per_trigger).csv(folder))
+    raw = (csv_reader(spark.readStream.schema(schema))
+           .option("maxFilesPerTrigger", max_files_per_trigger).csv(folder))
+    return raw.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in columns])
 
 
 def scored_history(batch: DataFrame, contract: TableContract, prep, models) -> DataFrame:
@@ -47,18 +52,39 @@ def scored_history(batch: DataFrame, contract: TableContract, prep, models) -> D
 
 
 def stream_violations(batch: DataFrame, contract: TableContract) -> DataFrame:
-    """Bad cells of the incoming rows (column, rule, value), for a
-    quarantine sink."""
-    return batch.select(F.explode(violation_array(contract, text=True)).alias("v")).select("v.*")
+    """The incoming rows that break a rule, as text, with their bad cells
+    (column, rule, value), for a quarantine sink: each row goes either there
+    or to the history."""
+    return batch.where(~is_valid_row(contract, text=True)).withColumn("violations", violation_array(contract, text=True))
+
+
+class ScoringStreams(NamedTuple):
+    """The two queries of a scoring stream."""
+    history: StreamingQuery
+    violations: StreamingQuery
+
+    def awaitTermination(self, timeout: int | None = None) -> bool:
+        return all([q.awaitTermination(timeout) for q in self])
+
+    def stop(self) -> None:
+        for q in self:
+            q.stop()
 
 
 def start_scoring_stream(spark: SparkSession, in_folder: str, history_path: str, checkpoint: str,
-                         contract: TableContract, prep, models, trigger_once: bool = False) -> StreamingQuery:
-    """Start the stream; the history sink is partitioned by model."""
+                         contract: TableContract, prep, models, trigger_once: bool = False,
+                         violations_path: str | None = None) -> ScoringStreams:
+    """Start both sinks: scored rows to the history, partitioned by model, and
+    bad rows to ``violations_path`` (``<history_path>-violations`` if not
+    given).  Each has a checkpoint of its own below ``checkpoint``."""
     src = text_stream(spark, in_folder, contract.feature_names)
-    hist = scored_history(src, contract, prep, models)
-    w = (hist.writeStream.format("parquet").option("path", history_path)
-         .option("checkpointLocation", checkpoint).partitionBy("model").outputMode("append"))
-    if trigger_once:
-        w = w.trigger(availableNow=True)
-    return w.start()
+
+    def start(df, path, name, by=()):
+        w = (df.writeStream.format("parquet").option("path", path)
+             .option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}").outputMode("append"))
+        w = w.partitionBy(*by) if by else w
+        return (w.trigger(availableNow=True) if trigger_once else w).start()
+
+    return ScoringStreams(
+        start(scored_history(src, contract, prep, models), history_path, "history", ["model"]),
+        start(stream_violations(src, contract), violations_path or f"{history_path.rstrip('/')}-violations", "violations"))

@@ -18,8 +18,15 @@ def test_scans_read_only_needed_columns(spark):
 
 def test_history_filter_pushed_to_scan(spark, tmp_dir):
     from pyspark.sql import functions as F
-    df = spark.read.parquet(f"{SF_SMALL}/events.parquet").where(F.col("event_type") == "purchase").select("value")
-    assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,purchase)]" in _plan(df)
+    from tabrisk.sources import history
+    path = f"{tmp_dir}/history"
+    scored = spark.createDataFrame([(1.0, 1, 0.7)], "f1 double, p int, prob double")
+    for model in ("SVM", "KNN"):
+        history.append_history(history.history_rows(scored, model, ["f1"], "p", "prob"), path)
+    read = history.load_history(spark, path, ["f1"]).where((F.col("model") == "SVM") & (F.col("probability") > 1)).select("probability")
+    plan = _plan(read)
+    assert "GreaterThan(probability,1.0)" in plan and "PartitionFilters: [isnotnull(model" in plan
+    assert "f1" not in plan.split("ReadSchema:")[1].splitlines()[0]
 
 
 def test_no_cartesian_product_in_sql_checked_queries(spark):

@@ -55,3 +55,13 @@ def test_save_load_round_trip(spark, tmp_dir):
     m.write().overwrite().save(tmp_dir + "/prep")
     m2 = RiskPreprocessorModel.load(tmp_dir + "/prep")
     assert m2.stats() == m.stats()
+
+
+def test_nan_is_missing_and_infinity_is_an_error(spark):
+    df = spark.createDataFrame([(x,) for x in (1.0, 2.0, float("nan"), 4.0)], "x double")
+    for zero in ([], ["x"]):
+        model = RiskPreprocessor(inputCols=["x"], zeroMissingCols=zero).fit(df)
+        assert model.stats()["x"] == (2.0, 1.0, 4.0)
+        assert sorted(r["x"] for r in model.transform(df).collect()) == [0.0, 1 / 3, 1 / 3, 1.0]
+    with pytest.raises(ValueError, match="infinite"):
+        RiskPreprocessor(inputCols=["x"], zeroMissingCols=[]).fit(df.union(spark.createDataFrame([(float("inf"),)], "x double")))

@@ -45,3 +45,10 @@ def test_position_by_key(spark):
     df = spark.createDataFrame([(k,) for k in random.Random(5).sample(range(10**6), 500)], "k long")
     got = sorted((r["k"], r["position"]) for r in position_by_key(df, "k", target_buckets=13).collect())
     assert [p for _, p in got] == list(range(1, 501))
+
+
+def test_position_refuses_null_keys(spark):
+    import pytest
+    from tabrisk.operators.ranking import position_by_key
+    with pytest.raises(ValueError, match="1 rows have no key"):
+        position_by_key(spark.createDataFrame([(1,), (None,)], "k long"), "k")

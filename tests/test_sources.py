@@ -2,8 +2,11 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from tabrisk.contract import ColumnRule, TableContract
 from tabrisk.sources import files, history, registry
 
 
@@ -64,3 +67,54 @@ def test_sinks_round_trip(spark, tmp_dir):
     assert back.first()["accuracy"] == 0.8
     files.export_csv(df, tmp_dir + "/csv")
     assert spark.read.option("header", True).csv(tmp_dir + "/csv").count() == 2
+
+
+def _write(folder, **csv):
+    os.makedirs(folder, exist_ok=True)
+    for name, text in csv.items():
+        with open(os.path.join(folder, name + ".csv"), "w") as f:
+            f.write(text)
+    return folder
+
+
+def test_csv_quotes_and_newlines(spark, tmp_dir):
+    d = _write(os.path.join(tmp_dir, "q"), a='x,y\n1,"a ""q"" b"\n2,"two\nlines"\n3,plain\n')
+    got = {r["x"]: r["y"] for r in files.read_csv_text(spark, d, multi_line=True).collect()}
+    assert got == {"1": 'a "q" b', "2": "two\nlines", "3": "plain"}
+
+
+def test_csv_headers_of_another_order_are_an_error(spark, tmp_dir):
+    d = _write(os.path.join(tmp_dir, "h"), a="x,y\n1,10\n", b="y,x\n20,2\n")
+    with pytest.raises(Exception, match="header|CSV"):
+        files.read_csv_text(spark, d).collect()
+    one = _write(os.path.join(tmp_dir, "one"), a="y,x\n20,2\n")
+    assert files.read_csv_text(spark, one).select("x", "y").collect() == [("2", "20")]
+
+
+def test_load_dataset(spark, tmp_dir):
+    contract = TableContract((ColumnRule("f1", 0, 10), ColumnRule("f2", 0, 10)), target="y")
+    good = _write(os.path.join(tmp_dir, "g"), a="y,f2,extra,f1\n1,2.5,z,NA\n0,,z,3\n")
+    df = files.load_dataset(spark, good, contract)
+    assert df.dtypes == [("f1", "double"), ("f2", "double"), ("y", "int")]
+    assert sorted(df.collect(), key=str) == sorted([(None, 2.5, 1), (3.0, None, 0)], key=str)
+    for text, said in (("f1,y\n1,1\n", "f2"), ("f1,f2,y\nabc,1,1\n2,1,0\n", "f1: 1"), ("f1,f2,y\n,1,1\n", "f1: empty"),
+                       ("f1,f2,y\n1,1,2\n1,1,\n", "y: 2")):
+        bad = _write(os.path.join(tmp_dir, said.replace(" ", "").replace(":", "")), a=text)
+        with pytest.raises(ValueError, match=said):
+            files.load_dataset(spark, bad, contract)
+
+
+def test_history_ties_and_clear_under_dynamic_overwrite(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "history")
+    rows = spark.createDataFrame([("2024-01-01 00:00:00", "SVM", p, "Low Risk", float(i)) for i, p in enumerate([3.0, 1.0, None, 2.0])],
+                                 "timestamp string, model string, probability double, prediction string, f1 double")
+    history.append_history(rows, path)
+    h = history.load_history(spark, path, ["f1"])
+    assert [r["probability"] for r in history.newest_first(h).collect()] == [None, 1.0, 2.0, 3.0]
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        history.clear_history(spark, path, ["f1"])
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    assert history.load_history(spark, path, ["f1"]).count() == 0

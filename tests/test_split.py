@@ -38,3 +38,12 @@ def test_split_matches_folds_and_brute_force(spark):
     for y in by:
         s = [sizes[(y, f)] for f in range(5)]
         assert max(s) - min(s) <= 1
+
+
+def test_null_labels_are_an_error(spark):
+    import pytest
+    from tabrisk.operators.split import split_and_folds, stratified_split
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(20)], "id long, y int")
+    for split in (stratified_split, split_and_folds):
+        with pytest.raises(ValueError, match="5 rows have no label"):
+            split(df, "y", ["id"])
