@@ -1,25 +1,27 @@
-"""Exact k-nearest neighbours without a cross join.
-
-Rings around a pivot
---------------------
-Every row gets r = d(row, pivot), the distance to one pivot vector (the
-per-dimension minimum of the training rows, a corner of the data).  Training
-rows are put in rings: quantile buckets of r (balanced by construction).  By
-the triangle inequality d(q, t) >= |r_q - r_t|, so:
-
-phase 1  each query meets the training rows of its own ring (an equi-join on
-         the ring id); the k-th smallest distance there is a radius R_q that
-         certainly holds k neighbours (R_q = inf if the ring has < k rows);
-phase 2  each query is exploded to the rings that overlap [r_q - R_q,
-         r_q + R_q] (only those can hold a row within R_q), joined on the
-         ring id, filtered to d <= R_q, and the k best kept per query by a
-         salted two-stage top-k with ties broken by training id.
-
-The result is exact (no cap on candidates: a query whose ring is too small
-falls back to every ring), and all pair work is an equi-join on ring ids, so
-it spreads over rings instead of pairing everything with everything.  The
-pivot (one vector) and ring bounds (< MAX_RINGS numbers) are the only things
-sent to the executors, both of fixed size.
+"""Exact k-nearest neighbours by cells, without pair rows.
+
+Cells
+-----
+Centres are a bounded sample of training vectors (about one for each
+``CELL_ROWS`` rows, at most ``MAX_CENTRES``).  A training row belongs to its
+nearest centre's cell; a cell's radius is its largest distance to the
+centre.  By the triangle inequality no row of a cell is nearer to a query
+than d(query, centre) - radius.
+
+phase 1  each query meets its nearest cell; the k-th distance found there is
+         a radius R that certainly holds k rows (infinite with fewer than k);
+phase 2  each query meets the other cells with d(query, centre) - radius <= R.
+
+Both phases hand blocks to one NumPy kernel: the rows of a cell (split by a
+hash beyond ``CELL_ROWS``) against the queries that reach it (split likewise).
+The kernel keeps at most k rows of a block for each query, so no pair is ever
+a row; the few survivors are merged by (distance, training id).  The result
+is exact whatever the cells are, and distances are summed left to right in
+double precision.  On data without clusters the bound prunes little and the
+cost is the blocked product of queries and training rows.
+
+Null, NaN or infinite coordinates raise an error (impute first); an empty
+training table gives no neighbours.
 
 Votes (E6): uniform or 1/distance weights; when a query has neighbours at
 distance 0 those alone vote; class = larger weight, ties to class 0;
@@ -28,149 +30,169 @@ probability = weight share of class 1.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+import sys
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel, cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabrisk.operators.ranking import bottom_k
+from tabrisk.session import cut_lineage
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no install
+
+CELL_ROWS = 4096        # rows of a block on either side
+MAX_CENTRES = 1024      # bound of the centre table that is sent to the executors
+CHUNK = 1 << 18         # distances held at once by the kernel
+
+
+def pair_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """len(a) x len(b) distances, summed dimension by dimension."""
+    out = np.zeros((len(a), len(b)))
+    for x, y in zip(a.T, b.T):
+        d = x[:, None] - y[None, :]
+        out += d * d if metric == "euclidean" else np.abs(d)
+    return np.sqrt(out) if metric == "euclidean" else out
+
 
-MAX_RINGS = 16384
-FLAT_RING_BOUNDS = 64
-
-
-def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
-    """Euclidean or Manhattan distance of two array<double> columns, summed
-    left to right inside the JVM (no Python)."""
-    if metric == "euclidean":
-        sq = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-        return F.sqrt(sq)
-    if metric == "manhattan":
-        return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    raise ValueError(f"unknown metric {metric!r}")
-
-
-def distance_cols(a: list[Column], b: list[Column], metric: str = "euclidean") -> Column:
-    """The same distances over parallel lists of double columns: plain
-    arithmetic that whole-stage codegen compiles (faster than array lambdas);
-    summed left to right like ``distance``."""
-    acc = F.lit(0.0)
-    for x, y in zip(a, b):
-        acc = acc + ((x - y) * (x - y) if metric == "euclidean" else F.abs(x - y))
-    if metric == "euclidean":
-        return F.sqrt(acc)
-    if metric == "manhattan":
-        return acc
-    raise ValueError(f"unknown metric {metric!r}")
-
-
-def _with_ring(df: DataFrame, x: str, bounds: list[float], out: str = "_ring") -> DataFrame:
-    """``out`` = number of ring bounds below ``x`` (the ring id).  Up to
-    ``FLAT_RING_BOUNDS`` bounds: a sum of comparisons; beyond: binary search
-    over the sorted bounds, about log2(rings) compare steps.  Both are plain
-    expressions inside whole-stage codegen (a ``filter`` lambda over all
-    bounds would be evaluated interpreted, once per bound and row)."""
-    m = len(bounds)
-    if m <= FLAT_RING_BOUNDS:
-        # few rings: one sum of comparisons, a single codegen'd expression
-        cnt = F.lit(0)
-        for b in bounds:
-            cnt = cnt + (F.col(x) > F.lit(float(b))).cast("int")
-        return df.withColumn(out, cnt)
-    df = df.withColumn(out, F.lit(0))
-    arr = F.array(*[F.lit(float(v)) for v in bounds])
-    step = 1 << (m.bit_length() - 1)
-    while step:
-        nxt = F.col(out) + F.lit(step)
-        df = df.withColumn(out, F.when((nxt <= m) & (F.element_at(arr, nxt) < F.col(x)), nxt)
-                                 .otherwise(F.col(out)))
-        step //= 2
-    return df
+def _matrix(column: pa.ChunkedArray | pd.Series) -> np.ndarray:
+    """Rows of a list column as a matrix; anything but finite numbers is an error."""
+    if isinstance(column, pd.Series):
+        m = np.array(column.tolist(), dtype=float)
+    else:
+        flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
+        m = flat.to_numpy(zero_copy_only=False).astype(float)
+        m = m.reshape(len(column), -1) if len(column) else m.reshape(0, 0)
+    if not np.isfinite(m).all():
+        raise ValueError("neighbours: a coordinate is null, NaN or infinite; impute it first")
+    return m
+
+
+def _nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest finite entries of each row, ties to
+    the smaller column."""
+    kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+    r, c = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
+    order = np.lexsort((c, d[r, c], r))
+    r, c = r[order], c[order]
+    rank = np.arange(len(r)) - np.searchsorted(r, r)
+    return r[rank < k], c[rank < k]
+
+
+def _block_kernel(k: int, metric: str, keys: list[str], differ: bool):
+    """(query block, training block) -> at most k rows for each query."""
+
+    def run(q: pa.Table, t: pa.Table) -> pa.Table:
+        rows, cols, dist = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+        if q.num_rows and t.num_rows:
+            t = t.sort_by("_tid")
+            tv, qv = _matrix(t["_tv"]), _matrix(q["_qv"])
+            step = max(1, CHUNK // len(tv))
+            for i in range(0, len(qv), step):
+                d = pair_distances(qv[i:i + step], tv, metric)
+                if differ:
+                    qf, tf = q["_qf"].to_numpy()[i:i + step], t["_tf"].to_numpy()
+                    d[qf[:, None] == tf[None, :]] = np.inf
+                r, c = _nearest(d, k)
+                rows.append(r + i), cols.append(c), dist.append(d[r, c])
+        r, c = np.concatenate(rows), np.concatenate(cols)
+        out = q.select(keys).take(r)
+        return (out.append_column("_tid", t["_tid"].take(c)).append_column("dist", pa.array(np.concatenate(dist)))
+                .append_column("t_label", t["t_label"].take(c)))
+
+    return run
 
 
 def neighbours(train: DataFrame, query: DataFrame, k: int, metric: str = "euclidean",
                tid: str = "tid", qkeys: tuple[str, ...] = ("qid",), vec="vec",
                label: str = "label", same_on: tuple[str, ...] = (),
-               differ_on: str | None = None, rings: int | None = None) -> DataFrame:
+               differ_on: str | None = None, cells: int | None = None) -> DataFrame:
     """The k nearest training rows of every query row.
 
-    ``vec`` is an array<double> column or a list of double columns (used as
-    columns, which codegen compiles).  train: (tid, vec, label, *same_on
-    [, differ_on]); query: (*qkeys, vec, *same_on[, differ_on]).
-    ``same_on`` columns must be equal in a pair (one run for many variants:
-    fold statistics, removed feature, permutation repeat); ``differ_on``
-    must differ (training rows of the other folds).
+    ``vec`` is an array<double> column or a list of double columns.
+    train: (tid, vec, label, *same_on [, differ_on]); query: (*qkeys, vec,
+    *same_on[, differ_on]).  ``same_on`` columns must be equal in a pair (one
+    run for many variants: fold statistics, removed feature); ``differ_on``
+    must differ (training rows of the other folds).  ``cells`` overrides the
+    number of centres.
     Output: (*qkeys, *same_on, tid, dist, t_label, rank)."""
-    spark = train.sparkSession
-    qkeys, same_on = list(qkeys), list(same_on)
-    cols = list(vec) if isinstance(vec, (list, tuple)) else None
-    tv = [F.col(c).alias(f"_t{i}") for i, c in enumerate(cols)] if cols else [F.col(vec).alias("_tv")]
-    qv = [F.col(c).alias(f"_q{i}") for i, c in enumerate(cols)] if cols else [F.col(vec).alias("_qv")]
-
-    def dist(side: str, other) -> Column:
-        if cols:
-            mine = [F.col(f"_{side}{i}") for i in range(len(cols))]
-            theirs = other if isinstance(other, list) else [F.col(f"_{other}{i}") for i in range(len(cols))]
-            return distance_cols(mine, theirs, metric)
-        mine = F.col(f"_{side}v")
-        theirs = other if isinstance(other, Column) else F.col(f"_{other}v")
-        return distance(mine, theirs, metric)
-
-    tr = train.select(F.col(tid).alias("_tid"), *tv, F.col(label).cast("int").alias("t_label"), *same_on,
-                      *([F.col(differ_on).alias("_tf")] if differ_on else []))
-    # the projected sides feed the count, pivot, ring bounds and both
-    # phases: keep them (spilling to disk if needed) until the neighbour
-    # table, k rows per query, is built; then release them
+    if metric not in ("euclidean", "manhattan"):
+        raise ValueError(f"unknown metric {metric!r}")
+    keys = [*qkeys, *[c for c in same_on if c not in qkeys]]
+    x = F.array(*[F.col(c).cast("double") for c in vec]) if isinstance(vec, (list, tuple)) else F.col(vec)
+    # "_g" stands for the variant: cells, splits and joins are made within it
+    group = F.xxhash64(*[F.col(c) for c in same_on]) if same_on else F.lit(0).cast("long")
+    tr = train.select(F.col(tid).alias("_tid"), x.alias("_tv"), F.col(label).cast("int").alias("t_label"),
+                      group.alias("_g"), *([F.col(differ_on).alias("_tf")] if differ_on else []))
+    qr = query.select(*keys, x.alias("_qv"), group.alias("_g"),
+                      *([F.col(differ_on).alias("_qf")] if differ_on else []))
+    schema = T.StructType([*[qr.schema[c] for c in keys], T.StructField("_tid", tr.schema["_tid"].dataType),
+                           T.StructField("dist", T.DoubleType()), T.StructField("t_label", T.IntegerType())])
     tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
     n_train = tr.count()
+    n_cells = min(MAX_CENTRES, max(1, cells or n_train // CELL_ROWS))
+    sample = tr.orderBy(F.xxhash64("_tid", "_g"), "_tid").limit(n_cells).select("_tv").collect()     # the centres
+    centres = np.array([r[0] for r in sample], dtype=float)
+
+    @F.pandas_udf("cell int, off double")
+    def home(v: pd.Series) -> pd.DataFrame:
+        d = pair_distances(_matrix(v), centres, metric)
+        at = d.argmin(axis=1)
+        return pd.DataFrame({"cell": at.astype("int32"), "off": d[np.arange(len(d)), at]})
+
+    @F.pandas_udf("int")
+    def first_cell(v: pd.Series, ids: pd.Series) -> pd.Series:
+        d = pair_distances(_matrix(v), centres, metric)
+        return pd.Series([int(i[np.argmin(row[i])]) for row, i in zip(d, ids)], dtype="int32")
+
+    @F.pandas_udf("array<int>")
+    def other_cells(v: pd.Series, ids: pd.Series, radii: pd.Series, best: pd.Series, own: pd.Series) -> pd.Series:
+        d = pair_distances(_matrix(v), centres, metric)
+        reach = best.to_numpy() * (1 + 1e-9) + 1e-9          # rounding never hides a cell
+        return pd.Series([i[(row[i] - r <= b) & (i != o)] for row, i, r, b, o in zip(d, ids, radii, reach, own)])
+
     if not n_train:
-        return spark.createDataFrame([], "tid long, dist double, t_label int, rank int")
-    if cols:
-        mins = tr.agg(*[F.min(f"_t{i}") for i in range(len(cols))]).first()       # one number per feature
-        pivot = [F.lit(float(m)) for m in mins]
-    else:
-        rows = (tr.select(F.posexplode("_tv").alias("i", "x")).groupBy("i")
-                  .agg(F.min("x").alias("m")).orderBy("i").collect())             # one number per dimension
-        pivot = F.array(*[F.lit(float(r["m"])) for r in rows])
-    n_rings = rings or max(1, min(MAX_RINGS, n_train // max(1, 8 * k)))
-    tr = tr.withColumn("_tr", dist("t", pivot))
-    if n_rings > 1:
-        probs = [i / n_rings for i in range(1, n_rings)]
-        accuracy = max(10000, 4 * n_rings)
-        bounds = tr.agg(F.percentile_approx("_tr", probs, accuracy)).first()[0]  # < MAX_RINGS numbers
-        bounds = sorted(set(float(b) for b in bounds))
-    else:
-        bounds = []
-    tr = _with_ring(tr, "_tr", bounds).persist(StorageLevel.MEMORY_AND_DISK)
-    qr = query.select(*qkeys, *qv, *[c for c in same_on if c not in qkeys],
-                      *([F.col(differ_on).alias("_qf")] if differ_on else []))
-    qr = qr.withColumn("_qr", dist("q", pivot))
-    qr = _with_ring(qr, "_qr", bounds).persist(StorageLevel.MEMORY_AND_DISK)
-    keys = qkeys + [c for c in same_on if c not in qkeys]
-
-    def pairs(q: DataFrame) -> DataFrame:
-        j = q.join(tr, ["_ring", *same_on])
-        if differ_on:
-            j = j.where(F.col("_qf") != F.col("_tf"))
-        return j.withColumn("dist", dist("q", "t"))
-
-    # phase 1: radius from the query's own ring
-    first = bottom_k(pairs(qr).select(*keys, "_tid", "dist"), keys, ["dist", "_tid"], k,
-                     salt_by=["_tid"], out="_r1")
-    radius = first.groupBy(*keys).agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("_R"))
-    q2 = qr.drop("_ring").join(radius, keys, "left").fillna(float("inf"), ["_R"])
-    q2 = q2.withColumn("_qlo", F.col("_qr") - F.col("_R")).withColumn("_qhi", F.col("_qr") + F.col("_R"))
-    q2 = _with_ring(_with_ring(q2, "_qlo", bounds, "_lo"), "_qhi", bounds, "_hi")
-    q2 = q2.withColumn("_ring", F.explode(F.sequence("_lo", "_hi"))).drop("_qlo", "_qhi", "_lo", "_hi")
-    # phase 2: every ring the radius reaches
-    cand = pairs(q2).where(F.col("dist") <= F.col("_R"))
-    best = bottom_k(cand.select(*keys, "_tid", "dist", "t_label"), keys, ["dist", "_tid"], k,
-                    salt_by=["_tid"], out="rank")
-    out = best.select(*keys, F.col("_tid").alias(tid), "dist", "t_label", "rank") \
-              .persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    tr.unpersist()
-    qr.unpersist()
+        tr.unpersist()
+        return query.sparkSession.createDataFrame([], schema).select(
+            *keys, F.col("_tid").alias(tid), "dist", "t_label", F.lit(1).alias("rank"))
+    homes = tr.withColumn("_h", home("_tv")).select("*", F.col("_h.cell").alias("_cell"),
+                                                    F.col("_h.off").alias("_off")).drop("_h")
+    sizes = homes.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("_n"), F.max("_off").alias("_radius"))
+    sizes = cut_lineage(sizes.withColumn("_splits", F.ceil(F.col("_n") / CELL_ROWS).cast("int")).drop("_n"))
+    held = homes.drop("_off").join(sizes.drop("_radius"), ["_g", "_cell"]).withColumn(
+        "_split", F.pmod(F.xxhash64("_tid"), F.col("_splits")).cast("int")).drop("_splits")
+    held = held.persist(StorageLevel.MEMORY_AND_DISK)
+    # at most MAX_CENTRES cells for each variant
+    listed = sizes.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_cell", "_radius"))).alias("_c")).select(
+        "_g", F.col("_c._cell").alias("_ids"), F.col("_c._radius").alias("_radii"))
+    qr = qr.join(listed, "_g").withColumn("_own", first_cell("_qv", "_ids")).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def meet(routed: DataFrame) -> DataFrame:
+        """Kernel over all (query block, training block) pairs of ``routed``
+        (queries with the cell they go to)."""
+        routed = routed.drop("_ids", "_radii", "_own")
+        reach = routed.groupBy("_g", "_cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("_blocks"))
+        t = held.join(reach, ["_g", "_cell"]).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        q = routed.join(reach, ["_g", "_cell"]).join(sizes.drop("_radius"), ["_g", "_cell"])
+        q = q.withColumn("_block", F.pmod(F.xxhash64(*keys), F.col("_blocks")).cast("int")).withColumn(
+            "_split", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1)))
+        at = ["_g", "_cell", "_split", "_block"]
+        return q.drop("_blocks", "_splits").groupBy(*at).cogroup(t.drop("_blocks").groupBy(*at)).applyInArrow(
+            _block_kernel(k, metric, keys, differ_on is not None), schema)
+
+    near = bottom_k(meet(qr.withColumn("_cell", F.col("_own"))), keys, ["dist", "_tid"], k, salt_by=["_tid"]).persist(StorageLevel.MEMORY_AND_DISK)
+    best = near.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("_best"))
+    far = qr.join(best, keys, "left").withColumn("_best", F.coalesce("_best", F.lit(float("inf"))))
+    far = far.withColumn("_cell", F.explode(other_cells("_qv", "_ids", "_radii", "_best", "_own"))).drop("_best")
+    found = near.drop("rank").unionByName(meet(far))
+    out = cut_lineage(bottom_k(found, keys, ["dist", "_tid"], k, salt_by=["_tid"], out="rank").select(
+        *keys, F.col("_tid").alias(tid), "dist", "t_label", "rank"))
+    for kept in (near, qr, held, tr):
+        kept.unpersist()
     return out
 
 

@@ -1,4 +1,4 @@
-"""Ring-pruned KNN equals brute force; vote rules."""
+"""Cell-pruned KNN equals brute force; vote rules."""
 
 import random
 
@@ -23,15 +23,15 @@ def _brute(train, query, k, metric, differ=None):
     return out
 
 
-@pytest.mark.parametrize("metric,k,rings,differ", [("euclidean", 5, None, False), ("manhattan", 9, 7, False),
+@pytest.mark.parametrize("metric,k,cells,differ", [("euclidean", 5, None, False), ("manhattan", 9, 7, False),
                                                    ("euclidean", 3, 40, True)])
-def test_neighbours_equal_brute_force(spark, metric, k, rings, differ):
+def test_neighbours_equal_brute_force(spark, metric, k, cells, differ):
     rnd = random.Random(11)
     train = [(i, [rnd.gauss(0, 1) for _ in range(4)], rnd.randint(0, 1), i % 3) for i in range(300)]
     query = [(1000 + i, [rnd.gauss(0, 1) for _ in range(4)], i % 3) for i in range(40)]
     t = spark.createDataFrame(train, "tid long, vec array<double>, label int, f int")
     q = spark.createDataFrame(query, "qid long, vec array<double>, f int")
-    nb = neighbours(t, q, k, metric, rings=rings, differ_on="f" if differ else None)
+    nb = neighbours(t, q, k, metric, cells=cells, differ_on="f" if differ else None)
     got = {}
     for r in nb.orderBy("qid", "rank").collect():
         got.setdefault(r["qid"], []).append(r["tid"])
@@ -39,7 +39,7 @@ def test_neighbours_equal_brute_force(spark, metric, k, rings, differ):
     # the same with feature columns instead of an array
     tc = t.select("tid", "label", "f", *[F.col("vec")[i].alias(f"c{i}") for i in range(4)])
     qc = q.select("qid", "f", *[F.col("vec")[i].alias(f"c{i}") for i in range(4)])
-    nb2 = neighbours(tc, qc, k, metric, vec=[f"c{i}" for i in range(4)], rings=rings,
+    nb2 = neighbours(tc, qc, k, metric, vec=[f"c{i}" for i in range(4)], cells=cells,
                      differ_on="f" if differ else None)
     got2 = {}
     for r in nb2.orderBy("qid", "rank").collect():
@@ -66,15 +66,27 @@ def test_zero_distance_takes_all_weight_and_ties_go_to_zero(spark):
     assert g[(1, 1, "uniform")] == 1 and g[(1, 3, "uniform")] == 0 and g[(1, 3, "distance")] == 1
 
 
-@pytest.mark.parametrize("n_bounds", [0, 1, 7, 64, 65, 100, 1023])
-def test_ring_ids_count_bounds_below(spark, n_bounds):
-    """Both ring-id forms (sum of comparisons, binary search) equal the
-    number of bounds strictly below the value, ties and infinities included."""
-    from tabrisk.operators.knn import _with_ring
-    rnd = np.random.default_rng(n_bounds)
-    bounds = sorted(set(np.round(rnd.uniform(0, 10, n_bounds), 2).tolist()))
-    xs = np.round(rnd.uniform(-1, 11, 300), 2).tolist() + bounds[:5] + [float("inf"), float("-inf")]
-    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(xs)], "i int, x double")
-    got = {r["i"]: r["_ring"] for r in _with_ring(df, "x", bounds).collect()}
-    want = np.searchsorted(np.array(bounds), np.array(xs), side="left")
-    assert [got[i] for i in range(len(xs))] == want.tolist()
+def test_splits_blocks_copies_and_bad_coordinates(spark, monkeypatch):
+    """Cells and query sets beyond a block are split, copies tie by id, and
+    clustered data leaves most cells out."""
+    from tabrisk.operators import knn
+    monkeypatch.setattr(knn, "CELL_ROWS", 16)
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(0, 50, (6, 5))
+    at = rnd.integers(0, 6, 240)
+    vs = (centres[at] + rnd.normal(0, 1, (240, 5))).tolist()
+    for i in range(80):
+        vs[i] = vs[0]                                           # a third are copies
+    train = [(i, v, i % 2, 0) for i, v in enumerate(vs)]
+    query = [(1000 + i, v, 1) for i, v in enumerate(vs[70:130])]
+    t = spark.createDataFrame(train, "tid long, vec array<double>, label int, f int").drop("f")
+    q = spark.createDataFrame(query, "qid long, vec array<double>, f int").drop("f")
+    got = {}
+    for r in neighbours(t, q, 7).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["tid"])
+    assert got == _brute(train, query, 7, "euclidean")
+    assert not neighbours(t.where("tid < 0"), q, 7).collect()
+    assert neighbours(t.where("tid < 3"), q, 7).count() == 3 * len(query)
+    bad = q.unionByName(spark.createDataFrame([(1, [1.0, None, 0.0, 0.0, 0.0])], "qid long, vec array<double>"))
+    with pytest.raises(Exception, match="coordinate is null"):
+        neighbours(t, bad, 7).collect()
