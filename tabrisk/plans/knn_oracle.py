@@ -1,13 +1,13 @@
 """DuckDB SQL for the KNN queries: brute force (every test row against every
-training row), which is what the ring-pruned Spark plan must reproduce."""
+training row), which is what the cell-pruned Spark plan must reproduce."""
 
 from __future__ import annotations
 
-from tabrisk.contract import EMBED_FEATURES
+from tabrisk.contract import EMBED_BLOCKS, EMBED_FEATURES
 from tabrisk.plans.knn_queries import ABLATION_MODELS, DEFAULT_K, KNN_K, N_REPEATS
 from tabrisk.plans.oracle import _quotas
 
-F8 = list(EMBED_FEATURES)
+FEATS = list(EMBED_FEATURES)
 KLIST = "[" + ", ".join(str(k) for k in KNN_K) + "]"
 
 
@@ -22,16 +22,16 @@ def _scaled(c: str, s: str = "s") -> str:
             f"(CASE WHEN {s}.hi_{c} > {s}.lo_{c} THEN {s}.hi_{c} - {s}.lo_{c} ELSE 1.0 END)))")
 
 
-E8 = ("e8 AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(F8))
+EM = ("em AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(FEATS))
       + ", CAST(label < 5 AS INTEGER) AS label, md5(concat_ws('-', '42', vec_id)) AS h FROM embeddings)")
-STATS_ALL = ", ".join(f"median({c}) AS med_{c}, min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in F8)
+STATS_ALL = ", ".join(f"median({c}) AS med_{c}, min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in FEATS)
 
-SPLIT8 = f"""{E8},
-q AS {_quotas('e8')},
-r AS (SELECT e.*, row_number() OVER (PARTITION BY label ORDER BY h) AS rk FROM e8 e),
+SPLIT = f"""{EM},
+q AS {_quotas('em')},
+r AS (SELECT e.*, row_number() OVER (PARTITION BY label ORDER BY h) AS rk FROM em e),
 sp AS (SELECT r.*, q.quota, CASE WHEN rk <= q.quota THEN 'test' ELSE 'train' END AS split FROM r JOIN q USING (label)),
 st AS (SELECT {STATS_ALL} FROM sp WHERE split = 'train'),
-x AS (SELECT vec_id, label, split, {", ".join(f"{_scaled(c)} AS {c}" for c in F8)} FROM sp, st s)"""
+x AS (SELECT vec_id, label, split, {", ".join(f"{_scaled(c)} AS {c}" for c in FEATS)} FROM sp, st s)"""
 
 # --- knn_predict: 64 dims -----------------------------------------------------
 _D64 = "sqrt(0.0 + " + " + ".join(f"((te.v[{i}] - tr.v[{i}]) * (te.v[{i}] - tr.v[{i}]))" for i in range(1, 65)) + ")"
@@ -49,16 +49,16 @@ SELECT qid AS vec_id, actual, CASE WHEN avg(t_label) > 0.5 THEN 1 ELSE 0 END AS
 FROM nb WHERE rank <= {DEFAULT_K} GROUP BY qid, actual"""
 
 # --- knn_grid / best_params ------------------------------------------------------
-KNN_GRID = f"""WITH {E8},
-q AS {_quotas('e8')},
-r AS (SELECT e.*, row_number() OVER (PARTITION BY label ORDER BY h) AS rk FROM e8 e),
+KNN_GRID = f"""WITH {EM},
+q AS {_quotas('em')},
+r AS (SELECT e.*, row_number() OVER (PARTITION BY label ORDER BY h) AS rk FROM em e),
 sp AS (SELECT r.*, (rk - q.quota - 1) % 5 AS fold FROM r JOIN q USING (label) WHERE rk > q.quota),
 sf AS (SELECT DISTINCT fold AS stat_fold FROM sp),
 st AS (SELECT stat_fold, {STATS_ALL} FROM sf JOIN sp ON sp.fold <> sf.stat_fold GROUP BY stat_fold),
-x AS (SELECT sp.vec_id, sp.label, sp.fold, s.stat_fold, {", ".join(f"{_scaled(c)} AS {c}" for c in F8)}
+x AS (SELECT sp.vec_id, sp.label, sp.fold, s.stat_fold, {", ".join(f"{_scaled(c)} AS {c}" for c in FEATS)}
       FROM sp, st s),
 pairs AS (SELECT qq.stat_fold, qq.vec_id AS qid, qq.label AS q_label, t.vec_id AS tid, t.label AS t_label,
-                 {_d('qq', 't', F8)} AS de, {_d('qq', 't', F8, 'manhattan')} AS dm
+                 {_d('qq', 't', FEATS)} AS de, {_d('qq', 't', FEATS, 'manhattan')} AS dm
           FROM x qq JOIN x t ON qq.stat_fold = t.stat_fold AND qq.fold = qq.stat_fold AND t.fold <> qq.stat_fold),
 nb AS (SELECT stat_fold, qid, q_label, tid, t_label, 'euclidean' AS metric, de AS dist,
               row_number() OVER (PARTITION BY stat_fold, qid ORDER BY de, tid) AS rank FROM pairs
@@ -96,15 +96,16 @@ SELECT 'KNN' AS model,
 
 # --- ablation ------------------------------------------------------------------------
 _VARIANTS = " UNION ALL ".join(
-    [f"SELECT vec_id, label, split, 'None' AS removed, {', '.join(F8)} FROM x"]
-    + [f"SELECT vec_id, label, split, '{f}', {', '.join('0.0' if c == f else c for c in F8)} FROM x" for f in F8])
+    [f"SELECT vec_id, label, split, 'None' AS removed, {', '.join(FEATS)} FROM x"]
+    + [f"SELECT vec_id, label, split, '{n}', {', '.join('0.0' if a <= i < b else c for i, c in enumerate(FEATS))} FROM x"
+       for n, (a, b) in EMBED_BLOCKS.items()])
 
 
 def _ablation_acc(ks) -> str:
-    return f"""WITH {SPLIT8},
+    return f"""WITH {SPLIT},
 v AS ({_VARIANTS}),
 pairs AS (SELECT qq.removed, qq.vec_id AS qid, qq.label AS q_label, t.vec_id AS tid, t.label AS t_label,
-                 {_d('qq', 't', F8)} AS dist
+                 {_d('qq', 't', FEATS)} AS dist
           FROM v qq JOIN v t ON qq.removed = t.removed AND qq.split = 'test' AND t.split = 'train'),
 nb AS (SELECT *, row_number() OVER (PARTITION BY removed, qid ORDER BY dist, tid) AS rank FROM pairs),
 ks AS (SELECT unnest([{", ".join(str(k) for k in ks)}]) AS k),
@@ -125,22 +126,23 @@ ABLATION_OUTER_JOIN = _ablation_acc(list(ABLATION_MODELS.values())) + "\nSELECT
     for name, k in ABLATION_MODELS.items()) + " FROM ch GROUP BY removed"
 
 # --- permutation importance -------------------------------------------------------------
-_FEATS_VALUES = ", ".join(f"('{c}')" for c in F8)
-PERMUTATION_IMPORTANCE = f"""WITH {SPLIT8},
+_BLOCK_VALUES = ", ".join(f"('{n}')" for n in EMBED_BLOCKS)
+_BLOCK_OF = [n for n, (a, b) in EMBED_BLOCKS.items() for _ in range(a, b)]
+PERMUTATION_IMPORTANCE = f"""WITH {SPLIT},
 te AS (SELECT * FROM x WHERE split = 'test'),
 tr AS (SELECT * FROM x WHERE split = 'train'),
 pos AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS pos FROM te),
-reps AS (SELECT f.feature, r.rep FROM (VALUES {_FEATS_VALUES}) f(feature), range(0, {N_REPEATS}) r(rep)),
+reps AS (SELECT f.feature, r.rep FROM (VALUES {_BLOCK_VALUES}) f(feature), range(0, {N_REPEATS}) r(rep)),
 long AS (SELECT p.*, reps.feature, reps.rep FROM pos p, reps),
 donors AS (SELECT feature, rep,
                   row_number() OVER (PARTITION BY feature, rep ORDER BY md5(concat_ws('-', '42', feature, rep, vec_id))) AS pos,
-                  CASE feature {" ".join(f"WHEN '{c}' THEN {c}" for c in F8)} END AS donor FROM long),
-sh AS (SELECT l.vec_id, l.label, l.feature, l.rep,
-              {", ".join(f"CASE WHEN l.feature = '{c}' THEN d.donor ELSE l.{c} END AS {c}" for c in F8)}
-       FROM long l JOIN donors d USING (feature, rep, pos)
-       UNION ALL SELECT vec_id, label, 'None', -1, {", ".join(F8)} FROM te),
+                  vec_id AS donor FROM long),
+sh AS (SELECT l.vec_id AS vec_id, l.label AS label, l.feature AS feature, l.rep AS rep,
+              {", ".join(f"CASE WHEN l.feature = '{n}' THEN o.{c} ELSE l.{c} END AS {c}" for n, c in zip(_BLOCK_OF, FEATS))}
+       FROM long l JOIN donors d USING (feature, rep, pos) JOIN te o ON o.vec_id = d.donor
+       UNION ALL SELECT vec_id, label, 'None', -1, {", ".join(FEATS)} FROM te),
 pairs AS (SELECT s.feature, s.rep, s.vec_id AS qid, s.label AS q_label, t.vec_id AS tid, t.label AS t_label,
-                 {_d('s', 't', F8)} AS dist FROM sh s, tr t),
+                 {_d('s', 't', FEATS)} AS dist FROM sh s, tr t),
 nb AS (SELECT *, row_number() OVER (PARTITION BY feature, rep, qid ORDER BY dist, tid) AS rank FROM pairs),
 pred AS (SELECT feature, rep, qid, q_label, CASE WHEN avg(t_label) > 0.5 THEN 1 ELSE 0 END AS p
          FROM nb WHERE rank <= {DEFAULT_K} GROUP BY feature, rep, qid, q_label),

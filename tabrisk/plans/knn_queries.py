@@ -1,24 +1,25 @@
 """KNN queries: prediction, grid search, ablation, permutation importance.
 
-Inputs are the ``embeddings`` table: the whole 64-dim vector for
-``knn_predict``, its first 8 dimensions as an 8-feature patient-like table
-(class = label < 5) for the rest.  Each query is one or two neighbour runs
+Inputs are the ``embeddings`` table with every dimension as a feature
+(class = label < 5).  Ablation and permutation leave out or shuffle one
+block of features at a time (``EMBED_BLOCKS`` covers them all).  Each query is one or two neighbour runs
 (``operators.knn.neighbours``) over all variants at once: folds, removed
 features or permutation repeats are join keys, not loops.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabrisk.contract import EMBED_FEATURES, N_FOLDS, RANDOM_STATE
+from tabrisk.contract import EMBED_BLOCKS, EMBED_FEATURES, N_FOLDS, RANDOM_STATE
 from tabrisk.functions.expressions import hash_key, strip_param_prefix
 from tabrisk.operators.knn import grid_votes, neighbours, vote
 from tabrisk.operators.prep import RiskPreprocessor
 from tabrisk.operators.ranking import bucketed_row_number
-from tabrisk.operators.split import split_and_folds, stratified_split
-from tabrisk.sources.tables import embed8, embed_full
+from tabrisk.operators.split import bucket_digits, split_and_folds, stratified_split
+from tabrisk.session import cut_lineage, run_parallel
+from tabrisk.sources.tables import embed_full
 
 # --- Fixed values: the KNN search grid (order is the grid order) -------------
 KNN_K = (3, 5, 7, 9, 11, 13, 15, 17, 19, 21, 25, 31)
@@ -31,50 +32,52 @@ N_REPEATS = 30          # permutation repeats per feature
 FEATS = list(EMBED_FEATURES)
 
 
+def _statistics(train: DataFrame) -> tuple[list[float], list[float], list[float]]:
+    """Median, minimum and span of every dimension of ``vec``."""
+    cols = train.select(*[F.col("vec")[i].alias(c) for i, c in enumerate(FEATS)])
+    fitted = RiskPreprocessor(inputCols=FEATS).fit(cols).stats()
+    stats = [fitted[c] for c in FEATS]
+    return [m for m, _, _ in stats], [lo for _, lo, _ in stats], [hi - lo if hi > lo else 1.0 for _, lo, hi in stats]
+
+
+def _scaled(vec: str, med: Column, lo: Column, span: Column) -> Column:
+    """Impute, scale and clip the whole vector (arrays of statistics)."""
+    return F.transform(vec, lambda v, i: F.greatest(F.lit(0.0), F.least(
+        F.lit(1.0), (F.coalesce(F.nanvl(v, F.lit(None).cast("double")), med[i]) - lo[i]) / span[i])))
+
+
 def _scaled_split(spark: SparkSession, sf_dir: str):
-    """embed8 -> stratified split -> preprocessing fitted on train -> (train,
-    test) with ``vec`` = the 8 scaled features."""
-    em = embed8(spark, sf_dir)
-    sp = stratified_split(em, "label", ["vec_id"])
-    model = RiskPreprocessor(inputCols=FEATS).fit(sp.where(F.col("split") == "train"))
-    x = model.transform(sp)
+    """Embeddings -> stratified split -> preprocessing fitted on train ->
+    (train, test) with ``vec`` = the scaled features."""
+    sp = cut_lineage(stratified_split(embed_full(spark, sf_dir), "label", ["vec_id"]))
+    med, lo, span = _statistics(sp.where(F.col("split") == "train"))
+    x = sp.withColumn("vec", _scaled("vec", F.lit(med), F.lit(lo), F.lit(span)))
     return x.where(F.col("split") == "train"), x.where(F.col("split") == "test")
 
 
 def knn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """15 nearest training vectors (64 dims, Euclidean) of every
     test vector; class by uniform vote, probability = share of class 1."""
-    em = embed_full(spark, sf_dir)
-    dims = em.select(F.max(F.size("vec"))).first()[0]
-    cols = [f"d{i}" for i in range(dims)]
-    em = em.select("vec_id", "label", *[F.col("vec")[i].alias(c) for i, c in enumerate(cols)])
-    sp = stratified_split(em, "label", ["vec_id"])
-    train = sp.where(F.col("split") == "train").select(F.col("vec_id").alias("tid"), "label", *cols)
-    test = sp.where(F.col("split") == "test").select(F.col("vec_id").alias("qid"),
-                                                     F.col("label").alias("actual"), *cols)
-    # the vector as columns: the distance is plain arithmetic that codegen compiles
-    nb = neighbours(train, test, DEFAULT_K, "euclidean", qkeys=("qid", "actual"), vec=cols)
+    sp = stratified_split(embed_full(spark, sf_dir), "label", ["vec_id"])
+    train = sp.where(F.col("split") == "train").withColumnRenamed("vec_id", "tid")
+    test = sp.where(F.col("split") == "test").select(F.col("vec_id").alias("qid"), F.col("label").alias("actual"), "vec")
+    nb = neighbours(train, test, DEFAULT_K, "euclidean", qkeys=("qid", "actual"))
     v = vote(nb, DEFAULT_K, "uniform", keys=("qid", "actual"))
     return v.select(F.col("qid").alias("vec_id"), "actual", "prediction",
                     F.round("probability", 9).alias("probability"))
 
 
 def _cv_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training rows of embed8 with a fold, scaled once per fold with the
-    statistics of the other folds (no leakage), as one long table keyed by
-    ``stat_fold``: the 5 fits are 5 small aggregates, the rows a narrow union."""
-    em = embed8(spark, sf_dir)
-    sp = split_and_folds(em, "label", ["vec_id"])
-    train = sp.where(F.col("split") == "train")
-    parts = []
-    for f in range(N_FOLDS):
-        m = RiskPreprocessor(inputCols=FEATS).fit(train.where(F.col("fold") != f))
-        parts.append(m.transform(train).select("vec_id", "label", "fold", F.lit(f).alias("stat_fold"),
-                                               *FEATS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Training rows with a fold, scaled once per fold with the statistics of
+    the other folds (no leakage), as one long table keyed by ``stat_fold``."""
+    sp = split_and_folds(embed_full(spark, sf_dir), "label", ["vec_id"])
+    train = cut_lineage(sp.where(F.col("split") == "train").select("vec_id", "label", "fold", "vec"))
+    fits = run_parallel(lambda f: _statistics(train.where(F.col("fold") != f)), list(range(N_FOLDS)), N_FOLDS)
+    scales = F.array(*[F.struct(F.lit(f).alias("stat_fold"), F.lit(med).alias("_med"), F.lit(lo).alias("_lo"),
+                                F.lit(span).alias("_span")) for f, (med, lo, span) in enumerate(fits)])
+    long = train.select("*", F.inline(scales))
+    return long.select("vec_id", "label", "fold", "stat_fold",
+                       _scaled("vec", F.col("_med"), F.col("_lo"), F.col("_span")).alias("vec"))
 
 
 def knn_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,13 +86,13 @@ def knn_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     neighbour table.  Mean and population std of fold accuracy, rank."""
     cv = _cv_table(spark, sf_dir)
     q = cv.where(F.col("fold") == F.col("stat_fold")).select(
-        F.col("vec_id").alias("qid"), F.col("label").alias("q_label"), "stat_fold", *FEATS)
+        F.col("vec_id").alias("qid"), F.col("label").alias("q_label"), "stat_fold", "vec")
     t = cv.where(F.col("fold") != F.col("stat_fold")).select(
-        F.col("vec_id").alias("tid"), "label", "stat_fold", *FEATS)
+        F.col("vec_id").alias("tid"), "label", "stat_fold", "vec")
     kmax = max(KNN_K)
     nbs = None
     for metric in KNN_METRICS:
-        nb = neighbours(t, q, kmax, metric, qkeys=("qid", "q_label"), vec=FEATS, same_on=("stat_fold",))
+        nb = neighbours(t, q, kmax, metric, qkeys=("qid", "q_label"), same_on=("stat_fold",))
         nb = nb.withColumn("metric", F.lit(metric))
         nbs = nb if nbs is None else nbs.unionByName(nb)
     votes = grid_votes(nbs, list(KNN_K), keys=("qid", "q_label", "stat_fold", "metric"))
@@ -124,22 +127,22 @@ def best_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ablation_long(x: DataFrame) -> DataFrame:
-    """Each row once per variant: all features ('None') and each feature
-    left out.  Leaving a feature out = setting it to 0 in both rows of a
-    pair, which removes its term from the distance."""
-    variants = [F.struct(F.lit("None").alias("removed"), *[F.col(c).alias(c) for c in FEATS])]
-    for f in FEATS:
-        variants.append(F.struct(F.lit(f).alias("removed"),
-                                 *[(F.lit(0.0) if c == f else F.col(c)).alias(c) for c in FEATS]))
-    return x.select("vec_id", "label", F.inline(F.array(*variants)))
+    """Each row once per variant: all features ('None') and each block left
+    out.  Leaving a block out = setting it to 0 in both rows of a pair, which
+    removes its terms from the distance."""
+    variants = F.array(*[F.struct(F.lit(n).alias("removed"), F.lit(a).alias("_a"), F.lit(b).alias("_b"))
+                         for n, (a, b) in {"None": (0, 0), **EMBED_BLOCKS}.items()])
+    return x.select("vec_id", "label", "vec", F.inline(variants)).select(
+        "vec_id", "label", "removed", F.transform("vec", lambda v, i: F.when(
+            (i >= F.col("_a")) & (i < F.col("_b")), 0.0).otherwise(v)).alias("vec"))
 
 
 def _knn_ablation(spark, sf_dir, ks=(DEFAULT_K,)) -> DataFrame:
     train, test = _scaled_split(spark, sf_dir)
     t = _ablation_long(train).withColumnRenamed("vec_id", "tid")
     q = _ablation_long(test).select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"),
-                                    "removed", *FEATS)
-    nb = neighbours(t, q, max(ks), "euclidean", qkeys=("qid", "q_label"), vec=FEATS, same_on=("removed",))
+                                    "removed", "vec")
+    nb = neighbours(t, q, max(ks), "euclidean", qkeys=("qid", "q_label"), same_on=("removed",))
     votes = grid_votes(nb, list(ks), keys=("qid", "q_label", "removed")).where(F.col("weights") == "uniform")
     acc = votes.groupBy("k", "removed").agg(
         F.avg((F.col("prediction") == F.col("q_label")).cast("double")).alias("accuracy"))
@@ -148,7 +151,7 @@ def _knn_ablation(spark, sf_dir, ks=(DEFAULT_K,)) -> DataFrame:
 
 
 def knn_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy with every feature and with each one left
+    """Accuracy with every feature and with each block left
     out, and the change against the full set (one neighbour run)."""
     a = _knn_ablation(spark, sf_dir)
     return a.select(F.lit("KNN").alias("model"), F.col("removed").alias("removed_feature"),
@@ -171,47 +174,47 @@ def ablation_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide
 
 
-def permuted_rows(test: DataFrame, features: list[str], row_id: str = "vec_id",
+def permuted_rows(test: DataFrame, blocks: dict[str, tuple[int, int]], row_id: str = "vec_id",
                   repeats: int = N_REPEATS, seed: int = RANDOM_STATE) -> DataFrame:
-    """E11 input: for every (feature, repeat) all test rows with that
-    feature's values shuffled, plus the unshuffled rows as feature 'None'.
+    """E11 input: for every (feature block, repeat) all test rows with that
+    block of ``vec`` shuffled, plus the unshuffled rows as feature 'None'.
 
-    Row i (position by id) takes the value of the row whose position in
+    Row i (position by id) takes the block of the row whose position in
     md5('seed-feature-repeat-id') order is i.  Both positions come from
     bucket offsets (ranking.py), and the hand-over is an equi-join on
     (feature, repeat, position): no task ever ranks the whole test set."""
     from tabrisk.operators.ranking import position_by_key
-    pos = position_by_key(test, row_id, out="_pos")
-    reps = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                     for f in features for r in range(repeats)])
+    pos = cut_lineage(position_by_key(test.select(row_id, "label", "vec"), row_id, out="_pos"))
+    reps = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"), F.lit(a).alias("_a"), F.lit(b).alias("_z"))
+                     for f, (a, b) in blocks.items() for r in range(repeats)])
     long = pos.select("*", F.inline(reps))
-    h = hash_key(seed, "feature", "rep", row_id)
-    donors = long.select("feature", "rep", row_id, *features).withColumn("_h", h) \
-                 .withColumn("_b", F.substring("_h", 1, 3))
-    donors = bucketed_row_number(donors, ["feature", "rep"], "_b", ["_h"], out="_pos")
-    value = F.element_at(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f))]), F.col("feature"))
-    donors = donors.select("feature", "rep", "_pos", value.alias("_donor"))
+    donors = long.select("feature", "rep", row_id, F.slice("vec", F.col("_a") + 1, F.col("_z") - F.col("_a")).alias("_donor"),
+                         hash_key(seed, "feature", "rep", row_id).alias("_h"))
+    donors = donors.withColumn("_b", F.substring("_h", 1, bucket_digits(pos.count())))
+    donors = bucketed_row_number(donors, ["feature", "rep"], "_b", ["_h"], out="_pos").select(
+        "feature", "rep", "_pos", "_donor")
     shuffled = long.join(donors, ["feature", "rep", "_pos"]).select(
         row_id, "label", "feature", "rep",
-        *[F.when(F.col("feature") == f, F.col("_donor")).otherwise(F.col(f)).alias(f) for f in features])
-    plain = test.select(row_id, "label", F.lit("None").alias("feature"), F.lit(-1).alias("rep"), *features)
+        F.transform("vec", lambda v, i: F.when((i >= F.col("_a")) & (i < F.col("_z")), F.get("_donor", i - F.col("_a")))
+                    .otherwise(v)).alias("vec"))
+    plain = pos.select(row_id, "label", F.lit("None").alias("feature"), F.lit(-1).alias("rep"), "vec")
     return shuffled.unionByName(plain)
 
 
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and std of the accuracy drop of the 15-NN model over
-    30 shuffles of each feature on the test rows; 240 variants and the
+    30 shuffles of each feature block on the test rows; all variants and the
     baseline in ONE neighbour run keyed by (feature, repeat)."""
     train, test = _scaled_split(spark, sf_dir)
-    perm = permuted_rows(test, FEATS)
-    q = perm.select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"), "feature", "rep", *FEATS)
-    t = train.select(F.col("vec_id").alias("tid"), "label", *FEATS)
-    nb = neighbours(t, q, DEFAULT_K, "euclidean", qkeys=("qid", "q_label", "feature", "rep"), vec=FEATS)
+    perm = permuted_rows(test, EMBED_BLOCKS)
+    q = perm.select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"), "feature", "rep", "vec")
+    t = train.select(F.col("vec_id").alias("tid"), "label", "vec")
+    nb = neighbours(t, q, DEFAULT_K, "euclidean", qkeys=("qid", "q_label", "feature", "rep"))
     v = vote(nb, DEFAULT_K, "uniform", keys=("qid", "q_label", "feature", "rep"))
     acc = v.groupBy("feature", "rep").agg(
         F.avg((F.col("prediction") == F.col("q_label")).cast("double")).alias("acc"))
     base = F.max(F.when(F.col("feature") == "None", F.col("acc"))).over(Window.partitionBy())
-    drops = acc.withColumn("drop", base - F.col("acc")).where(F.col("feature") != "None")   # 240 rows
+    drops = acc.withColumn("drop", base - F.col("acc")).where(F.col("feature") != "None")   # features x repeats
     return drops.groupBy("feature").agg(
         F.round(F.avg("drop"), 9).alias("importance_mean"),
         F.round(F.stddev_pop("drop"), 9).alias("importance_std")).select(

@@ -1,6 +1,6 @@
 """Queries over fitted models (no SQL oracle: iterative, seeded fits).
 
-The 8-feature embeddings table plays the patient table: stratified split,
+The embeddings table (every dimension a feature) plays the patient table: stratified split,
 folds, preprocessing fitted on training rows only, then the three model
 families.  Outputs are checked by invariant tests (probabilities in [0, 1],
 accuracy above the majority class, saved = loaded, ...).
@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabrisk.contract import EMBED_FEATURES, MODEL_NAMES
+from tabrisk.contract import EMBED_BLOCKS, EMBED_FEATURES, MODEL_NAMES
 from tabrisk.functions.expressions import risk_label
 from tabrisk.operators import metrics as M
 from tabrisk.operators.models import KnnRiskModel, fit_mlp, fit_svm
@@ -23,14 +23,14 @@ from tabrisk.operators.split import split_and_folds
 from tabrisk.operators.threshold import best_threshold, threshold_curve
 from tabrisk.plans.knn_queries import DEFAULT_K, _knn_ablation, permuted_rows
 from tabrisk.session import checkpoint_dir
-from tabrisk.sources.tables import embed8
+from tabrisk.sources.tables import embed_rows
 
 FEATS = list(EMBED_FEATURES)
 
 
 def prepared(spark: SparkSession, sf_dir: str):
     """(prep model, scaled train with folds, scaled test, scaled all rows)."""
-    em = embed8(spark, sf_dir)
+    em = embed_rows(spark, sf_dir)
     sp = split_and_folds(em, "label", ["vec_id"]).cache()
     prep = RiskPreprocessor(inputCols=FEATS).fit(sp.where(F.col("split") == "train"))
     x = prep.transform(sp)
@@ -127,7 +127,7 @@ def score_fitted_wide(spark, sf_dir):
     """A batch (all rows) scored by every model; display number (W4),
     inputs, and per model the risk label (P15) and percent probability (F3)."""
     _, train, _, allx = prepared(spark, sf_dir)
-    raw = embed8(spark, sf_dir)
+    raw = embed_rows(spark, sf_dir)
     scored = score_all(_three_models(train), allx.select("vec_id", "label", *FEATS))
     numbered = position_by_key(raw, "vec_id", out="row_number")
     cols = []
@@ -144,7 +144,9 @@ def importance_ranked(spark, sf_dir):
     overall (the permuted rows are scored in one pass per model)."""
     _, train, test, _ = prepared(spark, sf_dir)
     models = _three_models(train, calibrate=False)
-    perm = permuted_rows(test, FEATS).withColumn("_qk", F.concat_ws("-", "feature", "rep", "vec_id"))
+    shuffled = permuted_rows(test.select("vec_id", "label", F.array(*FEATS).alias("vec")), EMBED_BLOCKS)
+    perm = shuffled.select("vec_id", "label", "feature", "rep", *[F.col("vec")[i].alias(c) for i, c in enumerate(FEATS)])
+    perm = perm.withColumn("_qk", F.concat_ws("-", "feature", "rep", "vec_id"))
     drops = None
     for name, m in models.items():
         c = name.lower()
@@ -161,7 +163,7 @@ def importance_ranked(spark, sf_dir):
     team = sum(F.col(n) for n in MODEL_NAMES) / len(MODEL_NAMES)
     out = drops.withColumn("team_average", team)
     out = out.withColumn("overall_rank", F.row_number().over(
-        Window.orderBy(F.col("team_average").desc(), F.col("feature"))))          # 8 rows
+        Window.orderBy(F.col("team_average").desc(), F.col("feature"))))          # one row per feature
     for n in MODEL_NAMES:
         out = out.withColumn(f"{n.lower()}_rank", F.row_number().over(
             Window.orderBy(F.col(n).desc(), F.col("feature"))))
@@ -172,22 +174,22 @@ def importance_ranked(spark, sf_dir):
 
 
 def ablation_all_models(spark, sf_dir):
-    """Leave-one-feature-out accuracy of the three models side by
-    side.  KNN in one neighbour run; SVM and ANN refit per removed feature
+    """Leave-one-block-out accuracy of the three models side by
+    side.  KNN in one neighbour run; SVM and ANN refit per removed block
     (preprocessing is per column, so it is fitted once)."""
     _, train, test, _ = prepared(spark, sf_dir)
     knn = _knn_ablation(spark, sf_dir).select(F.lit("KNN").alias("model"), "removed", "accuracy")
     parts = [knn]
     for name in ("ANN", "SVM"):
         rows = []
-        for removed in [None] + FEATS:
-            cols = [c for c in FEATS if c != removed]
+        for removed, (first, end) in {"None": (0, 0), **EMBED_BLOCKS}.items():
+            cols = FEATS[:first] + FEATS[end:]
             m = (fit_mlp(train, cols, name) if name == "ANN"
                  else fit_svm(train, cols, name, kernel="rbf", C=1.0, gamma=gamma_scale(train, cols),
                               calibrate=False))
             c = name.lower()
             acc = m.score(test).agg(F.avg((F.col(f"{c}_prediction") == F.col("label")).cast("double"))).first()[0]
-            rows.append((name, removed or "None", float(acc)))
+            rows.append((name, removed, float(acc)))
         parts.append(spark.createDataFrame(rows, "model string, removed string, accuracy double"))
     long = parts[0]
     for p in parts[1:]:
@@ -211,7 +213,7 @@ def saved_model_check(spark, sf_dir):
     m.pipeline.write().overwrite().save(f"{root}/svm")
     prep2 = RiskPreprocessorModel.load(f"{root}/preprocessor")
     m2 = type(m)(m.name, PipelineModel.load(f"{root}/svm"), m.kind, m.platt)
-    raw_test = (split_and_folds(embed8(spark, sf_dir), "label", ["vec_id"])
+    raw_test = (split_and_folds(embed_rows(spark, sf_dir), "label", ["vec_id"])
                 .where(F.col("split") == "test").select("vec_id", "label", *FEATS))
     a = m.score(prep.transform(raw_test)).select("vec_id", F.col("svm_prediction").alias("a"))
     b = m2.score(prep2.transform(raw_test)).select("vec_id", F.col("svm_prediction").alias("b"))
@@ -254,10 +256,9 @@ def svm_grid(spark, sf_dir, grid=SVM_LINEAR_GRID):
     the linear block (C x class weight), preprocessing refit per fold.  The
     rbf block (``SVM_RBF_GRID``, 220 sets) runs through the same call."""
     from tabrisk.operators.tune import cv_grid, expand_grid, fold_tables
-    from tabrisk.plans.knn_queries import FEATS as F8
-    em = embed8(spark, sf_dir)
+    em = embed_rows(spark, sf_dir)
     train = split_and_folds(em, "label", ["vec_id"]).where(F.col("split") == "train")
-    folds = fold_tables(train, F8)
+    folds = fold_tables(train, FEATS)
     return cv_grid(folds, expand_grid(grid), _svm_fit_score).withColumn("model", F.lit("SVM"))
 
 
@@ -266,7 +267,7 @@ def mlp_grid(spark, sf_dir):
     The built-in MLP has no activation / L2 / Adam-rate options, so those
     grid axes have no counterpart here."""
     from tabrisk.operators.tune import cv_grid, fold_tables
-    em = embed8(spark, sf_dir)
+    em = embed_rows(spark, sf_dir)
     train = split_and_folds(em, "label", ["vec_id"]).where(F.col("split") == "train")
     folds = fold_tables(train, FEATS)
     grid = [{"hidden_layer_sizes": list(h)} for h in MLP_LAYER_SHAPES]

@@ -29,12 +29,16 @@ LINEITEM_KEYS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 LINEITEM_TIEBREAK = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-def embed8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as an 8-feature table: first 8 dimensions, class = label < 5."""
-    em = table(spark, sf_dir, "embeddings")
+def embed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as a feature table: every dimension a column, class = label
+    < 5.  A vector of another length is an error, not cut."""
+    n = len(EMBED_FEATURES)
+    x = F.when(F.size("embedding") == n, F.col("embedding")).otherwise(
+        F.raise_error(F.lit(f"embeddings: a vector does not have {n} dimensions")))
+    em = table(spark, sf_dir, "embeddings").select("vec_id", x.alias("embedding"), "label")
     return em.select(
         "vec_id",
-        *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(EMBED_FEATURES)],
+        *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(EMBED_FEATURES)],
         (F.col("label") < 5).cast("int").alias("label"))
 
 
