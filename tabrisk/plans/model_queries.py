@@ -22,7 +22,7 @@ from tabrisk.operators.ranking import position_by_key
 from tabrisk.operators.split import split_and_folds
 from tabrisk.operators.threshold import best_threshold, threshold_curve
 from tabrisk.plans.knn_queries import DEFAULT_K, _knn_ablation, permuted_rows
-from tabrisk.session import checkpoint_dir
+from tabrisk.session import checkpoint_dir, cut_lineage, run_parallel
 from tabrisk.sources.tables import embed_rows
 
 FEATS = list(EMBED_FEATURES)
@@ -31,9 +31,9 @@ FEATS = list(EMBED_FEATURES)
 def prepared(spark: SparkSession, sf_dir: str):
     """(prep model, scaled train with folds, scaled test, scaled all rows)."""
     em = embed_rows(spark, sf_dir)
-    sp = split_and_folds(em, "label", ["vec_id"]).cache()
+    sp = cut_lineage(split_and_folds(em, "label", ["vec_id"]))
     prep = RiskPreprocessor(inputCols=FEATS).fit(sp.where(F.col("split") == "train"))
-    x = prep.transform(sp)
+    x = cut_lineage(prep.transform(sp))
     return prep, x.where(F.col("split") == "train"), x.where(F.col("split") == "test"), x
 
 
@@ -146,7 +146,7 @@ def importance_ranked(spark, sf_dir):
     models = _three_models(train, calibrate=False)
     shuffled = permuted_rows(test.select("vec_id", "label", F.array(*FEATS).alias("vec")), EMBED_BLOCKS)
     perm = shuffled.select("vec_id", "label", "feature", "rep", *[F.col("vec")[i].alias(c) for i, c in enumerate(FEATS)])
-    perm = perm.withColumn("_qk", F.concat_ws("-", "feature", "rep", "vec_id"))
+    perm = cut_lineage(perm.withColumn("_qk", F.concat_ws("-", "feature", "rep", "vec_id")))
     drops = None
     for name, m in models.items():
         c = name.lower()
@@ -179,21 +179,18 @@ def ablation_all_models(spark, sf_dir):
     (preprocessing is per column, so it is fitted once)."""
     _, train, test, _ = prepared(spark, sf_dir)
     knn = _knn_ablation(spark, sf_dir).select(F.lit("KNN").alias("model"), "removed", "accuracy")
-    parts = [knn]
-    for name in ("ANN", "SVM"):
-        rows = []
-        for removed, (first, end) in {"None": (0, 0), **EMBED_BLOCKS}.items():
-            cols = FEATS[:first] + FEATS[end:]
-            m = (fit_mlp(train, cols, name) if name == "ANN"
-                 else fit_svm(train, cols, name, kernel="rbf", C=1.0, gamma=gamma_scale(train, cols),
-                              calibrate=False))
-            c = name.lower()
-            acc = m.score(test).agg(F.avg((F.col(f"{c}_prediction") == F.col("label")).cast("double"))).first()[0]
-            rows.append((name, removed, float(acc)))
-        parts.append(spark.createDataFrame(rows, "model string, removed string, accuracy double"))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+
+    def accuracy(task):
+        name, removed = task
+        first, end = EMBED_BLOCKS.get(removed, (0, 0))
+        cols = FEATS[:first] + FEATS[end:]
+        m = (fit_mlp(train, cols, name) if name == "ANN"
+             else fit_svm(train, cols, name, kernel="rbf", C=1.0, gamma=gamma_scale(train, cols),
+                          calibrate=False))
+        return name, removed, float(_accuracy(m.score(test), name))
+
+    rows = run_parallel(accuracy, [(n, r) for n in ("ANN", "SVM") for r in ("None", *EMBED_BLOCKS)], 8)
+    long = knn.unionByName(spark.createDataFrame(rows, "model string, removed string, accuracy double"))
     base = F.max(F.when(F.col("removed") == "None", F.col("accuracy"))).over(Window.partitionBy("model"))
     long = long.withColumn("change", F.col("accuracy") - base)
     return long.groupBy(F.col("removed").alias("removed_feature")).pivot("model", list(MODEL_NAMES)).agg(
@@ -257,7 +254,7 @@ def svm_grid(spark, sf_dir, grid=SVM_LINEAR_GRID):
     rbf block (``SVM_RBF_GRID``, 220 sets) runs through the same call."""
     from tabrisk.operators.tune import cv_grid, expand_grid, fold_tables
     em = embed_rows(spark, sf_dir)
-    train = split_and_folds(em, "label", ["vec_id"]).where(F.col("split") == "train")
+    train = cut_lineage(split_and_folds(em, "label", ["vec_id"]).where(F.col("split") == "train"))
     folds = fold_tables(train, FEATS)
     return cv_grid(folds, expand_grid(grid), _svm_fit_score).withColumn("model", F.lit("SVM"))
 
@@ -268,7 +265,7 @@ def mlp_grid(spark, sf_dir):
     grid axes have no counterpart here."""
     from tabrisk.operators.tune import cv_grid, fold_tables
     em = embed_rows(spark, sf_dir)
-    train = split_and_folds(em, "label", ["vec_id"]).where(F.col("split") == "train")
+    train = cut_lineage(split_and_folds(em, "label", ["vec_id"]).where(F.col("split") == "train"))
     folds = fold_tables(train, FEATS)
     grid = [{"hidden_layer_sizes": list(h)} for h in MLP_LAYER_SHAPES]
 
