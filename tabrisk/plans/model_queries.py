@@ -8,6 +8,7 @@ accuracy above the majority class, saved = loaded, ...).
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,11 +17,14 @@ from pyspark.sql import functions as F
 from tabrisk.contract import EMBED_BLOCKS, EMBED_FEATURES, MODEL_NAMES
 from tabrisk.functions.expressions import risk_label
 from tabrisk.operators import metrics as M
+from tabrisk.operators.mlp import persist_rows
 from tabrisk.operators.models import KnnRiskModel, fit_mlp, fit_svm
-from tabrisk.operators.prep import RiskPreprocessor
+from tabrisk.operators.prep import RiskPreprocessor, pooled_variance
 from tabrisk.operators.ranking import position_by_key
 from tabrisk.operators.split import split_and_folds
+from tabrisk.operators.svm import SVMSet, train_svms
 from tabrisk.operators.threshold import best_threshold, threshold_curve
+from tabrisk.operators.tune import expand_grid
 from tabrisk.plans.knn_queries import DEFAULT_K, _knn_ablation, permuted_rows
 from tabrisk.session import checkpoint_dir, cut_lineage, run_parallel
 from tabrisk.sources.tables import embed_rows
@@ -38,8 +42,8 @@ def prepared(spark: SparkSession, sf_dir: str):
 
 
 def gamma_scale(train: DataFrame, cols) -> float:
-    """1 / (n_features * variance of every value)."""
-    var = train.select(F.explode(F.array(*cols)).alias("v")).agg(F.var_pop("v")).first()[0]
+    """1 / (n_features * variance of every value), in one aggregate."""
+    var = pooled_variance(train, cols)
     return 1.0 / (len(cols) * var) if var else 1.0 / len(cols)
 
 
@@ -221,7 +225,7 @@ def saved_model_check(spark, sf_dir):
         (F.col("rows_scored") == F.col("same_predictions")).cast("int").alias("passed"))
 
 
-# --- Fixed values: the search grids of the SVM (linear block) and the MLP ---
+# --- Fixed values: the search grids of the SVM and the MLP ---
 SVM_LINEAR_GRID = [{"kernel": ["linear"],
                     "C": [0.001, 0.003, 0.01, 0.03, 0.05, 0.1, 0.3, 0.5, 1, 3, 10],
                     "class_weight": [None, "balanced"]}]
@@ -238,25 +242,31 @@ def _accuracy(scored: DataFrame, name: str) -> float:
     return scored.agg(F.avg((F.col(f"{c}_prediction") == F.col("label")).cast("double"))).first()[0]
 
 
-def _svm_fit_score(fit_rows: DataFrame, held: DataFrame, p: dict) -> float:
-    gamma = None
-    if p["kernel"] == "rbf":
-        g = p["gamma"]
-        gamma = gamma_scale(fit_rows, FEATS) if g == "scale" else (1.0 / len(FEATS) if g == "auto" else g)
-    m = fit_svm(fit_rows, FEATS, "SVM", C=float(p["C"]), kernel=p["kernel"], gamma=gamma,
-                balanced=p.get("class_weight") == "balanced", calibrate=False)
-    return _accuracy(m.score(held), "SVM")
-
-
-def svm_grid(spark, sf_dir, grid=SVM_LINEAR_GRID):
-    """E4 A10 A19 for the SVM: 5-fold CV accuracy of every parameter set of
-    the linear block (C x class weight), preprocessing refit per fold.  The
-    rbf block (``SVM_RBF_GRID``, 220 sets) runs through the same call."""
-    from tabrisk.operators.tune import cv_grid, expand_grid, fold_tables
-    em = embed_rows(spark, sf_dir)
-    train = cut_lineage(split_and_folds(em, "label", ["vec_id"]).where(F.col("split") == "train"))
-    folds = fold_tables(train, FEATS)
-    return cv_grid(folds, expand_grid(grid), _svm_fit_score).withColumn("model", F.lit("SVM"))
+def _svm_set(p: dict) -> SVMSet:
+    return SVMSet(float(p["C"]), p.get("gamma"), p["class_weight"] == "balanced")
+
+
+def svm_grid(spark, sf_dir, grid=SVM_LINEAR_GRID + SVM_RBF_GRID):
+    """E4 A10 A19 for the SVM: 5-fold CV accuracy of all 242 parameter sets
+    (linear: C x class weight; rbf: C x gamma x class weight), preprocessing
+    refit per fold, all fits in the same passes (``operators.svm``)."""
+    from tabrisk.plans.mlp_queries import REFIT, cv_long_table
+    sets = expand_grid(grid)
+    long, _ = cv_long_table(spark, sf_dir)
+    long = persist_rows(long.where(F.col("group") != REFIT))
+    fitted = train_svms(long, FEATS, [_svm_set(p) for p in sets])
+    long.unpersist()
+    rows = [(i, fold, f["correct"] / f["n"], int(f["converged"]), f["n_iter"])
+            for (fold, i), f in fitted.items() if f["n"]]
+    acc = spark.createDataFrame(rows, "grid_index int, fold int, acc double, converged int, n_iter int")
+    params = spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(sets)], "grid_index int, params string")
+    agg = acc.groupBy("grid_index").agg(
+        F.round(F.avg("acc"), 12).alias("cv_accuracy_mean"), F.round(F.stddev_pop("acc"), 12).alias("cv_accuracy_std"),
+        F.sum("converged").alias("folds_converged"), F.max("n_iter").alias("max_iterations"))
+    w = Window.orderBy(F.col("cv_accuracy_mean").desc())                        # one row per set
+    return agg.join(params, "grid_index").select(
+        "grid_index", "params", "cv_accuracy_mean", "cv_accuracy_std", "folds_converged", "max_iterations",
+        F.rank().over(w).alias("rank_test_score"), F.lit("SVM").alias("model"))
 
 
 def mlp_grid(spark, sf_dir):

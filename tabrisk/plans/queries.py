@@ -20,7 +20,7 @@ from tabrisk.sources.tables import table
 from tabrisk.operators import metrics as M
 from tabrisk.operators.threshold import best_threshold, threshold_curve
 from tabrisk.plans.datasets import event_predictions, event_predictions_folds
-from tabrisk.operators.prep import RiskPreprocessor
+from tabrisk.operators.prep import RiskPreprocessor, pooled_variance
 from tabrisk.operators.split import stratified_split
 from tabrisk.sources.tables import LINEITEM_KEYS, LINEITEM_TIEBREAK, lineitem_patients
 
@@ -211,15 +211,6 @@ def stratified_folds(spark, sf_dir):
     return split_and_folds(od, "o_orderstatus", ["o_orderkey"])
 
 
-def pooled_variance(df: DataFrame, cols) -> float:
-    """Population variance of all non-null values of ``cols`` together."""
-    row = df.agg(*[f(c) for c in cols for f in (F.count, F.avg, F.var_pop)]).first()
-    parts = [row[i:i + 3] for i in range(0, len(row), 3) if row[i]]
-    n = sum(k for k, _, _ in parts)
-    mean = sum(k * m for k, m, _ in parts) / n
-    return sum(k * (v + (m - mean) ** 2) for k, m, v in parts) / n
-
-
 def class_weights_gamma(spark, sf_dir):
     """A23 A24 on the scaled lineitem training rows: balanced class weights
     n / (2 n_c); gamma 'scale' = 1 / (p var(X)) and 'auto' = 1 / p."""
