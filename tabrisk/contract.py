@@ -119,6 +119,14 @@ PART = TableContract(
     row_id="p_partkey",
 )
 
+EVENT_BATCH = TableContract(
+    (
+        ColumnRule("user_id", 0, None, whole_number=True),
+        ColumnRule("value", 0, 250),
+    ),
+    row_id="event_id",
+)
+
 # every dimension of the embeddings table is a feature (the loader checks the length)
 EMBED_FEATURES = tuple(f"e{i}" for i in range(64))
 # leave-out and shuffle reports of a wide table work on blocks of its features: name -> (first, end)

@@ -9,7 +9,7 @@ accuracy above the majority class, saved = loaded, ...).
 from __future__ import annotations
 
 import json
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from tabrisk.contract import EMBED_BLOCKS, EMBED_FEATURES, MODEL_NAMES
 from tabrisk.functions.expressions import risk_label
 from tabrisk.operators import metrics as M
 from tabrisk.operators.mlp import persist_rows
-from tabrisk.operators.models import KnnRiskModel, fit_mlp, fit_svm
+from tabrisk.operators.models import KnnRiskModel, fit_mlp, fit_svm, load_models
 from tabrisk.operators.prep import RiskPreprocessor, pooled_variance
 from tabrisk.operators.ranking import position_by_key
 from tabrisk.operators.split import split_and_folds
@@ -202,26 +202,27 @@ def ablation_all_models(spark, sf_dir):
 
 
 def saved_model_check(spark, sf_dir):
-    """Save the fitted preprocessing + SVM pipelines to the shared
-    checkpoint folder, load them back, score the test rows with both and
-    compare."""
-    from pyspark.ml import PipelineModel
+    """Save the preprocessing and the three models (the SVM with
+    its calibration and a threshold), load what the registry finds, score the
+    raw test rows with both and compare classes and probabilities."""
     from tabrisk.operators.prep import RiskPreprocessorModel
     prep, train, test, _ = prepared(spark, sf_dir)
-    m = fit_svm(train, FEATS, kernel="linear", C=1.0, calibrate=False)
-    root = os.path.join(checkpoint_dir(spark), "models")
+    models = _three_models(train)
+    models["SVM"].threshold = 0.45
+    root = f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
     prep.write().overwrite().save(f"{root}/preprocessor")
-    m.pipeline.write().overwrite().save(f"{root}/svm")
-    prep2 = RiskPreprocessorModel.load(f"{root}/preprocessor")
-    m2 = type(m)(m.name, PipelineModel.load(f"{root}/svm"), m.kind, m.platt)
-    raw_test = (split_and_folds(embed_rows(spark, sf_dir), "label", ["vec_id"])
-                .where(F.col("split") == "test").select("vec_id", "label", *FEATS))
-    a = m.score(prep.transform(raw_test)).select("vec_id", F.col("svm_prediction").alias("a"))
-    b = m2.score(prep2.transform(raw_test)).select("vec_id", F.col("svm_prediction").alias("b"))
-    j = a.join(b, "vec_id")
-    return j.agg(F.count(F.lit(1)).alias("rows_scored"),
-                 F.sum((F.col("a") == F.col("b")).cast("int")).alias("same_predictions")).select(
-        F.lit("SVM").alias("model"), F.lit(f"{root}/svm").alias("path"), "rows_scored", "same_predictions",
+    for name, m in models.items():
+        m.save(spark, f"{root}/{name}")
+    loaded, prep2 = load_models(spark, root), RiskPreprocessorModel.load(f"{root}/preprocessor")
+    raw = cut_lineage(embed_rows(spark, sf_dir).join(test.select("vec_id"), "vec_id", "left_semi"))
+    a, b = (score_all(ms, p.transform(raw)).select("vec_id", *[
+        F.struct(f"{n.lower()}_prediction", F.round(f"{n.lower()}_probability", 9)).alias(f"{n}_{side}") for n in MODEL_NAMES])
+        for ms, p, side in ((models, prep, "a"), (loaded, prep2, "b")))
+    both = a.join(b, "vec_id").select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("model"), F.col(f"{n}_a").eqNullSafe(F.col(f"{n}_b")).alias("same")) for n in MODEL_NAMES])))
+    return both.groupBy("model").agg(F.count(F.lit(1)).alias("rows_scored"),
+                                     F.count_if("same").alias("same_predictions")).select(
+        "model", "rows_scored", "same_predictions",
         (F.col("rows_scored") == F.col("same_predictions")).cast("int").alias("passed"))
 
 

@@ -316,7 +316,7 @@ SELECT doc_id, model, version, content_hash FROM wanted w
 WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.content_hash = w.content_hash
                   AND s.model = w.model AND s.version = w.version)"""
 
-from tabrisk.plans.datasets import RULE_MODELS  # noqa: E402
+from tabrisk.plans.datasets import ACTUAL_SQL, RULE_MODELS  # noqa: E402
 
 SCORE_BATCH_LONG = f"""WITH p AS ({predictions_sql()}),
 pos AS (SELECT event_id AS row_id, row_number() OVER (ORDER BY event_id) AS row_number FROM events)
@@ -330,6 +330,43 @@ SCORE_BATCH_WIDE = "SELECT row_number() OVER (ORDER BY event_id) AS row_number,
     + (f"round(CAST({prob} AS DOUBLE) * 100, 2)" if prob else "CAST(NULL AS DOUBLE)") + f" AS {name.lower()}_percent"
     for name, (prob, pred) in RULE_MODELS.items()) + " FROM events"
 
+_THREE = [n for n, (prob, _) in RULE_MODELS.items() if prob]
+IMPORTANCE_RULES = f"""WITH e AS (SELECT event_id, user_id, value, {ACTUAL_SQL} AS label,
+                  row_number() OVER (ORDER BY event_id) AS pos FROM events),
+reps AS (SELECT f.feature, r.rep FROM (VALUES ('user_id'), ('value')) f(feature), range(0, 30) r(rep)),
+d AS (SELECT feature, rep, user_id AS donor_user, value AS donor_value,
+             row_number() OVER (PARTITION BY feature, rep ORDER BY md5(concat_ws('-', '42', feature, rep, event_id))) AS pos
+      FROM e, reps),
+s AS (SELECT feature, rep, label, CASE WHEN feature = 'user_id' THEN donor_user ELSE user_id END AS user_id,
+             CASE WHEN feature = 'value' THEN donor_value ELSE value END AS value FROM d JOIN e USING (pos)
+      UNION ALL SELECT 'None', -1, label, user_id, value FROM e),
+acc AS (SELECT feature, rep, {", ".join(f"avg(CASE WHEN ({RULE_MODELS[n][1]}) = label THEN 1.0 ELSE 0.0 END) AS {n}" for n in _THREE)}
+        FROM s GROUP BY feature, rep),
+dr AS (SELECT feature, {", ".join(f"round(max(CASE WHEN feature = 'None' THEN {n} END) OVER () - {n}, 9) AS {n}" for n in _THREE)} FROM acc),
+t AS (SELECT feature, {", ".join(f"round(avg({n}), 9) AS {n}" for n in _THREE)} FROM dr WHERE feature <> 'None' GROUP BY feature),
+w AS (SELECT *, round(({" + ".join(_THREE)}) / 3, 9) AS team_average FROM t),
+k AS (SELECT *, CAST(row_number() OVER (ORDER BY team_average DESC, feature) AS INTEGER) AS overall_rank,
+      {", ".join(f"CAST(row_number() OVER (ORDER BY {n} DESC, feature) AS INTEGER) AS {n.lower()}_rank" for n in _THREE)} FROM w)
+SELECT *, CAST(overall_rank = 1 AS INTEGER) AS is_top FROM k"""
+
+# A saved model must score every test row as the fitted one does.
+SAVED_MODEL_CHECK = f"""WITH e AS (SELECT CAST(label < 5 AS INTEGER) AS label FROM embeddings),
+q AS {_quotas('e')},
+n AS (SELECT CAST(sum(quota) AS BIGINT) AS n FROM q)
+SELECT m.model, n AS rows_scored, n AS same_predictions, CAST(1 AS INTEGER) AS passed
+FROM n, (VALUES ('ANN'), ('KNN'), ('SVM')) m(model)"""
+
+BATCH_APPEND_HISTORY = """WITH c AS (SELECT *, value < 0 OR value > 250 OR user_id < 0 AS bad FROM events),
+t AS (SELECT count(*) AS rows_in, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS rows_refused
+      FROM (SELECT coalesce(bad, FALSE) AS bad FROM c)),
+h AS (""" + "\n UNION ALL ".join(
+    f"SELECT '{name}' AS model, " + (f"round(CAST({prob} AS DOUBLE) * 100, 2)" if prob else "CAST(NULL AS DOUBLE)")
+    + f" AS probability, CASE WHEN {pred} = 1 THEN 'High Risk' ELSE 'Low Risk' END AS prediction, user_id, value"
+    " FROM c WHERE NOT coalesce(bad, FALSE)" for name, (prob, pred) in RULE_MODELS.items()) + """)
+SELECT model, prediction, count(*) AS n, round(avg(probability), 6) AS avg_probability,
+       round(sum(value), 4) AS sum_value, count(DISTINCT user_id) AS n_users, rows_in, rows_refused
+FROM h, t GROUP BY model, prediction, rows_in, rows_refused"""
+
 ORACLE = {
     "prep_scaled_by_split": PREP_SCALED_BY_SPLIT,
     "confusion_matrix": CONFUSION_MATRIX,
@@ -353,6 +390,9 @@ ORACLE = {
     "history_report": HISTORY_REPORT,
     "history_latest": HISTORY_LATEST,
     "history_full": HISTORY_FULL,
+    "importance_rules": IMPORTANCE_RULES,
+    "saved_model_check": SAVED_MODEL_CHECK,
+    "batch_append_history": BATCH_APPEND_HISTORY,
     "rescore_pending": RESCORE_PENDING,
     "score_batch_long": SCORE_BATCH_LONG,
     "score_batch_wide": SCORE_BATCH_WIDE,

@@ -6,16 +6,20 @@ columns are aliased to the names used by the matching SQL in ``oracle.py``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabrisk.contract import CUSTOMER, LINEITEM, PART, ColumnRule, TableContract
+from tabrisk.contract import CUSTOMER, EVENT_BATCH, HISTORY_TIME_FORMAT, LINEITEM, MODEL_NAMES, PART, ColumnRule, TableContract
 from tabrisk.functions.expressions import to_number
 from tabrisk.operators import audit as AU
 from tabrisk.operators import validate as V
 from tabrisk.operators.ranking import bottom_k, position_by_key
 from tabrisk.operators.split import split_and_folds
-from tabrisk.plans.datasets import event_history
+from tabrisk.plans.datasets import ACTUAL_SQL, RULE_MODELS, event_history
+from tabrisk.session import checkpoint_dir
+from tabrisk.sources.history import append_history, clear_history, load_history
 from tabrisk.sources.tables import table
 from tabrisk.operators import metrics as M
 from tabrisk.operators.threshold import best_threshold, threshold_curve
@@ -260,6 +264,64 @@ def history_full(spark, sf_dir):
     return h.orderBy(F.col("timestamp").desc(), F.col("row_id").desc(), "model")
 
 
+def batch_append_history(spark, sf_dir):
+    """An upload of events is validated,
+    its good rows are scored by every rule model and appended to a history
+    twice (first and second half of the ids), and the history is read back:
+    rows, mean percent and the distinct inputs per model and risk label, beside
+    the rows in and the rows refused."""
+    from tabrisk.functions.expressions import risk_label
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    V.check_schema(ev.columns, EVENT_BATCH)
+    checked = ev.withColumn("_ok", V.is_valid_row(EVENT_BATCH))
+    seen = checked.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(~F.col("_ok")).alias("rows_refused"))
+    feats = EVENT_BATCH.feature_names
+    scored = checked.where("_ok").select("event_id", *feats, F.inline(F.array(*[
+        F.struct(F.lit(name).alias("model"), F.expr(pred).cast("int").alias("_pred"),
+                 (F.round(F.expr(prob).cast("double") * 100, 2) if prob else F.lit(None).cast("double")).alias("probability"))
+        for name, (prob, pred) in RULE_MODELS.items()])))
+    # the time of a stored row is the time it was appended; no report below reads it
+    stored = scored.select("event_id", F.date_format(F.current_timestamp(), HISTORY_TIME_FORMAT).alias("timestamp"),
+                           "model", "probability", risk_label("_pred").alias("prediction"),
+                           *[F.col(c).cast("double").alias(c) for c in feats])
+    path = f"{checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
+    clear_history(spark, path, feats)
+    for part in (0, 1):
+        append_history(stored.where(F.col("event_id") % 2 == part).drop("event_id"), path)
+    history = load_history(spark, path, feats)
+    report = history.groupBy("model", "prediction").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("probability"), 6).alias("avg_probability"),
+        F.round(F.sum("value"), 4).alias("sum_value"), F.countDistinct("user_id").alias("n_users"))
+    counts = seen.first()
+    return report.select("*", F.lit(counts["rows_in"]).cast("long").alias("rows_in"),
+                         F.lit(counts["rows_refused"]).cast("long").alias("rows_refused"))
+
+
+def importance_rules(spark, sf_dir):
+    """E11 A15 A16 E18 T2 T3 T4 W10 on the rule models: accuracy drop over 30
+    shuffles of each input of ``events``, one column per model, the team's mean,
+    ranks per model and overall, and the top feature."""
+    from tabrisk.plans.knn_queries import permuted_rows
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", F.expr(ACTUAL_SQL).cast("int").alias("label"),
+        F.array(F.col("user_id").cast("double"), F.col("value").cast("double")).alias("vec"))
+    rows = permuted_rows(ev, {"user_id": (0, 1), "value": (1, 2)}, row_id="event_id").select(
+        "feature", "rep", "label", F.col("vec")[0].cast("long").alias("user_id"), F.col("vec")[1].alias("value"))
+    acc = rows.groupBy("feature", "rep").agg(*[
+        F.avg((F.expr(RULE_MODELS[m][1]) == F.col("label")).cast("double")).alias(m) for m in MODEL_NAMES])
+    base = [F.max(F.when(F.col("feature") == "None", F.col(m))).over(Window.partitionBy()) for m in MODEL_NAMES]
+    drops = (acc.select("feature", *[F.round(b - F.col(m), 9).alias(m) for b, m in zip(base, MODEL_NAMES)])   # features x repeats
+             .where("feature <> 'None'").groupBy("feature").agg(*[F.round(F.avg(m), 9).alias(m) for m in MODEL_NAMES]))
+    team = drops.withColumn("team_average", F.round(sum(F.col(m) for m in MODEL_NAMES) / len(MODEL_NAMES), 9))
+
+    def place(by):
+        return F.row_number().over(Window.orderBy(F.col(by).desc(), "feature"))
+
+    return team.select("*", place("team_average").alias("overall_rank"),
+                       *[place(m).alias(f"{m.lower()}_rank") for m in MODEL_NAMES]).withColumn(
+        "is_top", (F.col("overall_rank") == 1).cast("int"))
+
+
 def rescore_pending(spark, sf_dir):
     """(document, model) pairs whose content hash was not scored
     by the model's current version.  Labeled documents were scored by every
@@ -299,7 +361,6 @@ def score_batch_wide(spark, sf_dir):
     risk label and percent (columns, no pivot shuffle: the models are
     column expressions on the same scan)."""
     from tabrisk.functions.expressions import risk_label
-    from tabrisk.plans.datasets import RULE_MODELS
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     cols = []
     for name, (prob, pred) in RULE_MODELS.items():
@@ -334,6 +395,8 @@ QUERIES = {
     "history_report": history_report,
     "history_latest": history_latest,
     "history_full": history_full,
+    "importance_rules": importance_rules,
+    "batch_append_history": batch_append_history,
     "rescore_pending": rescore_pending,
     "score_batch_long": score_batch_long,
     "score_batch_wide": score_batch_wide,
