@@ -2,8 +2,8 @@
 
 A tolerant scan of the tags builds the page's tree; menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out as they are met, by their element or by their class, id or role.  Each
-paragraph passes points for its length and commas to its ancestors, less with
+left out: by their element as they are met, by their class, id or role when the
+tree shows that they don't hold the main text.  Each paragraph passes points for its length and commas to its ancestors, less with
 every level; an element's points are discounted by its link density.  The best
 container and those siblings that score well are kept, and their blocks are
 joined in page order.
@@ -38,13 +38,19 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
         "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
-#: Words of a class, id or role that mark an element that is no main text.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|sidebar|side|aside|"
-    r"comments?|commentlist|disqus|replies|respond|footer|foot|header|masthead|topbar|menus?|nav|navbar|navigation|"
-    r"breadcrumbs?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"share|sharing|social|related|recommended|recommendations|widgets?|pagination|pager|toolbar|complementary|"
-    r"contentinfo|search|outbrain|taboola)(?=$|[\s_-])", re.I)
+#: Words of a class, id or role that mark an element that is no main text:
+#: things that never are, and places of a page that seldom hold it.
+NEVER = re.compile(
+    r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|comments?|commentlist|disqus|replies|respond|menus?|nav|navbar|"
+    r"navigation|breadcrumbs?|cookies?|consent|gdpr|newsletter|subscribe|subscription|signup|login|share|sharing|pagination|"
+    r"pager|contentinfo|outbrain|taboola", re.I)
+PLACES = re.compile(
+    r"promo(?:tion)?s?|banner|sidebar|side|aside|footer|foot|header|masthead|topbar|notices?|alert|popup|modal|overlay|social|"
+    r"related|recommended|recommendations|widgets?|toolbar|complementary|search", re.I)
+#: Parts of a compound name that leave its sense, and first parts of a layout flag.
+PLAIN = frozenset("area bar bottom box block buttons container global group inner item items left links list outer right section "
+                  "site slot text thread top unit wrap wrapper zone".split()) | {""}
+FLAGS = frozenset("with without no not has have is hide show js".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -55,6 +61,18 @@ TOKEN = re.compile(
 MIN_CHARS, LEVELS, LEAST = 25, 5, 2.0
 
 
+def name_says(token: str) -> str:
+    """"never" or "place" for a class, id or role that names such an element as
+    a whole, "part" if one of its parts does, else nothing."""
+    parts = re.split(r"[-_]+", token.lower())
+    never, place = (any(kind.fullmatch(x) for x in parts) for kind in (NEVER, PLACES))
+    if parts[0] in FLAGS or not (never or place):
+        return ""
+    if all(x in PLAIN or NEVER.fullmatch(x) or PLACES.fullmatch(x) for x in parts):
+        return "never" if never else "place"
+    return "part"
+
+
 class Page:
     """The tree of one page: for each node its parent, name, points, own
     characters and link characters; and the blocks of text in order."""
@@ -63,6 +81,7 @@ class Page:
         self.parent, self.name, self.points = [-1], ["#page"], [0.0]
         self.chars, self.linked = [0], [0]
         self.blocks: list[tuple[int, str, int]] = []
+        self.marks: dict[int, str] = {}
         self.open = [0]
         self.parts: list[str] = []
         self.link_parts = 0
@@ -134,29 +153,81 @@ class Page:
         self.linked.append(0)
         self.open.append(len(self.name) - 1)
         if skip is None:
-            if name in OUT or name not in ("html", "body") and self.marked(name, attributes):
+            mark = "" if name in ("html", "body") or name in OUT else self.marked(name, attributes)
+            if name in OUT or mark == "hidden":
                 self.flush()
                 return len(self.open)
+            if mark:
+                self.flush()
+                self.marks[self.open[-1]] = mark
             if name == "a":
                 self.links += 1
         return skip
 
     def marked(self, name, attributes):
-        """Whether an element is left out for what its attributes say.  A
-        header inside an article keeps its headings, see ``text_of``."""
+        """What an element's attributes say: "hidden", "never" or "place" (a
+        whole name says that it is no main text), "part" (a part of a name
+        does), or nothing.  ``left_out`` decides.  A header inside an article
+        keeps its headings, see ``main_text``."""
         if name == "header":
-            return not any(self.name[n] in ("article", "main") for n in self.open[:-1])
+            return "" if any(self.name[n] in ("article", "main") for n in self.open[:-1]) else "place"
         if not attributes or name in HEADINGS:
-            return False
+            return ""
+        found = set()
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                return True
-            if key in ("class", "id", "role") and MARKED.search(value) and name not in ("article", "main", "p", "b", "i", "em", "strong"):
-                return True
-            if key in ("class", "id") and name in ("p",) and re.search(r"(?:^|[\s_-])(?:ads?|advert\w*|notice|cookie\w*|comment)(?=$|[\s_-])", value, re.I):
-                return True
-        return False
+                return "hidden"
+            if key not in ("class", "id", "role") or name in ("article", "main", "b", "i", "em", "strong"):
+                continue
+            for token in value.split():
+                if name == "p":
+                    if key != "role" and name_says(token) == "never" and re.search(r"\b(?:ads?|advert\w*|cookie\w*|comment)\b", token.replace("_", "-"), re.I) \
+                            or key != "role" and token.lower() == "notice":
+                        found.add("never")
+                else:
+                    found.add(name_says(token))
+        kind = next((k for k in ("never", "place", "part") if k in found), "")
+        return kind if kind != "part" or name in BLOCK else ""
+
+    def left_out(self) -> list[bool]:
+        """Whether each element is left out for its marks.  A marked element
+        stays if it holds the page's article or main; a place also if it holds
+        most of the paragraph points; any if the page has no text beside it.
+        Where only a part of a name is marked, links and points decide."""
+        n = len(self.name)
+        points, chars, linked, main, head = ([0.0] * n for _ in range(5))
+        for node, text, links in self.blocks:
+            own = self.owner(node)
+            chars[own] += len(text)
+            linked[own] += links
+            if self.name[own] in HEADINGS:
+                head[own] = 1.0
+            elif len(text) >= MIN_CHARS:
+                points[own] += self.worth(text, links)
+        named = [self.name[k] in ("article", "main") for k in range(n)]
+        under = [False] * n  # inside an article or main
+        for k in range(1, n):
+            under[k] = named[k] or under[self.parent[k]]
+            main[k] = chars[k] - linked[k] if under[k] else 0.0
+        for k in range(n - 1, 0, -1):
+            for x in (points, chars, linked, main, head):
+                x[self.parent[k]] += x[k]
+        out = [False] * n
+        for k in range(1, n):
+            out[k] = out[self.parent[k]]
+            mark = self.marks.get(k)
+            if out[k] or not mark:
+                continue
+            holds = not under[k] and 2 * main[k] > main[0]
+            if mark == "part":
+                out[k] = not holds and (3 * linked[k] > chars[k] or not points[k] and not head[k])
+                continue
+            alone = chars[0] - linked[0] - (chars[k] - linked[k]) < MIN_CHARS
+            most = mark == "place" and 2 * points[k] > points[0]
+            # a page with an article or main has its text there
+            out[k] = not (holds or not main[0] and (alone or most))
+        return out
 
     def close_open(self, names, barriers, skip):
         """Close the innermost open element of ``names``, if no barrier is above it."""
@@ -181,7 +252,7 @@ class Page:
         return skip
 
     def cut(self, depth, skip):
-        if skip is None and any(self.name[n] in BLOCK for n in self.open[depth:]):
+        if skip is None and any(self.name[n] in BLOCK or n in self.marks for n in self.open[depth:]):
             self.flush()
         if skip is None:
             self.links -= sum(self.name[n] == "a" for n in self.open[depth:])
@@ -196,6 +267,11 @@ class Page:
             node = self.parent[node]
         return node
 
+    @staticmethod
+    def worth(text: str, linked: int) -> float:
+        """Points of a paragraph."""
+        return (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked / len(text))
+
     def score(self):
         for node, text, linked in self.blocks:
             own = self.owner(node)
@@ -203,7 +279,7 @@ class Page:
             self.linked[own] += linked
             if len(text) < MIN_CHARS or self.name[own] in HEADINGS:
                 continue
-            points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked / len(text))
+            points = self.worth(text, linked)
             up = self.parent[own] if self.name[own] in LEAVES else own
             for level in range(LEVELS):
                 if up < 0:
@@ -217,6 +293,9 @@ class Page:
 
     def main_text(self) -> str:
         """The kept blocks, joined."""
+        if self.marks:
+            out = self.left_out()
+            self.blocks = [b for b in self.blocks if not out[b[0]]]
         if not self.blocks:
             return ""
         scores = self.score()

@@ -34,6 +34,27 @@ def test_siblings_and_link_density():
     assert got.count(LONG) == 3 and "a link" not in got
 
 
+def test_marks_do_not_lose_the_article():
+    article = f"<article><h1>Head</h1><p>{LONG}</p><p>Short.</p></article>"
+    whole = f"Head\n\n{LONG}\n\nShort."
+    for mark in ("class='page with-sidebar'", "class='content no-sidebar'", "class='post has-comments'", "id=social-science", "class=sidebar",
+                 "class='layout search'", "id=comments", "class=content-sidebar-wrap"):
+        assert main_text(f"<body><div {mark}>{article}</div><div class=ad><p>{LONG}</p></div></body>") == whole, mark
+    plain = f"<h2>Head</h2><p>{LONG}</p><p>{LONG}</p>"
+    for mark in ("class='page with-sidebar'", "id=social-science", "class='search'", "class=header-space", "class=alert"):
+        assert main_text(f"<body><div {mark}>{plain}</div><div id=comments><p>{LONG} {LONG}</p></div></body>") == f"Head\n\n{LONG}\n\n{LONG}", mark
+    assert main_text(f"<article><p>{LONG}</p><section id=social-science><p>{LONG}</p></section></article>") == f"{LONG}\n\n{LONG}"
+
+
+def test_marked_elements_beside_the_article_go():
+    article = f"<article><p>{LONG}</p></article>"
+    for mark in ("class=sidebar", "class='related-posts'", "id=comments-area", "class='cookie-notice'", "role=search"):
+        other = f"<article><p><a href=x>{LONG} {LONG}</a></p></article>"
+        assert main_text(f"<body>{article}<div {mark}>{other}</div></body>") == LONG, mark
+    many = f"<p>{LONG}</p>" * 9
+    assert main_text(f"<body><div class=text><p>{LONG}</p></div><div class=comments>{many}</div></body>") == LONG
+
+
 def test_broken_markup():
     for source, want in (("", ""), (None, ""), ("<", "<"), ("plain  text", "plain text"), ("<p>a<p>b", "a\n\nb"), ("<div><div", ""), ("</p></div>x", "x"),
                          ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"), ("<a href=\"x", ""), ("a<br>b", "a b"), ("<script>x", ""),
