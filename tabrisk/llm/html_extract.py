@@ -5,8 +5,8 @@ sidebars, notices, adverts, forms, scripts, styles and reader comments are
 left out: by their element as they are met, by their class, id or role when the
 tree shows that they don't hold the main text.  Each paragraph passes points for its length and commas to its ancestors, less with
 every level; an element's points are discounted by its link density.  The best
-container and those siblings that score well are kept, and their blocks are
-joined in page order.
+container is kept, with siblings that score well or hold text of few links, and
+their blocks are joined in page order.
 
 Pages are independent rows: one map over the table, no shuffle.
 """
@@ -303,20 +303,14 @@ class Page:
         if scores[best] <= 0:  # no paragraph: the most text that is not linked, article or main first
             named = [n for n, name in enumerate(self.name) if name in ("article", "main")]
             best = max(named, key=lambda n: self.chars[n] - self.linked[n], default=0)
-        up = best
+        up, whole = best, False
         while up > 0:  # an article is whole
             if self.name[up] == "article" or self.name[up] == "main" and not any(
                     name == "article" for name in self.name):
-                best = up
+                best, whole = up, True
                 break
             up = self.parent[up]
-        kept = {best}
-        enough = max(LEAST, 0.2 * scores[best])
-        for n in range(1, len(self.name)):
-            if self.parent[n] == self.parent[best] and n != best and self.chars[n]:
-                density = self.linked[n] / self.chars[n]
-                if scores[n] >= enough or self.name[n] in LEAVES and self.chars[n] > 80 and density < 0.25:
-                    kept.add(n)
+        kept, opened = self.around(best, scores, whole)
         inside = [False] * len(self.name)
         header = [False] * len(self.name)
         for n in range(len(self.name)):
@@ -324,7 +318,50 @@ class Page:
             inside[n] = n in kept or up >= 0 and inside[up]
             header[n] = self.name[n] == "header" or up >= 0 and header[up]
         return "\n\n".join(text for node, text, _ in self.blocks
-                           if inside[node] and (not header[node] or self.name[self.owner(node)] in HEADINGS))
+                           if (inside[node] or self.owner(node) in opened)
+                           and (not header[node] or self.name[self.owner(node)] in HEADINGS))
+
+    def around(self, best: int, scores: list[float], whole: bool) -> tuple[set[int], set[int]]:
+        """The best container with those siblings that are kept, and the
+        containers above it whose own text is.  Beside an article only strong
+        siblings and long text are kept.  On other pages every sibling of few
+        links is (on the body's level if it has a paragraph, list or heading);
+        and where a container has several kept parts, or no
+        other text, the siblings of the container too."""
+        children: dict[int, list[int]] = {}
+        for n in range(1, len(self.name)):
+            children.setdefault(self.parent[n], []).append(n)
+        texts = {self.parent[0]}
+        own = set()
+        for node, text, linked in self.blocks:
+            up = self.owner(node)
+            if 4 * linked < len(text):
+                own.add(up)
+            if len(text) >= MIN_CHARS or self.name[up] in HEADINGS:
+                while up not in texts:
+                    texts.add(up)
+                    up = self.parent[up]
+        kept, opened = {best}, set()
+        enough = max(LEAST, 0.2 * scores[best])
+        while True:
+            up = self.parent[best]
+            top = up <= 0 or self.name[up] in ("html", "body")
+            more = []
+            for n in children.get(up, ()):
+                if n == best or not self.chars[n]:
+                    continue
+                plain = self.linked[n] < 0.25 * self.chars[n]
+                if whole:
+                    plain = plain and self.name[n] in LEAVES and self.chars[n] > 80
+                elif top:
+                    plain = plain and (n in texts or self.name[n] in LEAVES or self.name[n] in ("ul", "ol", "dl"))
+                if plain or scores[n] >= enough:
+                    more.append(n)
+            kept.update(more)
+            if whole or top or not more and up not in own and self.chars[up] > self.chars[best]:
+                return kept, opened
+            opened.add(up)
+            best = up
 
 
 def main_text(source: str | None) -> str:

@@ -55,6 +55,22 @@ def test_marked_elements_beside_the_article_go():
     assert main_text(f"<body><div class=text><p>{LONG}</p></div><div class=comments>{many}</div></body>") == LONG
 
 
+def test_parts_beside_the_best_container():
+    """Of a page without article or main nothing of the text goes."""
+    links = "".join(f"<li><a href=/{i}>a link, of many, words {i}</a>" for i in range(9))
+    body = f"<div class=body><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
+    long = "\n\n".join([LONG] * 3)
+    page = f"<body><div id=top><ul>{links}</ul></div><div id=content><h1>Title</h1><p>Short.</p>{body}<ul><li>item</ul><ul>{links}</ul></div><div>x</div></body>"
+    assert main_text(page) == f"Title\n\nShort.\n\n{long}\n\nitem"
+    assert main_text(f"<body><div id=a><div class=head><h1>Title</h1></div>{body}bare text</div></body>") == f"Title\n\n{long}\n\nbare text"
+    strong = f"<section>{f'<p>{LONG}</p>' * 8}</section>"
+    for box in ("<body>{}</body>", "<body><div>{}</div></body>"):
+        page = box.format(strong + "<section><p>So this is the end of it all.</p></section>")
+        assert main_text(page) == "\n\n".join([LONG] * 8 + ["So this is the end of it all."])
+    page = f"<body><h1>Title</h1><div id=wrap><div class=one>{body}</div><div class=two><p>So this is the end of it all.</p></div></div></body>"
+    assert main_text(page) == f"Title\n\n{long}\n\nSo this is the end of it all."
+
+
 def test_broken_markup():
     for source, want in (("", ""), (None, ""), ("<", "<"), ("plain  text", "plain text"), ("<p>a<p>b", "a\n\nb"), ("<div><div", ""), ("</p></div>x", "x"),
                          ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"), ("<a href=\"x", ""), ("a<br>b", "a b"), ("<script>x", ""),
