@@ -26,7 +26,7 @@ def clean_speech(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash component (rows without an id stay)."""
+    """Keep one document of each SimHash component."""
     return simhash.keep_one(docs)
 
 

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabrisk.llm import pairing, textscan
@@ -64,16 +64,18 @@ def fingerprint(text: bytes, k: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 k: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp long) of every document; no shuffle."""
+                 k: int = SHINGLE_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp long, the columns ``carry``) of every document; no shuffle."""
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             fps = np.array([fingerprint(t.as_py() or b"", k) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]],
+                                             names=["id", "fp", *carry])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carry).mapInArrow(
+        run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long{kinds}")
 
 
 def block_masks(max_bits: int) -> list[int]:
@@ -180,6 +182,14 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS
     return cells.mapInArrow(run, "a long, b long")
 
 
+def with_roots(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """``nodes`` (distinct fp, least) with the root of each one's component."""
+    nodes = written(nodes, "nodes")
+    found = components(links(nodes, max_bits))
+    return written(nodes.join(found, nodes.fp == found.node, "left")
+                        .select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(id, fingerprint hex, component_id) of every row of ``docs``.
@@ -191,10 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result; extra columns are ignored.
     """
     prints = written(fingerprints(docs, id_col, text_col, k), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    found = components(links(nodes, max_bits))
-    roots = written(nodes.join(found, nodes.fp == found.node, "left")
-                         .select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    roots = with_roots(prints.groupBy("fp").agg(F.min("id").alias("least")), max_bits)
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = written(roots.join(least, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select(
@@ -203,13 +210,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that represent their component: one row for each
-    component (of rows that repeat the chosen id one stays).  Rows with a null
-    id can't be told apart by it and stay."""
-    classes = near_duplicates(docs, id_col, text_col, k, max_bits)
-    chosen = classes.where(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("_chosen"))
-    chosen = written(chosen.distinct(), "chosen")
-    one = Window.partitionBy(id_col).orderBy(id_col)
-    kept = (docs.join(chosen, F.col(id_col) == F.col("_chosen"), "left_semi")
-                .withColumn("_copy", F.row_number().over(one)).where("_copy = 1").drop("_copy"))
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of ``docs`` for each component: the one with the smallest id
+    (null ids last), among rows of that id the one with the smallest digest of
+    its columns.  Rows of equal ids and unlike texts, and rows without an id,
+    are told apart by the digest; of rows equal in all columns one stays."""
+    rows = docs.withColumn("_row", F.unhex(F.sha2(F.to_json(F.struct(*docs.columns)), 256)))
+    prints = written(fingerprints(rows, id_col, text_col, k, ("_row",)), "fingerprints")
+    copies = prints.groupBy("fp", "id", "_row").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row", "n")).alias("least")
+    roots = with_roots(copies.groupBy("fp").agg(first), max_bits)
+    chosen = written(roots.groupBy("root").agg(F.min("least").alias("least")).select("least._row", "least.n"), "chosen")
+    once, often = (rows.join(written(chosen.where(n).select("_row"), "chosen-rows"), "_row", "left_semi").select(docs.columns)
+                   for n in ("n = 1", "n > 1"))
+    return once.unionByName(often.dropDuplicates())

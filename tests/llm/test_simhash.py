@@ -122,6 +122,22 @@ def test_keep_one(spark):
     assert sorted((r[0] or -1) for r in got.collect()) == [-1, 3, 9]
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    x, y, z = "a b c d e", "other words of a text that is not like it", "third text without any id in its rows"
+    rows = [(3, x, "", 0), (5, x, "", 0), (5, y, "", 0), (7, z + " 1 2 3", "", 0), (7, "q r s t u v w", "", 0),
+            *[(None, z, "", 0)] * 20, (None, z, "b", 0), (None, x, "", 0), (9, "k l m n", "b", 1), (9, "k l m n", "a", 2), (9, "k l m n", "a", 2)]
+    found = []
+    for parts in (1, 3, 7):
+        for order in (rows, rows[::-1]):
+            df = spark.createDataFrame(order, SCHEMA).repartition(parts)
+            found.append(sorted((tuple(r) for r in simhash.keep_one(df).collect()), key=str))
+    assert all(f == found[0] for f in found)
+    components = {r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert components == {3, 5, 7, 9, None}
+    texts = sorted((str(r[0]), r[1]) for r in found[0])
+    assert texts == sorted([("3", x), ("5", y), ("7", z + " 1 2 3"), ("7", "q r s t u v w"), ("9", "k l m n"), ("None", z)])
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(df).collect() == [] and simhash.keep_one(df).collect() == []
