@@ -5,8 +5,9 @@
 2. Each of ``TABLES`` tables projects a unit vector at random to ``blocks``
    groups of 8 numbers and decodes each group to the nearest point of the E8
    lattice.  A class lies in the cell of its points, and also probes the
-   ``PROBES`` nearest neighbouring cells of each group.  The number of groups
-   grows with the rows of the largest label, so cells stay small.
+   ``PROBES`` nearest neighbouring cells of each group.  A label's number of
+   groups grows with its own rows, so cells stay small, and its number of
+   tables with its groups, so recall stays (``tables_for``).
 3. Rows are dealt by (label, cell); a cell with many rows is split into pair
    cells (``pair_cells``).  A task compares home rows with home and probing
    rows by cosine in double precision, block by block.  A linked pair may meet
@@ -68,6 +69,13 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where(nearer[:, None], a, b)
 
 
+def tables_for(blocks: int, tables: int = TABLES) -> int:
+    """Tables of a label with so many groups.  A pair at the limit meets in a
+    table with probability 0.86, 0.56, 0.32, 0.18 for 1 to 4 groups, so 4, 9,
+    18, 36 tables find 0.999 of such pairs."""
+    return tables if blocks == 1 else math.ceil(tables * 2.25 * 2 ** (blocks - 2))
+
+
 def cell_keys(unit: np.ndarray, label_key: int, tables: int, blocks: int, probes: int, scale: float, seed: int):
     """Home cells [row, table] and probed cells [row, table, blocks * probes],
     as 64-bit keys, of unit vectors of one label."""
@@ -130,37 +138,40 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return out.withColumn("vec", F.when(F.col("label").isNotNull(), F.col("vec"))).withColumn("digest", F.md5("vec"))
 
 
-def keyed_rows(classes: DataFrame, number, tables: int, blocks: int, probes: int, scale: float, seed: int) -> DataFrame:
+def keyed_rows(classes: DataFrame, number, tables: int, probes: int, scale: float, seed: int) -> DataFrame:
     """One row for each class, table and cell that it lies in or probes:
-    (key, home, cls, n, keys, vec); keys holds the class's home cells and then
-    its probed cells, table by table."""
+    (key, home, cls, n, tables, keys, vec); keys holds the class's home cells
+    and then its probed cells, table by table.  ``classes`` has its label's
+    groups (blocks)."""
     def run(batches):
         for batch in batches:
             vecs = [np.frombuffer(x.as_py(), number) for x in batch.column(2)]
-            label = batch.column(1).to_numpy()
+            label, blocks = batch.column(1).to_numpy(), batch.column(4).to_numpy()
             group = {}
             for i, v in enumerate(vecs):
-                group.setdefault((int(label[i]), len(v)), []).append(i)
-            for (own, dim), rows in group.items():
-                for k in range(0, len(rows), 256):
-                    at = np.array(rows[k: k + 256])
+                group.setdefault((int(label[i]), len(v), int(blocks[i])), []).append(i)
+            for (own, dim, groups), rows in group.items():
+                count = tables_for(groups, tables)
+                some = max(16, 3072 // (count * (1 + groups * probes)))  # at most about 3,072 copies at a time
+                for k in range(0, len(rows), some):
+                    at = np.array(rows[k: k + some])
                     v = np.stack([vecs[i] for i in at])
                     unit = unit_rows(v, len(at))
-                    home, probed = cell_keys(unit, own * 1000003 + dim, tables, blocks, probes, scale, seed)
+                    home, probed = cell_keys(unit, own * 1000003 + dim, count, groups, probes, scale, seed)
                     every = np.concatenate([home[:, :, None], probed], axis=2)
                     flat = np.concatenate([home, probed.reshape(len(at), -1)], axis=1)
                     keys = pa.array([x.tobytes() for x in flat], pa.binary())
                     raw = pa.array([x.tobytes() for x in v], pa.binary())
                     take = np.repeat(np.arange(len(at)), every[0].size)
-                    is_home = np.tile(np.arange(every.shape[2]) == 0, len(at) * tables)
+                    is_home = np.tile(np.arange(every.shape[2]) == 0, len(at) * count)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(every.reshape(-1).view(np.int64)), pa.array(is_home),
                          batch.column(0).take(pa.array(at[take])), batch.column(3).take(pa.array(at[take])),
-                         keys.take(pa.array(take)), raw.take(pa.array(take))],
-                        names=["key", "home", "cls", "n", "keys", "vec"])
+                         pa.array(np.full(len(take), count, np.int32)), keys.take(pa.array(take)), raw.take(pa.array(take))],
+                        names=["key", "home", "cls", "n", "tables", "keys", "vec"])
 
-    return classes.select("cls", F.xxhash64("label").alias("l"), "vec", "n").mapInArrow(
-        run, "key long, home boolean, cls long, n long, keys binary, vec binary")
+    return classes.select("cls", F.xxhash64("label").alias("l"), "vec", "n", "blocks").mapInArrow(
+        run, "key long, home boolean, cls long, n long, tables int, keys binary, vec binary")
 
 
 def first_meeting(a, b, key, tables):
@@ -182,7 +193,7 @@ def first_meeting(a, b, key, tables):
     return first == key
 
 
-def near_pairs(rows: DataFrame, number, cosine: float, tables: int, cell_rows: int) -> DataFrame:
+def near_pairs(rows: DataFrame, number, cosine: float, cell_rows: int) -> DataFrame:
     """(a, b, n): with b null, class a is linked to n more vectors; else a and
     b lie in one component."""
     names = ["key", "cell_a", "cell_b"]
@@ -191,7 +202,7 @@ def near_pairs(rows: DataFrame, number, cosine: float, tables: int, cell_rows: i
     def compare(table):
         key = table.column("key").to_numpy().view(np.uint64)
         home = table.column("home").to_numpy(zero_copy_only=False)
-        cls, n = table.column("cls").to_numpy(), table.column("n").to_numpy()
+        cls, n, tables = (table.column(x).to_numpy() for x in ("cls", "n", "tables"))
         side = table.column("side").to_numpy()
         split = table.column("cell_a").to_numpy() != table.column("cell_b").to_numpy()
         starts = pairing.group_starts(table, names)
@@ -201,7 +212,7 @@ def near_pairs(rows: DataFrame, number, cosine: float, tables: int, cell_rows: i
             if e - s < 2 or not home[s:e].any():
                 continue
             dims = pc.binary_length(vec.slice(s, e - s)).to_numpy()
-            if (dims != dims[0]).any():  # cells of unequal sizes never meet but by a hash's accident
+            if (dims != dims[0]).any() or (tables[s:e] != tables[s]).any():  # cells of unequal sizes never meet but by a hash's accident
                 continue
             unit = unit_rows(np.frombuffer(b"".join(vec.slice(s, e - s).to_pylist()), number), e - s)
             sums = np.zeros(e - s, np.int64)
@@ -222,7 +233,7 @@ def near_pairs(rows: DataFrame, number, cosine: float, tables: int, cell_rows: i
                         own_keys = np.frombuffer(b"".join(keys.slice(s, e - s).to_pylist()), np.uint64).reshape(e - s, -1)
                     ok = np.zeros(len(x), bool)
                     for k in range(0, len(x), 1 << 13):
-                        ok[k: k + (1 << 13)] = first_meeting(own_keys[x[k: k + (1 << 13)]], own_keys[y[k: k + (1 << 13)]], key[s], tables)
+                        ok[k: k + (1 << 13)] = first_meeting(own_keys[x[k: k + (1 << 13)]], own_keys[y[k: k + (1 << 13)]], key[s], int(tables[s]))
                     x, y = x[ok], y[ok]
                     sums += np.bincount(x, n[s + y], e - s).astype(np.int64) + np.bincount(y, n[s + x], e - s).astype(np.int64)
                     ea, eb = pairing.stars(np.concatenate([ea, cls[s + x]]), np.concatenate([eb, cls[s + y]]))
@@ -248,7 +259,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors link if their labels are equal and not null and their cosine is at
     least ``cosine``; the lattice finds nearly all such pairs (see the tests
-    for recall) and never adds one.  Equal vectors always link.  A vector that
+    for recall) whatever the sizes of the labels, and never adds one.  Equal vectors always link.  A vector that
     is null, empty or zero, or holds null or non-finite numbers, or has a null
     label, links with nothing: n_links 0, component_id its own id.  Vectors of
     unequal length don't link.  Repeated rows count as vectors of their own; a
@@ -261,9 +272,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = (good.groupBy("label", "digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"))
                    .withColumn("cls", F.monotonically_increasing_id()))
     classes = written(classes, "classes")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    blocks = max(1, math.ceil(math.log(max(2, largest)) / math.log(SPREAD) - 0.25))
-    found = written(near_pairs(keyed_rows(classes, number, tables, blocks, probes, scale, seed), number, cosine, tables, cell_rows), "found")
+    groups = F.ceil(F.log("count") / math.log(SPREAD) - 0.25).cast("int")
+    large = written(classes.groupBy("label").count().select("label", groups.alias("blocks")).where("blocks > 1"), "large-labels")
+    grouped = classes.join(large, "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    found = written(near_pairs(keyed_rows(grouped, number, tables, probes, scale, seed), number, cosine, cell_rows), "found")
     degree = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("linked"))
     roots = components(found.where("b is not null").select("a", "b"))
     facts = (classes.select("label", "digest", "least", "n", "cls").join(degree, "cls", "left")

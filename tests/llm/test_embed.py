@@ -78,6 +78,36 @@ def test_recall_against_brute_force():
             assert met.any(axis=1).mean() >= (0.99 if blocks == 1 else 0.95)
 
 
+def planted(rng, n, cosine):
+    a = rng.standard_normal((n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    r = rng.standard_normal((n, 64))
+    r -= (r * a).sum(axis=1, keepdims=True) * a
+    return a, cosine * a + math.sqrt(1 - cosine ** 2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+
+
+def test_recall_does_not_fall_with_groups():
+    a, b = planted(np.random.default_rng(3), 1500, 0.93)
+    for blocks in (1, 2, 3):
+        (ha, pa), (hb, pb) = (E.cell_keys(x, 1, E.tables_for(blocks), blocks, E.PROBES, E.SCALE, E.SEED) for x in (a, b))
+        met = (ha == hb) | (pa == hb[:, :, None]).any(axis=2) | (pb == ha[:, :, None]).any(axis=2)
+        assert met.any(axis=1).mean() >= 0.99, blocks
+
+
+def test_large_label_does_not_coarsen_the_others(spark, monkeypatch):
+    """A label of three groups and one of a single group: pairs of both are found."""
+    monkeypatch.setattr(E, "SPREAD", 16)
+    rng = np.random.default_rng(4)
+    rows = []
+    for label, n in ((1, 300), (2, 15)):
+        a, b = planted(rng, n, 0.935)
+        for k in range(n):
+            rows += [(len(rows) + j, [float(x) for x in v[k]], label, 0, "") for j, v in enumerate((a, b))]
+    got = {r["vec_id"]: r["component_id"] for r in E.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = [got[i] == got[i + 1] for i in range(0, len(rows), 2)]
+    assert sum(found[:300]) >= 0.99 * 300 and all(found[300:])
+
+
 def test_links_and_components(spark):
     rows = make()
     rows += [(500, None, 1, 0, ""), (501, [0.0] * 64, 1, 0, ""), (502, [float("nan")] * 64, 1, 0, ""), (503, [None] * 64, 1, 0, ""), (504, [], 1, 0, ""),
