@@ -2,15 +2,16 @@
 
 1. Every document is tokenized and cut into whole sequences and a rest; a
    piece's CRC is taken on the spot, so ids are never shuffled.
-2. The histogram of piece lengths (in steps of ``STEP`` tokens, so at most
-   256 bins whatever the input) goes to the driver.  There a linear program
+2. The histogram of piece lengths (at most 4,096 whatever the input) goes to
+   the driver.  There, in steps of ``STEP`` tokens (256 bins), a linear program
    over patterns (how many pieces of each length share a sequence) is solved by
    column generation: the duals of the restricted program price the lengths, a
    knapsack dynamic program finds the pattern of most value, and it enters the
    basis until none is worth more than its sequence.
 3. Patterns are used floor(x) times each.  What rounding leaves, and the pieces
-   of patterns that would leave much room, are laid end to end in strips and
-   cut where a sequence is full (at a multiple of ``CUT`` tokens).
+   of patterns that would leave much room by their true lengths (so all short
+   pieces), are laid end to end in strips by exact length, and cut where a
+   sequence is full (at a multiple of ``CUT`` tokens).
 4. Pieces are ranked inside their length (count per hash bucket, running
    totals, rank inside the bucket), and rank r of a length takes the r-th slot
    that the patterns, then the strips, have for it.  Offsets are running sums
@@ -19,6 +20,7 @@
 
 from __future__ import annotations
 
+import bisect
 import os
 import sys
 import types
@@ -237,12 +239,12 @@ def best_pattern(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), counts
 
 
-def solve(demand: np.ndarray, room: int, spare: int, slack: float = 5e-4, rounds: int = 4000):
+def solve(demand: np.ndarray, room: int, spare: float, mean: np.ndarray, slack: float = 5e-4, rounds: int = 4000):
     """Patterns and how often each is used, for ``demand[i]`` pieces of i + 1
     units in sequences of ``room`` units, and the pieces left over.  The linear
     program ends within ``slack`` of its best value (by the pieces' total size,
     or by the best pattern's price); patterns that leave over ``spare`` units
-    empty are not used."""
+    empty, at the bins' mean true sizes ``mean``, are not used."""
     sizes = np.flatnonzero(demand)
     if not len(sizes):
         return [], np.zeros(len(demand), np.int64)
@@ -281,7 +283,7 @@ def solve(demand: np.ndarray, room: int, spare: int, slack: float = 5e-4, rounds
     for j in np.argsort(-x, kind="stable"):
         a = np.rint(columns[:, j]).astype(np.int64)
         own = np.flatnonzero(a)
-        if room - (a * (sizes + 1)).sum() > spare:
+        if room - (a * mean[sizes]).sum() > spare:
             continue
         times = int(min(np.floor(x[j] + 1e-7), (left[sizes[own]] // a[own]).min()))
         if times > 0:
@@ -292,82 +294,115 @@ def solve(demand: np.ndarray, room: int, spare: int, slack: float = 5e-4, rounds
     return used, left
 
 
-def lay_strip(counts: np.ndarray, room: int, unit: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def lay_strip(counts: np.ndarray, room: int, unit: int, whole: bool = True) -> tuple[list[tuple[int, int, int, int, int]], int, np.ndarray]:
     """Lay ``counts[i]`` pieces of i + 1 units into sequences of ``room`` units,
     cutting a piece at a multiple of ``unit`` units where the next does not
     fit.  Returns (length bin, number of the piece in its bin, first unit, end
-    unit or -1 for the piece's end, sequence) and the number of sequences."""
-    left, out = counts.copy(), []
+    unit or -1 for the piece's end, sequence), the number of sequences, and the
+    pieces not laid: none if ``whole``, else what would fill no sequence."""
+    left, out = counts.astype(np.int64), []
+    units = int(left @ np.arange(1, len(left) + 1))
+    sizes = [int(i) + 1 for i in np.flatnonzero(left)]
     rest = None  # the piece that the last sequence cut: bin, number, first unit
     sequence = 0
-    while rest or left.any():
+
+    def take(at):
+        nonlocal units
+        i = sizes[at] - 1
+        left[i] -= 1
+        units -= i + 1
+        if not left[i]:
+            del sizes[at]
+        return i
+
+    while rest or units and (whole or units >= room):
         free = room
         if rest:
             i, k, begin = rest
             out.append((i, k, begin, -1, sequence))
             free -= i + 1 - begin
             rest = None
-        for i in np.flatnonzero(left[:free])[::-1] if free else ():
-            for _ in range(min(int(left[i]), free // (int(i) + 1))):
-                left[i] -= 1
-                free -= int(i) + 1
-                out.append((int(i), int(left[i]), 0, -1, sequence))
+        at = bisect.bisect_right(sizes, free) - 1
+        while at >= 0:
+            size = sizes[at]
+            for _ in range(min(int(left[size - 1]), free // size)):
+                i = take(at)
+                free -= size
+                out.append((i, int(left[i]), 0, -1, sequence))
+            at = min(bisect.bisect_left(sizes, size), bisect.bisect_right(sizes, free)) - 1
         cut = free // unit * unit
-        larger = np.flatnonzero(left[cut:]) + cut
-        if cut and len(larger):
-            i = int(larger[0])
-            left[i] -= 1
+        larger = bisect.bisect_right(sizes, cut)
+        if cut and larger < len(sizes):
+            i = take(larger)
             out.append((i, int(left[i]), 0, cut, sequence))
             rest = (i, int(left[i]), cut)
         sequence += 1
-    return out, sequence
+    return out, sequence, left
 
 
 def strips(left: np.ndarray, room: int, unit: int, size: int = STRIP):
     """Strips that use up ``left``: (pieces of each bin in a strip, its layout,
     its sequences, how often it is used).  The first are used many times, so
-    that the layout is bounded whatever the number of pieces."""
+    that the layout is bounded whatever the number of pieces; what would fill
+    no sequence of theirs is left to the next."""
     left, out = left.copy(), []
+    size = max(size, 2 * room)
     while left.any():
         times = max(1, int(left.sum()) // size)
-        counts = left // times
-        layout, sequences = lay_strip(counts, room, unit)
-        out.append((counts, layout, sequences, times))
+        layout, sequences, over = lay_strip(left // times, room, unit, whole=times == 1)
+        counts = left // times - over
+        # pieces are numbered from the last one down: the laid ones from 0
+        out.append((counts, [(i, k - int(over[i]), b, e, s) for i, k, b, e, s in layout], sequences, times))
         left -= counts * times
     return out
 
 
 class Plan:
-    """Where the r-th piece of each length bin goes."""
+    """Where the r-th piece of each length goes: ``demand[i]`` pieces of i + 1
+    units, in sequences of ``room`` units.  Patterns are made for lengths in
+    steps of ``step`` units."""
 
-    def __init__(self, demand: np.ndarray, room: int, unit: int):
-        used, left = solve(demand, room, spare=unit)
+    def __init__(self, demand: np.ndarray, room: int, unit: int, step: int = 1):
         bins = len(demand)
-        runs: list[list[tuple]] = [[] for _ in range(bins)]  # slots, first sequence, slots per sequence, strip or -1
+        length = np.arange(1, bins + 1)
+        coarse = (length - 1) // step
+        steps = room // step
+        total = np.bincount(coarse, demand, steps).astype(np.int64)
+        mean = np.bincount(coarse, demand * length, steps) / np.maximum(total, 1) / step
+        used, _ = solve(total[:steps], steps, unit / step, mean[:steps])
+        left = demand.astype(np.int64)
+        # slots, first sequence, slots per sequence, strip or -1, slots before them
+        runs: list[list[tuple]] = [[] for _ in range(bins)]
         sequence = 0
         for counts, times in used:
-            for i in np.flatnonzero(counts):
-                runs[i].append((int(counts[i]) * times, sequence, int(counts[i]), -1))
+            for c in np.flatnonzero(counts):
+                slots, before = int(counts[c]) * times, 0
+                for i in range(min(bins, (int(c) + 1) * step) - 1, int(c) * step - 1, -1):  # the longest lose least
+                    n = min(int(left[i]), slots - before)
+                    if n:
+                        runs[i].append((n, sequence, int(counts[c]), -1, before))
+                        left[i] -= n
+                        before += n
             sequence += times
-        self.fragments, self.step, self.cuts = {}, [], {}
+        self.fragments, self.step = {}, []
         for s, (counts, layout, sequences, times) in enumerate(strips(left, room, unit)):
             for i in np.flatnonzero(counts):
-                runs[i].append((int(counts[i]) * times, sequence, int(counts[i]), s))
+                runs[i].append((int(counts[i]) * times, sequence, int(counts[i]), s, 0))
             for i, k, begin, end, at in layout:
                 self.fragments.setdefault((s, i, k), []).append((begin, end, at))
             self.step.append(sequences)
             sequence += sequences * times
         self.base = np.cumsum([0] + [sum(x[0] for x in r) for r in runs])[:-1]
-        flat = [x for r in runs for x in r] or [(0, 0, 1, -1)]
+        flat = [x for r in runs for x in r] or [(0, 0, 1, -1, 0)]
         size = np.array([x[0] for x in flat], np.int64)
         self.first = np.cumsum(size) - size
-        self.begin, self.per, self.strip = (np.array([x[j] for x in flat], np.int64) for j in (1, 2, 3))
+        self.begin, self.per, self.strip, self.before = (np.array([x[j] for x in flat], np.int64) for j in (1, 2, 3, 4))
 
     def place(self, bins: np.ndarray, rank: np.ndarray):
         """(row, first unit, end unit or -1, sequence) of each fragment."""
         at = self.base[bins] + rank
         run = np.searchsorted(self.first, at, "right") - 1
-        number = at - self.first[run]
+        number = at - self.first[run] + self.before[run]
         strip = self.strip[run]
         whole = np.flatnonzero(strip < 0)
         row, begin, end = whole.tolist(), [0] * len(whole), [-1] * len(whole)
@@ -392,12 +427,11 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     table gives no row.  A text of any length is cut, never dropped.
     """
     made = written(pieces(docs, vocabulary, id_col, text_col, sequence), "pieces")
-    made = made.withColumn("bin", F.expr(f"(length + {step - 1}) div {step} - 1").cast("int"))
-    bins = -(-sequence // step)
-    demand = np.zeros(bins, np.int64)
-    for row in made.groupBy("bin").count().collect():  # at most ``bins`` rows
+    made = made.withColumn("bin", (F.col("length") - 1).cast("int"))
+    demand = np.zeros(sequence, np.int64)
+    for row in made.groupBy("bin").count().collect():  # at most ``sequence`` rows
         demand[row["bin"]] = row["count"]
-    plan = Plan(demand, bins, max(1, CUT // step))
+    plan = Plan(demand, sequence, CUT, step)
     n = int(demand.sum())
     buckets = -(-n // max(1024, int(n ** 0.5))) if n else 1
     bucketed = made.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(buckets)))
@@ -417,7 +451,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                 continue
             row, begin, end, sequence_id = plan.place(batch.column(6).to_numpy(), batch.column(7).to_numpy())
             start, length, crc = (batch.column(i).to_numpy() for i in (1, 2, 3))
-            begin, end = begin * step, np.where(end < 0, length[row], end * step)
+            end = np.where(end < 0, length[row], end)
             new = crc[row].copy()
             for f in np.flatnonzero(end - begin < length[row]).tolist():
                 parts = np.frombuffer(batch.column(5)[row[f]].as_py(), "<u4")[begin[f] // CUT: -(-end[f] // CUT)]

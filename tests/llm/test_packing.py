@@ -143,5 +143,34 @@ def test_short_sequences(spark, tokenizer):
     assert check(tokenizer, rows, got, 512) > 0.85  # eight sequences, the last one part full
 
 
+def fill(lengths):
+    """Share of the sequences' tokens that hold pieces, after a check of the places."""
+    demand = np.bincount(np.asarray(lengths) - 1, minlength=4096)
+    plan = packing.Plan(demand, 4096, packing.CUT, packing.STEP)
+    bins = np.repeat(np.arange(4096), demand)
+    rank, _ = pairing.ranges(np.zeros(4096, np.int64), demand)
+    row, begin, end, sequence = plan.place(bins, rank)
+    end = np.where(end < 0, bins[row] + 1, end)
+    assert (begin % packing.CUT == 0).all() and (end > begin).all()
+    assert (np.bincount(row, end - begin, len(bins)) == bins + 1).all()
+    used = np.bincount(sequence, end - begin)
+    assert (used <= 4096).all()
+    return used.sum() / (4096 * len(used))
+
+
+def test_little_padding_in_tokens():
+    rng = np.random.default_rng(7)
+    for lengths in (np.full(200000, 1), np.full(100000, 17), np.full(60000, 50), np.full(30000, 257),
+                    rng.integers(1, 300, 60000), rng.integers(1, 4097, 20000),
+                    np.concatenate([np.ones(20000, int), rng.integers(200, 3000, 40000)])):
+        assert fill(lengths) > 0.98, lengths[:3]
+
+
+def test_many_empty_texts(spark, tokenizer):
+    rows = [(i, None if i % 3 else "word " * 16, "", 0) for i in range(30000)]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA), PATH).collect()
+    assert check(tokenizer, rows, got) > 0.95
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).collect() == []
