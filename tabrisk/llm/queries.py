@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabrisk.llm import (cotraining, embed_dedup, html_extract, licenses, mixing, packing, quality_rules, secrets,
-                         simhash, toxicity)
+                         simhash, spelling, toxicity)
 from tabrisk.llm.spark_util import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -68,9 +68,14 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of all documents."""
+    return spelling.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_quality_rules, op3_html_extraction, op4_mixing, op5_cotraining, op6_license_scans,
-    op7_secret_scans, op8_simhash, op9_toxicity, op10_embedding_dedup)}
+    op7_secret_scans, op8_simhash, op9_toxicity, op10_embedding_dedup, op11_spelling_variants)}
 
 
 def _mixing_sql() -> str:
@@ -113,4 +118,41 @@ def _mixing_sql() -> str:
             "AND d.topic = p.topic")
 
 
-ORACLE = {"op4_mixing": _mixing_sql()}
+def _spelling_sql() -> str:
+    """op11 in SQL: CRC-32 as a fold over bytes, near words by equal strings
+    after a deletion, forms by a window, roots by recursion."""
+    return """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)),
+           lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL),
+hexed AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(length(x) // 2),
+           lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))),
+           lambda r, b: xor(r >> 8, t[(xor(r, b) & 255) + 1])), 4294967295) AS h FROM hexed, crc),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2)
+                ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, n, i, substr(word, 1, CAST(i AS INTEGER)) || substr(word, CAST(i AS INTEGER) + 2) AS rest
+         FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 2 * w.n THEN b.other END AS form,
+            CASE WHEN b.m >= 2 * w.n THEN b.m END AS form_n FROM words w LEFT JOIN best b USING (word)),
+ways AS (SELECT word, form AS at FROM forms WHERE form IS NOT NULL
+         UNION ALL SELECT ways.word, forms.form FROM ways JOIN forms ON ways.at = forms.word WHERE forms.form IS NOT NULL),
+ends AS (SELECT ways.word, ways.at FROM ways JOIN forms ON ways.at = forms.word WHERE forms.form IS NULL)
+SELECT f.word, f.form, coalesce(e.at, f.word) AS root, f.n, f.n_near, f.form_n FROM forms f LEFT JOIN ends e USING (word)"""
+
+
+ORACLE = {"op4_mixing": _mixing_sql(), "op11_spelling_variants": _spelling_sql()}
