@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabrisk.llm import (cotraining, embed_dedup, html_extract, licenses, mixing, packing, quality_rules, secrets,
+from tabrisk.llm import (cotraining, embed_dedup, html_extract, licenses, mixing, packing, pii, quality_rules, secrets,
                          simhash, spelling, toxicity)
 from tabrisk.llm.spark_util import table
 
@@ -73,9 +73,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: base rules and the character tagger."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.scan(docs, pii.fit(docs))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_quality_rules, op3_html_extraction, op4_mixing, op5_cotraining, op6_license_scans,
-    op7_secret_scans, op8_simhash, op9_toxicity, op10_embedding_dedup, op11_spelling_variants)}
+    op7_secret_scans, op8_simhash, op9_toxicity, op10_embedding_dedup, op11_spelling_variants,
+    op12_personal_data)}
 
 
 def _mixing_sql() -> str:
