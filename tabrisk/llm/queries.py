@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabrisk.llm import (cotraining, embed_dedup, html_extract, licenses, mixing, packing, pii, quality_rules, secrets,
-                         simhash, spelling, toxicity)
+from tabrisk.llm import (cotraining, dualtree, embed_dedup, html_extract, licenses, mixing, packing, pii,
+                         quality_rules, secrets, simhash, spelling, toxicity)
 from tabrisk.llm.spark_util import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -79,10 +79,15 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(docs, pii.fit(docs))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of each benchmark item."""
+    return dualtree.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_quality_rules, op3_html_extraction, op4_mixing, op5_cotraining, op6_license_scans,
     op7_secret_scans, op8_simhash, op9_toxicity, op10_embedding_dedup, op11_spelling_variants,
-    op12_personal_data)}
+    op12_personal_data, op13_lexical_search)}
 
 
 def _mixing_sql() -> str:
@@ -162,4 +167,26 @@ ends AS (SELECT ways.word, ways.at FROM ways JOIN forms ON ways.at = forms.word
 SELECT f.word, f.form, coalesce(e.at, f.word) AS root, f.n, f.n_near, f.form_n FROM forms f LEFT JOIN ends e USING (word)"""
 
 
-ORACLE = {"op4_mixing": _mixing_sql(), "op11_spelling_variants": _spelling_sql()}
+_SEARCH_SQL = """
+WITH words AS (
+  SELECT kind, id, word, count(*) AS tf FROM (
+    SELECT kind, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS word
+    FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark))
+  GROUP BY ALL),
+size AS (SELECT id AS doc_id, CAST(sum(tf) AS BIGINT) AS n FROM words WHERE kind = 'd' GROUP BY id),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM size),
+length AS (SELECT doc_id, 75 + (25 * n * n_docs) // n_terms AS m FROM size, whole),
+weight AS (SELECT word, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+           FROM words, whole WHERE kind = 'd' GROUP BY word, n_docs),
+scores AS (
+  SELECT i.id AS item_id, d.id AS doc_id, CAST(sum(i.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 12 * m))) AS BIGINT) AS score
+  FROM words i JOIN words d ON i.word = d.word AND i.kind = 'i' AND d.kind = 'd'
+    JOIN weight ON weight.word = i.word JOIN length ON length.doc_id = d.id
+  GROUP BY ALL),
+best AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+         FROM scores WHERE score > 0)
+SELECT * FROM best WHERE rank <= 20"""
+
+
+ORACLE = {"op4_mixing": _mixing_sql(), "op11_spelling_variants": _spelling_sql(), "op13_lexical_search": _SEARCH_SQL}
