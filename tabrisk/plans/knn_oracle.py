@@ -3,7 +3,7 @@ training row), which is what the cell-pruned Spark plan must reproduce."""
 
 from __future__ import annotations
 
-from tabrisk.contract import EMBED_BLOCKS, EMBED_FEATURES
+from tabrisk.contract import EMBED_FEATURES
 from tabrisk.plans.knn_queries import ABLATION_MODELS, DEFAULT_K, KNN_K, N_REPEATS
 from tabrisk.plans.oracle import _quotas
 
@@ -97,8 +97,8 @@ SELECT 'KNN' AS model,
 # --- ablation ------------------------------------------------------------------------
 _VARIANTS = " UNION ALL ".join(
     [f"SELECT vec_id, label, split, 'None' AS removed, {', '.join(FEATS)} FROM x"]
-    + [f"SELECT vec_id, label, split, '{n}', {', '.join('0.0' if a <= i < b else c for i, c in enumerate(FEATS))} FROM x"
-       for n, (a, b) in EMBED_BLOCKS.items()])
+    + [f"SELECT vec_id, label, split, '{n}', {', '.join('0.0' if c == n else c for c in FEATS)} FROM x"
+       for n in FEATS])
 
 
 def _ablation_acc(ks) -> str:
@@ -126,30 +126,29 @@ ABLATION_OUTER_JOIN = _ablation_acc(list(ABLATION_MODELS.values())) + "\nSELECT
     for name, k in ABLATION_MODELS.items()) + " FROM ch GROUP BY removed"
 
 # --- permutation importance -------------------------------------------------------------
-_BLOCK_VALUES = ", ".join(f"('{n}')" for n in EMBED_BLOCKS)
-_BLOCK_OF = [n for n, (a, b) in EMBED_BLOCKS.items() for _ in range(a, b)]
+# every (row pair, feature) once with the distance less that feature's term; a shuffled value's term comes on top
+_LISTED = ", ".join(FEATS)
+_NAMES = ", ".join(f"'{c}'" for c in FEATS)
 PERMUTATION_IMPORTANCE = f"""WITH {SPLIT},
-te AS (SELECT * FROM x WHERE split = 'test'),
-tr AS (SELECT * FROM x WHERE split = 'train'),
-pos AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS pos FROM te),
-reps AS (SELECT f.feature, r.rep FROM (VALUES {_BLOCK_VALUES}) f(feature), range(0, {N_REPEATS}) r(rep)),
-long AS (SELECT p.*, reps.feature, reps.rep FROM pos p, reps),
-donors AS (SELECT feature, rep,
-                  row_number() OVER (PARTITION BY feature, rep ORDER BY md5(concat_ws('-', '42', feature, rep, vec_id))) AS pos,
-                  vec_id AS donor FROM long),
-sh AS (SELECT l.vec_id AS vec_id, l.label AS label, l.feature AS feature, l.rep AS rep,
-              {", ".join(f"CASE WHEN l.feature = '{n}' THEN o.{c} ELSE l.{c} END AS {c}" for n, c in zip(_BLOCK_OF, FEATS))}
-       FROM long l JOIN donors d USING (feature, rep, pos) JOIN te o ON o.vec_id = d.donor
-       UNION ALL SELECT vec_id, label, 'None', -1, {", ".join(FEATS)} FROM te),
-pairs AS (SELECT s.feature, s.rep, s.vec_id AS qid, s.label AS q_label, t.vec_id AS tid, t.label AS t_label,
-                 {_d('s', 't', FEATS)} AS dist FROM sh s, tr t),
-nb AS (SELECT *, row_number() OVER (PARTITION BY feature, rep, qid ORDER BY dist, tid) AS rank FROM pairs),
-pred AS (SELECT feature, rep, qid, q_label, CASE WHEN avg(t_label) > 0.5 THEN 1 ELSE 0 END AS p
-         FROM nb WHERE rank <= {DEFAULT_K} GROUP BY feature, rep, qid, q_label),
-acc AS (SELECT feature, rep, avg(CASE WHEN p = q_label THEN 1.0 ELSE 0.0 END) AS acc FROM pred GROUP BY feature, rep),
-dr AS (SELECT feature, rep, max(CASE WHEN feature = 'None' THEN acc END) OVER () - acc AS d FROM acc)
-SELECT 'KNN' AS model, feature, round(avg(d), 9) AS importance_mean, round(stddev_pop(d), 9) AS importance_std
-FROM dr WHERE feature <> 'None' GROUP BY feature"""
+te AS (SELECT vec_id, label, [{_LISTED}] AS v, row_number() OVER (ORDER BY vec_id) AS pos FROM x WHERE split = 'test'),
+tr AS (SELECT vec_id AS tid, label AS t_label, [{_LISTED}] AS v FROM x WHERE split = 'train'),
+names AS (SELECT unnest([{_NAMES}]) AS feature, unnest(range(1, {len(FEATS) + 1})) AS f),
+orders AS (SELECT f, rep, vec_id AS donor,
+                  row_number() OVER (PARTITION BY f, rep ORDER BY md5(concat_ws('-', '42', feature, rep, vec_id))) AS pos
+           FROM te, names, range(0, {N_REPEATS}) r(rep)),
+donors AS (SELECT o.f, rep, a.vec_id AS qid, b.v[o.f] AS donor
+           FROM orders o JOIN te a USING (pos) JOIN te b ON b.vec_id = o.donor),
+pairs AS (SELECT te.vec_id AS qid, te.label AS q_label, tid, t_label, te.v AS q, tr.v AS t,
+                 list_sum(list_transform(list_zip(te.v, tr.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM te, tr),
+base AS (SELECT qid, q_label, t_label, f, t[f] AS tv, greatest(d - (q[f] - t[f]) * (q[f] - t[f]), 0.0) AS d FROM pairs, names),
+shuffled AS (SELECT f, rep, qid, q_label, arg_min(t_label, d + (donor - tv) * (donor - tv), {DEFAULT_K}) AS near
+             FROM base JOIN donors USING (qid, f) GROUP BY f, rep, qid, q_label),
+acc AS (SELECT f, rep, avg(CASE WHEN (list_avg(near) > 0.5) = (q_label = 1) THEN 1.0 ELSE 0.0 END) AS acc FROM shuffled GROUP BY f, rep),
+plain AS (SELECT avg(CASE WHEN (list_avg(near) > 0.5) = (q_label = 1) THEN 1.0 ELSE 0.0 END) AS acc
+          FROM (SELECT qid, q_label, arg_min(t_label, d, {DEFAULT_K}) AS near FROM pairs GROUP BY qid, q_label))
+SELECT 'KNN' AS model, feature, round(avg(plain.acc - acc.acc), 9) AS importance_mean,
+       round(stddev_pop(plain.acc - acc.acc), 9) AS importance_std
+FROM acc JOIN names USING (f), plain GROUP BY feature"""
 
 KNN_ORACLE = {
     "knn_predict": KNN_PREDICT,

@@ -1,10 +1,9 @@
 """KNN queries: prediction, grid search, ablation, permutation importance.
 
 Inputs are the ``embeddings`` table with every dimension as a feature
-(class = label < 5).  Ablation and permutation leave out or shuffle one
-block of features at a time (``EMBED_BLOCKS`` covers them all).  Each query is one or two neighbour runs
-(``operators.knn.neighbours``) over all variants at once: folds, removed
-features or permutation repeats are join keys, not loops.
+(class = label < 5).  Folds are join keys of one neighbour run a metric
+(``operators.knn.neighbours``); ablation and permutation take one feature at a
+time, all of them in one pass of updated distances (``operators.variants``).
 """
 
 from __future__ import annotations
@@ -12,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabrisk.contract import EMBED_BLOCKS, EMBED_FEATURES, N_FOLDS, RANDOM_STATE
+from tabrisk.contract import EMBED_FEATURES, N_FOLDS, RANDOM_STATE
 from tabrisk.functions.expressions import hash_key, strip_param_prefix
 from tabrisk.operators.knn import grid_votes, neighbours, vote
 from tabrisk.operators.prep import RiskPreprocessor
 from tabrisk.operators.ranking import bucketed_row_number
 from tabrisk.operators.split import bucket_digits, split_and_folds, stratified_split
+from tabrisk.operators.variants import variant_accuracy
 from tabrisk.session import cut_lineage, run_parallel
 from tabrisk.sources.tables import embed_full
 
@@ -126,33 +126,18 @@ def best_params(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "grid_index", "cv_accuracy_mean", "cv_accuracy_std")
 
 
-def _ablation_long(x: DataFrame) -> DataFrame:
-    """Each row once per variant: all features ('None') and each block left
-    out.  Leaving a block out = setting it to 0 in both rows of a pair, which
-    removes its terms from the distance."""
-    variants = F.array(*[F.struct(F.lit(n).alias("removed"), F.lit(a).alias("_a"), F.lit(b).alias("_b"))
-                         for n, (a, b) in {"None": (0, 0), **EMBED_BLOCKS}.items()])
-    return x.select("vec_id", "label", "vec", F.inline(variants)).select(
-        "vec_id", "label", "removed", F.transform("vec", lambda v, i: F.when(
-            (i >= F.col("_a")) & (i < F.col("_b")), 0.0).otherwise(v)).alias("vec"))
-
-
 def _knn_ablation(spark, sf_dir, ks=(DEFAULT_K,)) -> DataFrame:
     train, test = _scaled_split(spark, sf_dir)
-    t = _ablation_long(train).withColumnRenamed("vec_id", "tid")
-    q = _ablation_long(test).select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"),
-                                    "removed", "vec")
-    nb = neighbours(t, q, max(ks), "euclidean", qkeys=("qid", "q_label"), same_on=("removed",))
-    votes = grid_votes(nb, list(ks), keys=("qid", "q_label", "removed")).where(F.col("weights") == "uniform")
-    acc = votes.groupBy("k", "removed").agg(
-        F.avg((F.col("prediction") == F.col("q_label")).cast("double")).alias("accuracy"))
+    votes = variant_accuracy(train, test, list(ks))
+    acc = votes.select("k", F.coalesce(F.get(F.array(*[F.lit(c) for c in FEATS]), F.col("feature")), F.lit("None")).alias("removed"),
+                       (F.col("correct") / F.col("n")).alias("accuracy"))
     base = F.max(F.when(F.col("removed") == "None", F.col("accuracy"))).over(Window.partitionBy("k"))
     return acc.withColumn("accuracy_change", F.col("accuracy") - base)
 
 
 def knn_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy with every feature and with each block left
-    out, and the change against the full set (one neighbour run)."""
+    """Accuracy with every feature and with each one left out,
+    and the change against the full set (one pass, updated distances)."""
     a = _knn_ablation(spark, sf_dir)
     return a.select(F.lit("KNN").alias("model"), F.col("removed").alias("removed_feature"),
                     F.round("accuracy", 9).alias("accuracy"),
@@ -174,51 +159,66 @@ def ablation_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide
 
 
-def permuted_rows(test: DataFrame, blocks: dict[str, tuple[int, int]], row_id: str = "vec_id",
-                  repeats: int = N_REPEATS, seed: int = RANDOM_STATE) -> DataFrame:
-    """E11 input: for every (feature block, repeat) all test rows with that
-    block of ``vec`` shuffled, plus the unshuffled rows as feature 'None'.
+def permutation_donors(test: DataFrame, features: list[str], row_id: str = "vec_id",
+                       repeats: int = N_REPEATS, seed: int = RANDOM_STATE) -> DataFrame:
+    """E11 input: (row_id, feature number, rep, donor) for every (feature, repeat).
 
-    Row i (position by id) takes the block of the row whose position in
+    Row i (position by id) takes the value of the row whose position in
     md5('seed-feature-repeat-id') order is i.  Both positions come from
     bucket offsets (ranking.py), and the hand-over is an equi-join on
     (feature, repeat, position): no task ever ranks the whole test set."""
     from tabrisk.operators.ranking import position_by_key
-    pos = cut_lineage(position_by_key(test.select(row_id, "label", "vec"), row_id, out="_pos"))
-    reps = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"), F.lit(a).alias("_a"), F.lit(b).alias("_z"))
-                     for f, (a, b) in blocks.items() for r in range(repeats)])
-    long = pos.select("*", F.inline(reps))
-    donors = long.select("feature", "rep", row_id, F.slice("vec", F.col("_a") + 1, F.col("_z") - F.col("_a")).alias("_donor"),
-                         hash_key(seed, "feature", "rep", row_id).alias("_h"))
+    pos = cut_lineage(position_by_key(test.select(row_id, "vec"), row_id, out="_pos"))
+    names = F.array(*[F.lit(f) for f in features])
+    long = (pos.select(row_id, F.posexplode("vec").alias("feature", "donor"))
+               .select("*", F.get(names, F.col("feature")).alias("_name"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")))
+    donors = long.select("feature", "rep", "donor", hash_key(seed, "_name", "rep", row_id).alias("_h"))
     donors = donors.withColumn("_b", F.substring("_h", 1, bucket_digits(pos.count())))
     donors = bucketed_row_number(donors, ["feature", "rep"], "_b", ["_h"], out="_pos").select(
-        "feature", "rep", "_pos", "_donor")
-    shuffled = long.join(donors, ["feature", "rep", "_pos"]).select(
-        row_id, "label", "feature", "rep",
-        F.transform("vec", lambda v, i: F.when((i >= F.col("_a")) & (i < F.col("_z")), F.get("_donor", i - F.col("_a")))
-                    .otherwise(v)).alias("vec"))
-    plain = pos.select(row_id, "label", F.lit("None").alias("feature"), F.lit(-1).alias("rep"), "vec")
+        "feature", "rep", "_pos", "donor")
+    return donors.join(pos.select("_pos", row_id), "_pos").select(row_id, "feature", "rep", "donor")
+
+
+def with_donors(test: DataFrame, features: list[str], row_id: str = "vec_id", repeats: int = N_REPEATS) -> DataFrame:
+    """Test rows with ``donors``: features x repeats values, in that order
+    (an array of fixed length, set by the features and repeats)."""
+    rows = permutation_donors(test, features, row_id, repeats).groupBy(row_id).agg(
+        F.sort_array(F.collect_list(F.struct("feature", "rep", "donor"))).alias("_d"))
+    return test.join(rows.select(row_id, F.col("_d.donor").alias("donors")), row_id)
+
+
+def permuted_rows(test: DataFrame, features: list[str], row_id: str = "vec_id", repeats: int = N_REPEATS) -> DataFrame:
+    """For models that score whole rows: every test row once for each
+    (feature, repeat) with that feature's value taken from its donor, and
+    unchanged as feature 'None'."""
+    donors = permutation_donors(test, features, row_id, repeats).withColumnRenamed("feature", "_f")
+    rows = test.select(row_id, "label", "vec")
+    shuffled = rows.join(donors, row_id).select(
+        row_id, "label", F.get(F.array(*[F.lit(f) for f in features]), F.col("_f")).alias("feature"), "rep",
+        F.transform("vec", lambda v, i: F.when(i == F.col("_f"), F.col("donor")).otherwise(v)).alias("vec"))
+    plain = rows.select(row_id, "label", F.lit("None").alias("feature"), F.lit(-1).alias("rep"), "vec")
     return shuffled.unionByName(plain)
 
 
+def importance_of(accuracy: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, mean drop, std of the drop) from (feature, rep, acc); the
+    unchanged rows have feature -1."""
+    base = F.max(F.when(F.col("feature") == -1, F.col("acc"))).over(Window.partitionBy())   # features x repeats rows
+    drops = accuracy.withColumn("drop", base - F.col("acc")).where(F.col("feature") >= 0)
+    return drops.groupBy("feature").agg(F.avg("drop").alias("mean"), F.stddev_pop("drop").alias("std")).select(
+        F.get(F.array(*[F.lit(f) for f in features]), F.col("feature")).alias("feature"), "mean", "std")
+
+
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and std of the accuracy drop of the 15-NN model over
-    30 shuffles of each feature block on the test rows; all variants and the
-    baseline in ONE neighbour run keyed by (feature, repeat)."""
+    30 shuffles of each of the 64 features on the test rows; all variants and
+    the baseline in one pass of updated distances."""
     train, test = _scaled_split(spark, sf_dir)
-    perm = permuted_rows(test, EMBED_BLOCKS)
-    q = perm.select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"), "feature", "rep", "vec")
-    t = train.select(F.col("vec_id").alias("tid"), "label", "vec")
-    nb = neighbours(t, q, DEFAULT_K, "euclidean", qkeys=("qid", "q_label", "feature", "rep"))
-    v = vote(nb, DEFAULT_K, "uniform", keys=("qid", "q_label", "feature", "rep"))
-    acc = v.groupBy("feature", "rep").agg(
-        F.avg((F.col("prediction") == F.col("q_label")).cast("double")).alias("acc"))
-    base = F.max(F.when(F.col("feature") == "None", F.col("acc"))).over(Window.partitionBy())
-    drops = acc.withColumn("drop", base - F.col("acc")).where(F.col("feature") != "None")   # features x repeats
-    return drops.groupBy("feature").agg(
-        F.round(F.avg("drop"), 9).alias("importance_mean"),
-        F.round(F.stddev_pop("drop"), 9).alias("importance_std")).select(
-        F.lit("KNN").alias("model"), "feature", "importance_mean", "importance_std")
+    votes = variant_accuracy(train, with_donors(test, FEATS), [DEFAULT_K], N_REPEATS)
+    acc = votes.select("feature", "rep", (F.col("correct") / F.col("n")).alias("acc"))
+    return importance_of(acc, FEATS).select(
+        F.lit("KNN").alias("model"), "feature", F.round("mean", 9).alias("importance_mean"),
+        F.round("std", 9).alias("importance_std"))
 
 
 KNN_QUERIES = {

@@ -305,7 +305,7 @@ def importance_rules(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(
         "event_id", F.expr(ACTUAL_SQL).cast("int").alias("label"),
         F.array(F.col("user_id").cast("double"), F.col("value").cast("double")).alias("vec"))
-    rows = permuted_rows(ev, {"user_id": (0, 1), "value": (1, 2)}, row_id="event_id").select(
+    rows = permuted_rows(ev, ["user_id", "value"], row_id="event_id").select(
         "feature", "rep", "label", F.col("vec")[0].cast("long").alias("user_id"), F.col("vec")[1].alias("value"))
     acc = rows.groupBy("feature", "rep").agg(*[
         F.avg((F.expr(RULE_MODELS[m][1]) == F.col("label")).cast("double")).alias(m) for m in MODEL_NAMES])
