@@ -2,14 +2,20 @@
 
 The text view has the words, punctuation marks and word statistics of the
 content; the metadata view has source, language, length, lines and
-character-class shares of the page.  Each view has a linear classifier.  In
-every round each classifier labels the unlabelled pool and hands its most
-confident rows, as pseudo-labels, to the other view's training set.  At the
-end both views are calibrated on out-of-fold margins of the labelled rows and
-combined; the combination scores every document.
-
-Fitting takes bounded samples (``max_rows`` labelled, ``pool_rows``
-unlabelled, chosen by a hash of the id); scoring reads every whole text once.
+character-class shares of the page.  Each view has a linear classifier.
+
+All unlabelled documents take part.  Their features are written once; in every
+round one Spark pass scores each of them with both views and adds up
+histograms of confidence, from which the cuts are taken, and a second one hands
+the rows above one view's cut, as pseudo-labels, to the other view: each task
+adapts that view's weights to the rows it holds, and the tasks' weights are
+averaged by rows (iterative parameter mixing).  The average is the prior mean
+from which the view is fitted to the labelled rows again.  At the end both
+views are calibrated on labelled rows that no fit has seen, and the combined
+logits score every document.
+
+Only labelled rows reach the driver: at most about ``max_rows``, counted as
+distinct rows and not as ids.
 """
 
 from __future__ import annotations
@@ -19,22 +25,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabrisk.llm import linear, quality_rules, textscan, toxicity
+from tabrisk.llm import linear, pairing, quality_rules, textscan, toxicity
+from tabrisk.llm.spark_util import labelled_sample, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-for _module in (linear, quality_rules, toxicity):
+for _module in (linear, pairing, quality_rules, toxicity):
     cloudpickle.register_pickle_by_value(_module)
 
-#: Labelled and unlabelled rows that a fit may take.
-MAX_ROWS, POOL_ROWS = 6000, 6000
-ROUNDS, FOLDS = 3, 3
-#: Share of the pool that a view hands over in a round, and its least confidence.
+#: Labelled rows that a fit may take, and the part of them kept for calibration (one in ...).
+MAX_ROWS, HELD = 8000, 4
+ROUNDS = 2
+#: Share of the unlabelled rows that a view hands over in a round, and its least confidence.
 GROW, SURE = 0.1, 0.9
+#: Features of a view (the most frequent of the labelled rows), bins of confidence,
+#: rows adapted to at a time, steps, and the pull back to the shared weights.
+FEATURES, BINS, CHUNK, STEPS, PULL = 32_768, 2000, 20_000, 20, 0.05
 TEXT_DENSE, META_DENSE = 4, 12
 HASHED_META = 16
 
@@ -107,64 +118,147 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(p[0], 1e-3)), float(p[1])
 
 
-def train(features: list[linear.Rows], dense: list[np.ndarray], y: np.ndarray) -> CoTrained:
-    """Co-train on rows with y in (0, 1) and a pool with y = -1."""
-    scales = [(d.mean(axis=0), d.std(axis=0) + 1e-6) if len(d) else (np.zeros(d.shape[1]), np.ones(d.shape[1])) for d in dense]
-    dense = [(d - m) / s for d, (m, s) in zip(dense, scales)]
-    labelled, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    fold = np.arange(len(labelled)) % FOLDS
+@dataclass
+class View:
+    """Sparse rows in a view's feature numbers and scaled dense statistics."""
+    offsets: np.ndarray
+    features: np.ndarray
+    dense: np.ndarray
+
+    def __len__(self):
+        return len(self.offsets) - 1
+
+    def margin(self, w: np.ndarray) -> np.ndarray:
+        d = self.dense.shape[1]
+        own = np.repeat(np.arange(len(self)), np.diff(self.offsets))
+        return w[-1] + np.bincount(own, w[self.features], len(self)) + self.dense @ w[len(w) - 1 - d: -1]
+
+    def take(self, at: np.ndarray) -> "View":
+        flat, own = pairing.ranges(self.offsets[at], np.diff(self.offsets)[at])
+        return View(np.searchsorted(own, np.arange(len(at) + 1)), self.features[flat], self.dense[at])
+
+    def gradient(self, w: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Mean gradient of the log-loss at w (features, dense part, bias)."""
+        g = (linear.sigmoid(self.margin(w)) - y) / max(len(self), 1)
+        d = self.dense.shape[1]
+        own = np.repeat(np.arange(len(self)), np.diff(self.offsets))
+        return np.concatenate([np.bincount(self.features, g[own], len(w) - 1 - d), self.dense.T @ g, [g.sum()]])
+
+
+def descend(rows: View, y: np.ndarray, start: np.ndarray, pull: float, steps: int, free: np.ndarray | None = None) -> np.ndarray:
+    """Adam from ``start`` on the log-loss, pulled back to ``start``; weights
+    outside ``free`` stay.  Deterministic."""
+    w, m, v = start.copy(), np.zeros_like(start), np.zeros_like(start)
+    for step in range(1, steps + 1):
+        grad = rows.gradient(w, y) + pull * (w - start)
+        if free is not None:
+            grad = grad * free
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad ** 2
+        w = w - 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-9)
+    return w
+
+
+def fit_view(rows: View, y: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """The view's weights from labelled rows, starting at the prior; only
+    features that tell the classes apart leave it."""
+    n = np.bincount(rows.features, minlength=len(prior) - 1 - rows.dense.shape[1]).astype(float)
+    own = np.repeat(np.arange(len(rows)), np.diff(rows.offsets))
+    pos = np.bincount(rows.features, y[own], len(n))
+    share = y.mean() if len(y) else 0.0
+    spread = np.maximum(n * share * (1 - share) * (1 - n / max(len(y), 1)), 1e-9)
+    chi = np.where(n >= 2, (pos - n * share) ** 2 / spread, 0.0)
+    free = np.append((chi > 3.84).astype(float), np.ones(rows.dense.shape[1] + 1))
+    return descend(rows, y, prior, 1.0 / max(len(y), 1), 120, free)
+
+
+def cut_of(counts: np.ndarray, most: int) -> float:
+    """The least confidence handed over: at most ``most`` rows (whole bins from
+    the top, one bin at least), and ``SURE`` at least.  Rows of a bin go together."""
+    above = np.cumsum(counts[::-1])[::-1]
+    ok = np.flatnonzero(above <= most)
+    first = int(ok[0]) if len(ok) else BINS - 1
+    if first and above[min(first, BINS - 1)] == 0:
+        first = int(np.flatnonzero(counts)[-1]) if counts.any() else BINS - 1
+    return max(SURE, first / BINS)
+
+
+def view_columns(batch: pa.RecordBatch, scales) -> list[View]:
+    dense = batch.column("d").flatten().to_numpy(zero_copy_only=False).reshape(-1, TEXT_DENSE + META_DENSE)
+    out = []
+    for name, part, (mean, std) in (("t", slice(0, TEXT_DENSE), scales[0]), ("m", slice(TEXT_DENSE, None), scales[1])):
+        col = batch.column(name)
+        edges = np.asarray(col.offsets).astype(np.int64)
+        out.append(View(edges - edges[0], col.flatten().to_numpy(zero_copy_only=False), (dense[:, part] - mean) / std))
+    return out
 
-    def co_train(at):
-        truth = [np.where(y >= 0, y, 0) for _ in range(2)]
-        rows = [at, at]
-        for _ in range(ROUNDS):
-            models = [linear.fit(f, d, t, r) for f, d, t, r in zip(features, dense, truth, rows)]
-            for giver, taker in ((0, 1), (1, 0)):
-                p = linear.sigmoid(models[giver].margin(features[giver], dense[giver])[pool])
-                free = ~np.isin(pool, rows[taker])
+
+def confidences(rows: DataFrame, weights, scales) -> np.ndarray:
+    """Numbers of rows by [giving view, label, bin of confidence] (broadcast weights)."""
+    def run(batches):
+        counts = np.zeros((2, 2, BINS), np.int64)
+        for batch in batches:
+            for j, view in enumerate(view_columns(batch, scales)):
+                p = linear.sigmoid(view.margin(weights.value[j]))
                 for label, sure in ((1, p), (0, 1 - p)):
-                    share = float((truth[taker][at] == label).mean()) if len(at) else 0.5
-                    best = np.argsort(-np.where(free, sure, -1), kind="stable")[: int(np.ceil(GROW * share * len(pool)))]
-                    best = best[free[best] & (sure[best] >= SURE)]
-                    truth[taker][pool[best]] = label
-                    rows[taker] = np.concatenate([rows[taker], pool[best]])
-        return [linear.fit(f, d, t, r) for f, d, t, r in zip(features, dense, truth, rows)]
-
-    margins = np.zeros((len(labelled), 2))
-    for k in range(FOLDS):
-        held = labelled[fold == k]
-        for j, m in enumerate(co_train(labelled[fold != k])):
-            margins[fold == k, j] = m.margin(features[j], dense[j])[held]
-    truth = y[labelled]
-    calibration = np.array([platt(margins[:, j], truth) for j in range(2)])
-    out = CoTrained(co_train(labelled), scales, calibration, 0.5)
-    if len(labelled):
-        # dropping a good row counts twice
-        bad = 1 - out.combine(margins)[1]
-        out.threshold = 1 - linear.best_threshold(bad, 1 - truth, 2.0)
+                    counts[j, label] += np.bincount(np.minimum((sure * BINS).astype(int), BINS - 1), minlength=BINS)
+        at = np.argwhere(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*at.T, counts[counts > 0])], names=["view", "label", "bin", "n"])
+
+    got = rows.mapInArrow(run, "view long, label long, bin long, n long").groupBy("view", "label", "bin").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((2, 2, BINS), np.int64)
+    out[tuple(got.column(c).to_numpy() for c in ("view", "label", "bin"))] = got.column("n").to_numpy()
     return out
 
 
+def adapted(rows: DataFrame, weights, scales, cuts: np.ndarray) -> dict[int, tuple[int, np.ndarray]]:
+    """{taking view: (pseudo-labelled rows, mean of the adapted weights)}."""
+    def run(batches):
+        held = [[], []]
+        total = [(0, 0.0), (0, 0.0)]
+
+        def learn(j):
+            views, ys = zip(*held[j])
+            flat = View(np.append(0, np.cumsum(np.concatenate([np.diff(v.offsets) for v in views]))),
+                        np.concatenate([v.features for v in views]), np.concatenate([v.dense for v in views]))
+            w = descend(flat, np.concatenate(ys), weights.value[j], PULL, STEPS)
+            total[j] = (total[j][0] + len(flat), total[j][1] + len(flat) * w)
+            held[j] = []
+
+        for batch in batches:
+            views = view_columns(batch, scales)
+            for giver, taker in ((0, 1), (1, 0)):
+                p = linear.sigmoid(views[giver].margin(weights.value[giver]))
+                label = (p >= 0.5).astype(int)
+                sure = np.where(label == 1, p, 1 - p)
+                at = np.flatnonzero(sure >= cuts[giver][label])
+                if len(at):
+                    held[taker].append((views[taker].take(at), label[at].astype(float)))
+                    if sum(len(y) for _, y in held[taker]) >= CHUNK:
+                        learn(taker)
+        for j in range(2):
+            if held[j]:
+                learn(j)
+        some = [j for j in range(2) if total[j][0]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int32()), pa.array([total[j][0] for j in some], pa.int64()),
+             pa.array([total[j][1] for j in some], pa.list_(pa.float64()))], names=["view", "n", "w"])
+
+    part = rows.mapInArrow(run, "view int, n long, w array<double>")
+    got = part.groupBy("view").agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("w")).alias("w")).collect()
+    return {r["view"]: (r["n"], r["w"].toArray() / r["n"]) for r in got}
+
+
 def columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
                        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "quality", max_rows: int = MAX_ROWS, pool_rows: int = POOL_ROWS) -> CoTrained:
-    """Fit on about ``max_rows`` labelled rows of ``docs`` and a pool of about
-    ``pool_rows`` others."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> pa.Table:
+    """Features of about ``max_rows`` distinct labelled rows of ``docs``: ids by
+    their hash, and of many rows with few ids, rows by the hash of their content."""
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
                    .where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y")))
-    total, n = docs.count(), known.count()
-    part = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    chosen = known.where(part < int(min(1.0, max_rows / max(1, n)) * (1 << 20)))
-    from_all = max(1, total - n)
-    pool = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
-    pool = pool.where(F.pmod(F.xxhash64("id", F.lit("pool")), F.lit(1 << 20)) < int(min(1.0, pool_rows / from_all) * (1 << 20)))
-    pool = pool.join(known.select("id"), "id", "left_anti").select("id", F.lit(-1).alias("y"))
-    # about max_rows + pool_rows ids: small enough to broadcast
-    sample = columns(docs, id_col, text_col).join(F.broadcast(chosen.union(pool)), "id")
+    sample = labelled_sample(columns(docs, id_col, text_col), known, max_rows)
 
     def run(batches):
         for batch in batches:
@@ -174,23 +268,96 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 h, doc, dense = text_view(data, offsets)
                 g, d2, layout = meta_view(data, offsets, part.column("source").to_pylist(), part.column("lang").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("y"), pa.array(lists(h, doc, n), pa.list_(pa.int64())),
+                    [part.column("content"), part.column("y"), pa.array(lists(h, doc, n), pa.list_(pa.int64())),
                      pa.array(lists(g, d2, n), pa.list_(pa.int64())),
                      pa.array(list(np.hstack([dense, layout])), pa.list_(pa.float64()))],
-                    names=["id", "y", "t", "m", "d"])
+                    names=["content", "y", "t", "m", "d"])
+
+    rows = sample.mapInArrow(run, "content long, y int, t array<long>, m array<long>, d array<double>").distinct()
+    # equal rows count once; the limit holds even where many rows share a hash
+    return rows.orderBy("content", "y", "m").limit(2 * max_rows).toArrow()
+
+
+def unlabelled_rows(docs: DataFrame, labels: DataFrame, known: list, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """Feature numbers and dense statistics of every row without a label, written."""
+    def run(batches):
+        find = [toxicity.lookup(k.value) for k in known]
+        for batch in batches:
+            for first, last, data, offsets in textscan.slices(batch.column("text")):
+                n = last - first
+                part = batch.slice(first, n)
+                h, doc, dense = text_view(data, offsets)
+                g, d2, layout = meta_view(data, offsets, part.column("source").to_pylist(), part.column("lang").to_pylist())
+                arrays = []
+                for look, k, hashes, own in ((find[0], known[0].value, h, doc), (find[1], known[1].value, g, d2)):
+                    at, feature = look(hashes)
+                    hit = np.unique(own[at] * np.int64(max(len(k), 1)) + feature)
+                    own, feature = np.divmod(hit, max(len(k), 1))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(n + 1)).astype(np.int32)),
+                                                           pa.array(feature.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), *arrays, pa.array(list(np.hstack([dense, layout])), pa.list_(pa.float64()))], names=["id", "t", "m", "d"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sample.mapInArrow(run, f"id {kind}, y int, t array<long>, m array<long>, d array<double>").toArrow()
-    got = got.take(pc.sort_indices(got, [("id", "ascending"), ("y", "ascending")]))
+    rows = columns(docs, id_col, text_col).mapInArrow(run, f"id {kind}, t array<int>, m array<int>, d array<double>")
+    with_label = labels.where(F.col(label_col).cast("int").isin(0, 1)).select(F.col(id_col).alias("id")).distinct()
+    return written(rows.join(with_label, "id", "left_anti").select("t", "m", "d"), "cotraining-rows")
 
-    def split(name, kind):
-        x = got.column(name).combine_chunks()
-        flat, at = x.flatten().to_numpy(zero_copy_only=False), np.asarray(x.offsets)
-        return [flat[a - at[0]: b - at[0]] for a, b in zip(at[:-1], at[1:])]
 
-    dense = np.array(split("d", float)).reshape(-1, TEXT_DENSE + META_DENSE)
-    return train([linear.Rows.of(split("t", int)), linear.Rows.of(split("m", int))],
-                 [dense[:, :TEXT_DENSE], dense[:, TEXT_DENSE:]], got.column("y").to_numpy())
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+        label_col: str = "quality", max_rows: int = MAX_ROWS, rounds: int = ROUNDS) -> CoTrained:
+    """Co-train on about ``max_rows`` labelled rows and all other rows of ``docs``.
+
+    Of several labels of an id the smallest counts; labels of absent ids, null
+    ids and labels other than 0 and 1 are not used; repeated rows of the sample
+    count once.  Copies lie in the same part of the labelled rows.  Without
+    labelled rows every score is the neutral one."""
+    context = docs.sparkSession.sparkContext
+    got = labelled_rows(docs, labels, id_col, text_col, label_col, max_rows)
+    y = got.column("y").to_numpy().astype(float)
+    held = got.column("content").to_numpy() % HELD == 0
+    if held.all() or not held.any():
+        held = np.arange(len(y)) % HELD == 0
+    dense = np.array(got.column("d").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, TEXT_DENSE + META_DENSE)
+    known, views, scales, weights = [], [], [], []
+    for name, part in (("t", slice(0, TEXT_DENSE)), ("m", slice(TEXT_DENSE, None))):
+        col = got.column(name).combine_chunks()
+        edges, flat = np.asarray(col.offsets).astype(np.int64), col.flatten().to_numpy(zero_copy_only=False)
+        hashes, df = np.unique(flat, return_counts=True)
+        hashes = np.sort(hashes[np.lexsort([hashes, -df])[:FEATURES]][: int((df >= 2).sum())])
+        at = np.minimum(np.searchsorted(hashes, flat), max(len(hashes) - 1, 0))
+        ok = hashes[at] == flat if len(hashes) else np.zeros(len(flat), bool)
+        own = np.repeat(np.arange(len(y)), np.diff(edges))[ok]
+        d = dense[:, part]
+        scales.append((d.mean(axis=0), d.std(axis=0) + 1e-6) if len(d) else (np.zeros(d.shape[1]), np.ones(d.shape[1])))
+        views.append(View(np.searchsorted(own, np.arange(len(y) + 1)), at[ok], (d - scales[-1][0]) / scales[-1][1]))
+        known.append(hashes)
+        start = np.zeros(len(hashes) + d.shape[1] + 1)
+        share = np.clip(y[~held].mean(), 1e-3, 1 - 1e-3) if (~held).any() else 0.5
+        start[-1] = np.log(share / (1 - share))
+        weights.append(start)
+    if len(y):
+        seen = np.flatnonzero(~held)
+        seen_rows = [v.take(seen) for v in views]
+        weights = [fit_view(v, y[seen], w) for v, w in zip(seen_rows, weights)]
+        pool = unlabelled_rows(docs, labels, [context.broadcast(k) for k in known], id_col, text_col, label_col)
+        n_pool = pool.count()
+        for _ in range(rounds if n_pool else 0):
+            sent = context.broadcast(weights)
+            counts = confidences(pool, sent, scales)
+            shares = [1 - y[seen].mean(), y[seen].mean()]
+            cuts = np.array([[cut_of(counts[j, label], int(np.ceil(GROW * shares[label] * n_pool))) for label in (0, 1)] for j in range(2)])
+            for j, (_, prior) in adapted(pool, sent, scales, cuts).items():
+                weights[j] = fit_view(seen_rows[j], y[seen], prior)
+    margins = np.stack([v.margin(w) for v, w in zip(views, weights)], axis=1) if len(y) else np.zeros((0, 2))
+    calibration = np.array([platt(margins[held, j], y[held]) for j in range(2)])
+    fitted = [linear.Linear(float(w[-1]), k, w[: len(k)], w[len(k): -1]) for w, k in zip(weights, known)]
+    out = CoTrained(fitted, scales, calibration, 0.5)
+    if held.any():
+        # dropping a good row counts twice
+        bad = 1 - out.combine(margins[held])[1]
+        out.threshold = 1 - linear.best_threshold(bad, 1 - y[held], 2.0)
+    return out
 
 
 def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

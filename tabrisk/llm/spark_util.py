@@ -30,6 +30,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def labelled_sample(rows: DataFrame, known: DataFrame, max_rows: int) -> DataFrame:
+    """About ``max_rows`` rows of ``rows`` (id, ...) that ``known`` (id, y; one
+    row an id) labels, with y and a hash ``content`` of their other columns.
+
+    Labels of absent ids don't count.  Ids are chosen by their hash; where few
+    ids have many rows, rows are chosen by their content, so the bound is on
+    distinct rows.  Only ids and counts are joined before rows are chosen."""
+    part = lambda c: F.pmod(c, F.lit(1 << 20))
+    there = written(rows.select("id").groupBy("id").count().join(known, "id"), "labelled-ids")
+    chosen = there.where(part(F.xxhash64("id")) < int(min(1.0, max_rows / max(1, there.count())) * (1 << 20)))
+    n_rows = chosen.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    # about max_rows ids: small enough to broadcast
+    out = rows.join(F.broadcast(chosen.select("id", "y")), "id")
+    other = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns if c != "id"]
+    out = out.where(part(F.xxhash64("id", *other, F.lit("row"))) < int(min(1.0, max_rows / max(1, n_rows)) * (1 << 20)))
+    return out.withColumn("content", F.xxhash64(*other))
+
+
 def pair_cells(df: DataFrame, keys: list[str], spread: str, limit: int) -> DataFrame:
     """Split groups of ``keys`` that hold over ``limit`` rows into cells.
 

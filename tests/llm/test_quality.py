@@ -115,23 +115,77 @@ def test_cotraining_held_out(spark):
     assert all(0 <= r[c] <= 1 for r in got for c in ("p_text", "p_meta", "p"))
 
 
-def test_views_hand_over_confident_rows():
+def test_every_unlabelled_row_takes_part(spark):
+    """Histograms and pseudo-labels count all rows without a label, foreign labels or not."""
     import numpy as np
-    from tabrisk.llm import linear
-    rng = np.random.default_rng(0)
-    y = np.where(np.arange(300) < 60, np.arange(300) % 2, -1)
-    truth = np.arange(300) % 2
-    views = [linear.Rows.of([[int(t) + 10 * j] if rng.random() < 0.9 else [5] for t in truth]) for j in range(2)]
-    dense = [np.zeros((300, 1)), rng.random((300, 1))]
-    model = cotraining.train(views, dense, y)
-    p = model.combine(np.stack([m.margin(v, (d - s[0]) / s[1]) for m, v, d, s in zip(model.views, views, dense, model.scales)], axis=1))[1]
-    assert ((p >= 0.5) == truth).mean() > 0.95
-
-
-@pytest.mark.parametrize("y", [[0, 0, 0], [1, 1], []])
-def test_one_class_only(y):
+    rows, labels, _ = corpus(300)
+    labels += [(10_000 + i, 1, 0) for i in range(300)]
+    docs, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+    context = spark.sparkContext
+    got = cotraining.labelled_rows(docs, lab, "doc_id", "text", "quality", 5000)
+    known = [np.unique(got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)) for c in ("t", "m")]
+    pool = cotraining.unlabelled_rows(docs, lab, [context.broadcast(k) for k in known], "doc_id", "text", "quality")
+    with_label = {i for i, q, _ in labels if q is not None and i is not None}
+    free = [r for r in rows if r[0] not in with_label]
+    assert pool.count() == len(free)
+    scales = [(np.zeros(n), np.ones(n)) for n in (cotraining.TEXT_DENSE, cotraining.META_DENSE)]
+    rng = np.random.default_rng(1)
+    weights = [rng.normal(0, 0.3, len(k) + len(m) + 1) for k, (m, _) in zip(known, scales)]
+    sent = context.broadcast(weights)
+    counts = cotraining.confidences(pool, sent, scales)
+    assert (counts.sum(axis=(1, 2)) == 2 * len(free)).all()
+    cuts = np.array([[0.6, 0.55], [0.5, 0.7]])
+    taken = cotraining.adapted(pool, sent, scales, cuts)
+    # the same rows by hand
+    table = pool.toArrow().combine_chunks().to_batches()[0]
+    views = cotraining.view_columns(table, scales)
+    for giver, taker in ((0, 1), (1, 0)):
+        p = 1 / (1 + np.exp(-views[giver].margin(weights[giver])))
+        sure = np.where(p >= 0.5, p >= cuts[giver][1], 1 - p >= cuts[giver][0])
+        assert taken[taker][0] == sure.sum()
+        # both classes pull the taking view towards their labels
+        before, after = views[taker].margin(weights[taker])[sure], views[taker].margin(taken[taker][1])[sure]
+        y = (p >= 0.5)[sure]
+        loss = lambda z: np.log1p(np.exp(-np.where(y, z, -z))).mean()
+        assert loss(after) < loss(before)
+
+
+def test_labelled_rows_are_bounded(spark):
+    rows = [(7, f"text number {i % 900} of many", "en", "a", "", 0) for i in range(3000)] + [(i, f"other {i}", "en", "a", "", 0) for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    repeated = spark.createDataFrame([(7, 1, 0)], LABELS)
+    assert 0 < cotraining.labelled_rows(docs, repeated, "doc_id", "text", "quality", 100).num_rows <= 200
+    foreign = spark.createDataFrame([(i, i % 2, 0) for i in range(100, 3400)], LABELS)
+    assert cotraining.labelled_rows(docs, foreign, "doc_id", "text", "quality", 1000).num_rows == 300
+    model = cotraining.fit(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(0, 3400)], LABELS), max_rows=200)
+    assert len(model.views) == 2 and 0 <= model.threshold <= 1
+
+
+def test_cut_takes_whole_bins():
+    import numpy as np
+    counts = np.zeros(cotraining.BINS, int)
+    counts[-1], counts[-2], counts[-50] = 5, 4, 100
+    step = 1 / cotraining.BINS
+    assert cotraining.cut_of(counts, 9) == pytest.approx(1 - 49 * step) and cotraining.cut_of(counts, 7) == pytest.approx(1 - step)
+    assert cotraining.cut_of(counts, 200) == cotraining.SURE
+    # rows of equal confidence go together, though they are more than asked for
+    assert cotraining.cut_of(counts, 2) == pytest.approx(1 - step)
+    assert cotraining.cut_of(np.zeros(cotraining.BINS, int), 5) >= cotraining.SURE
+
+
+def test_views_learn_from_each_other():
+    """Rows that only one view can tell teach the other's weights."""
     import numpy as np
-    from tabrisk.llm import linear
-    rows = linear.Rows.of([[1, 2]] * len(y))
-    model = cotraining.train([rows, rows], [np.zeros((len(y), 1))] * 2, np.array(y, int))
-    assert model.threshold == 0.5
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 2, 400).astype(float)
+    view = cotraining.View(np.arange(401), np.where(rng.random(400) < 0.9, y, 1 - y).astype(int), np.zeros((400, 0)))
+    w = cotraining.descend(view, y, np.zeros(3), cotraining.PULL, cotraining.STEPS)
+    assert ((view.margin(w) > 0) == y).mean() > 0.85
+
+
+@pytest.mark.parametrize("quality", [0, 1])
+def test_one_class_only(spark, quality):
+    rows, labels, _ = corpus(40)
+    docs = spark.createDataFrame(rows, DOCS)
+    model = cotraining.fit(docs, spark.createDataFrame([(i, quality, 0) for i, *_ in labels if i is not None], LABELS))
+    assert model.threshold == 0.5 and len(cotraining.score(docs, model).collect()) == len(rows)
