@@ -4,15 +4,15 @@ Categories are predicted one after another: ``word`` (a marked whole word),
 ``stem`` (a marked word beginning, as in inflected forms), ``dense`` (marked
 words are frequent) and ``toxic`` (the given label).  Each later linear model
 gets the probabilities of the earlier categories as features; it is trained on
-their out-of-fold predictions, so it never learns from a probability that has
-seen the row's own label.
+their out-of-fold predictions, and a fold's markers come from the other folds,
+so it never learns from a probability that has seen the row's own label.
 
 The label table has one label, ``toxic``; the earlier categories are weak
 labels from it: a marker is a feature found in several toxic rows of the
 training sample and in no clean one.
 
-Fitting takes a bounded sample of labelled rows (``max_rows``, chosen by a
-hash of the id); scoring reads every whole text once, without a shuffle.
+Fitting takes a bounded sample of labelled rows (``max_rows``, chosen by
+hashes of ids and contents); scoring reads every whole text once, without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabrisk.llm import linear, textscan
+from tabrisk.llm.spark_util import labelled_sample
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(linear)
@@ -89,12 +89,13 @@ class Chain:
         return p
 
 
-def weak_categories(rows: linear.Rows, toxic: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    """[row, category] 0/1 labels, the given label last."""
+def weak_categories(rows: linear.Rows, toxic: np.ndarray, n_words: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """[row, category] 0/1 labels, the given label last; markers come from the
+    rows ``seen`` (a mask) only."""
     owner = rows.owner
-    pos = np.bincount(rows.features, toxic[owner], len(rows.hashes))
-    neg = np.bincount(rows.features, 1 - toxic[owner], len(rows.hashes))
-    marker = (pos >= max(3, 0.005 * toxic.sum())) & (neg == 0)
+    pos = np.bincount(rows.features, (toxic * seen)[owner], len(rows.hashes))
+    neg = np.bincount(rows.features, ((1 - toxic) * seen)[owner], len(rows.hashes))
+    marker = (pos >= max(3, 0.005 * (toxic * seen).sum())) & (neg == 0)
     whole = rows.hashes >= 0
     hit = lambda which: np.bincount(owner, which[rows.features], len(rows)) * toxic
     words, stems = hit(marker & whole), hit(marker & ~whole)
@@ -102,18 +103,21 @@ def weak_categories(rows: linear.Rows, toxic: np.ndarray, n_words: np.ndarray) -
     return np.stack([words > 0, stems > 0, dense & (words + stems > 0), toxic > 0], axis=1).astype(int)
 
 
-def train(rows: linear.Rows, toxic: np.ndarray, n_words: np.ndarray, folds: int = FOLDS) -> Chain:
-    """Fit the chain; the threshold makes the fewest errors out of fold."""
-    y = weak_categories(rows, toxic, n_words)
+def train(rows: linear.Rows, toxic: np.ndarray, n_words: np.ndarray, folds: int = FOLDS,
+          fold: np.ndarray | None = None) -> Chain:
+    """Fit the chain; the threshold makes the fewest errors out of fold.  A
+    fold's models and their markers come from the other folds."""
     n, everything = len(rows), np.arange(len(rows))
-    fold = everything % folds
+    fold = everything % folds if fold is None else fold
+    y = weak_categories(rows, toxic, n_words, np.ones(n, bool))
+    without = [weak_categories(rows, toxic, n_words, fold != f) for f in range(folds)]
     oof = np.zeros((n, 0))
     models = []
     for j in range(y.shape[1]):
         out = np.zeros(n)
         for f in range(folds):
             held = np.flatnonzero(fold == f)
-            model = linear.fit(rows, oof, y[:, j], np.flatnonzero(fold != f))
+            model = linear.fit(rows, oof, without[f][:, j], np.flatnonzero(fold != f))
             out[held] = linear.sigmoid(model.margin(rows, oof)[held])
         models.append(linear.fit(rows, oof, y[:, j], everything))
         oof = np.column_stack([oof, out])
@@ -122,16 +126,14 @@ def train(rows: linear.Rows, toxic: np.ndarray, n_words: np.ndarray, folds: int
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Chain:
-    """Fit on at most about ``max_rows`` rows of ``docs`` that ``labels`` names
+    """Fit on about ``max_rows`` distinct rows of ``docs`` that ``labels`` names
     with a label of 0 or 1 (of several labels of an id the largest counts;
-    rows without an id or a label are not used)."""
+    labels of absent ids and rows without an id or a label are not used; equal
+    rows count once).  Folds go by content, so copies are in one."""
     labels = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
                     .where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y")))
-    share = min(1.0, max_rows / max(1, labels.count()))
-    chosen = labels.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # at most about max_rows rows of two numbers: small enough to broadcast
-    sample = sample.join(F.broadcast(chosen), "id").select("id", "y", "text")
+    sample = labelled_sample(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), labels, max_rows)
+    sample = sample.select("content", "y", "text")
 
     def run(batches):
         for batch in batches:
@@ -141,15 +143,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, n), batch.column(1).slice(first, n),
                      pa.array(np.bincount(doc, minlength=n)),
-                     pa.array(present(kinds, doc, n), pa.list_(pa.int64()))], names=["id", "y", "n", "x"])
+                     pa.array(present(kinds, doc, n), pa.list_(pa.int64()))], names=["content", "y", "n", "x"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    got = sample.mapInArrow(run, f"id {kind}, y int, n long, x array<long>").toArrow()
-    got = got.take(pc.sort_indices(got, [("id", "ascending"), ("n", "ascending"), ("y", "ascending")]))
+    rows = sample.mapInArrow(run, "content long, y int, n long, x array<long>").distinct()
+    # the limit holds even where many rows share a hash
+    got = rows.orderBy("content", "n", "y", "x").limit(2 * max_rows).toArrow()
     x = got.column("x").combine_chunks()
     flat, at = x.flatten().to_numpy(zero_copy_only=False), np.asarray(x.offsets)
     lists = [flat[a - at[0]: b - at[0]] for a, b in zip(at[:-1], at[1:])]
-    return train(linear.Rows.of(lists), got.column("y").to_numpy(), got.column("n").to_numpy())
+    return train(linear.Rows.of(lists), got.column("y").to_numpy(), got.column("n").to_numpy(),
+                 fold=got.column("content").to_numpy() % FOLDS)
 
 
 def lookup(hashes: np.ndarray):
@@ -216,7 +219,9 @@ def scorer(chain: Chain):
 
 def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the chain does not reject, all columns as they
-    are; no shuffle."""
+    are, of any name; no shuffle.  Rows with null or empty texts and null ids
+    stay; repeated rows have one decision; an empty table stays empty; a very
+    long text is read whole, in linear time."""
     run = scorer(chain)
     at = docs.columns.index(text_col)
 

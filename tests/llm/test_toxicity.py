@@ -42,6 +42,29 @@ def test_held_out_rows(spark):
     assert sorted(toxicity.score(docs, toxicity.fit(docs, lab)).collect(), key=str) == sorted(got, key=str)
 
 
+def test_labelled_rows_are_bounded(spark, monkeypatch):
+    import numpy as np
+    rows = [(7, f"town {i % 900} road", "", 0) for i in range(3000)] + [(i, f"river {i}", "", 0) for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda r, *a, **k: seen.append(len(r)) or train(r, *a, **k))
+    toxicity.fit(docs, spark.createDataFrame([(7, 1, 1)], LABELS), max_rows=100)
+    toxicity.fit(docs, spark.createDataFrame([(i, 1, i % 2) for i in range(100, 3400)], LABELS), max_rows=1000)
+    assert 0 < seen[0] <= 200 and seen[1] == 300
+
+
+def test_markers_come_from_other_rows():
+    """A row's category never rests on a marker that only this row makes one."""
+    import numpy as np
+    from tabrisk.llm import linear
+    rows = linear.Rows.of([[1, 2], [1, 2], [1, 2], [1, 3], [3, 4]])
+    toxic = np.array([1, 1, 1, 1, 0])
+    assert toxicity.weak_categories(rows, toxic, np.full(5, 5), np.ones(5, bool))[:, 0].tolist() == [1, 1, 1, 1, 0]
+    without = toxicity.weak_categories(rows, toxic, np.full(5, 5), np.array([1, 1, 0, 0, 1], bool))
+    assert without[:, 0].tolist() == [0, 0, 0, 0, 0]
+
+
 def test_later_models_use_earlier_categories():
     import numpy as np
     from tabrisk.llm import linear
