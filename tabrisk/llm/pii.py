@@ -90,17 +90,7 @@ def emails(text: bytes, data: np.ndarray) -> list[tuple[int, int]]:
         m = DOMAIN.match(text, at + 1)
         if not m or at <= last:
             continue
-        # the run of local characters that ends before the @
-        first, size = at, 64
-        while True:
-            low = max(last, first - size)
-            stop = np.flatnonzero(outside[low:first])
-            if len(stop):
-                first = low + int(stop[-1]) + 1
-                break
-            first, size = low, size * 2
-            if low == last:
-                break
+        first = textscan.run_start(outside, at, last)
         if first < at:
             out.append((first, m.end()))
             last = m.end()

@@ -25,13 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabrisk.llm import textscan
-from tabrisk.llm.spark_util import shared_folder, written
+from tabrisk.llm.spark_util import free_names, shared_folder, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Changes whenever a rule changes: findings of another version don't count.
-RULES_VERSION = "2025-1"
-
 # The base kinds in the order of equal starts, then added kinds
 # with well-known public token shapes.
 ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -42,13 +39,37 @@ ADDED = (
     ("forge", b"gh", re.compile(rb"gh[pousr]_[A-Za-z0-9]{36,}")),
     ("chat", b"xox", re.compile(rb"xox[abprs]-[A-Za-z0-9-]{10,}")),
     ("maps", b"AIza", re.compile(rb"AIza[A-Za-z0-9_-]{35}")),
-    ("jwt", b"eyJ", re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("login", b"://", re.compile(rb"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]{3,}@")),
 )
-KINDS = ("assign", "access", "hex", *[k for k, _, _ in ADDED])
+#: Rules that are searched from their middle: a rare mark, the run before it, its first part, and what follows.
+INNER = (
+    ("jwt", b".eyJ", re.compile(rb"\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"),
+     textscan.byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"_-"]), re.compile(rb"eyJ[A-Za-z0-9_-]{8}")),
+    ("login", b"://", re.compile(rb"://[^\s/:@]++:[^\s/:@]{3,}+@"),
+     textscan.byte_class([*range(0x30, 0x3A), *range(0x61, 0x7B), *b"+.-"]), re.compile(rb"[a-z]")),
+)
+KINDS = ("assign", "access", "hex", *[k for k, _, _ in ADDED], *[x[0] for x in INNER])
+#: Changes whenever a rule changes: findings of another version don't count.
+RULES_VERSION = hashlib.sha256(b"\n".join([b"2", ASSIGN.pattern, ACCESS.pattern, *[r.pattern for _, _, r in ADDED],
+                                           *[x for i in INNER for x in (i[2].pattern, i[4].pattern)]])).hexdigest()[:16]
 HEX = textscan.byte_class([*range(0x30, 0x3A), *range(0x61, 0x67)])
 
 
+def inner(text: bytes, data: np.ndarray, mark: bytes, after: re.Pattern, before: np.ndarray, first: re.Pattern):
+    """Leftmost matches of a rule, found at its mark: every run before a mark
+    is read once, so the time is linear in the text."""
+    out, last, at = [], 0, text.find(mark)
+    outside = ~before[data]
+    while at >= 0:
+        m = after.match(text, at)
+        if m and at > last:
+            start = first.search(text, textscan.run_start(outside, at, last), at)
+            if start:
+                out.append((start.start(), m.end()))
+                last = m.end()
+        at = text.find(mark, at + 1)
+    return out
+
+
 def scan(data: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of all findings in one text, in code points,
     sorted by start and kind."""
@@ -65,6 +86,9 @@ def scan(data: np.ndarray) -> list[tuple[int, int, int]]:
     for i, (_, hint, rule) in enumerate(ADDED, 3):
         if hint in text:
             found += [(m.start(), m.end(), i) for m in rule.finditer(text)]
+    for i, (_, mark, after, before, first) in enumerate(INNER, 3 + len(ADDED)):
+        if mark in text:
+            found += [(a, b, i) for a, b in inner(text, data, mark, after, before, first)]
     if not found:
         return []
     at = textscan.code_points(data)
@@ -97,13 +121,14 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
 
 
 def ledger_table(spark, ledger: str, rules: str) -> DataFrame | None:
-    """Findings that the ledger has for a rule version, or None."""
+    """Findings that the ledger has for a rule version, or None.  A blob that
+    two runs scanned at a time counts once: its findings are the same."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
     store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not store.exists(path):
         return None
     return (spark.read.schema(f"blob_id string, {FINDINGS}, rules string").parquet(ledger)
-                 .where(F.col("rules") == rules).drop("rules"))
+                 .where(F.col("rules") == rules).drop("rules").dropDuplicates(["blob_id"]))
 
 
 def scan_versions(versions: DataFrame, ledger: str | None = None, id_col: str = "doc_id",
@@ -113,7 +138,8 @@ def scan_versions(versions: DataFrame, ledger: str | None = None, id_col: str =
     ``ledger`` is the folder of the ledger (a fresh one in the shared folder if
     not given); a later run with the same folder scans new blobs only.  A null
     text is the empty blob, without findings.  Repeated rows and ids each get
-    a row; extra columns are ignored; an empty table gives an empty result.
+    a row; extra columns are ignored; an empty table gives an empty result; a
+    very long text is scanned whole, in linear time.
     """
     spark = versions.sparkSession
     ledger = ledger or shared_folder(spark, "ledger")
@@ -136,13 +162,15 @@ def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_co
            mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` (spans that overlap
     are one), and n_chars, if there, counted anew.  Rows are matched on the id
-    and the content, so repeated ids keep their own texts; others stay as they
-    are."""
-    marked = findings.where("spans != ''").select(F.col(id_col).alias("_id"), F.col("blob_id").alias("_blob"),
-                                                  F.col("spans").alias("_spans")).distinct()
-    blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_docs_blob") == F.col("_blob"))
-    joined = docs.withColumn("_docs_blob", blob).join(marked, same, "left").select(*docs.columns, "_spans")
+    and the content, so repeated ids (and null ones) keep their own texts;
+    others stay as they are, also null texts.  Columns of any name stay; an
+    empty table stays empty."""
+    own, theirs, blob, spans = free_names(docs, "docs_blob", "id", "blob", "spans")
+    marked = findings.where("spans != ''").select(F.col(id_col).alias(theirs), F.col("blob_id").alias(blob),
+                                                  F.col("spans").alias(spans)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(theirs)) & (F.col(own) == F.col(blob))
+    joined = (docs.withColumn(own, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+                  .join(marked, same, "left").select(*docs.columns, spans))
     names = docs.columns
     at = names.index(text_col)
     count = names.index("n_chars") if "n_chars" in names else -1

@@ -61,6 +61,18 @@ def slices(column, limit: int = SLICE_BYTES):
         first = last
 
 
+def run_start(outside: np.ndarray, at: int, low: int) -> int:
+    """Start of the run of bytes not ``outside`` that ends before ``at``, not below ``low``."""
+    first, size = at, 64
+    while first > low:
+        begin = max(low, first - size)
+        stop = np.flatnonzero(outside[begin:first])
+        if len(stop):
+            return begin + int(stop[-1]) + 1
+        first, size = begin, size * 2
+    return first
+
+
 _powers: list[np.ndarray] = []
 
 

@@ -1,8 +1,10 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings, strategies as st
 import numpy as np
+import pytest
 
 from tabrisk.llm import secrets
 from tabrisk.llm.spark_util import shared_folder
@@ -77,3 +79,31 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert secrets.scan_versions(df).collect() == []
     assert secrets.redact(df, secrets.scan_versions(df)).collect() == []
+
+
+@pytest.mark.parametrize("text", ["://" + "a" * 1_000_000, "a" * 1_000_000 + "://x", "a1.+-" * 200_000 + "://u:pass@h", "eyJ" * 350_000, "eyJabcdefgh." * 90_000,
+                                  ".eyJ" * 250_000, "://a:b" * 150_000, "-----BEGIN " * 90_000, "password" + " " * 1_000_000, "token" * 200_000])
+def test_time_is_linear(text):
+    begin = time.time()
+    secrets.scan(np.frombuffer(text.encode(), np.uint8))
+    assert time.time() - begin < 2
+
+
+SLOW = {"jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), "login": re.compile(r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]{3,}@")}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["eyJ", "abcdefgh", ".", "://", "a", "1", "+", ":", "@", "user", "pass", " ", "/", "-", "Z"]), max_size=30))
+def test_rules_searched_from_the_middle(parts):
+    text = "".join(parts)
+    found = [(secrets.KINDS[k], a, b) for a, b, k in secrets.scan(np.frombuffer(text.encode(), np.uint8)) if secrets.KINDS[k] in SLOW]
+    assert sorted(found) == sorted((kind, *m.span()) for kind, rule in SLOW.items() for m in rule.finditer(text))
+
+
+def test_blob_that_two_runs_scanned_counts_once(spark):
+    ledger = shared_folder(spark, "test-ledger-twice")
+    df = spark.createDataFrame([(1, "token=abcdefgh", 0, "", ""), (2, "plain", 0, "", "")], SCHEMA)
+    secrets.scan_versions(df, ledger).count()
+    again = spark.createDataFrame(spark.read.parquet(ledger).collect(), spark.read.parquet(ledger).schema)
+    again.write.mode("append").partitionBy("rules").parquet(ledger)
+    assert secrets.scan_versions(df, ledger).count() == 2
