@@ -27,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Element names of HTML by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-OUT = frozenset("head nav footer aside form button select menu dialog template svg canvas object audio video math "
+OUT = frozenset("head nav footer aside button select menu dialog template svg canvas object audio video math "
                 "script style textarea title noscript iframe xmp noembed noframes fieldset label".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer "
                   "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary "
@@ -43,15 +43,18 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 NEVER = re.compile(
     r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|comments?|commentlist|disqus|replies|respond|menus?|nav|navbar|"
     r"navigation|breadcrumbs?|cookies?|consent|gdpr|newsletter|subscribe|subscription|signup|login|share|sharing|pagination|"
-    r"pager|contentinfo|outbrain|taboola", re.I)
+    r"pager|contentinfo|outbrain|taboola|dialog|alertdialog", re.I)
 PLACES = re.compile(
     r"promo(?:tion)?s?|banner|sidebar|side|aside|footer|foot|header|masthead|topbar|notices?|alert|popup|modal|overlay|social|"
     r"related|recommended|recommendations|widgets?|toolbar|complementary|search", re.I)
 #: Parts of a compound name that leave its sense, and first parts of a layout flag.
 PLAIN = frozenset("area bar bottom box block buttons container global group inner item items left links list outer right section "
                   "site slot text thread top unit wrap wrapper zone".split()) | {""}
+#: Parts that, like numbers, don't weaken the name of a thing that never is main text.
+KINDRED = frozenset("body content author meta text form item items entry entries reply date avatar header title".split())
 FLAGS = frozenset("with without no not has have is hide show js".split())
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
@@ -70,6 +73,8 @@ def name_says(token: str) -> str:
         return ""
     if all(x in PLAIN or NEVER.fullmatch(x) or PLACES.fullmatch(x) for x in parts):
         return "never" if never else "place"
+    if never and all(x in PLAIN or x in KINDRED or x.isdigit() or NEVER.fullmatch(x) or PLACES.fullmatch(x) for x in parts):
+        return "never"
     return "part"
 
 
@@ -82,7 +87,11 @@ class Page:
         self.chars, self.linked = [0], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self.marks: dict[int, str] = {}
+        self.owners: list[int] | None = None
         self.open = [0]
+        #: Depths of the open elements, by name; those of blocks other than paragraphs.
+        self.at: dict[str, list[int]] = {}
+        self.block_depths: list[int] = []
         self.parts: list[str] = []
         self.link_parts = 0
         self.links = 0
@@ -151,6 +160,9 @@ class Page:
         self.points.append(0.0)
         self.chars.append(0)
         self.linked.append(0)
+        self.at.setdefault(name, []).append(len(self.open))
+        if name in BLOCK and name != "p":
+            self.block_depths.append(len(self.open))
         self.open.append(len(self.name) - 1)
         if skip is None:
             mark = "" if name in ("html", "body") or name in OUT else self.marked(name, attributes)
@@ -170,13 +182,15 @@ class Page:
         does), or nothing.  ``left_out`` decides.  A header inside an article
         keeps its headings, see ``main_text``."""
         if name == "header":
-            return "" if any(self.name[n] in ("article", "main") for n in self.open[:-1]) else "place"
+            return "" if self.at.get("article") or self.at.get("main") else "place"
+        if name == "form":
+            return "form"
         if not attributes or name in HEADINGS:
             return ""
         found = set()
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and NOT_SHOWN.search(value):
                 return "hidden"
             if key not in ("class", "id", "role") or name in ("article", "main", "b", "i", "em", "strong"):
                 continue
@@ -193,7 +207,8 @@ class Page:
     def left_out(self) -> list[bool]:
         """Whether each element is left out for its marks.  A marked element
         stays if it holds the page's article or main; a place also if it holds
-        most of the paragraph points; any if the page has no text beside it.
+        most of the paragraph points, as does a form round a page or its article;
+        any if the page has no text beside it.
         Where only a part of a name is marked, links and points decide."""
         n = len(self.name)
         points, chars, linked, main, head = ([0.0] * n for _ in range(5))
@@ -224,32 +239,34 @@ class Page:
                 out[k] = not holds and (3 * linked[k] > chars[k] or not points[k] and not head[k])
                 continue
             alone = chars[0] - linked[0] - (chars[k] - linked[k]) < MIN_CHARS
+            if mark == "form":
+                out[k] = not (holds or 2 * points[k] > points[0] or not main[0] and alone and head[k])
+                continue
             most = mark == "place" and 2 * points[k] > points[0]
             # a page with an article or main has its text there
             out[k] = not (holds or not main[0] and (alone or most))
         return out
 
+    def innermost(self, names) -> int:
+        """Depth of the innermost open element of ``names``, 0 if none is open."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
     def close_open(self, names, barriers, skip):
         """Close the innermost open element of ``names``, if no barrier is above it."""
-        for depth in range(len(self.open) - 1, 0, -1):
-            name = self.name[self.open[depth]]
-            if name in names:
-                return self.cut(depth, skip)
-            if name in barriers or name in ("article", "section", "main", "div", "body") and "p" in names:
-                return skip
-        return skip
+        if "p" in names:
+            barriers = barriers | {"article", "section", "main", "div", "body"}
+        depth = self.innermost(names)
+        return self.cut(depth, skip) if depth > self.innermost(barriers - names) else skip
 
     def close(self, name, skip):
-        if name in ("br", "p") and not any(self.name[n] == name for n in self.open):
-            if skip is None:
+        depth = self.innermost((name,))
+        if not depth:
+            if name in ("br", "p") and skip is None:
                 self.flush()
             return skip
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.name[self.open[depth]] == name:
-                if name not in BLOCK and any(self.name[n] in BLOCK and self.name[n] != "p" for n in self.open[depth + 1:]):
-                    return skip  # an inline end tag doesn't end the blocks inside
-                return self.cut(depth, skip)
-        return skip
+        if name not in BLOCK and self.block_depths and self.block_depths[-1] > depth:
+            return skip  # an inline end tag doesn't end the blocks inside
+        return self.cut(depth, skip)
 
     def cut(self, depth, skip):
         if skip is None and any(self.name[n] in BLOCK or n in self.marks for n in self.open[depth:]):
@@ -257,15 +274,21 @@ class Page:
         if skip is None:
             self.links -= sum(self.name[n] == "a" for n in self.open[depth:])
             self.links = max(self.links, 0)
+        for n in self.open[depth:]:
+            self.at[self.name[n]].pop()
+        while self.block_depths and self.block_depths[-1] >= depth:
+            self.block_depths.pop()
         del self.open[depth:]
         return None if skip is not None and len(self.open) < skip else skip
 
     def owner(self, node):
         """The element that holds a block as a whole: out of inline elements,
         then out of the paragraph itself."""
-        while node and self.name[node] not in BLOCK:
-            node = self.parent[node]
-        return node
+        if self.owners is None:  # parents come before their children
+            self.owners = []
+            for n, name in enumerate(self.name):
+                self.owners.append(n if not n or name in BLOCK else self.owners[self.parent[n]])
+        return self.owners[node]
 
     @staticmethod
     def worth(text: str, linked: int) -> float:
@@ -374,7 +397,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     A null or empty page has the empty text.  Broken markup is read as far as
     it goes and never fails.  Repeated rows each get a row; extra columns are
-    ignored; an empty table gives no row.
+    ignored; an empty table gives no row; a very long page is read whole, in
+    time linear in its tags.
     """
     def run(batches):
         for batch in batches:

@@ -1,6 +1,8 @@
 import html
 import re
+import time
 
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from tabrisk.llm import html_extract
@@ -105,3 +107,37 @@ def test_rows(spark):
     assert sorted((str(r["page_id"]), str(r["url"]), r["n_chars"]) for r in got) == sorted(
         [("1", "u", len(main_text(PAGE)))] * 2 + [("2", "None", 0), ("None", "u", 0), ("3", "v", len(LONG) * 3000)])
     assert html_extract.extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+PARA = "A long enough paragraph of the article, with commas, that says one thing after another, and so on."
+
+
+def test_form_round_the_page_keeps_the_article():
+    page = f"<body><form id=aspnetForm><div><h1>Title</h1><p>{PARA}</p><p>{PARA} Again.</p></div><input name=q><button>Go</button></form></body>"
+    assert html_extract.main_text(page) == f"Title\n\n{PARA}\n\n{PARA} Again."
+    page = f"<form><main><article><h1>Title</h1><p>{PARA}</p></article></main></form>"
+    assert html_extract.main_text(page) == f"Title\n\n{PARA}"
+    page = f"<main><form><h1>Title</h1><p>{PARA}</p></form></main>"
+    assert html_extract.main_text(page) == f"Title\n\n{PARA}"
+    page = f"<div><h1>Title</h1><p>{PARA}</p><p>{PARA}</p><form><p>Write to us, now, please, if you like.</p><input></form></div>"
+    assert html_extract.main_text(page) == f"Title\n\n{PARA}\n\n{PARA}"
+
+
+def test_comments_dialogs_and_hidden_parts_go():
+    extra = "Nice text, I liked it very much, thank you."
+    for element in ('<div id="comment-12" class="comment-body">', '<div class="comment-content">', '<li class="comment_author">', '<div id=comment-form>',
+                    '<div role="dialog">', '<div style="color:red; display: none">', '<div style="visibility:hidden">'):
+        tag = element[1:].split(" ")[0]
+        page = f"<main><h1>Title</h1><p>{PARA}</p>{element}<p>{extra}</p></{tag}></main>"
+        assert html_extract.main_text(page) == f"Title\n\n{PARA}", element
+    page = f'<main><h1>Title</h1><div class="body-text content-12" style="display:block"><p>{PARA}</p></div></main>'
+    assert html_extract.main_text(page) == f"Title\n\n{PARA}"
+
+
+@pytest.mark.parametrize("page", ["<b>" * 50_000 + "</i>" * 50_000, "</i>" * 100_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000,
+                                  "<b>" * 50_000 + "x<hr>" * 50_000, "<header>" * 50_000, "<div>" * 50_000 + "<p>x" * 50_000,
+                                  "<ul>" + "<li><b>" * 50_000, "<a <a '" * 50_000])
+def test_time_is_linear(page):
+    begin = time.time()
+    html_extract.main_text(f"<article><h1>Title</h1><p>{PARA}</p></article>" + page)
+    assert time.time() - begin < 4
