@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabrisk.llm import textscan
+from tabrisk.llm.spark_util import free_names
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -121,12 +122,13 @@ def probabilities(cells: pd.DataFrame, targets: dict | None = None, budget: floa
     return cells.assign(weight=weight, p=calibrate(tokens, weight, budget))
 
 
-def with_cells(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with its cell: columns _source, _lang, _topic, _tokens."""
-    keyed = docs.withColumn("_source", level("source")).withColumn("_lang", level("lang"))
+def with_cells(docs: DataFrame, text_col: str = "text", keep_text: bool = True,
+               cell: tuple = ("_source", "_lang", "_topic", "_tokens")) -> DataFrame:
+    """``docs`` with its cell, in columns named by ``cell``."""
+    keyed = docs.withColumn(cell[0], level("source")).withColumn(cell[1], level("lang"))
     at = docs.columns.index(text_col)
     kept = [i for i, c in enumerate(keyed.columns) if keep_text or c != text_col]
-    schema = T.StructType([keyed.schema[i] for i in kept] + [T.StructField("_topic", T.StringType()), T.StructField("_tokens", T.LongType())])
+    schema = T.StructType([keyed.schema[i] for i in kept] + [T.StructField(cell[2], T.StringType()), T.StructField(cell[3], T.LongType())])
     names = schema.names
 
     def run(batches):
@@ -179,7 +181,13 @@ def sample(docs: DataFrame, targets: dict | None = None, id_col: str = "doc_id",
            budget: float = BUDGET, power: float = POWER) -> DataFrame:
     """The rows of ``docs`` that the mix keeps, with all columns.  Cells are
     summed in a first pass; the second joins the cell table to the rows, which
-    moves no text as long as the planner can broadcast that table."""
+    moves no text as long as the planner can broadcast that table.  Null
+    sources, languages and texts are values of their own; repeated rows and
+    rows of one id (null too) share their decision; columns of any name stay;
+    an empty table stays empty; a very long text is read whole."""
+    cell = free_names(docs, "_source", "_lang", "_topic", "_tokens")
+    share, = free_names(docs, "_p")
     p = cell_probabilities(with_cells(docs.select(text_col, "source", "lang"), text_col, False), targets, budget, power)
-    return (with_cells(docs, text_col).join(p.withColumnRenamed("p", "_p").drop("weight"), [f"_{d}" for d in DIMS])
-            .where(uniform(id_col) < F.col("_p")).select(*docs.columns))
+    p = p.select(*[F.col(f"_{d}").alias(c) for d, c in zip(DIMS, cell)], F.col("p").alias(share))
+    return (with_cells(docs, text_col, cell=tuple(cell)).join(p, cell[:3])
+            .where(uniform(id_col) < F.col(share)).select(*docs.columns))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabrisk.llm import pairing, textscan
-from tabrisk.llm.spark_util import components, pair_cells, written
+from tabrisk.llm.spark_util import components, free_names, pair_cells, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -213,13 +213,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of ``docs`` for each component: the one with the smallest id
     (null ids last), among rows of that id the one with the smallest digest of
     its columns.  Rows of equal ids and unlike texts, and rows without an id,
-    are told apart by the digest; of rows equal in all columns one stays."""
-    rows = docs.withColumn("_row", F.unhex(F.sha2(F.to_json(F.struct(*docs.columns)), 256)))
-    prints = written(fingerprints(rows, id_col, text_col, k, ("_row",)), "fingerprints")
-    copies = prints.groupBy("fp", "id", "_row").agg(F.count(F.lit(1)).alias("n"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row", "n")).alias("least")
+    are told apart by the digest; of rows equal in all columns one stays.
+    Null and empty texts are one component; columns of any name stay; an empty
+    table stays empty; a very long text is read whole."""
+    row, = free_names(docs, "row_digest")
+    rows = docs.withColumn(row, F.unhex(F.sha2(F.to_json(F.struct(*docs.columns)), 256)))
+    prints = written(fingerprints(rows.select(F.col(id_col), F.col(text_col), F.col(row).alias("row_key")), id_col, text_col, k, ("row_key",)), "fingerprints")
+    copies = prints.groupBy("fp", "id", "row_key").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key", "n")).alias("least")
     roots = with_roots(copies.groupBy("fp").agg(first), max_bits)
-    chosen = written(roots.groupBy("root").agg(F.min("least").alias("least")).select("least._row", "least.n"), "chosen")
-    once, often = (rows.join(written(chosen.where(n).select("_row"), "chosen-rows"), "_row", "left_semi").select(docs.columns)
+    chosen = written(roots.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row_key").alias(row), F.col("least.n").alias("n")), "chosen")
+    once, often = (rows.join(written(chosen.where(n).select(row), "chosen-rows"), row, "left_semi").select(docs.columns)
                    for n in ("n = 1", "n > 1"))
     return once.unionByName(often.dropDuplicates())

@@ -65,3 +65,19 @@ def test_pipeline_on_an_empty_and_an_odd_table(spark, tmp_path):
         labels.write.parquet(f"{folder}/labels.parquet")
         got = corpus_pipeline.run(spark, folder).collect()
         assert bool(got) == bool(rows)
+
+
+def test_columns_of_any_name_stay(spark):
+    """Names that stages use inside come through with their values."""
+    clash = ["_row", "row_key", "row_digest", "_spans", "spans", "_p", "p", "_source", "_lang", "_topic", "_tokens", "_docs_blob", "docs_blob", "_id", "id",
+             "_blob", "blob", "blob_id", "fp", "y", "content", "_own", "rejected", "weight"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    from pyspark.sql import functions as F
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in clash])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, docs, SF), "clash-test")
+        assert out.columns == docs.columns, name
+        rows = out.select("doc_id", *clash).collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in clash), name
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
