@@ -129,5 +129,3 @@ EVENT_BATCH = TableContract(
 
 # every dimension of the embeddings table is a feature (the loader checks the length)
 EMBED_FEATURES = tuple(f"e{i}" for i in range(64))
-# leave-out and shuffle reports of a wide table work on blocks of its features: name -> (first, end)
-EMBED_BLOCKS = {f"e{a}_{a + 7}": (a, a + 8) for a in range(0, 64, 8)}

@@ -87,6 +87,16 @@ def percent_text(pct, n) -> Column:
     return F.format_string("%.1f%%\n%d", col_(pct), col_(n))
 
 
+def number_text(x, digits: int = 4, signed: bool = False) -> Column:
+    """a number with ``digits`` places, with its sign if ``signed``; null stays null."""
+    return F.when(col_(x).isNotNull(), F.format_string(f"%{'+' if signed else ''}.{digits}f", col_(x)))
+
+
+def title_case(x) -> Column:
+    """F8: every word with a capital, the rest in small letters."""
+    return F.initcap(F.lower(col_(x)))
+
+
 def strip_param_prefix(m, prefix: str = "model__") -> Column:
     """keep only keys with the prefix and remove it."""
     kept = F.map_filter(col_(m), lambda k, v: k.startswith(prefix))

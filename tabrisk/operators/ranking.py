@@ -87,11 +87,16 @@ def quantile_bucket(df: DataFrame, keys: Sequence[str], value: str,
     if not keys:
         df, keys, drop = df.withColumn("_k0", F.lit(0)), ["_k0"], ["_k0"]
     bounds = df.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, accuracy).alias("_bounds"))
-    v = F.col(value)
-    return (df.join(bounds, list(keys))
-              .withColumn(out, F.size(F.filter("_bounds", lambda b: b < v)))
-              .drop("_bounds", *drop))
+        F.array_sort(F.array_distinct(F.percentile_approx(value, probs, accuracy))).alias("_bounds"))
+    # binary search, a step at a time: the number of bounds below the value
+    v, low = F.col(value), F.lit(0)
+    step = 1 << max(0, (n_buckets - 1).bit_length() - 1)
+    joined = df.join(bounds, list(keys)).withColumn(out, low)
+    while step:
+        at = F.col(out) + step
+        joined = joined.withColumn(out, F.when((at <= F.size("_bounds")) & (F.get("_bounds", at - 1) < v), at).otherwise(F.col(out)))
+        step //= 2
+    return joined.drop("_bounds", *drop)
 
 
 def bottom_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,

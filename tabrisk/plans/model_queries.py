@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabrisk.contract import EMBED_BLOCKS, EMBED_FEATURES, MODEL_NAMES
+from tabrisk.contract import EMBED_FEATURES, MODEL_NAMES
 from tabrisk.functions.expressions import risk_label
 from tabrisk.operators import metrics as M
 from tabrisk.operators.mlp import persist_rows
@@ -25,8 +25,9 @@ from tabrisk.operators.split import split_and_folds
 from tabrisk.operators.svm import SVMSet, train_svms
 from tabrisk.operators.threshold import best_threshold, threshold_curve
 from tabrisk.operators.tune import expand_grid
-from tabrisk.plans.knn_queries import DEFAULT_K, _knn_ablation, permuted_rows
-from tabrisk.session import checkpoint_dir, cut_lineage, run_parallel
+from tabrisk.operators.variants import variant_accuracy
+from tabrisk.plans.knn_queries import DEFAULT_K, N_REPEATS, permuted_rows, with_donors
+from tabrisk.session import checkpoint_dir, cut_lineage
 from tabrisk.sources.tables import embed_rows
 
 FEATS = list(EMBED_FEATURES)
@@ -148,18 +149,19 @@ def importance_ranked(spark, sf_dir):
     overall (the permuted rows are scored in one pass per model)."""
     _, train, test, _ = prepared(spark, sf_dir)
     models = _three_models(train, calibrate=False)
-    shuffled = permuted_rows(test.select("vec_id", "label", F.array(*FEATS).alias("vec")), EMBED_BLOCKS)
-    perm = shuffled.select("vec_id", "label", "feature", "rep", *[F.col("vec")[i].alias(c) for i, c in enumerate(FEATS)])
-    perm = cut_lineage(perm.withColumn("_qk", F.concat_ws("-", "feature", "rep", "vec_id")))
+    shuffled = permuted_rows(test.select("vec_id", "label", F.array(*FEATS).alias("vec")), FEATS)
+    perm = cut_lineage(shuffled.select("vec_id", "label", "feature", "rep", *[F.col("vec")[i].alias(c) for i, c in enumerate(FEATS)]))
+    as_rows = lambda df: df.select("vec_id", "label", F.array(*FEATS).alias("vec"))
+    names = F.array(*[F.lit(f) for f in FEATS])
     drops = None
     for name, m in models.items():
         c = name.lower()
-        if name == "KNN":
-            scored = m.score(perm.withColumnRenamed("vec_id", "_vid"), keys=("_qk",))
+        if name == "KNN":      # the rows are not copied: distances of the unshuffled ones are updated
+            acc = variant_accuracy(as_rows(train), with_donors(as_rows(test), FEATS), [DEFAULT_K], N_REPEATS).select(
+                F.coalesce(F.get(names, F.col("feature")), F.lit("None")).alias("feature"), "rep", (F.col("correct") / F.col("n")).alias("acc"))
         else:
-            scored = m.score(perm)
-        acc = scored.groupBy("feature", "rep").agg(
-            F.avg((F.col(f"{c}_prediction") == F.col("label")).cast("double")).alias("acc"))
+            acc = m.score(perm).groupBy("feature", "rep").agg(
+                F.avg((F.col(f"{c}_prediction") == F.col("label")).cast("double")).alias("acc"))
         base = F.max(F.when(F.col("feature") == "None", F.col("acc"))).over(Window.partitionBy())
         d = (acc.withColumn("drop", base - F.col("acc")).where(F.col("feature") != "None")
                 .groupBy("feature").agg(F.avg("drop").alias(name)))
@@ -177,30 +179,6 @@ def importance_ranked(spark, sf_dir):
                       (F.col("overall_rank") == 1).cast("int").alias("is_top"))
 
 
-def ablation_all_models(spark, sf_dir):
-    """Leave-one-block-out accuracy of the three models side by
-    side.  KNN in one neighbour run; SVM and ANN refit per removed block
-    (preprocessing is per column, so it is fitted once)."""
-    _, train, test, _ = prepared(spark, sf_dir)
-    knn = _knn_ablation(spark, sf_dir).select(F.lit("KNN").alias("model"), "removed", "accuracy")
-
-    def accuracy(task):
-        name, removed = task
-        first, end = EMBED_BLOCKS.get(removed, (0, 0))
-        cols = FEATS[:first] + FEATS[end:]
-        m = (fit_mlp(train, cols, name) if name == "ANN"
-             else fit_svm(train, cols, name, kernel="rbf", C=1.0, gamma=gamma_scale(train, cols),
-                          calibrate=False))
-        return name, removed, float(_accuracy(m.score(test), name))
-
-    rows = run_parallel(accuracy, [(n, r) for n in ("ANN", "SVM") for r in ("None", *EMBED_BLOCKS)], 8)
-    long = knn.unionByName(spark.createDataFrame(rows, "model string, removed string, accuracy double"))
-    base = F.max(F.when(F.col("removed") == "None", F.col("accuracy"))).over(Window.partitionBy("model"))
-    long = long.withColumn("change", F.col("accuracy") - base)
-    return long.groupBy(F.col("removed").alias("removed_feature")).pivot("model", list(MODEL_NAMES)).agg(
-        F.first(F.round("accuracy", 9)).alias("accuracy"), F.first(F.round("change", 9)).alias("change"))
-
-
 def saved_model_check(spark, sf_dir):
     """Save the preprocessing and the three models (the SVM with
     its calibration and a threshold), load what the registry finds, score the
@@ -226,31 +204,25 @@ def saved_model_check(spark, sf_dir):
         (F.col("rows_scored") == F.col("same_predictions")).cast("int").alias("passed"))
 
 
-# --- Fixed values: the search grids of the SVM and the MLP ---
-SVM_LINEAR_GRID = [{"kernel": ["linear"],
-                    "C": [0.001, 0.003, 0.01, 0.03, 0.05, 0.1, 0.3, 0.5, 1, 3, 10],
-                    "class_weight": [None, "balanced"]}]
-SVM_RBF_GRID = [{"kernel": ["rbf"],
-                 "C": [0.05, 0.1, 0.3, 0.5, 1, 2, 3, 5, 10, 30, 100],
-                 "gamma": ["scale", "auto", 0.001, 0.003, 0.005, 0.01, 0.03, 0.05, 0.1, 0.3],
-                 "class_weight": [None, "balanced"]}]
-MLP_LAYER_SHAPES = [(16,), (32,), (16, 8), (32, 16), (64, 32)]
+# --- Fixed values: the search grid of the SVM ---
+SVM_GRID = [{"kernel": ["rbf"],
+             "C": [0.05, 0.1, 0.3, 0.5, 1, 2, 3, 5, 10, 30, 100],
+             "gamma": ["scale", "auto", 0.001, 0.003, 0.005, 0.01, 0.03, 0.05, 0.1, 0.3],
+             "class_weight": [None, "balanced"]},
+            {"kernel": ["linear"],
+             "C": [0.001, 0.003, 0.01, 0.03, 0.05, 0.1, 0.3, 0.5, 1, 3, 10],
+             "class_weight": [None, "balanced"]}]
 # ---------------------------------------------------------------------------
 
 
-def _accuracy(scored: DataFrame, name: str) -> float:
-    c = name.lower()
-    return scored.agg(F.avg((F.col(f"{c}_prediction") == F.col("label")).cast("double"))).first()[0]
-
-
 def _svm_set(p: dict) -> SVMSet:
     return SVMSet(float(p["C"]), p.get("gamma"), p["class_weight"] == "balanced")
 
 
-def svm_grid(spark, sf_dir, grid=SVM_LINEAR_GRID + SVM_RBF_GRID):
-    """E4 A10 A19 for the SVM: 5-fold CV accuracy of all 242 parameter sets
-    (linear: C x class weight; rbf: C x gamma x class weight), preprocessing
-    refit per fold, all fits in the same passes (``operators.svm``)."""
+def svm_results(spark, sf_dir, grid=SVM_GRID):
+    """5-fold CV accuracy of every set of the SVM's grid (linear: C x class
+    weight; rbf: C x gamma x class weight), preprocessing refit per fold, all
+    fits in the same passes (``operators.svm``)."""
     from tabrisk.plans.mlp_queries import REFIT, cv_long_table
     sets = expand_grid(grid)
     long, _ = cv_long_table(spark, sf_dir)
@@ -264,26 +236,8 @@ def svm_grid(spark, sf_dir, grid=SVM_LINEAR_GRID + SVM_RBF_GRID):
     agg = acc.groupBy("grid_index").agg(
         F.round(F.avg("acc"), 12).alias("cv_accuracy_mean"), F.round(F.stddev_pop("acc"), 12).alias("cv_accuracy_std"),
         F.sum("converged").alias("folds_converged"), F.max("n_iter").alias("max_iterations"))
-    w = Window.orderBy(F.col("cv_accuracy_mean").desc())                        # one row per set
     return agg.join(params, "grid_index").select(
-        "grid_index", "params", "cv_accuracy_mean", "cv_accuracy_std", "folds_converged", "max_iterations",
-        F.rank().over(w).alias("rank_test_score"), F.lit("SVM").alias("model"))
-
-
-def mlp_grid(spark, sf_dir):
-    """E4 for the MLP over the hidden-layer shapes of the reference grid.
-    The built-in MLP has no activation / L2 / Adam-rate options, so those
-    grid axes have no counterpart here."""
-    from tabrisk.operators.tune import cv_grid, fold_tables
-    em = embed_rows(spark, sf_dir)
-    train = cut_lineage(split_and_folds(em, "label", ["vec_id"]).where(F.col("split") == "train"))
-    folds = fold_tables(train, FEATS)
-    grid = [{"hidden_layer_sizes": list(h)} for h in MLP_LAYER_SHAPES]
-
-    def fit_score(fit_rows, held, p):
-        return _accuracy(fit_mlp(fit_rows, FEATS, "ANN", hidden=tuple(p["hidden_layer_sizes"])).score(held), "ANN")
-
-    return cv_grid(folds, grid, fit_score).withColumn("model", F.lit("ANN"))
+        "grid_index", "params", "cv_accuracy_mean", "cv_accuracy_std", "folds_converged", "max_iterations")
 
 
 MODEL_QUERIES = {
@@ -294,8 +248,5 @@ MODEL_QUERIES = {
     "model_comparison_fitted": model_comparison_fitted,
     "score_fitted_wide": score_fitted_wide,
     "importance_ranked": importance_ranked,
-    "ablation_all_models": ablation_all_models,
     "saved_model_check": saved_model_check,
-    "svm_grid": svm_grid,
-    "mlp_grid": mlp_grid,
 }

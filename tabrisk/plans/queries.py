@@ -267,7 +267,8 @@ def history_full(spark, sf_dir):
 def batch_append_history(spark, sf_dir):
     """An upload of events is validated,
     its good rows are scored by every rule model and appended to a history
-    twice (first and second half of the ids), and the history is read back:
+    in two batches (first and second half of the ids), each batch twice, which
+    counts once, and the history is read back:
     rows, mean percent and the distinct inputs per model and risk label, beside
     the rows in and the rows refused."""
     from tabrisk.functions.expressions import risk_label
@@ -286,8 +287,8 @@ def batch_append_history(spark, sf_dir):
                            *[F.col(c).cast("double").alias(c) for c in feats])
     path = f"{checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"
     clear_history(spark, path, feats)
-    for part in (0, 1):
-        append_history(stored.where(F.col("event_id") % 2 == part).drop("event_id"), path)
+    for part in (0, 1, 1, 0):
+        append_history(stored.where(F.col("event_id") % 2 == part).drop("event_id"), path, batch=f"half-{part}")
     history = load_history(spark, path, feats)
     report = history.groupBy("model", "prediction").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("probability"), 6).alias("avg_probability"),
@@ -410,6 +411,10 @@ from tabrisk.plans.model_queries import MODEL_QUERIES  # noqa: E402
 
 QUERIES.update(MODEL_QUERIES)
 
-from tabrisk.plans.mlp_queries import MLP_QUERIES  # noqa: E402
+from tabrisk.plans.training_queries import TRAINING_QUERIES  # noqa: E402
 
-QUERIES.update(MLP_QUERIES)
+QUERIES.update(TRAINING_QUERIES)
+
+from tabrisk.plans.report_queries import REPORT_QUERIES  # noqa: E402
+
+QUERIES.update(REPORT_QUERIES)
