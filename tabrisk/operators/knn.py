@@ -14,11 +14,15 @@ phase 2  each query meets the other cells with d(query, centre) - radius <= R.
 
 Both phases hand blocks to one NumPy kernel: the rows of a cell (split by a
 hash beyond ``CELL_ROWS``) against the queries that reach it (split likewise).
+It first takes all distances of a block in single precision, the Euclidean ones
+as one matrix product, with a bound on their error; only pairs whose lower
+bound is within the k-th upper bound of their query get a full distance in
+double precision, which on data without clusters is a few per cent of them.
 The kernel keeps at most k rows of a block for each query, so no pair is ever
 a row; the few survivors are merged by (distance, training id).  The result
 is exact whatever the cells are, and distances are summed left to right in
-double precision.  On data without clusters the bound prunes little and the
-cost is the blocked product of queries and training rows.
+double precision.  On data without clusters the cells prune little and the
+cost is the blocked single-precision product of queries and training rows.
 
 Null, NaN or infinite coordinates raise an error (impute first); an empty
 training table gives no neighbours.
@@ -72,15 +76,56 @@ def _matrix(column: pa.ChunkedArray | pd.Series) -> np.ndarray:
     return m
 
 
-def _nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k smallest finite entries of each row, ties to
-    the smaller column."""
-    kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-    r, c = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
-    order = np.lexsort((c, d[r, c], r))
-    r, c = r[order], c[order]
+def candidates(q: np.ndarray, t: np.ndarray, k: int, metric: str, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row of q, row of t) of all pairs that can be among the k nearest of
+    their query, from single-precision distances and their error bounds;
+    pairs of ``apart`` are left out."""
+    mean = t.mean(axis=0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        a, b = (q - mean).astype(np.float32), (t - mean).astype(np.float32)
+        if metric == "euclidean":
+            na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+            d = a @ b.T
+            d *= -2
+            d += na[:, None]
+            d += nb
+        else:
+            na, nb = np.abs(a).sum(axis=1), np.abs(b).sum(axis=1)
+            d = np.zeros((len(a), len(b)), np.float32)
+            for x, y in zip(a.T, b.T):
+                d += np.abs(x[:, None] - y)
+        # rounding of the inputs and of a sum of as many terms
+        slack = np.float32((q.shape[1] + 8) * 2.0 ** -22) * (na[:, None] + nb)
+    if not np.isfinite(slack).all() or not np.isfinite(d).all():      # too large for single precision: every pair
+        d, slack = np.zeros((len(a), len(b)), np.float32), np.float32(1)
+    high = d + slack
+    if apart is not None:
+        high[apart] = np.inf
+    kth = np.partition(high, min(k, high.shape[1]) - 1, axis=1)[:, min(k, high.shape[1]) - 1]
+    near = d - slack <= kth[:, None]
+    if apart is not None:
+        near &= ~apart
+    return np.nonzero(near)
+
+
+def exact_distances(q: np.ndarray, t: np.ndarray, r: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the pairs (q[r], t[c]), summed dimension by dimension in double precision."""
+    out = np.zeros(len(r))
+    for x, y in zip(q.T, t.T):
+        d = x[r] - y[c]
+        out += d * d if metric == "euclidean" else np.abs(d)
+    return np.sqrt(out) if metric == "euclidean" else out
+
+
+def _nearest(q: np.ndarray, t: np.ndarray, k: int, metric: str, apart: np.ndarray | None = None):
+    """(row, column, distance) of the k nearest rows of t of each row of q,
+    ties to the smaller column."""
+    r, c = candidates(q, t, k, metric, apart)
+    d = exact_distances(q, t, r, c, metric)
+    order = np.lexsort((c, d, r))
+    r, c, d = r[order], c[order], d[order]
     rank = np.arange(len(r)) - np.searchsorted(r, r)
-    return r[rank < k], c[rank < k]
+    return r[rank < k], c[rank < k], d[rank < k]
 
 
 def _block_kernel(k: int, metric: str, keys: list[str], differ: bool):
@@ -93,12 +138,9 @@ def _block_kernel(k: int, metric: str, keys: list[str], differ: bool):
             tv, qv = _matrix(t["_tv"]), _matrix(q["_qv"])
             step = max(1, CHUNK // len(tv))
             for i in range(0, len(qv), step):
-                d = pair_distances(qv[i:i + step], tv, metric)
-                if differ:
-                    qf, tf = q["_qf"].to_numpy()[i:i + step], t["_tf"].to_numpy()
-                    d[qf[:, None] == tf[None, :]] = np.inf
-                r, c = _nearest(d, k)
-                rows.append(r + i), cols.append(c), dist.append(d[r, c])
+                apart = q["_qf"].to_numpy()[i:i + step, None] == t["_tf"].to_numpy()[None, :] if differ else None
+                r, c, d = _nearest(qv[i:i + step], tv, k, metric, apart)
+                rows.append(r + i), cols.append(c), dist.append(d)
         r, c = np.concatenate(rows), np.concatenate(cols)
         out = q.select(keys).take(r)
         return (out.append_column("_tid", t["_tid"].take(c)).append_column("dist", pa.array(np.concatenate(dist)))

@@ -14,7 +14,10 @@ where a class's quota ends; the folds use bucket offsets (ranking.py).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,46 +91,82 @@ def _with_bucket(base: DataFrame, counts: dict) -> DataFrame:
     return base.withColumn("_b", F.substring("_h", 1, digits))
 
 
+#: Hex digits of the first bucket counts.
+COUNT_DIGITS = 3
+
+
+def _cut_buckets(base: DataFrame, label: str, test_percent: int, rows_per_bucket: int) -> dict:
+    """{class: (hash prefix of the bucket where its quota ends, rows of the
+    quota inside it)}, for classes with a quota.  Class sizes and buckets come
+    from one aggregate; a bucket that is too large to rank is counted again by
+    more digits."""
+    digits = COUNT_DIGITS
+    per_bucket = base.groupBy(label, F.substring("_h", 1, digits).alias("_b")).agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = {r[0]: r["n"] for r in per_bucket.groupBy(label).agg(F.sum("n").alias("n")).collect()}      # one row per class
+    if None in sizes:
+        per_bucket.unpersist()
+        raise ValueError(f"{label}: {sizes[None]} rows have no label; a split by class needs one for each row")
+    need = {c: q for c, q in quota_table(sizes, test_percent).items() if q}
+    cut = {}
+    while need:
+        want = F.create_map(*[F.lit(x) for pair in need.items() for x in pair])[F.col(label)]
+        w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)           # at most 16^digits rows a class
+        rows = (per_bucket.where(F.col(label).isin(list(need))).withColumn("_before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+                .where((F.col("_before") < want) & (want <= F.col("_before") + F.col("n"))).collect())
+        per_bucket.unpersist()
+        large = {}
+        for r in rows:
+            cut[r[label]] = (r["_b"], need[r[label]] - r["_before"])
+            if r["n"] > rows_per_bucket and digits < MAX_DIGITS:
+                large[r[label]] = need[r[label]] - r["_before"]
+        need, digits = large, digits + 2
+        if need:
+            inside = [(F.col(label) == c) & F.col("_h").startswith(cut[c][0]) for c in need]
+            per_bucket = (base.where(reduce(or_, inside)).groupBy(label, F.substring("_h", 1, digits).alias("_b"))
+                              .agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK))
+    return cut
+
+
 def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str],
                      tiebreak: Sequence[str] = (), test_percent: int = TEST_PERCENT,
-                     seed: int = RANDOM_STATE, out: str = "split") -> DataFrame:
+                     seed: int = RANDOM_STATE, out: str = "split", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Adds ``out`` = 'test' / 'train' (E1).
 
-    Plan: one aggregate of (class, bucket) counts -> per class the bucket
-    where its quota ends (a table with one row per class) -> rows before that
-    bucket are test, after it train; only rows of that bucket are ranked."""
+    One aggregate of (class, bucket) counts tells per class the bucket where
+    its quota ends; the rows of that bucket are ranked once to find the last
+    test row.  The split itself is a column expression, a comparison with that
+    row, so whatever reads it later scans the input once.  Only where rows
+    equal in hash and tie-break stand on both sides of the quota are they
+    ranked in the result."""
+    order = ["_h", *tiebreak]
     base = _hashed(df, key_cols, seed)
-    spark = df.sparkSession
-    # class sizes: one small aggregate, one row per class on the driver
-    counts = _class_counts(base, label)
-    base = _with_bucket(base, counts)
-    quotas = quota_table(counts, test_percent)
-    qdf = spark.createDataFrame([(c, q) for c, q in quotas.items()],
-                                base.select(label).schema.add("quota", "long"))
-    per_bucket = base.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (per_bucket
-           .withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-           .join(F.broadcast(qdf), label)
-           .where((F.col("_before") < F.col("quota"))
-                  & (F.col("quota") <= F.col("_before") + F.col("_cnt")))
-           .select(label, F.col("_b").alias("_cut_b"),
-                   (F.col("quota") - F.col("_before")).alias("_need")))
-    # One row per class, fetched once so later passes over the split (fit,
-    # transform) do not re-run the bucket aggregate; the broadcast is the
-    # number of classes.
-    cut = spark.createDataFrame(cut.collect(), cut.schema)
-    j = base.join(F.broadcast(cut), label, "left")
-    decided = (j.where(F.col("_cut_b").isNull() | (F.col("_b") != F.col("_cut_b")))
-                .withColumn(out, F.when(F.col("_cut_b").isNotNull() & (F.col("_b") < F.col("_cut_b")),
-                                        F.lit("test")).otherwise(F.lit("train"))))
-    in_cut = j.where(F.col("_b") == F.col("_cut_b"))
-    wr = Window.partitionBy(label).orderBy("_h", *tiebreak)
-    ranked = (in_cut.withColumn("_r", F.row_number().over(wr))
-                    .withColumn(out, F.when(F.col("_r") <= F.col("_need"), F.lit("test"))
-                                .otherwise(F.lit("train")))
-                    .drop("_r"))
-    return decided.unionByName(ranked).drop("_h", "_b", "_cut_b", "_need")
+    cut = _cut_buckets(base, label, test_percent, rows_per_bucket)
+    if not cut:
+        return df.withColumn(out, F.lit("train"))
+    inside = reduce(or_, [(F.col(label) == c) & F.col("_h").startswith(b) for c, (b, _) in cut.items()])
+    wanted = F.create_map(*[F.lit(x) for c, (_, n) in cut.items() for x in (c, n)])[F.col(label)]
+    ranked = base.where(inside).select(label, *order)
+    by_order = Window.partitionBy(label).orderBy(*order)
+    same = Window.partitionBy(label, *order)
+    last = (ranked.withColumn("_r", F.row_number().over(by_order)).withColumn("_first", F.min("_r").over(same))
+                  .withColumn("_n", F.count(F.lit(1)).over(same)).where(F.col("_r") == wanted).collect())  # one row per class
+    key = F.struct(*[F.col(c) for c in order])
+    types = [base.schema[c].dataType for c in order]
+    expr, parted = F.lit(False), []
+    for r in last:
+        own, edge = F.col(label) == r[label], F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in zip(order, types)])
+        whole = r["_first"] + r["_n"] - 1 == r["_r"]
+        if not whole:
+            parted.append((own & (key == edge), r["_r"] - r["_first"] + 1))
+        expr = expr | (own & ((key <= edge) if whole else (key < edge)))
+    if not parted:
+        return base.withColumn(out, F.when(expr, F.lit("test")).otherwise(F.lit("train"))).drop("_h")
+    tied = reduce(or_, [F.coalesce(c, F.lit(False)) for c, _ in parted])
+    decided = base.where(~tied).withColumn(out, F.when(expr, F.lit("test")).otherwise(F.lit("train")))
+    take = reduce(lambda a, x: a.when(x[0], F.lit(x[1])), parted[1:], F.when(parted[0][0], F.lit(parted[0][1])))
+    some = (base.where(tied).withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+                .withColumn(out, F.when(F.col("_r") <= take, F.lit("test")).otherwise(F.lit("train"))).drop("_r"))
+    return decided.unionByName(some).drop("_h")
 
 
 def split_and_folds(df: DataFrame, label: str, key_cols: Sequence[str],

@@ -90,11 +90,11 @@ def knn_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = cv.where(F.col("fold") != F.col("stat_fold")).select(
         F.col("vec_id").alias("tid"), "label", "stat_fold", "vec")
     kmax = max(KNN_K)
-    nbs = None
-    for metric in KNN_METRICS:
-        nb = neighbours(t, q, kmax, metric, qkeys=("qid", "q_label"), same_on=("stat_fold",))
-        nb = nb.withColumn("metric", F.lit(metric))
-        nbs = nb if nbs is None else nbs.unionByName(nb)
+    q, t = cut_lineage(q), cut_lineage(t)
+    # one run a metric, submitted together
+    runs = run_parallel(lambda m: neighbours(t, q, kmax, m, qkeys=("qid", "q_label"), same_on=("stat_fold",)).withColumn(
+        "metric", F.lit(m)), KNN_METRICS)
+    nbs = runs[0].unionByName(runs[1])
     votes = grid_votes(nbs, list(KNN_K), keys=("qid", "q_label", "stat_fold", "metric"))
     acc = (votes.groupBy("metric", "k", "weights", "stat_fold")
                 .agg(F.avg((F.col("prediction") == F.col("q_label")).cast("double")).alias("acc")))

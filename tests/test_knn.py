@@ -90,3 +90,30 @@ def test_splits_blocks_copies_and_bad_coordinates(spark, monkeypatch):
     bad = q.unionByName(spark.createDataFrame([(1, [1.0, None, 0.0, 0.0, 0.0])], "qid long, vec array<double>"))
     with pytest.raises(Exception, match="coordinate is null"):
         neighbours(t, bad, 7).collect()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e6, 1e30])
+def test_candidates_hold_the_nearest_and_are_few(metric, scale):
+    """Random vectors without clusters: all true neighbours are candidates, and
+    few pairs get a full distance; far too large numbers fall back to all."""
+    from tabrisk.operators.knn import _nearest, candidates, pair_distances
+    rng = np.random.default_rng(3)
+    t, q = rng.normal(5, 1, (2000, 64)) * scale, rng.normal(5, 1, (50, 64)) * scale
+    t[100:120] = t[0]                                   # repeated rows tie
+    d = pair_distances(q, t, metric)
+    r, c, got = _nearest(q, t, 15, metric)
+    for i in range(len(q)):
+        want = np.lexsort((np.arange(len(t)), d[i]))[:15]
+        assert c[r == i].tolist() == want.tolist() and np.array_equal(got[r == i], d[i][want])
+    share = len(candidates(q, t, 15, metric)[0]) / d.size
+    assert share < 0.05 or scale == 1e30
+
+
+def test_share_of_full_distances_on_the_embeddings(spark):
+    from tabrisk.operators.knn import candidates
+    from tabrisk.plans.knn_queries import _scaled_split
+    train, test = _scaled_split(spark, "/root/testdata/sf0.01")
+    t, q = (np.array([r["vec"] for r in df.select("vec").collect()]) for df in (train, test))
+    for metric in ("euclidean", "manhattan"):
+        assert len(candidates(q, t, 31, metric)[0]) / (len(t) * len(q)) < 0.3

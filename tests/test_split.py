@@ -47,3 +47,31 @@ def test_null_labels_are_an_error(spark):
     for split in (stratified_split, split_and_folds):
         with pytest.raises(ValueError, match="5 rows have no label"):
             split(df, "y", ["id"])
+
+
+def test_split_equals_one_window_with_ties_and_small_buckets(spark):
+    """Against one row_number per class: repeated rows on both sides of the
+    quota, nulls in the tie-break, and buckets that are counted by more digits."""
+    import random
+    from pyspark.sql import Window
+    from tabrisk.functions.expressions import hash_key
+    rng = random.Random(2)
+    rows = [(rng.randrange(40), rng.choice("abc"), rng.choice([None, 1.0, 2.0])) for _ in range(600)] + [(i, "a", 0.5) for i in range(1000, 1400)]
+    df = spark.createDataFrame(rows, "k long, y string, t double")
+    for per in (1 << 20, 3):
+        got = stratified_split(df, "y", ["k"], tiebreak=["t"], rows_per_bucket=per)
+        assert got.columns == ["k", "y", "t", "split"]
+        counts = {r["y"]: r["n"] for r in df.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        from tabrisk.operators.split import quota_table
+        quota = quota_table(counts)
+        ranked = df.withColumn("_h", hash_key(42, "k")).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("_h", "t"))).collect()
+        want = sorted(((r["k"], r["y"], r["t"], "test" if r["r"] <= quota[r["y"]] else "train") for r in ranked), key=str)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == want
+
+
+def test_split_of_unique_rows_scans_once(spark):
+    """No union, no window and no join in the split's own plan."""
+    df = spark.range(1000).select("id", (F.col("id") % 3).alias("y"))
+    plan = stratified_split(df, "y", ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "Window" not in plan and "Join" not in plan
+    assert stratified_split(df.limit(0), "y", ["id"]).count() == 0
