@@ -22,10 +22,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabrisk.session import cut_lineage
+
 # Rows a (key, bucket) window may hold at most at scale: a sort of this size
 # fits one task's memory budget; more rows mean more buckets.
 ROWS_PER_BUCKET = 1 << 20
-MIN_BUCKETS = 256
 
 
 def _cols(cs):
@@ -116,19 +117,34 @@ def bottom_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int,
                  .where(F.col(out) <= k))
 
 
-def position_by_key(df: DataFrame, key: str, out: str = "position",
-                    target_buckets: int | None = None) -> DataFrame:
-    """1-based position of each row in ``key`` order over the whole table
-    (W1 for keyed tables).  Buckets are equal key ranges sized from the key's
-    min / max; their number grows with the row count (about
-    ``ROWS_PER_BUCKET`` rows each, at least ``MIN_BUCKETS``)."""
-    lo, hi, n, empty = df.agg(F.min(key), F.max(key), F.count(F.lit(1)), F.count_if(F.col(key).isNull())).first()
+def placed(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows in partitions by ``order`` with ``_part`` and ``_row``, the
+    partition's number and the row's 0-based place in it; one row per partition
+    with the rows before it, ``_off``).
+
+    Spark samples splitters of (order, a hash of the row), so ranges hold about
+    equal numbers of rows whatever the keys are: far-off keys, texts, and ties,
+    which the hash spreads over several ranges.  The laid-out rows are
+    checkpointed: places are read from one run of the sort."""
+    spread = [F.xxhash64(*df.columns)]
+    keys = [F.col(c) for c in order]
+    laid = df.repartitionByRange(partitions, *keys, *spread) if partitions else df.repartitionByRange(*keys, *spread)
+    laid = laid.sortWithinPartitions(*keys, *spread).withColumn("_id", F.monotonically_increasing_id())
+    # an id has the partition's number above 33 bits of the row's place
+    rows = cut_lineage(laid.select("*", F.shiftright("_id", 33).cast("int").alias("_part"),
+                                   F.col("_id").bitwiseAND((1 << 33) - 1).alias("_row")).drop("_id"))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)                  # one row per partition
+    return rows, sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+
+
+def position_by_key(df: DataFrame, key: str, out: str = "position", target_buckets: int | None = None) -> DataFrame:
+    """1-based position of each row in ``key`` order over the whole table (W1
+    for keyed tables), for keys of any type that sorts; rows of equal keys
+    follow each other in an order of their own.  A null key is an error.
+    ``target_buckets``: the number of partitions, else the session's."""
+    rows, offsets = placed(df, [key], target_buckets)
+    empty = rows.where(F.col(key).isNull()).count()
     if empty:
         raise ValueError(f"{key}: {empty} rows have no key, so no position")
-    if lo is None:
-        return df.withColumn(out, F.lit(None).cast("long"))
-    if target_buckets is None:
-        target_buckets = max(MIN_BUCKETS, -(-n // ROWS_PER_BUCKET))
-    width = max(1, -(-(int(hi) - int(lo) + 1) // target_buckets))
-    b = df.withColumn("_pb", F.floor((F.col(key) - F.lit(int(lo))) / F.lit(width)).cast("long"))
-    return bucketed_row_number(b, [], "_pb", [key], out=out).drop("_pb")
+    return rows.join(offsets, "_part").withColumn(out, F.col("_off") + F.col("_row") + 1).drop("_part", "_row", "_off")

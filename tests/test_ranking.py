@@ -52,3 +52,24 @@ def test_position_refuses_null_keys(spark):
     from tabrisk.operators.ranking import position_by_key
     with pytest.raises(ValueError, match="1 rows have no key"):
         position_by_key(spark.createDataFrame([(1,), (None,)], "k long"), "k")
+
+
+def test_positions_of_skewed_keys_and_texts(spark):
+    """A third of the rows share one key and one key lies far off: no partition
+    holds over twice the mean; texts sort by code point; ties follow each other."""
+    from tabrisk.operators.ranking import placed
+    rng = random.Random(6)
+    keys = [7] * 20_000 + [10 ** 18] + [rng.randrange(50) for _ in range(20_000)] + list(range(10 ** 6, 10 ** 6 + 20_000))
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    rows, offsets = placed(df, ["k"], 16)
+    sizes = [r["count"] for r in rows.groupBy("_part").count().collect()]
+    assert sum(sizes) == len(keys) and max(sizes) <= 2 * len(keys) / 16
+    got = position_by_key(df, "k", target_buckets=16).collect()
+    assert sorted(r["position"] for r in got) == list(range(1, len(keys) + 1))
+    by_place = sorted(got, key=lambda r: r["position"])
+    assert [r["k"] for r in by_place] == sorted(keys)
+    words = ["é", "z", "a", "Z", "aa", "", "ß", "a b"]
+    texts = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r["w"]: r["position"] for r in position_by_key(texts, "w").collect()}
+    assert sorted(words, key=lambda w: w.encode()) == sorted(got, key=got.get)
+    assert position_by_key(texts.limit(0), "w").collect() == []
