@@ -14,11 +14,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabrisk.contract import EMBED_FEATURES, MODEL_NAMES
+from tabrisk.contract import EMBED_FEATURES, MODEL_NAMES, N_FOLDS
 from tabrisk.functions.expressions import risk_label
 from tabrisk.operators import metrics as M
+from tabrisk.operators.crossfit import cross_fit_svm
 from tabrisk.operators.mlp import persist_rows
-from tabrisk.operators.models import KnnRiskModel, fit_mlp, fit_svm, load_models
+from tabrisk.operators.models import KnnRiskModel, fit_mlp, fit_svm, kernel_error, load_models
 from tabrisk.operators.prep import RiskPreprocessor, pooled_variance
 from tabrisk.operators.ranking import position_by_key
 from tabrisk.operators.split import split_and_folds
@@ -57,21 +58,26 @@ def _predictions(model, test: DataFrame) -> DataFrame:
 
 
 def svm_linear_predict(spark, sf_dir):
-    """E7 linear + E8 + E10: balanced linear SVM, Platt-calibrated on
-    out-of-fold margins, threshold tuned on the same folds."""
+    """E7 linear + E8 + E10: balanced linear SVM, calibrated by the folds left
+    out, threshold tuned on probabilities whose models and sigmoids have not
+    seen the row's fold (``operators.crossfit``)."""
     _, train, test, _ = prepared(spark, sf_dir)
-    m = fit_svm(train, FEATS, kernel="linear", C=1.0, balanced=True)
-    best = best_threshold(threshold_curve(m.oof.withColumn("model", F.lit("SVM")),
-                                          actual="label")).first()
+    train = train.persist()
+    m = cross_fit_svm(train, SVMSet(1.0, None, True), FEATS, N_FOLDS)
+    best = best_threshold(threshold_curve(m.oof.withColumn("model", F.lit("SVM")), actual="label")).first()
     m.threshold = float(best["threshold"])
-    return _predictions(m, test).withColumn("threshold", F.lit(m.threshold))
+    train.unpersist()
+    return m.score(test, ["vec_id", "label"]).select(
+        "vec_id", F.col("label").alias("actual"), "prediction", F.round("probability", 9).alias("probability"),
+        F.lit(m.threshold).alias("threshold"))
 
 
 def svm_rbf_predict(spark, sf_dir):
-    """E7 rbf (random Fourier features, gamma = 'scale') + E8."""
+    """E7 rbf (Nystroem landmarks, gamma = 'scale') + E8, with the map's error
+    against exact kernels of a sample of rows."""
     _, train, test, _ = prepared(spark, sf_dir)
     m = fit_svm(train, FEATS, kernel="rbf", C=1.0, gamma=gamma_scale(train, FEATS))
-    return _predictions(m, test)
+    return _predictions(m, test).withColumn("kernel_error", F.lit(round(kernel_error(train, m.pipeline.stages[0]), 9)))
 
 
 def platt_calibration(spark, sf_dir):
