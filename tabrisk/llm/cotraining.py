@@ -183,12 +183,12 @@ def cut_of(counts: np.ndarray, most: int) -> float:
 
 
 def view_columns(batch: pa.RecordBatch, scales) -> list[View]:
-    dense = batch.column("d").flatten().to_numpy(zero_copy_only=False).reshape(-1, TEXT_DENSE + META_DENSE)
+    dense = batch.column("d").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, TEXT_DENSE + META_DENSE)
     out = []
     for name, part, (mean, std) in (("t", slice(0, TEXT_DENSE), scales[0]), ("m", slice(TEXT_DENSE, None), scales[1])):
         col = batch.column(name)
         edges = np.asarray(col.offsets).astype(np.int64)
-        out.append(View(edges - edges[0], col.flatten().to_numpy(zero_copy_only=False), (dense[:, part] - mean) / std))
+        out.append(View(edges - edges[0], col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), (dense[:, part] - mean) / std))
     return out
 
 
@@ -279,7 +279,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def unlabelled_rows(docs: DataFrame, labels: DataFrame, known: list, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """Feature numbers and dense statistics of every row without a label, written."""
+    """Feature numbers (at most ``FEATURES`` of a view, so two bytes each) and
+    dense statistics of every row without a label, written."""
     def run(batches):
         find = [toxicity.lookup(k.value) for k in known]
         for batch in batches:
@@ -294,12 +295,12 @@ def unlabelled_rows(docs: DataFrame, labels: DataFrame, known: list, id_col: str
                     hit = np.unique(own[at] * np.int64(max(len(k), 1)) + feature)
                     own, feature = np.divmod(hit, max(len(k), 1))
                     arrays.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(n + 1)).astype(np.int32)),
-                                                           pa.array(feature.astype(np.int32))))
+                                                           pa.array(feature.astype(np.int16))))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), *arrays, pa.array(list(np.hstack([dense, layout])), pa.list_(pa.float64()))], names=["id", "t", "m", "d"])
+                    [part.column("id"), *arrays, pa.array(list(np.hstack([dense, layout]).astype(np.float32)), pa.list_(pa.float32()))], names=["id", "t", "m", "d"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = columns(docs, id_col, text_col).mapInArrow(run, f"id {kind}, t array<int>, m array<int>, d array<double>")
+    rows = columns(docs, id_col, text_col).mapInArrow(run, f"id {kind}, t array<short>, m array<short>, d array<float>")
     with_label = labels.where(F.col(label_col).cast("int").isin(0, 1)).select(F.col(id_col).alias("id")).distinct()
     return written(rows.join(with_label, "id", "left_anti").select("t", "m", "d"), "cotraining-rows")
 
