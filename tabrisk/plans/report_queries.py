@@ -8,17 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabrisk.contract import EVENT_BATCH
+from tabrisk.contract import EVENT_BATCH, LINEITEM, MODEL_NAMES
 from tabrisk.functions.expressions import number_text, title_case
 from tabrisk.operators import metrics as M
 from tabrisk.operators import validate as V
-from tabrisk.plans.datasets import event_predictions
-from tabrisk.plans.oracle import CLASSIFICATION_METRICS, PRED, SCORES
+from tabrisk.operators.threshold import best_threshold, threshold_curve
+from tabrisk.plans.datasets import event_predictions, event_predictions_folds
+from tabrisk.plans.oracle import CLASSIFICATION_METRICS, PRED, SCORES, THRESHOLD_TUNING
 from tabrisk.session import checkpoint_dir
-from tabrisk.sources.files import export_csv, read_csv_by_name, write_table
+from tabrisk.sources.files import export_csv, load_dataset, read_csv_by_name, write_table
 from tabrisk.sources.history import models_in_history
 from tabrisk.sources.reports import find_reports, merge_reports
-from tabrisk.sources.tables import table
+from tabrisk.sources.tables import lineitem_patients, table
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -80,7 +81,37 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         number_text("change", signed=True).alias("change"), F.lit(names).alias("models"), F.lit(extra).alias("extra_columns"))
 
 
+def metrics_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One metrics row a model from its own stored
+    predictions, those of the SVM with its tuned threshold, stacked by name."""
+    pred = event_predictions(spark, sf_dir)
+    path = _folder(spark, "predictions")
+    write_table(pred, path, partition_by=["model"])                                          # S5
+    stored = spark.read.parquet(path)
+    best = best_threshold(threshold_curve(event_predictions_folds(spark, sf_dir).where("model = 'SVM'")))
+    tuned = best.select("model", F.round("threshold", 9).alias("best_threshold"), F.round("cv_accuracy_mean", 9).alias("cv_accuracy_mean"))
+    frames = []
+    for name in MODEL_NAMES:
+        rows = M.classification_metrics(M.confusion_counts(stored.where(F.col("model") == name)))
+        frames.append(rows.join(tuned, "model") if name == "SVM" else rows)
+    return M.union_metric_rows(frames)
+
+
+def training_table_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training table as uploaded CSV files of two
+    column orders, loaded, checked and typed by its contract."""
+    rows = lineitem_patients(spark, sf_dir).select(*LINEITEM.feature_names, "label")
+    root = _folder(spark, "training")
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(2))
+    export_csv(rows.where(part == 0), f"{root}/a")
+    export_csv(rows.where(part == 1).select(*reversed(rows.columns)), f"{root}/b")
+    loaded = load_dataset(spark, [f"{root}/a", f"{root}/b"], LINEITEM, any_order=True)
+    return loaded.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), *[F.round(F.avg(c), 6).alias(f"avg_{c}") for c in LINEITEM.feature_names])
+
+
 REPORT_QUERIES = {
+    "metrics_stacked": metrics_stacked,
+    "training_table_loaded": training_table_loaded,
     "roc_points_reduced": roc_points_reduced,
     "reports_merged": reports_merged,
     "csv_any_order": csv_any_order,
@@ -109,6 +140,11 @@ k AS (SELECT event_type, accuracy, change FROM c WHERE model = 'KNN' AND event_t
 SELECT coalesce(a.event_type, k.event_type) AS event_type, a.accuracy AS ann_accuracy, a.change AS ann_change,
        k.accuracy AS knn_accuracy, k.change AS knn_change, CAST(NULL AS DOUBLE) AS svm_accuracy, CAST(NULL AS DOUBLE) AS svm_change,
        'SVM' AS missing_reports FROM a FULL OUTER JOIN k ON a.event_type = k.event_type""",
+    "metrics_stacked": f"""SELECT c.model, support, accuracy, precision, recall, f1, best_threshold, cv_accuracy_mean
+FROM ({CLASSIFICATION_METRICS}) c LEFT JOIN ({THRESHOLD_TUNING}) t ON t.model = c.model AND c.model = 'SVM'
+WHERE c.model IN ('ANN', 'KNN', 'SVM')""",
+    "training_table_loaded": "SELECT CAST(l_returnflag = 'R' AS INTEGER) AS label, count(*) AS n_rows, "
+                             + ", ".join(f"round(avg({c}), 6) AS avg_{c}" for c in LINEITEM.feature_names) + " FROM lineitem GROUP BY ALL",
     "csv_any_order": "SELECT p_partkey, p_name, p_size, p_retailprice FROM part",
     "report_texts": f"""WITH m AS ({CLASSIFICATION_METRICS})
 SELECT lower(model) AS model_key, upper(substr(model, 1, 1)) || lower(substr(model, 2)) AS model_title,
