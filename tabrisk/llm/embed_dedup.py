@@ -8,12 +8,16 @@
    ``PROBES`` nearest neighbouring cells of each group.  A label's number of
    groups grows with its own rows, so cells stay small, and its number of
    tables with its groups, so recall stays (``tables_for``).
-3. Rows are dealt by (label, cell); a cell with many rows is split into pair
-   cells (``pair_cells``).  A task compares home rows with home and probing
-   rows by cosine in double precision, block by block.  A linked pair may meet
-   in several cells: the row's keys say in which it meets first, and only that
-   cell counts it, so no pair is ever written or shuffled.
-4. Tasks return, by class, the number of vectors linked, and stars with the
+3. Rows (cell, class, 128-bit sketch of signs) are dealt by cell; a cell with
+   many rows is split into pair cells (``pair_cells``).  A task compares home
+   rows with home and probing rows by their sketches and returns the sets of
+   classes that may link; vectors stay where they are.
+4. Sets that overlap are joined to one set as long as it is no larger than a
+   cell may be, so a vector is mostly shuffled once, to its set; classes
+   without a candidate are not shuffled at all.  Pairs of a set are verified
+   by cosine in double precision, block by block; a pair in several sets
+   counts in their smallest common one, so no pair is ever written.
+5. Tasks return, by class, the number of vectors linked, and stars with the
    linked components; connected components give component_id.
 """
 
@@ -42,8 +46,12 @@ SCALE = 2.4
 #: Rows of a label that one more group of 8 numbers spreads.
 SPREAD = 4096
 SEED = 20240
-#: Rows of a cell from which it is split; rows compared at a time.
-CELL_ROWS, BLOCK = 2048, 512
+#: Two words of signs; pairs at the limit differ in more bits than the sketch
+#: limit with a probability of about 1 in 30,000 (four deviations).
+SKETCH_BITS, SKETCH_DEVIATIONS = 128, 4.0
+#: Rows of a set from which it is split; rows compared at a time.  A cell of
+#: sketches may hold ``SKETCH_ROWS`` times as many.
+CELL_ROWS, SKETCH_ROWS, BLOCK = 2048, 8, 512
 
 
 def minimal_vectors() -> np.ndarray:
@@ -138,105 +146,167 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return out.withColumn("vec", F.when(F.col("label").isNotNull(), F.col("vec"))).withColumn("digest", F.md5("vec"))
 
 
+def sketches(unit: np.ndarray, seed: int) -> np.ndarray:
+    """The signs of ``SKETCH_BITS`` random projections of unit vectors, as words [row, 2]."""
+    directions = np.random.default_rng([seed, unit.shape[1], SKETCH_BITS]).standard_normal((unit.shape[1], SKETCH_BITS))
+    return np.packbits(unit @ directions >= 0, axis=1).view(np.uint64)
+
+
+def sketch_limit(cosine: float) -> int:
+    """Differing bits up to which a pair at the limit is looked for."""
+    p = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    return math.floor(SKETCH_BITS * p + SKETCH_DEVIATIONS * math.sqrt(SKETCH_BITS * p * (1 - p)))
+
+
 def keyed_rows(classes: DataFrame, number, tables: int, probes: int, scale: float, seed: int) -> DataFrame:
     """One row for each class, table and cell that it lies in or probes:
-    (key, home, cls, n, tables, keys, vec); keys holds the class's home cells
-    and then its probed cells, table by table.  ``classes`` has its label's
-    groups (blocks)."""
+    (key, home, cls, s0, s1), with the sketch in s0 and s1.  ``classes`` has
+    its label's groups (blocks)."""
     def run(batches):
         for batch in batches:
             vecs = [np.frombuffer(x.as_py(), number) for x in batch.column(2)]
-            label, blocks = batch.column(1).to_numpy(), batch.column(4).to_numpy()
+            label, blocks = batch.column(1).to_numpy(), batch.column(3).to_numpy()
             group = {}
             for i, v in enumerate(vecs):
                 group.setdefault((int(label[i]), len(v), int(blocks[i])), []).append(i)
             for (own, dim, groups), rows in group.items():
                 count = tables_for(groups, tables)
-                some = max(16, 3072 // (count * (1 + groups * probes)))  # at most about 3,072 copies at a time
+                some = max(16, 32768 // (count * (1 + groups * probes)))  # at most about 32,768 copies at a time
                 for k in range(0, len(rows), some):
                     at = np.array(rows[k: k + some])
-                    v = np.stack([vecs[i] for i in at])
-                    unit = unit_rows(v, len(at))
+                    unit = unit_rows(np.stack([vecs[i] for i in at]), len(at))
                     home, probed = cell_keys(unit, own * 1000003 + dim, count, groups, probes, scale, seed)
                     every = np.concatenate([home[:, :, None], probed], axis=2)
-                    flat = np.concatenate([home, probed.reshape(len(at), -1)], axis=1)
-                    keys = pa.array([x.tobytes() for x in flat], pa.binary())
-                    raw = pa.array([x.tobytes() for x in v], pa.binary())
+                    words = sketches(unit, seed).view(np.int64)
                     take = np.repeat(np.arange(len(at)), every[0].size)
                     is_home = np.tile(np.arange(every.shape[2]) == 0, len(at) * count)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(every.reshape(-1).view(np.int64)), pa.array(is_home),
-                         batch.column(0).take(pa.array(at[take])), batch.column(3).take(pa.array(at[take])),
-                         pa.array(np.full(len(take), count, np.int32)), keys.take(pa.array(take)), raw.take(pa.array(take))],
-                        names=["key", "home", "cls", "n", "tables", "keys", "vec"])
-
-    return classes.select("cls", F.xxhash64("label").alias("l"), "vec", "n", "blocks").mapInArrow(
-        run, "key long, home boolean, cls long, n long, tables int, keys binary, vec binary")
-
-
-def first_meeting(a, b, key, tables):
-    """Whether the cell ``key`` is the first in which each pair meets.  a and b:
-    keys [pair, tables * (1 + probes)] of the pair's smaller and larger class.
-    Meetings are ordered by table; in a table by: same home, the smaller probes
-    the larger's home, the larger probes the smaller's."""
-    n = len(a)
-    probes = a.shape[1] // tables - 1
-    first = np.zeros(n, np.uint64)
-    open_ = np.ones(n, bool)
-    for t in range(tables):
-        ha, hb = a[:, t], b[:, t]
-        pa_, pb = (x[:, tables + t * probes: tables + (t + 1) * probes] for x in (a, b))
-        for hit, cell in ((ha == hb, ha), ((pa_ == hb[:, None]).any(axis=1), hb), ((pb == ha[:, None]).any(axis=1), ha)):
-            now = open_ & hit
-            first[now] = cell[now]
-            open_ &= ~hit
-    return first == key
+                        [pa.array(every.reshape(-1).view(np.int64)), pa.array(is_home), batch.column(0).take(pa.array(at[take])),
+                         pa.array(words[take, 0]), pa.array(words[take, 1])], names=["key", "home", "cls", "s0", "s1"])
+
+    return classes.select("cls", F.xxhash64("label").alias("l"), "vec", "blocks").mapInArrow(
+        run, "key long, home boolean, cls long, s0 long, s1 long")
+
+
+def blocks_of(n: int):
+    """Blocks (i, j), i <= j, of the pairs of n rows."""
+    return ((i, j) for i in range(0, n, BLOCK) for j in range(i, n, BLOCK))
+
+
+def candidate_sets(rows: DataFrame, limit: int, cell_rows: int) -> DataFrame:
+    """(set, cls, least): classes whose sketches differ by at most ``limit``
+    bits in a cell are in one set, named by its members, so that the same
+    classes found in several cells are one set.  A split cell is one set, by
+    its key.  least: a class that ``cls`` may be linked with, or itself."""
+    names = ["key", "cell_a", "cell_b"]
+    cells = pair_cells(rows, ["key"], "cls", cell_rows).repartition(*names).sortWithinPartitions(*names, "cls")
+
+    def run(batches):
+        for table in pairing.whole_groups(batches, names, 1 << 15):
+            key = table.column("key").to_numpy().view(np.uint64)
+            home = table.column("home").to_numpy(zero_copy_only=False)
+            cls, side = table.column("cls").to_numpy(), table.column("side").to_numpy()
+            s0, s1 = (table.column(x).to_numpy().view(np.uint64) for x in ("s0", "s1"))
+            split = (table.column("cell_a").to_numpy() != 0) | (table.column("cell_b").to_numpy() != 0)
+            crossed = table.column("cell_a").to_numpy() != table.column("cell_b").to_numpy()
+            starts = pairing.group_starts(table, names)
+            sets, members, least = [], [], []
+            for s, e in zip(starts, np.append(starts[1:], table.num_rows)):
+                if e - s < 2 or not home[s:e].any():
+                    continue
+                ea, eb = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for i, j in blocks_of(e - s):
+                    p, q = slice(s + i, min(s + i + BLOCK, e)), slice(s + j, min(s + j + BLOCK, e))
+                    differ = np.bitwise_count(s0[p, None] ^ s0[q]) + np.bitwise_count(s1[p, None] ^ s1[q])
+                    near = (differ <= limit) & (home[p, None] | home[q])
+                    if crossed[s]:
+                        near &= side[p, None] != side[q]
+                    x, y = np.nonzero(near)
+                    x, y = cls[p][x], cls[q][y]
+                    ok = x < y  # rows are sorted by class
+                    if ok.any():
+                        ea, eb = pairing.stars(np.concatenate([ea, x[ok]]), np.concatenate([eb, y[ok]]))
+                if not len(ea):
+                    continue
+                root, place = np.unique(eb, return_inverse=True)
+                node = np.concatenate([ea, root])
+                top = np.concatenate([eb, root])
+                if split[s]:
+                    name = np.full(len(node), key[s])
+                else:
+                    sums = textscan.mix(root.view(np.uint64))
+                    np.add.at(sums, place, textscan.mix(ea.view(np.uint64)))
+                    name = textscan.mix(sums)[np.concatenate([place, np.arange(len(root))])]
+                sets.append(name.view(np.int64))
+                members.append(node)
+                least.append(top)
+            none = [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none)) for x in (sets, members, least)],
+                                             names=["set", "cls", "least"])
+
+    return cells.mapInArrow(run, "set long, cls long, least long")
+
+
+def joined_sets(found: DataFrame, cell_rows: int) -> DataFrame:
+    """(cls, sets): the sets of each class.  Overlapping sets become one, named
+    by its root, where that has at most ``cell_rows`` classes; else they stay
+    as found, so a long chain of sets costs no comparison of its ends.  A class
+    has no more sets than cells."""
+    roots = components(found.select(F.col("cls").alias("a"), F.col("least").alias("b")))
+    sizes = roots.groupBy("root").count()
+    small = written(roots.join(sizes, "root").select(F.col("node").alias("cls"), F.when(F.col("count") <= cell_rows, F.col("root")).alias("root")), "set-roots")
+    named = found.select("set", "cls").distinct().join(small, "cls").select("cls", F.coalesce("root", "set").alias("set"))
+    return named.groupBy("cls").agg(F.sort_array(F.collect_set("set")).alias("sets"))
+
+
+def first_common(a: np.ndarray, b: np.ndarray, key) -> np.ndarray:
+    """Whether ``key`` is the first common entry of each pair of rows of a and
+    b (ascending, filled up with the key, which both have)."""
+    first = np.ones(len(a), bool)
+    for k in range(a.shape[1]):
+        first &= (a[:, k] >= key) | ~(b == a[:, k, None]).any(axis=1)
+    return first
 
 
 def near_pairs(rows: DataFrame, number, cosine: float, cell_rows: int) -> DataFrame:
     """(a, b, n): with b null, class a is linked to n more vectors; else a and
-    b lie in one component."""
+    b lie in one component.  ``rows``: (key, cls, n, sets, vec), one for each set (key) of a class."""
     names = ["key", "cell_a", "cell_b"]
     cells = pair_cells(rows, ["key"], "cls", cell_rows).repartition(*names).sortWithinPartitions(*names, "cls")
 
     def compare(table):
-        key = table.column("key").to_numpy().view(np.uint64)
-        home = table.column("home").to_numpy(zero_copy_only=False)
-        cls, n, tables = (table.column(x).to_numpy() for x in ("cls", "n", "tables"))
-        side = table.column("side").to_numpy()
-        split = table.column("cell_a").to_numpy() != table.column("cell_b").to_numpy()
+        key, cls, n, side = (table.column(x).to_numpy() for x in ("key", "cls", "n", "side"))
+        crossed = table.column("cell_a").to_numpy() != table.column("cell_b").to_numpy()
         starts = pairing.group_starts(table, names)
-        vec, keys = table.column("vec").combine_chunks(), table.column("keys").combine_chunks()
+        vec, sets = table.column("vec").combine_chunks(), table.column("sets").combine_chunks()
+        n_sets = pc.list_value_length(sets).to_numpy()
         degree_a, degree_n, ea, eb = [], [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         for s, e in zip(starts, np.append(starts[1:], table.num_rows)):
-            if e - s < 2 or not home[s:e].any():
-                continue
             dims = pc.binary_length(vec.slice(s, e - s)).to_numpy()
-            if (dims != dims[0]).any() or (tables[s:e] != tables[s]).any():  # cells of unequal sizes never meet but by a hash's accident
+            if e - s < 2 or (dims != dims[0]).any():  # unequal lengths never meet but by a hash's accident
                 continue
             unit = unit_rows(np.frombuffer(b"".join(vec.slice(s, e - s).to_pylist()), number), e - s)
+            own = None
+            if (n_sets[s:e] > 1).any():
+                own = np.full((e - s, int(n_sets[s:e].max())), key[s])
+                own[np.arange(own.shape[1]) < n_sets[s:e, None]] = sets.slice(s, e - s).flatten().to_numpy()
             sums = np.zeros(e - s, np.int64)
-            own_keys = None
-            for i in range(0, e - s, BLOCK):
-                for j in range(i, e - s, BLOCK):
-                    near = unit[i: i + BLOCK] @ unit[j: j + BLOCK].T >= cosine
-                    near &= home[s + i: min(s + i + BLOCK, e), None] | home[s + j: min(s + j + BLOCK, e)]
-                    if split[s]:
-                        near &= side[s + i: min(s + i + BLOCK, e), None] != side[s + j: min(s + j + BLOCK, e)]
-                    x, y = np.nonzero(near)
-                    x, y = x + i, y + j
-                    ok = cls[s + x] < cls[s + y]  # rows are sorted by class
-                    x, y = x[ok], y[ok]
-                    if not len(x):
-                        continue
-                    if own_keys is None:
-                        own_keys = np.frombuffer(b"".join(keys.slice(s, e - s).to_pylist()), np.uint64).reshape(e - s, -1)
-                    ok = np.zeros(len(x), bool)
-                    for k in range(0, len(x), 1 << 13):
-                        ok[k: k + (1 << 13)] = first_meeting(own_keys[x[k: k + (1 << 13)]], own_keys[y[k: k + (1 << 13)]], key[s], int(tables[s]))
+            for i, j in blocks_of(e - s):
+                near = unit[i: i + BLOCK] @ unit[j: j + BLOCK].T >= cosine
+                if crossed[s]:
+                    near &= side[s + i: min(s + i + BLOCK, e), None] != side[s + j: min(s + j + BLOCK, e)]
+                x, y = np.nonzero(near)
+                x, y = x + i, y + j
+                ok = cls[s + x] < cls[s + y]  # rows are sorted by class
+                x, y = x[ok], y[ok]
+                if own is not None:
+                    parts = [first_common(own[x[k: k + (1 << 13)]], own[y[k: k + (1 << 13)]], key[s]) for k in range(0, len(x), 1 << 13)]
+                    ok = np.concatenate(parts) if parts else np.zeros(0, bool)
                     x, y = x[ok], y[ok]
-                    sums += np.bincount(x, n[s + y], e - s).astype(np.int64) + np.bincount(y, n[s + x], e - s).astype(np.int64)
-                    ea, eb = pairing.stars(np.concatenate([ea, cls[s + x]]), np.concatenate([eb, cls[s + y]]))
+                if not len(x):
+                    continue
+                sums += np.bincount(x, n[s + y], e - s).astype(np.int64) + np.bincount(y, n[s + x], e - s).astype(np.int64)
+                ea, eb = pairing.stars(np.concatenate([ea, cls[s + x]]), np.concatenate([eb, cls[s + y]]))
             some = np.flatnonzero(sums)
             degree_a.append(cls[s + some])
             degree_n.append(sums[some])
@@ -272,10 +342,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = (good.groupBy("label", "digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"))
                    .withColumn("cls", F.monotonically_increasing_id()))
     classes = written(classes, "classes")
-    groups = F.ceil(F.log("count") / math.log(SPREAD) - 0.25).cast("int")
+    groups = F.ceil(F.log("count") / math.log(SPREAD) - 1 / 3).cast("int")  # two from 65,536 rows
     large = written(classes.groupBy("label").count().select("label", groups.alias("blocks")).where("blocks > 1"), "large-labels")
     grouped = classes.join(large, "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    found = written(near_pairs(keyed_rows(grouped, number, tables, probes, scale, seed), number, cosine, cell_rows), "found")
+    keyed = keyed_rows(grouped, number, tables, probes, scale, seed)
+    sets = joined_sets(written(candidate_sets(keyed, sketch_limit(cosine), SKETCH_ROWS * cell_rows), "candidate-sets"), cell_rows)
+    dealt = (written(sets, "class-sets").join(classes.select("cls", "n", "vec"), "cls")
+             .select(F.explode("sets").alias("key"), "cls", "n", "sets", "vec"))
+    found = written(near_pairs(written(dealt, "set-rows"), number, cosine, cell_rows), "found")
     degree = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("linked"))
     roots = components(found.where("b is not null").select("a", "b"))
     facts = (classes.select("label", "digest", "least", "n", "cls").join(degree, "cls", "left")

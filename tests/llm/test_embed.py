@@ -138,3 +138,35 @@ def test_doubles_and_empty_table(spark):
     got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()
     assert sorted((r["vec_id"], r["component_id"]) for r in got) == [(i, i // 2 * 2) for i in range(20)]
     assert E.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_sketches_keep_pairs_at_the_limit():
+    a, b = planted(np.random.default_rng(5), 5000, E.COSINE)
+    words = [E.sketches(E.unit_rows(x, len(x)), E.SEED) for x in (a, b)]
+    differ = np.bitwise_count(words[0] ^ words[1]).sum(axis=1)
+    assert (differ <= E.sketch_limit(E.COSINE)).mean() >= 0.999
+    other = np.bitwise_count(words[0][1:] ^ words[1][:-1]).sum(axis=1)
+    assert (other <= E.sketch_limit(E.COSINE)).mean() <= 0.001
+    assert E.sketch_limit(1.0) == 0
+
+
+def test_first_common_set():
+    a = np.array([[1, 5, 9], [5, 9, 9], [2, 5, 7], [5, 5, 5]])
+    b = np.array([[5, 6, 7], [5, 6, 7], [2, 5, 9], [4, 5, 6]])
+    assert E.first_common(a, b, 5).tolist() == [True, True, False, True]
+
+
+def test_chain_longer_than_a_set(spark):
+    """Neighbours on a circle link, so candidate sets overlap round the whole
+    circle: more classes than a set may have, each link counted once."""
+    rng = np.random.default_rng(6)
+    p, q = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    turns = np.linspace(0, 2 * math.pi, 241)[:-1]
+    rows = [(i, [float(x) for x in np.float32(math.cos(t) * p + math.sin(t) * q)], 1, 0, "") for i, t in enumerate(turns)]
+    want = sorted(brute(rows))
+    for cell_rows in (E.CELL_ROWS, 40, 2):
+        got = E.near_duplicates(spark.createDataFrame(rows, SCHEMA), cell_rows=cell_rows).collect()
+        assert {r["component_id"] for r in got} == {0}
+        links = {r["vec_id"]: r["n_links"] for r in got}
+        found = sum(links.values()) / sum(w[1] for w in want)
+        assert found >= 0.99 and all(links[i] <= n for i, n, _ in want), (cell_rows, found)
