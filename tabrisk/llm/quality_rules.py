@@ -5,13 +5,17 @@ Base counts find symbols, repeated lines and repeated word windows.  The
 method: words, punctuation marks and pairs of neighbours are hashed to
 ``BUCKETS`` buckets; one multinomial is counted over the trusted documents
 (label 1), one over all documents.  A document's score is the mean over its
-n-grams of log(target / raw), so length does not matter.  The threshold is the
+n-grams of log(target / raw), so length does not matter.  Trusted counts are
+kept by fold of a text's hash, and a document is scored without its own fold,
+so neither it nor a copy of it is part of its target.  The threshold is the
 cut on the score with the fewest errors over all labelled documents, found in
 a histogram; each document is then kept or not by comparison alone.
 
-Counts cover every row: each task adds its own bucket counts, and the partial
-counts (bounded by ``BUCKETS``) are summed by Spark.  Only the trusted counts
-shuffle texts, once, to meet their labels.
+Counts cover every row in one pass over the texts: each task adds its own
+bucket counts, and the partial counts (bounded by ``BUCKETS``) are summed by
+Spark.  No text is shuffled: rows whose id may be trusted, by a bitmap of fixed
+size, leave the pass as their n-grams' buckets, two bytes each, and only these
+meet the labels.
 """
 
 from __future__ import annotations
@@ -31,6 +35,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BUCKETS = 1 << 16
 WINDOW = 5
+#: Folds of the trusted counts; bits of the map of trusted ids (1 MB with each
+#: task; beyond some million trusted ids more rows pass it, none is lost).
+FOLDS, SLOTS = 5, 1 << 23
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Histogram of scores of labelled documents: bins over [-RANGE, RANGE].
 BINS, RANGE = 4000, 20.0
@@ -103,29 +110,82 @@ def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return both.astype(np.int64), np.concatenate([doc, doc[at]])
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fold, text): equal texts have one fold."""
+    fold = F.pmod(F.xxhash64(F.col(text_col), F.lit("fold")), F.lit(FOLDS)).cast("int")
+    return docs.select(F.col(id_col).alias("id"), fold.alias("fold"), F.col(text_col).alias("text"))
+
+
+def slot_map(ids: DataFrame) -> np.ndarray:
+    """A bitmap of ``SLOTS`` hashes, as bytes, with the slots of all ``ids`` set
+    (at most SLOTS / 64 words reach the driver)."""
+    words = (ids.select(slot("id").alias("slot")).groupBy(F.floor(F.col("slot") / 64).cast("int").alias("word"))
+                .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits")).toArrow())
+    out = np.zeros(SLOTS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def slot(c: str):
+    return F.pmod(F.xxhash64(c), F.lit(SLOTS))
+
+
 def counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           label_col: str = "quality") -> np.ndarray:
-    """[trusted, raw] n-gram counts by bucket over all rows of ``docs``; a row
-    is trusted if ``labels`` has its id with label 1."""
-    trusted = (labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).where("id is not null").distinct()
-                     .withColumn("good", F.lit(True)))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+           label_col: str = "quality") -> tuple[np.ndarray, np.ndarray]:
+    """n-gram counts over all rows of ``docs``: of trusted rows [fold, bucket]
+    and of all rows [bucket].  A row is trusted if ``labels`` has its id with
+    label 1."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast(kind).alias("id")).where("id is not null").distinct()
+    bits = slot_map(trusted)
 
     def run(batches):
         total = np.zeros(BUCKETS, np.int64)
+        kind_of_id = None
         for batch in batches:
-            for _, _, data, offsets in textscan.slices(batch.column(0)):
-                total += np.bincount(buckets(data, offsets)[0], minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-    out = np.zeros((2, BUCKETS), np.int64)
+            kind_of_id = batch.schema.field(0).type
+            at = batch.column(2).to_numpy()
+            maybe = (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+            maybe &= batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for first, last, data, offsets in textscan.slices(batch.column(3)):
+                bucket, doc = buckets(data, offsets)
+                total += np.bincount(bucket, minlength=BUCKETS)
+                rows = np.flatnonzero(maybe[first:last])
+                if not len(rows):
+                    continue
+                mine = np.flatnonzero(maybe[first:last][doc])
+                mine = mine[np.argsort(doc[mine], kind="stable")]
+                ends = np.cumsum(np.bincount(doc[mine], minlength=last - first))[rows]
+                small = bucket[mine].astype(np.uint16)
+                grams = pa.array([small[i:j].tobytes() for i, j in zip(np.append(0, ends[:-1]), ends)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows + first)), batch.column(1).take(pa.array(rows + first)),
+                                                  grams, pa.nulls(len(rows), pa.int64())], names=names)
+        if kind_of_id is not None:
+            found = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(found), kind_of_id), pa.array(found.astype(np.int32)),
+                                              pa.nulls(len(found), pa.binary()), pa.array(total[found])], names=names)
+
+    def add(batches):
+        total = np.zeros(FOLDS * BUCKETS, np.int64)
+        for batch in batches:
+            for fold, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = total[fold * BUCKETS: (fold + 1) * BUCKETS]
+                own += np.bincount(np.frombuffer(grams.as_buffer(), np.uint16), minlength=BUCKETS)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["place", "n"])
+
+    names = ["id", "place", "grams", "n"]
+    texts = keyed(docs, id_col, text_col).select("id", "fold", slot("id").alias("slot"), "text")
+    parts = written(texts.mapInArrow(run, f"id {kind}, place int, grams binary, n long"), "gram-counts")
     # one plan at every size: the trusted ids grow with the labels and are not broadcast
-    parts = [texts.join(trusted.hint("merge"), "id", "left_semi").select("text"), texts.select("text")]
-    for row, part in enumerate(parts):
-        got = part.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-        out[row, got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return out
+    mine = parts.where("id is not null").join(trusted.hint("merge"), "id", "left_semi").select("place", "grams").mapInArrow(add, "place int, n long")
+    out = []
+    for size, part in ((FOLDS * BUCKETS, mine), (BUCKETS, parts.where("grams is null").select("place", "n"))):
+        got = part.groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+        sums = np.zeros(size, np.int64)
+        sums[got.column("place").to_numpy()] = got.column("n").to_numpy()
+        out.append(sums)
+    return out[0].reshape(FOLDS, BUCKETS), out[1]
 
 
 def log_ratio(n: np.ndarray, prior: float = 1.0) -> np.ndarray:
@@ -137,24 +197,30 @@ def log_ratio(n: np.ndarray, prior: float = 1.0) -> np.ndarray:
     return np.log((target + weight * share) / (target.sum() + weight)) - np.log(share) if target.sum() else np.zeros(BUCKETS)
 
 
+def fold_ratios(trusted: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """log(target / raw) [fold, bucket], with the target counted without the fold."""
+    return np.stack([log_ratio(np.stack([trusted.sum(axis=0) - own, raw])) for own in trusted])
+
+
 def scores(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base columns, score) of every row; no shuffle.  The table of ratios
-    (BUCKETS numbers) travels with the task."""
+    (FOLDS * BUCKETS numbers) travels with the task."""
     ratio = ratio.astype(np.float32)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for first, last, data, offsets in textscan.slices(batch.column(1)):
+            fold = batch.column(1).to_numpy()
+            for first, last, data, offsets in textscan.slices(batch.column(2)):
                 n = last - first
                 base = base_counts(data, offsets)
                 bucket, doc = buckets(data, offsets)
                 grams = np.bincount(doc, minlength=n)
-                mean = np.bincount(doc, ratio[bucket].astype(float), n) / np.maximum(grams, 1)
+                mean = np.bincount(doc, ratio[fold[first:last][doc], bucket].astype(float), n) / np.maximum(grams, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *map(pa.array, base.values()),
                                                   pa.array(np.round(mean, 9))], names=["id", *base, "score"])
 
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return (keyed(docs, id_col, text_col)
                 .mapInArrow(run, f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                                  "n_repeat_words long, base_failed boolean, score double"))
 
@@ -189,10 +255,11 @@ def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     kept is false if the base rules fail, else whether the score reaches the
     threshold.  A null or empty text has no words and fails the base rules.
     Without trusted documents all scores are 0 and the base rules decide.
-    Repeated rows each get a row; rows with a null id are scored and never
-    labelled; extra columns are ignored; an empty table gives no row.
+    Repeated rows each get a row, and equal texts one score; rows with a null
+    id are scored and never labelled; a very long text is read whole; extra
+    columns are ignored; an empty table gives no row.
     """
-    ratio = log_ratio(counts(docs, labels, id_col, text_col, label_col))
+    ratio = fold_ratios(*counts(docs, labels, id_col, text_col, label_col))
     scored = written(scores(docs, ratio, id_col, text_col), "scores")
     cut = threshold(scored, labels, id_col, label_col)
     return (scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= cut))

@@ -74,21 +74,40 @@ def test_rate(spark):
     assert sum(right) >= 0.97 * len(right)
 
 
-def test_rate_counts_against_brute_force(spark):
-    """The bucket counts of the job are those of a plain loop over all texts."""
+@pytest.mark.parametrize("slots", [quality_rules.SLOTS, 64])
+def test_rate_counts_against_brute_force(spark, monkeypatch, slots):
+    """The bucket counts of the job are those of a plain loop over all texts, with a full map of ids too."""
     import numpy as np
     import pyarrow as pa
     from tabrisk.llm import textscan
+    monkeypatch.setattr(quality_rules, "SLOTS", slots)
     rows, labels, _ = corpus(60)
-    good = {i for i, q, _ in labels if q == 1}
-    want = np.zeros((2, quality_rules.BUCKETS), int)
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    docs = spark.createDataFrame(rows, DOCS)
+    fold = {(r["id"], r["text"]): r["fold"] for r in quality_rules.keyed(docs, "doc_id", "text").collect()}
+    trusted, raw = np.zeros((quality_rules.FOLDS, quality_rules.BUCKETS), int), np.zeros(quality_rules.BUCKETS, int)
     for i, text, *_ in rows:
         for _, _, data, offsets in textscan.slices(pa.array([text])):
             one = np.bincount(quality_rules.buckets(data, offsets)[0], minlength=quality_rules.BUCKETS)
-            want[1] += one
-            want[0] += one * (i in good and i is not None)
-    got = quality_rules.counts(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS))
-    assert (got == want).all()
+            raw += one
+            if i in good:
+                trusted[fold[i, text]] += one
+    got = quality_rules.counts(docs, spark.createDataFrame(labels, LABELS))
+    assert (got[0] == trusted).all() and (got[1] == raw).all() and len(set(fold.values())) == quality_rules.FOLDS
+
+
+def test_a_row_is_not_its_own_target(spark):
+    """Words that only one trusted text and its copies hold get no credit in their own scores."""
+    rows, labels, _ = corpus(60)
+    rare = " ".join(f"unseen{k} strange{k}" for k in range(40))
+    rows += [(2000, rare, None, None, "", 0), (2001, rare, None, None, "", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+
+    def score(labels):
+        ratio = quality_rules.fold_ratios(*quality_rules.counts(docs, spark.createDataFrame(labels, LABELS)))
+        return {r["id"]: r["score"] for r in quality_rules.scores(docs, ratio).collect()}
+    without, with_own = score(labels), score(labels + [(2000, 1, 0)])
+    assert with_own[2000] == with_own[2001] == without[2000]
 
 
 def test_no_labels_and_no_rows(spark):
