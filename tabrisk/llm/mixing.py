@@ -10,7 +10,8 @@
    below its cell's probability.
 
 Only the cell table (values of the three dimensions that occur together)
-reaches the driver; more than ``MAX_CELLS`` cells are an error, not a cut.
+reaches the driver; from ``MAX_CELLS`` cells on it stays in Spark, where the
+same sweeps are grouped sums and the scale is found by exact steps.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabrisk.llm import textscan
-from tabrisk.llm.spark_util import free_names
+from tabrisk.llm.spark_util import free_names, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -104,7 +105,7 @@ def power_targets(shares: np.ndarray, power: float = POWER) -> np.ndarray:
 
 
 def probabilities(cells: pd.DataFrame, targets: dict | None = None, budget: float = BUDGET,
-                  power: float = POWER) -> pd.DataFrame:
+                  power: float = POWER, sweeps: int = SWEEPS) -> pd.DataFrame:
     """Raked weight and keeping probability of each cell (columns of DIMS and
     ``tokens``).  ``targets``: {dimension: {value: share}}, else powers of the
     natural shares."""
@@ -118,7 +119,7 @@ def probabilities(cells: pd.DataFrame, targets: dict | None = None, budget: floa
         share = np.array([wanted.get(v, 0.0) for v in values]) if wanted else power_targets(own / max(total, 1.0), power)
         codes.append(code)
         goals.append(share * total)
-    weight = rake(tokens, codes, goals)
+    weight = rake(tokens, codes, goals, sweeps)
     return cells.assign(weight=weight, p=calibrate(tokens, weight, budget))
 
 
@@ -139,6 +140,70 @@ def with_cells(docs: DataFrame, text_col: str = "text", keep_text: bool = True,
     return keyed.mapInArrow(run, schema)
 
 
+def marginal_goals(cells: DataFrame, name: str, wanted: dict | None, total: float, power: float) -> DataFrame:
+    """(name, goal): target tokens of each value of one dimension."""
+    own = cells.groupBy(name).agg(F.sum("tokens").alias("own"))
+    if wanted:
+        # a given target table lists its values, so it is as small as the caller wrote it
+        given = cells.sparkSession.createDataFrame([(v, float(x)) for v, x in wanted.items()], f"{name} string, share double")
+        return own.join(given, name, "left").select(name, (F.coalesce("share", F.lit(0.0)) * total).alias("goal"))
+    own = written(own.select(name, F.pow(F.col("own") / max(total, 1.0), F.lit(power)).alias("share")), "shares")
+    every = own.agg(F.sum("share")).first()[0]
+    return own.select(name, (F.col("share") / (every if every else 1.0) * total).alias("goal"))
+
+
+def raked(cells: DataFrame, goals: dict[str, DataFrame], sweeps: int) -> DataFrame:
+    """``cells`` with its raked weight.  A weight is the cell's tokens times a
+    factor of each dimension's value; a step sums the weights without one
+    dimension's factor and sets that factor anew.  Only the factor tables,
+    one row a value, are written from step to step."""
+    factors = {d: goal.select(d, F.lit(1.0).alias(f"f{d}")) for d, goal in goals.items()}
+
+    def weighed(dims):
+        out, weight = cells, F.col("tokens").cast("double")
+        for d in dims:
+            out, weight = out.join(factors[d], d), weight * F.col(f"f{d}")
+        return out.withColumn("weight", weight)
+
+    for _ in range(sweeps):
+        for d, goal in goals.items():
+            sums = weighed([k for k in goals if k != d]).groupBy(d).agg(F.sum("weight").alias("sum"))
+            factor = F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0)
+            factors[d] = written(sums.join(goal, d).select(d, factor.alias(f"f{d}")), "factors")
+    return weighed(goals).select(*cells.columns, "weight")
+
+
+def calibrated(cells: DataFrame, budget: float) -> DataFrame:
+    """``cells`` (tokens, weight) with p as ``calibrate`` gives it.  The
+    expected tokens of a scale s are concave in s, so steps to the root of the
+    tangent rise to the scale and end there, after as many sums as steps."""
+    ratio = F.col("weight") / F.col("tokens")
+    some = cells.where("tokens > 0")
+    scale, whole = 0.0, -1
+    while True:
+        full = F.col("weight") * scale >= F.col("tokens")
+        row = some.agg(F.sum("tokens"), F.count(F.when(full, True)), F.sum(F.when(full, F.col("tokens"))),
+                       F.sum(F.when(~full, F.col("weight")))).first()
+        want = budget * (row[0] or 0)
+        if row[1] == whole:
+            break
+        whole = row[1]
+        if not row[3]:  # no weight is left to scale: the budget takes all cells
+            return cells.withColumn("p", F.lit(1.0))
+        scale = max((want - (row[2] or 0)) / row[3], 0.0)
+    return cells.withColumn("p", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), ratio * scale)).otherwise(1.0))
+
+
+def large_cell_probabilities(sums: DataFrame, targets: dict | None, budget: float, power: float,
+                             sweeps: int = SWEEPS) -> DataFrame:
+    """``probabilities`` of cells in a DataFrame of any size."""
+    cells = written(sums, "cells")
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    goals = {f"_{d}": written(marginal_goals(cells, f"_{d}", (targets or {}).get(d), total, power), "goals") for d in DIMS}
+    weighted = written(raked(cells, goals, sweeps), "weights")
+    return calibrated(weighted, budget).select(*goals, "weight", "p")
+
+
 def cell_probabilities(celled: DataFrame, targets: dict | None = None, budget: float = BUDGET,
                        power: float = POWER) -> DataFrame:
     """The cells of ``celled`` with raked weights and probabilities, as a DataFrame."""
@@ -146,7 +211,7 @@ def cell_probabilities(celled: DataFrame, targets: dict | None = None, budget: f
     sums = celled.groupBy(*names).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     rows = sums.limit(MAX_CELLS + 1).toPandas()
     if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic; use coarser dimensions")
+        return large_cell_probabilities(sums, targets, budget, power)
     rows = rows.rename(columns=dict(zip(names, DIMS))).sort_values(list(DIMS)).reset_index(drop=True)
     done = probabilities(rows, targets, budget, power)
     schema = "_source string, _lang string, _topic string, weight double, p double"
@@ -169,7 +234,6 @@ def mix(docs: DataFrame, targets: dict | None = None, id_col: str = "doc_id", te
     tokens; a cell without tokens is kept whole.  Repeated rows share their
     decision.  Extra columns are ignored; an empty table gives no row.
     """
-    from tabrisk.llm.spark_util import written
     celled = written(with_cells(docs.select(id_col, text_col, "source", "lang"), text_col, False), "cells")
     p = cell_probabilities(celled, targets, budget, power)
     return (celled.join(p, [f"_{d}" for d in DIMS])

@@ -88,10 +88,36 @@ def test_sample_keeps_the_mixed_rows(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == want
 
 
-def test_too_many_cells(spark, monkeypatch):
+@pytest.mark.parametrize("targets", [None, {"_source": {"=hot": 0.2, "=a": 0.5}, "_topic": {"prose": 0.9, "caps": 0.1}}])
+def test_large_cell_tables_stay_in_spark(spark, targets):
+    """Grouped sums and exact steps give what the driver's arrays give."""
+    celled = mixing.with_cells(spark.createDataFrame(rows(), SCHEMA).select("text", "source", "lang"), "text", False)
+    sums = celled.groupBy("_source", "_lang", "_topic").agg(mixing.F.sum("_tokens").alias("tokens"))
+    targets = {k[1:]: v for k, v in targets.items()} if targets else None
+    want = mixing.probabilities(sums.toPandas().rename(columns=lambda c: c.lstrip("_")), targets, sweeps=3)
+    got = mixing.large_cell_probabilities(sums, targets, mixing.BUDGET, mixing.POWER, sweeps=3).toPandas()
+    both = want.merge(got, left_on=["source", "lang", "topic"], right_on=["_source", "_lang", "_topic"])
+    assert len(both) == len(want) == len(got)
+    assert np.allclose(both["weight_x"], both["weight_y"]) and np.allclose(both["p_x"], both["p_y"])
+
+
+def test_mix_does_not_depend_on_where_cells_are(spark, monkeypatch):
+    df = spark.createDataFrame(rows(n=40), SCHEMA)
+    want = sorted((str(r["doc_id"]), round(r["p"], 9), r["kept"]) for r in mixing.mix(df).collect())
     monkeypatch.setattr(mixing, "MAX_CELLS", 3)
-    with pytest.raises(ValueError, match="cells"):
-        mixing.mix(spark.createDataFrame(rows(), SCHEMA))
+    assert sorted((str(r["doc_id"]), round(r["p"], 9), r["kept"]) for r in mixing.mix(df).collect()) == want
+
+
+def test_calibrated_against_the_arrays(spark):
+    rng = np.random.default_rng(2)
+    for k in range(6):
+        tokens = rng.integers(0, 50, 15)
+        weight = rng.random(15) * tokens * rng.integers(0, 2, 15) ** (k % 2)
+        weight = weight * (k != 5)
+        df = spark.createDataFrame([(i, int(t), float(w)) for i, (t, w) in enumerate(zip(tokens, weight))], "i int, tokens long, weight double")
+        for budget in (0.3, 0.9):
+            got = [r["p"] for r in sorted(mixing.calibrated(df, budget).collect())]
+            assert np.allclose(got, mixing.calibrate(tokens, weight, budget)), (k, budget)
 
 
 def test_empty_table(spark):
