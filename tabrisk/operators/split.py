@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tabrisk.contract import N_FOLDS, RANDOM_STATE, TEST_PERCENT
 from tabrisk.functions.expressions import hash_key
 from tabrisk.operators.ranking import ROWS_PER_BUCKET, bucketed_row_number
+from tabrisk.session import small_side
 
 MIN_DIGITS, MAX_DIGITS = 2, 8
 
@@ -180,11 +181,11 @@ def split_and_folds(df: DataFrame, label: str, key_cols: Sequence[str],
     counts = _class_counts(base, label)
     base = _with_bucket(base, counts)
     # exact integer quotas on the driver, one row per class
+    rows = list(quota_table(counts, test_percent).items())
     quotas = df.sparkSession.createDataFrame(
-        [(c, q) for c, q in quota_table(counts, test_percent).items()],
-        base.select(label).schema.add("quota", "long"))
+        rows, base.select(label).schema.add("quota", "long"))
     ranked = bucketed_row_number(base, [label], "_b", ["_h", *tiebreak], out="_rank")
-    return (ranked.join(F.broadcast(quotas), label)
+    return (ranked.join(small_side(quotas, len(rows)), label)
                   .withColumn("split", F.when(F.col("_rank") <= F.col("quota"), F.lit("test"))
                               .otherwise(F.lit("train")))
                   .withColumn("fold", F.when(F.col("split") == "train",

@@ -11,6 +11,7 @@ import os
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
@@ -70,6 +71,12 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+def small_side(df, n_rows: int, limit: int = 100_000):
+    """``df`` with a broadcast hint if it has at most ``limit`` rows; a larger
+    one is left to the planner (sort-merge, skew split by AQE)."""
+    return F.broadcast(df) if n_rows <= limit else df
+
+
 def right_size(df, n_rows: int, rows_per_partition: int = 200_000):
     """Coalesce a (cached) training frame to about ``rows_per_partition`` rows
     per partition.  Iterative fits run one job per iteration; with a few
