@@ -63,3 +63,20 @@ def test_empty_and_bad_rows(spark):
     assert variant_accuracy(none, some, [3]).collect() == [] and variant_accuracy(some, none, [3]).collect() == []
     with pytest.raises(Exception, match="coordinate"):
         variant_accuracy(some, spark.createDataFrame([(1, [1.0, None], 1)], schema), [3]).collect()
+
+
+def test_few_pairs_get_their_variants_and_none_is_written(spark):
+    """On data without clusters most pairs are left out by their bound, and a
+    block gives sums only, so nothing grows with pairs but the product itself."""
+    import pyarrow as pa
+
+    from tabrisk.operators import variants as V
+    rng = np.random.default_rng(1)
+    vec = lambda n: pa.array(list(np.clip(rng.normal(0.5, 0.12, (n, 32)), 0, 1)))
+    block = V._Block(pa.table({"vec": vec(20), "qid": pa.array(range(20)), "label": pa.array([0] * 20)}), 5, None, "euclidean", V.ROWS)
+    seen, pairs = [], block._pairs
+    block._pairs = lambda at, t: seen.append(pairs(at, t)) or seen[-1]
+    for _ in range(3):
+        block.meet(pa.table({"vec": vec(2000), "label": pa.array([1] * 2000)}))
+    assert len(seen[-1][0]) < 0.1 * 20 * 2000
+    assert len(list(block.count([1, 5], "uniform"))) == 2 * 33
