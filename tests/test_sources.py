@@ -118,3 +118,17 @@ def test_history_ties_and_clear_under_dynamic_overwrite(spark, tmp_dir):
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
     assert history.load_history(spark, path, ["f1"]).count() == 0
+
+
+def test_headers_need_no_sort_of_the_lines(spark, tmp_dir):
+    """A file's first line is found by its number; a text in the aggregate would sort every line."""
+    import os
+
+    from tabrisk.sources.files import csv_headers
+    for name, lines in (("a", "x,y\n1,2\n0,0\n"), ("b", "y,x\n2,1\n"), ("c", "")):
+        with open(os.path.join(tmp_dir, f"{name}.csv"), "w") as f:
+            f.write(lines)
+    got = csv_headers(spark, tmp_dir)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "min_by" not in plan
+    assert sorted(r["header"] for r in got.collect()) == ["x,y", "y,x"]
