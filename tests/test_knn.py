@@ -117,3 +117,22 @@ def test_share_of_full_distances_on_the_embeddings(spark):
     t, q = (np.array([r["vec"] for r in df.select("vec").collect()]) for df in (train, test))
     for metric in ("euclidean", "manhattan"):
         assert len(candidates(q, t, 31, metric)[0]) / (len(t) * len(q)) < 0.3
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_a_block_leaves_only_rows_within_the_known_distance(metric):
+    """The second phase doesn't write k rows for every cell a query reaches."""
+    import pyarrow as pa
+
+    from tabrisk.operators.knn import _block_kernel, pair_distances
+    rng = np.random.default_rng(8)
+    q, t = rng.normal(0, 1, (30, 6)), rng.normal(0, 1, (400, 6))
+    d = pair_distances(q, t, metric)
+    best = np.sort(d, axis=1)[:, 2]                         # the bound is met by three rows exactly
+    best[0] = np.inf
+    ask = pa.table({"qid": pa.array(range(30)), "_qv": pa.array(list(q)), "_best": pa.array(best)})
+    rows = pa.table({"_tid": pa.array(range(400)), "_tv": pa.array(list(t)), "t_label": pa.array([0] * 400, pa.int32())})
+    got = _block_kernel(9, metric, ["qid"], False)(ask, rows).to_pandas()
+    for i in range(30):
+        want = np.argsort(d[i], kind="stable")[: 9 if i == 0 else 3]
+        assert got[got.qid == i]._tid.tolist() == want.tolist()
