@@ -80,3 +80,20 @@ def test_few_pairs_get_their_variants_and_none_is_written(spark):
         block.meet(pa.table({"vec": vec(2000), "label": pa.array([1] * 2000)}))
     assert len(seen[-1][0]) < 0.1 * 20 * 2000
     assert len(list(block.count([1, 5], "uniform"))) == 2 * 33
+
+
+def test_permuted_rows_hand_over_with_two_shuffles_of_the_repeats(spark):
+    """Each repeat is ranked and joined once by position, with the receiving
+    row already there: nothing is sorted for a join or broadcast."""
+    from tabrisk.plans.knn_queries import permuted_rows
+    rows = [(i, [float(i), float(-i)], i % 2) for i in range(40)] + [(7, [100.0, -100.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<double>, label int")
+    got = permuted_rows(df, ["a", "b"], repeats=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    out = got.where("feature <> 'None'").collect()
+    # 39 rows of their own ids and, for the id that comes twice, both rows for both positions
+    assert len(out) == 2 * 2 * (39 + 4)
+    once = [r for r in out if r["feature"] == "a" and r["rep"] == 1 and r["vec_id"] != 7]
+    assert all(r["vec"][1] == -r["vec_id"] for r in once) and len({r["vec"][0] for r in once}) == 39
+    assert got.where("feature = 'None'").count() == 41
