@@ -136,3 +136,37 @@ def test_a_block_leaves_only_rows_within_the_known_distance(metric):
     for i in range(30):
         want = np.argsort(d[i], kind="stable")[: 9 if i == 0 else 3]
         assert got[got.qid == i]._tid.tolist() == want.tolist()
+
+
+def _shuffled(spark):
+    """Bytes of shuffle files that the session has."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+def test_rows_are_not_written_for_each_pair_of_blocks(spark, monkeypatch):
+    """Data without clusters: every query reaches all 40 cells; neither its
+    vector nor a training row is shuffled for each of them."""
+    from tabrisk.operators import knn
+    monkeypatch.setattr(knn, "CELL_ROWS", 16)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 32)], i % 2) for i in range(640)]
+    t = spark.createDataFrame(rows, "tid long, vec array<double>, label int")
+    q = t.select((F.col("tid") + 1000).alias("qid"), "vec")
+    before = _shuffled(spark)
+    assert neighbours(t, q, 3).count() == 3 * 640
+    assert _shuffled(spark) - before < 8 * 640 * 32 * 8
+
+
+def test_ids_of_any_type_and_rows_of_equal_keys(spark):
+    """Text ids tie in their order, a null one before; queries of one key are
+    one, with the nearest of all of them; groups without training rows get none."""
+    t = spark.createDataFrame([("b", [1.0], 1, 0), ("a", [1.0], 0, 0), (None, [1.0], 1, 0), ("c", [5.0], 1, 0), ("d", [1.0], 1, 1)],
+                              "tid string, vec array<double>, label int, g int")
+    q = spark.createDataFrame([("x", [1.0], 0), ("x", [5.0], 0), (None, [4.0], 0), ("y", [0.0], 2), ("z", [0.0], 1)],
+                              "qid string, vec array<double>, g int")
+    got = {}
+    for r in neighbours(t, q, 4, same_on=("g",)).orderBy("qid", "rank").collect():
+        got.setdefault((r["qid"], r["g"]), []).append((r["dist"], r["tid"], r["t_label"]))
+    assert got == {("x", 0): [(0.0, None, 1), (0.0, "a", 0), (0.0, "b", 1), (0.0, "c", 1)],
+                   (None, 0): [(1.0, "c", 1), (3.0, None, 1), (3.0, "a", 0), (3.0, "b", 1)], ("z", 1): [(1.0, "d", 1)]}
