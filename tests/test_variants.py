@@ -97,3 +97,64 @@ def test_permuted_rows_hand_over_with_two_shuffles_of_the_repeats(spark):
     once = [r for r in out if r["feature"] == "a" and r["rep"] == 1 and r["vec_id"] != 7]
     assert all(r["vec"][1] == -r["vec_id"] for r in once) and len({r["vec"][0] for r in once}) == 39
     assert got.where("feature = 'None'").count() == 41
+
+
+def _shuffled(spark):
+    """Bytes of shuffle files that the session has."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+def test_training_rows_are_not_written_for_each_block_of_queries(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 16)], i % 2) for i in range(800)]
+    t = spark.createDataFrame(rows, "vec_id long, vec array<double>, label int")
+    before = _shuffled(spark)
+    got = variant_accuracy(t, t, [3], queries=16).collect()                      # 50 blocks
+    assert len(got) == 17 and all(r["n"] == 800 for r in got)
+    assert _shuffled(spark) - before < 8 * 800 * 16 * 8
+
+
+def test_only_the_values_of_a_permutation_are_written(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 4)], i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<double>, label int")
+    before = _shuffled(spark)
+    assert with_donors(df, list("abcd")).where("size(donors) = 120").count() == 600
+    assert _shuffled(spark) - before < 2 * 600 * 120 * 8
+
+
+def test_donors_equal_permuted_rows_and_rows_of_one_id_have_all_of_them(spark):
+    from tabrisk.operators import permute
+    from tabrisk.plans.knn_queries import permuted_rows
+    rows = [(i, [float(i), float(-i)], i % 2) for i in range(2 * permute.PIECE + 5)] + [(7, [9000.0, -9000.0], 1)]
+    for some in (rows[:-1], rows):
+        df = spark.createDataFrame(some, "vec_id long, vec array<double>, label int")
+        want, got = {}, {}
+        for r in permuted_rows(df, ["a", "b"], repeats=3).where("feature <> 'None'").collect():
+            f = "ab".index(r["feature"])
+            want.setdefault((r["vec_id"], f, r["rep"]), set()).add(r["vec"][f])
+        for r in with_donors(df, ["a", "b"], repeats=3).collect():
+            m = len(r["donors"]) // 6
+            for j, d in enumerate(r["donors"]):
+                got.setdefault((r["vec_id"], j // (3 * m), j // m % 3), set()).add(d)
+        assert {k: v for k, v in got.items() if k[0] != 7} == {k: v for k, v in want.items() if k[0] != 7}
+        assert all(len(got[7, f, r]) == len(some) - len(rows) + 2 for f in range(2) for r in range(3))
+
+
+def test_blocks_in_any_order_keep_ties_by_position():
+    import pyarrow as pa
+
+    from tabrisk.operators import variants as V
+    rng = np.random.default_rng(9)
+    grid = rng.integers(0, 2, (60, 3)).astype(float)
+    q = pa.table({"vec": pa.array(list(rng.integers(0, 2, (8, 3)).astype(float))), "qid": pa.array(range(8)), "label": pa.array([0] * 8)})
+    labels = pa.array(rng.integers(0, 2, 60).astype(np.int32))
+    t = pa.table({"_pos": pa.array(range(1, 61)), "vec": pa.array(list(grid)), "label": labels})
+    counts = []
+    for order in ([0, 20, 40], [40, 0, 20]):
+        block = V._Block(q, 5, None, "euclidean", 7)
+        for i in order:
+            block.meet(t.slice(i, 20))
+        counts.append(list(block.count([1, 5], "uniform")))
+    assert counts[0] == counts[1]
