@@ -105,3 +105,23 @@ def test_texts(spark):
     df = spark.createDataFrame([(0.12345678, "aNN model"), (None, None), (-2.0, "x")], "v double, s string")
     got = df.select(number_text("v"), number_text("v", signed=True), number_text("v", 1), title_case("s")).collect()
     assert [tuple(r) for r in got] == [("0.1235", "+0.1235", "0.1", "Ann Model"), (None, None, None, None), ("-2.0000", "-2.0000", "-2.0", "X")]
+
+
+def test_rule_importance_shuffles_some_repeats_at_a_time(spark, tmp_dir, monkeypatch):
+    """Repeats are ranked and joined in parts, the files of one gone before the
+    next; the rows do not depend on the parts."""
+    from tabrisk.plans import queries as Q
+    rows = [(i, i * 7 % 50, f"{'purchase' if i % 3 else 'view'}", i * 13 % 40 / 1.0) for i in range(3000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_dir}/events.parquet")
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(found.apply(i).length() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_"))
+
+    whole = Q.importance_rules(spark, tmp_dir).collect()
+    monkeypatch.setattr(Q, "PERMUTED_ROWS", 7 * 6000)
+    before = files()
+    parts = Q.importance_rules(spark, tmp_dir).collect()
+    assert sorted(parts) == sorted(whole) and len(whole) == 2
+    # 60 x 3000 rows were shuffled twice
+    assert files() - before < 60 * 3000 * 4
